@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from cadenza.llm import mix
+from cadenza.llm import binary, bpe, mix, topk, urls
 
 QUERIES = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op4_url_filter": urls.op4_url_filter,
+    "op6_token_files": binary.op6_token_files,
     "op9_mix_sources": mix.op9_mix_sources,
+    "op10_maxscore_topk": topk.op10_maxscore_topk,
 }
 ORACLES = {
+    "op4_url_filter": urls.OP4_SQL,
     "op9_mix_sources": mix.OP9_SQL,
+    "op10_maxscore_topk": topk.OP10_SQL,
 }
