@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from cadenza.llm import binary, bpe, mix, topk, urls
+from cadenza.llm import binary, bpe, fingerprint, jaccard, mix, topk, urls
 
 QUERIES = {
+    "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op4_url_filter": urls.op4_url_filter,
+    "op5_scaled_sketch": fingerprint.op5_scaled_sketch,
     "op6_token_files": binary.op6_token_files,
     "op9_mix_sources": mix.op9_mix_sources,
     "op10_maxscore_topk": topk.op10_maxscore_topk,
