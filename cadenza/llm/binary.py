@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import new_path, ranges, table, written
-from cadenza.llm.units import ODD, UNIT, gather
+from cadenza.llm.units import UNIT, gather, plain
 
 #: A file: MAGIC, sha256 of the dictionary, the documents' frames, then the index and its length.
 MAGIC = b"CADIDS01"
@@ -26,7 +26,10 @@ MAGIC = b"CADIDS01"
 ENTRY = np.dtype([("at", "<u8"), ("bytes", "<u4"), ("ids", "<u4"), ("doc_id", "<i8"), ("null", "u1")])
 #: The dictionary is trained on this many documents at most (those of smallest hash), this many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 600, 4000, 32_768
-KNOWN_UNITS = 1_000_000
+#: A worker forgets its units beyond this many.
+KNOWN_UNITS = 1_500_000
+#: Units asked for in one text.
+LOT = 500
 
 
 class Encoder:
@@ -47,11 +50,13 @@ class Encoder:
         self.lens, self.flat, self.used = np.ones(1, "i8"), np.full(1 << 16, self.line or 0, "<u4"), 1
 
     def plain(self, text: str) -> bool:
-        return self.line is not None and not ODD.search(text) and not any(s in text for s in self.special)
+        return self.line is not None and not any(s in text for s in self.special) and plain(text)
 
     def learn(self, units: list[str]) -> None:
         """One call for all: joined by line ends, each of which is an id by itself."""
-        ids = np.array(self.library.encode("\n".join(units), add_special_tokens=False).ids, "<u4")
+        lots = ["\n".join(units[i : i + LOT]) for i in range(0, len(units), LOT)]
+        found = self.library.encode_batch_fast(lots, add_special_tokens=False)
+        ids = np.concatenate([x for e in found for x in ([self.line], np.array(e.ids, "<u4"))][1:])
         ends = np.append(np.flatnonzero(ids == self.line), len(ids))
         lens = np.diff(ends, prepend=-1) - 1
         ids = ids[ids != self.line]
@@ -69,8 +74,7 @@ class Encoder:
             self.clear()
         split = [UNIT.findall(t) if self.plain(t) else None for t in texts]
         unit = self.unit
-        new = dict.fromkeys(u for s in split if s for u in s if u not in unit)
-        if new:
+        if new := set().union(*(s for s in split if s)) - unit.keys():
             self.learn(list(new))
         starts = np.cumsum(self.lens) - self.lens
         return [
@@ -108,7 +112,11 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
 def frames(batches: Iterator[pa.RecordBatch], vocabulary: str, raw: bytes, end_id: int | None) -> Iterator[pa.RecordBatch]:
     """(doc_id, file, ids, frame) of (doc_id, text, file)."""
     own, shared = encoder(vocabulary), _dictionary(raw)
-    press = zstandard.ZstdCompressor(level=1, dict_data=shared, write_checksum=False)
+    if shared:
+        shared.precompute_compress(level=1)
+        press = zstandard.ZstdCompressor(dict_data=shared)
+    else:
+        press = zstandard.ZstdCompressor(level=1)
     tail = [] if end_id is None else [end_id]
     for batch in batches:
         for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):

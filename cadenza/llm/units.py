@@ -7,11 +7,16 @@ import re
 import numpy as np
 import regex
 
-#: Texts that hold none of these are units with at most one space before each, and single line ends.
-ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+#: Texts that hold none of these, and no white space at their ends, are units with at most one space
+#: before each, and single line ends.
+ODD = ("  ", "\n\n", " \n", "\n ", *(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"))
 UNIT = re.compile(r"\n| ?[^ \n]+")
 
 
+def plain(text: str) -> bool:
+    return text[:1] not in (" ", "\n") and text[-1:] not in (" ", "\n") and not any(x in text for x in ODD)
+
+
 class Units:
     """Numbers of distinct units and words over the texts seen so far.
 
@@ -37,7 +42,7 @@ class Units:
 
     def codes(self, text: str) -> np.ndarray:
         unit = self.unit
-        if ODD.search(text):
+        if not plain(text):
             # a word of an odd text is kept apart from a unit of the same letters
             keys = ((f"\n\n{w}", w) for w in self.find(text))
             return np.array([unit[k] if k in unit else self._new(k, [w]) for k, w in keys], "<i4")
