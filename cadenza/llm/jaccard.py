@@ -230,5 +230,17 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD
     return rows.select("doc_id", "class").join(texts_of, "class").select("doc_id", "class_id", "copy_of", "n_links")
 
 
+def one_of_each(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose doc_id is the least of its group, one row for each different text of such an id.
+
+    A null doc_id stays only if all of its group are null.
+    """
+    found = jaccard_join(docs, size, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    first = written(found.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id")).distinct(), "firsts")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(first, "id", "left_semi").dropDuplicates(["id", "h"])
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
