@@ -22,8 +22,9 @@ FIELD = "<*>"
 
 def masked(line: Column) -> Column:
     """The line with every token that holds a digit as a variable field, white space made single spaces."""
+    odd = F.regexp_like(line, F.lit(r"[0-9\t\x0B\f\r]")) | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
     return F.when(
-        F.regexp_like(line, F.lit(r"[0-9\t\x0B\f\r]|  |^ | $")),
+        odd,
         F.trim(F.regexp_replace(F.regexp_replace(line, r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*", FIELD), r"[\x20\x09-\x0D]+", " ")),
     ).otherwise(line)
 
@@ -33,7 +34,8 @@ def lines(docs: DataFrame, depth: int = DEPTH, least: int = MIN_TOKENS) -> DataF
 
     `leaf` names the path in the tree, `exact` the masked line, h the document's text.
     """
-    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = rows.select("doc_id", "h", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))  # h isn't made again for each line
     rows = rows.where(F.length("line") >= 2 * least - 1).withColumn("line", masked(F.col("line")))
     # single spaces part the tokens of a masked line
     rows = rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= least)
@@ -58,6 +60,7 @@ def templates(docs: DataFrame, keys: DataFrame, least_docs: int = MIN_DOCS) -> D
     totals = some.groupBy("leaf").agg(F.sum("docs").alias("all"))
     const = votes.join(totals, "leaf").where(F.col("votes") > CONSTANT * F.col("all")).select("leaf", "at", "token")
     found = const.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("const"))
+    found = written(found, "constants")
     joined = some.withColumn("tokens", F.split("line", " ", -1)).join(found, "leaf")
     same = F.size(F.filter("const", lambda c: F.get("tokens", c["at"]) == c["token"]))
     return joined.where(same >= SIMILAR * F.col("n")).select("leaf", "exact")
