@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import WORD, table, written
+from cadenza.llm.common import WORD, bound, table, written
 
 #: Leading tokens that make a path of the tree, after the token count.
 DEPTH = 3
@@ -34,11 +34,11 @@ def lines(docs: DataFrame, depth: int = DEPTH, least: int = MIN_TOKENS) -> DataF
 
     `leaf` names the path in the tree, `exact` the masked line, h the document's text.
     """
+    # single spaces part the tokens of a masked line; a bound variable, as a plain column would be computed at each use
+    tokens = lambda m: F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1
+    each = F.transform(F.split("text", "\n", -1), lambda raw, i: bound(masked(raw), lambda m: F.struct(i.alias("pos"), tokens(m).alias("n"), m.alias("line"))))
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    rows = rows.select("doc_id", "h", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))  # h isn't made again for each line
-    rows = rows.where(F.length("line") >= 2 * least - 1).withColumn("line", masked(F.col("line")))
-    # single spaces part the tokens of a masked line
-    rows = rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= least)
+    rows = rows.select("doc_id", "h", F.inline(F.filter(each, lambda x: x["n"] >= least)))  # h isn't made again for each line
     head = F.substring_index("line", " ", depth)
     return rows.select("doc_id", "h", "pos", "n", F.xxhash64("n", head).alias("leaf"), F.xxhash64(F.lit(1), "line").alias("exact"), "line")
 

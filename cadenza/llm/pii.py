@@ -4,12 +4,10 @@ forms. DataFrame functions only."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import table, written
+from cadenza.llm.common import bound, table, written
 
 SPACE, SOLID = r"\x20\x09-\x0D", r"[^\x20\x09-\x0D]"
 #: The base form of each kind. Possessive and tied to where a run begins, they match what the
@@ -33,11 +31,6 @@ SUPPORT, SURE, ROUNDS = 3, 0.8, 2
 SPAN = "array<struct<s:int,e:int,m:string,c:string>>"
 
 
-def bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value computed once."""
-    return F.transform(F.array(value), f)[0]
-
-
 def matches(text: Column, form: str) -> Column:
     """array<struct<s,e,m,c>>: start and end (code points) of all matches, the match, and what stands before it."""
     parts = F.struct(F.split(text, form, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(form), F.lit(0)).alias("found"))
