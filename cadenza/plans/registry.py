@@ -2,5 +2,212 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cadenza.functions import scalars
+from cadenza.functions.ordered import KEY
+from cadenza.functions.scalars import rnd
+from cadenza.operators import align, bands, climbs, decoupling, estimate, power, profile, records
+from cadenza.plans.oracles import DUR, FTP, HR, KG, POWER, SQL
+from cadenza.sources.events import samples, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES = SQL
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def aligned(spark: SparkSession, sf_dir: str, view: str = "gappy") -> DataFrame:
+    return align.align(samples(spark, sf_dir, view))
+
+
+@query
+def align_grid(spark, sf_dir):
+    return aligned(spark, sf_dir).select(KEY, "i", "offset", "valid", *[rnd(F.col(s), 6).alias(s) for s in align.SIGNALS])
+
+
+@query
+def gap_summary(spark, sf_dir):
+    gaps = align.gaps(align.cleaned(samples(spark, sf_dir, "gappy")))
+    return gaps.groupBy(KEY).agg(F.count("*").alias("gap_count"), F.sum("duration_s").alias("gap_seconds"), F.max("duration_s").alias("longest_gap_s"), F.count_if(~F.col("filled")).alias("unfilled_gaps"))
+
+
+@query
+def quality(spark, sf_dir):
+    rows = samples(spark, sf_dir, "gappy")
+    return align.quality(align.align(rows), align.gaps(align.cleaned(rows)), ("watts", "heartrate"))
+
+
+@query
+def power_metrics(spark, sf_dir):
+    return power.power_metrics(aligned(spark, sf_dir, "dense"), F.lit(FTP), F.lit(KG))
+
+
+@query
+def power_metrics_gappy(spark, sf_dir):
+    return power.power_metrics(aligned(spark, sf_dir), F.lit(FTP), F.lit(KG))
+
+
+@query
+def power_curve(spark, sf_dir):
+    return power.curve(aligned(spark, sf_dir), DUR).drop("best_raw")
+
+
+@query
+def signal_summary(spark, sf_dir):
+    return power.signal_summary(aligned(spark, sf_dir))
+
+
+@query
+def time_in_power_zones(spark, sf_dir):
+    return bands.time_in_zones(aligned(spark, sf_dir), "watts", POWER)
+
+
+@query
+def time_in_hr_zones(spark, sf_dir):
+    return bands.time_in_zones(aligned(spark, sf_dir), "heartrate", HR, closed_top=True)
+
+
+@query
+def torque_cadence(spark, sf_dir):
+    return bands.torque_by_cadence(aligned(spark, sf_dir))
+
+
+@query
+def efforts(spark, sf_dir):
+    return bands.efforts(aligned(spark, sf_dir), FTP)
+
+
+@query
+def work_above_ftp(spark, sf_dir):
+    return bands.work_above(aligned(spark, sf_dir), FTP)
+
+
+@query
+def decoupling_halves(spark, sf_dir):
+    return decoupling.decoupling(aligned(spark, sf_dir), warmup_min=1, low_w=10.0, min_seconds=100)
+
+
+QUERIES["decoupling"] = QUERIES.pop("decoupling_halves")
+
+
+@query
+def best_effort_period(spark, sf_dir):
+    """Newest 30 activities of a period, measured ones only, aligned after they are chosen."""
+    rows = samples(spark, sf_dir, "daily")
+    listed = rows.select(KEY).distinct().withColumn("day", F.to_date(F.right(KEY, F.lit(10)))).where("day between date'2024-01-05' and date'2024-01-25'")
+    listed = listed.orderBy(F.desc("day"), KEY).limit(30).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("day"), KEY)))
+    measured = F.broadcast(listed.where(F.dayofmonth("day") % 3 != 0))  # 30 rows at most
+    curves = power.curve(align.align(rows.join(measured.select(KEY), KEY, "left_semi"), ("watts",)), (1, 5, 10)).where("best is not null").join(measured, KEY)
+    return records.leaderboard(curves, ["duration_s"], F.desc("best"), 1, "pos").select("duration_s", KEY, "day", "best", "start_s", "end_s")
+
+
+@query
+def estimates(spark, sf_dir):
+    best = power.curve(aligned(spark, sf_dir), (30, 120)).groupBy(KEY).agg(*[F.max(F.when(F.col("duration_s") == d, F.col("best"))).alias(n) for d, n in ((30, "short"), (120, "long"))])
+    return best.select(KEY, estimate.vo2max(F.col("short"), F.lit(KG)).alias("vo2max"), estimate.ftp(F.col("long")).alias("ftp"), estimate.lthr(F.col("long")).alias("lthr"))
+
+
+@query
+def climb_grade(spark, sf_dir):
+    return climbs.grades(climbs.smooth(aligned(spark, sf_dir))).select(KEY, "i", rnd(F.col("smooth"), 4).alias("smooth"), rnd(F.col("grade"), 3).alias("grade"))
+
+
+@query
+def climb_segments(spark, sf_dir):
+    return climbs.climbs(aligned(spark, sf_dir))
+
+
+@query
+def climb_trend(spark, sf_dir):
+    return climbs.trend(climbs.climbs(aligned(spark, sf_dir)), "climb", "avg_w")
+
+
+@query
+def compare_activities(spark, sf_dir):
+    """Each activity's metrics side by side, a missing one with its status."""
+    rows = aligned(spark, sf_dir)
+    halves = decoupling.decoupling(rows, min_seconds=100).select(KEY, "decoupling_pct")
+    both = power.power_metrics(rows, F.lit(FTP), F.lit(KG)).join(halves, KEY, "left")
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("avg_w", "np_w", "vi", "tss", "work_kj", "decoupling_pct")])
+    return both.select(KEY, F.inline(cells)).withColumn("status", F.when(F.col("value").isNull(), "missing_data").otherwise("ok"))
+
+
+@query
+def stream_stats(spark, sf_dir):
+    return records.series_stats(samples(spark, sf_dir, "gappy"))
+
+
+@query
+def downsample(spark, sf_dir):
+    return records.downsampled(aligned(spark, sf_dir), "watts", 100).select(KEY, "i", "place", rnd(F.col("watts"), 6).alias("watts"))
+
+
+@query
+def chunk_assign(spark, sf_dir):
+    size = records.chunk_size(5)
+    return aligned(spark, sf_dir).groupBy(KEY, F.expr(f"i div {size}").alias("chunk")).agg(F.count("*").alias("points"), F.min("i").alias("first_i"), rnd(F.max("watts"), 6).alias("top"))
+
+
+@query
+def profile_asof(spark, sf_dir):
+    entries = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("athlete_id"), F.to_date("o_orderdate").alias("effective_from")).agg(F.max("o_totalprice").alias("value"))
+    entries = entries.withColumn("effective_to", F.date_sub(F.lead("effective_from").over(Window.partitionBy("athlete_id").orderBy("effective_from")), 1))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias(KEY), (F.col("l_orderkey") % 500).alias("athlete_id"), F.to_date("l_shipdate").alias("day"))
+    rows = rows.groupBy(KEY).agg(F.min("athlete_id").alias("athlete_id"), F.min("day").alias("day"))
+    return profile.as_of(rows, entries, ["athlete_id"], "day")
+
+
+@query
+def profile_overlap_violations(spark, sf_dir):
+    start = F.to_date("o_orderdate")
+    rows = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("athlete_id"), start.alias("effective_from"), F.date_add(start, (F.col("o_orderkey") % 400).cast("int")).alias("effective_to"))
+    rows = rows.groupBy("athlete_id", "effective_from").agg(F.min("effective_to").alias("effective_to"))
+    return profile.overlaps(rows, ["athlete_id"])
+
+
+@query
+def activity_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz'1997-01-01' and o_orderdate < timestamp_ntz'1998-01-01'")
+    return rows.where(scalars.one_of(F.col("o_orderstatus"), ["F", "O"]) & scalars.one_of(F.col("o_orderpriority"), ["1-URGENT", "5-LOW"])).select("o_orderkey", "o_orderstatus", "o_orderdate")
+
+
+@query
+def activity_page(spark, sf_dir):
+    return records.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), 3, 50, F.desc("o_orderdate"), "o_orderkey")
+
+
+@query
+def recent_activities(spark, sf_dir):
+    return records.newest(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), 30, "o_orderdate", "o_orderkey")
+
+
+@query
+def segment_bbox(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("lat"), F.col("s_nationkey").cast("double").alias("lng"))
+    return rows.where(records.within(F.col("lat"), F.col("lng"), 10, 3, 60, 15))
+
+
+@query
+def leaderboard_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'1998-01-01'")
+    return records.leaderboard(rows, ["l_suppkey"], F.asc("l_extendedprice"), 10, "l_orderkey", "l_linenumber", "l_partkey").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "rank")
+
+
+@query
+def athlete_totals(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    cents = F.floor(F.col("o_totalprice") * 100 + 0.5)
+    return rows.groupBy("c_nationkey", F.year("o_orderdate").alias("year")).agg(F.count("*").alias("activities"), rnd(F.sum(cents) / 100.0, 2).alias("distance"), F.max("o_totalprice").alias("biggest"))
+
+
+@query
+def format_durations(spark, sf_dir):
+    s = F.floor(F.col("value") * 60)
+    return table(spark, sf_dir, "events").select("event_id", scalars.clock(s).alias("clock"), scalars.short_duration(s).alias("short"), scalars.local_text(F.col("ts")).alias("local"), scalars.pace(F.col("value")).alias("pace"))
