@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import new_path, ranges, table, written
-from cadenza.llm.units import UNIT, gather, plain
+from cadenza.llm.units import gather, plain, units_of
 
 #: A file: MAGIC, sha256 of the dictionary, the documents' frames, then the index and its length.
 MAGIC = b"CADIDS01"
@@ -72,7 +72,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.unit) > KNOWN_UNITS:
             self.clear()
-        split = [UNIT.findall(t) if self.plain(t) else None for t in texts]
+        split = [units_of(t) if self.plain(t) else None for t in texts]
         unit = self.unit
         if new := set().union(*(s for s in split if s)) - unit.keys():
             self.learn(list(new))
