@@ -18,7 +18,7 @@ from cadenza.llm.common import table
 from cadenza.llm.units import Units, gather
 
 #: A chunk closes when its texts reach this many characters, or its words this many.
-CHUNK_CHARS, CHUNK_WORDS = 64_000_000, 1_000_000
+CHUNK_CHARS, CHUNK_WORDS = 32_000_000, 300_000
 #: Longer words (bytes) are merged by a heap in Python, by the same ranks.
 FOLD_BYTES = 48
 #: Buckets of the literal rank map; a power of two.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import table, written
 from cadenza.llm.components import components
-from cadenza.llm.shingles import WORDS, shingles
+from cadenza.llm.shingles import WORDS, forget, shingles
 
 SIZE, THRESHOLD = 5, 0.8
 #: 21 bands of 3 values: two texts at the threshold share none with probability (1 - 0.8**3)**21 = 3e-7.
@@ -70,6 +70,7 @@ def signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
                 classes.append(name.hex())
                 values.append(seen[name])
             yield pa.record_batch([part.column(0), pa.array(classes), pa.array(values, pa.binary())], names=["doc_id", "class", "sig"])
+    forget()
 
 
 def members(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -82,6 +83,7 @@ def members(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             rest = part.select(["node", "copies", "component", "blocks", "sig"]).take(pa.array(keep, pa.int64()))
             blobs = pa.array([shingles(words[i], size).tobytes() for i in keep], pa.binary())
             yield pa.record_batch([*rest.columns, blobs], names=[*rest.schema.names, "shingles"])
+    forget()
 
 
 def likely(a: np.ndarray, b: np.ndarray, upper: bool, fewest: list[int]) -> tuple[np.ndarray, np.ndarray]:

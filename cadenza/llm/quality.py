@@ -25,21 +25,20 @@ SAMPLE = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 256, 3e-3, 1e-4
 THRESHOLD = 0.3
 PIECES = re.compile(r"\w+|[^\w\s]+").findall
-KNOWN = 1_000_000
+KNOWN = 400_000
 CHUNK = 1_000_000
-_known: dict[str, int] = {}
 
 
-def rows_of(text: str) -> np.ndarray:
-    """The row of each word and each run of signs."""
+def rows_of(text: str, known: dict[str, int]) -> np.ndarray:
+    """The row of each word and each run of signs; `known` lasts for a task, so that an idle worker holds nothing."""
     words = PIECES(text)
-    out = list(map(_known.get, words))
+    out = list(map(known.get, words))
     if None in out:
-        if len(_known) > KNOWN:
-            _known.clear()
+        if len(known) > KNOWN:
+            known.clear()
         for i, (w, r) in enumerate(zip(words, out, strict=True)):
             if r is None:
-                out[i] = _known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % ROWS
+                out[i] = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % ROWS
     return np.array(out, "<i4")
 
 
@@ -56,7 +55,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
     total = np.zeros((ROWS + 1) * DIM)
     apart = np.full(REACH, ROWS, "<i4")
-    held, size = [], 0
+    held, size, known = [], 0, {}
 
     def add() -> None:
         ids = np.concatenate([apart, *held]).astype("i8")
@@ -67,7 +66,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            held += [rows_of(text or ""), apart]
+            held += [rows_of(text or "", known), apart]
             size += len(held[-2])
             if size >= CHUNK:
                 add()
@@ -103,9 +102,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (out / np.where(size > 0, size, 1)).astype("f4")
 
 
-def pooled(text: str, vectors: np.ndarray) -> np.ndarray:
+def pooled(text: str, vectors: np.ndarray, known: dict[str, int]) -> np.ndarray:
     """Mean and root mean square of a text's word vectors, the mean's length, and the log of its count of words."""
-    rows = rows_of(text)
+    rows = rows_of(text, known)
     out = np.zeros(2 * DIM + 3, "f4")
     if len(rows):
         v = vectors[rows]
@@ -132,10 +131,10 @@ class Model:
         hidden = np.tanh(np.clip((x - self.mean) / self.scale, -8, 8) @ self.first + self.first_bias)
         return hidden @ self.second + self.second_bias
 
-    def probabilities(self, texts: list[str | None]) -> np.ndarray:
+    def probabilities(self, texts: list[str | None], known: dict[str, int]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        x = np.stack([pooled(t or "", self.vectors) for t in texts]).astype("f8")
+        x = np.stack([pooled(t or "", self.vectors, known) for t in texts]).astype("f8")
         return 1 / (1 + np.exp(-self.logits(x) / self.temperature))
 
 
@@ -189,8 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     sent = spark.sparkContext.broadcast(vectors)
 
     @F.pandas_udf("binary")
-    def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([pooled(t or "", sent.value).tobytes() for t in texts])
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
+        for texts in batches:
+            yield pd.Series([pooled(t or "", sent.value, known).tobytes() for t in texts])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(known), "doc_id")
     rows = rows.select("doc_id", "quality", features("text").alias("x")).collect()
@@ -206,8 +207,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.probabilities(list(texts)), dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
+        for texts in batches:
+            yield pd.Series(sent.value.probabilities(list(texts), known), dtype="float64")
 
     return docs.withColumn("score", score(F.col("text").cast("string")))
 

@@ -31,6 +31,11 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array(out, "u8")
 
 
+def forget() -> None:
+    """At the end of a task: an idle worker holds no words."""
+    _known.clear()
+
+
 def shingles(words: list[str], size: int = 5) -> np.ndarray:
     """Distinct hashes, ascending, of all runs of `size` words; of all words together if they are fewer; none for no words."""
     if not words:
