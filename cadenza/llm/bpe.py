@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import table
+from cadenza.llm.common import release, table
 from cadenza.llm.units import Units, gather
 
 #: A chunk closes when its texts reach this many characters, or its words this many.
-CHUNK_CHARS, CHUNK_WORDS = 32_000_000, 300_000
+CHUNK_CHARS, CHUNK_WORDS = 64_000_000, 700_000
 #: Longer words (bytes) are merged by a heap in Python, by the same ranks.
 FOLD_BYTES = 48
 #: Buckets of the literal rank map; a power of two.
@@ -135,6 +135,8 @@ def chunks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.Recor
                 units, doc_ids, codes, size = Units(pattern), [], [], 0
     if doc_ids:
         yield close()
+    units, doc_ids, codes = Units(pattern), [], []
+    release()
 
 
 def spell(batches: Iterator[pa.RecordBatch], rank: dict[bytes, int]) -> Iterator[pa.RecordBatch]:

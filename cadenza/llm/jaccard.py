@@ -183,6 +183,8 @@ def block_links(batches: Iterator[pa.RecordBatch], threshold: float, tolerance:
             yield _links(out)
             out = []
     yield _links(out)
+    out.clear()
+    forget()
 
 
 def _links(rows: list[tuple]) -> pa.RecordBatch:

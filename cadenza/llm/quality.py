@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import table
+from cadenza.llm.common import release, table
 
 #: Words are hashed to this many rows; a word's index vector has NONZERO entries of +-1 among DIM.
 ROWS, DIM, NONZERO = 1 << 14, 32, 4
@@ -75,6 +75,9 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add()
     blocks = total[: ROWS * DIM].astype("<i8").reshape(-1, 256 * DIM)
     yield pa.record_batch([pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "sums"])
+    known.clear()
+    held.clear()
+    release()
 
 
 def summed(group: pd.DataFrame) -> pd.DataFrame:
@@ -192,6 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         known: dict[str, int] = {}
         for texts in batches:
             yield pd.Series([pooled(t or "", sent.value, known).tobytes() for t in texts])
+        known.clear()
+        release()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(known), "doc_id")
     rows = rows.select("doc_id", "quality", features("text").alias("x")).collect()
@@ -211,6 +216,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         known: dict[str, int] = {}
         for texts in batches:
             yield pd.Series(sent.value.probabilities(list(texts), known), dtype="float64")
+        known.clear()
+        release()
 
     return docs.withColumn("score", score(F.col("text").cast("string")))
 

@@ -7,6 +7,8 @@ import re
 import numpy as np
 import xxhash
 
+from cadenza.llm.common import release
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 KNOWN_WORDS = 500_000
 _known: dict[str, int] = {}
@@ -34,6 +36,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
 def forget() -> None:
     """At the end of a task: an idle worker holds no words."""
     _known.clear()
+    release()
 
 
 def shingles(words: list[str], size: int = 5) -> np.ndarray:
