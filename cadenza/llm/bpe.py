@@ -193,6 +193,7 @@ def encode(docs: DataFrame, ranks: list[bytes], pattern: str) -> DataFrame:
     few = max(2 * docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 8)
     rank = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(ranks)})
     rows = docs.coalesce(few).mapInArrow(lambda it: chunks(it, pattern), CHUNK)
+    release()
     rows = rows.withColumn("ranks", rank_map(ranks)).selectExpr("doc_id", "n", "codes", "unit_at", "unit_words", "long", f"{fold_sql('words')} as ids")
     return rows.mapInArrow(lambda it: spell(it, rank.value), ENCODED)
 

@@ -203,7 +203,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["x"]))
     x = np.array([np.frombuffer(r["x"], "f4") for r in rows], "f8").reshape(len(rows), 2 * DIM + 3)
     check = np.array([xxhash.xxh3_64_intdigest(str(r["doc_id"])) % 5 == 0 for r in rows], bool)
-    return fit(vectors, x, np.array([r["quality"] for r in rows], "f8"), check)
+    y = np.array([r["quality"] for r in rows], "f8")
+    rows.clear()
+    sent.unpersist()
+    release()
+    return fit(vectors, x, y, check)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
