@@ -104,7 +104,9 @@ def fold_sql(words: str) -> str:
     ids = f"transform(sequence(0, size(s.at) - 2), i -> {_rank('substring(w, get(s.at, i) + 1, get(s.at, i + 1) - get(s.at, i))')})"
     folded = f"aggregate(sequence(2, length(w)), {start}, (s, x) -> {step}, s -> {ids})"
     whole = _rank("w")
-    return f"transform({words}, w -> case when w = '' then cast(array() as array<int>) when {whole} is not null then array({whole}) else {folded} end)"
+    each = f"transform({words}, w -> case when w = '' then cast(array() as array<int>) when {whole} is not null then array({whole}) else {folded} end)"
+    # bound as a variable, the map stands in the plan once, not once for each use
+    return f"transform(array(ranks), ranks -> {each})[0]"
 
 
 CHUNK = "doc_id array<bigint>, n array<int>, codes binary, unit_at binary, unit_words binary, words array<string>, long array<binary>"
