@@ -183,9 +183,11 @@ def unspell(batches: Iterator[pa.RecordBatch], words: list[bytes]) -> Iterator[p
             yield pa.record_batch([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
 
-def encode(docs: DataFrame, ranks: list[bytes], pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks: list[bytes], pattern: str, with_decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids) of each row's text, ids as little-endian unsigned 32-bit integers.
 
+    with_decoded adds `decoded` as decode() does, from the ids, in the task that has just made them.
+
     A task gathers the distinct words of a chunk of texts in one row; Spark folds the ranked merges over
     them, and the task then spells its texts out. Nothing is shuffled. A null text is an empty one;
     repeated rows and doc_ids, null doc_ids and texts of any length are rows like others; columns besides
@@ -193,11 +195,17 @@ def encode(docs: DataFrame, ranks: list[bytes], pattern: str) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     few = max(2 * docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 8)
-    rank = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(ranks)})
+    known = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = docs.coalesce(few).mapInArrow(lambda it: chunks(it, pattern), CHUNK)
     release()
     rows = rows.withColumn("ranks", rank_map(ranks)).selectExpr("doc_id", "n", "codes", "unit_at", "unit_words", "long", f"{fold_sql('words')} as ids")
-    return rows.mapInArrow(lambda it: spell(it, rank.value), ENCODED)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelt = spell(batches, {w: i for i, w in enumerate(known.value)})
+        yield from unspell(spelt, known.value) if with_decoded else spelt
+        release()
+
+    return rows.mapInArrow(finish, ENCODED + (", decoded binary" if with_decoded else ""))
 
 
 def decode(encoded: DataFrame, ranks: list[bytes]) -> DataFrame:
@@ -210,7 +218,7 @@ def decode(encoded: DataFrame, ranks: list[bytes]) -> DataFrame:
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's text."""
     ranks = read_ranks(vocabulary)
-    both = decode(encode(docs, ranks, pattern), ranks)
+    both = encode(docs, ranks, pattern, with_decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -46,6 +46,7 @@ def test_bpe_cases(spark):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(odd)] + [(0, None, 1), (None, "a", 2)], "doc_id long, text string, n_tokens int")
     ranks, library = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), encoding()
     rows = bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, bpe.encode(docs, ranks, P.PATTERN, with_decoded=True).collect()))
     assert sorted(r.decoded for r in rows) == sorted([t.encode() for t in odd] + [b"", b"a"])
     assert all(np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(r.decoded.decode()) for r in rows)
 
