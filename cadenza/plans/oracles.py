@@ -183,3 +183,10 @@ r AS (SELECT *, lead(effective_from) OVER (PARTITION BY athlete_id ORDER BY effe
   printf('%d:%02d', CAST(floor(1000.0::DOUBLE / value + 0.5::DOUBLE) AS BIGINT) // 60, CAST(floor(1000.0::DOUBLE / value + 0.5::DOUBLE) AS BIGINT) % 60) AS pace FROM (SELECT *, CAST(floor(value * 60) AS BIGINT) AS s FROM events)""",
 }
 assert power.NP_WINDOW == 30
+
+SQL["workout_segments"] = """
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS place, event_type AS kind, CAST(CASE WHEN k % 2 = 0 THEN 60 * k ELSE k END AS BIGINT) AS seconds,
+       CASE k % 4 WHEN 0 THEN 'tempo' WHEN 1 THEN '80% FTP' WHEN 2 THEN 'Very hard' ELSE 'steady' END AS target,
+       CASE k % 4 WHEN 0 THEN 0.85::DOUBLE WHEN 1 THEN 0.8::DOUBLE WHEN 2 THEN 1.05::DOUBLE ELSE 0.75::DOUBLE END AS power,
+       CASE WHEN k % 3 = 0 AND k > 0 THEN k END AS cadence, CASE WHEN k % 3 = 0 THEN 'go' END AS notes
+FROM (SELECT *, CAST(props->>'k' AS INTEGER) AS k FROM events)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import scalars
 from cadenza.functions.ordered import KEY
 from cadenza.functions.scalars import rnd
-from cadenza.operators import align, bands, climbs, decoupling, estimate, power, profile, records
+from cadenza.operators import align, bands, climbs, decoupling, estimate, power, profile, records, workout
 from cadenza.plans.oracles import DUR, FTP, HR, KG, POWER, SQL
 from cadenza.sources.events import samples, table
 
@@ -211,3 +211,16 @@ def athlete_totals(spark, sf_dir):
 def format_durations(spark, sf_dir):
     s = F.floor(F.col("value") * 60)
     return table(spark, sf_dir, "events").select("event_id", scalars.clock(s).alias("clock"), scalars.short_duration(s).alias("short"), scalars.local_text(F.col("ts")).alias("local"), scalars.pace(F.col("value")).alias("pace"))
+
+
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, text): a workout line for each event of a user's, in order."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    line = F.concat(F.lit("- "), "event_type", F.lit(": "), k.cast("string"), F.when(k % 2 == 0, " min at ").otherwise(" sec at "), F.get(F.array(*map(F.lit, ("tempo", "80% FTP", "Very hard", "steady"))), k % 4))
+    rows = table(spark, sf_dir, "events").select("user_id", F.struct("event_id", F.concat(line, F.when(k % 3 == 0, F.concat(F.lit(" [Cadence: "), k.cast("string"), F.lit(", Notes: go]"))).otherwise("")).alias("line")).alias("x"))
+    return rows.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query
+def workout_segments(spark, sf_dir):
+    return workout.segments(plans(spark, sf_dir), "user_id", "text")

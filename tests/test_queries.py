@@ -1,10 +1,13 @@
 """Registered queries against their SQL, and golden series."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import align, bands, climbs, decoupling, estimate, power, profile
+from cadenza.operators import align, bands, climbs, decoupling, estimate, power, profile, workout
 from cadenza.plans.registry import ORACLES, QUERIES
+from cadenza.sources.series import read_listed_series, read_series
 from tests.oracle import check
 
 SMALL = "/root/testdata/sf0.001"
@@ -91,3 +94,29 @@ def test_profile(spark):
     assert profile.overlaps(both, ["athlete_id"]).count() == 0
     e = spark.range(1).select(estimate.vo2max(F.lit(320.0), F.lit(72.0)).alias("v"), estimate.ftp(F.lit(265.0)).alias("f"), estimate.lthr(F.lit(170.0)).alias("l")).first()
     assert (e.v, e.f, e.l) == (56.02, 251.75, 167.0)
+
+
+def test_workout(spark, tmp_path):
+    text = """Plan:
+- Warm-up: 10 min at very easy
+- Main: 90 sec at 105% FTP [Cadence: 95, Notes: a < b & "c"]
+ - indented: 5 min at hard
+- no duration at all
+- Cool: 5 MIN at whatever [Cadence: 0]"""
+    plans = spark.createDataFrame([("a", text), ("b", ""), ("c", None)], "id string, text string")
+    found = workout.segments(plans, "id", "text")
+    assert [(r.kind, r.seconds, r.power, r.cadence) for r in found.orderBy("place").collect()] == [("Warm-up", 600, 0.5, None), ("Main", 90, 1.05, 95), ("Cool", 300, 0.75, None)]
+    workout.save(workout.as_xml(found, "id"), "id", str(tmp_path / "out"))
+    (row,) = spark.read.text(str(tmp_path / "out"), wholetext=True).collect()
+    assert row.id == "a" and '<SteadyState Duration="90" Power="1.05" Cadence="95" ShowsPower="1" textEvent="a &lt; b &amp; &quot;c&quot;"/>' in row.value
+    assert row.value.count("SteadyState") == 3
+
+
+def test_series_files(spark, tmp_path):
+    wide = {"activity_id": "7", "device_watts": True, "streams": {"time": {"data": [0, 1, 2]}, "watts": {"data": [100, None]}, "moving": {"data": [True, False, True]}, "grade": {"data": [1.5, 2, 3]}}}
+    (tmp_path / "7.streams.json").write_text(json.dumps(wide, indent=1))
+    rows = read_series(spark, str(tmp_path / "7.streams.json")).orderBy("sample_idx").collect()
+    assert [(r.activity_id, r.t, r.watts, r.heartrate, r.grade, r.moving) for r in rows] == [("7", 0.0, 100.0, None, 1.5, True), ("7", 1.0, None, None, 2.0, False), ("7", 2.0, None, None, 3.0, True)]
+    (tmp_path / "8.json").write_text(json.dumps([{"type": "time", "data": [0, 2]}, {"type": "latlng", "data": [[1.0, 2.0], [1.0, 2.1]]}, {"type": "watts", "data": [5, 6]}]))
+    rows = read_listed_series(spark, str(tmp_path / "8.json")).orderBy("sample_idx").collect()
+    assert [(r.activity_id, r.t, r.watts, r.moving) for r in rows] == [("8", 0.0, 5.0, None), ("8", 2.0, 6.0, None)]
