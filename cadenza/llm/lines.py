@@ -3,14 +3,14 @@ fields, recurring templates dropped. DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import WORD, bound, table, written
 
 #: Leading tokens that make a path of the tree, after the token count.
 DEPTH = 3
-#: A template recurs if it is in this many documents; lines of fewer tokens are never dropped.
+#: A template recurs if it is in this many documents; lines of fewer tokens have no template but themselves.
 MIN_DOCS, MIN_TOKENS = 3, 3
 #: From this many tokens on a passage recurs if it is in two documents.
 PASSAGE_TOKENS, PASSAGE_DOCS = 50, 2
@@ -29,18 +29,27 @@ def masked(line: Column) -> Column:
     ).otherwise(line)
 
 
-def lines(docs: DataFrame, depth: int = DEPTH, least: int = MIN_TOKENS) -> DataFrame:
+def lines(docs: DataFrame, depth: int = DEPTH, least: int = MIN_TOKENS, short: bool = False) -> DataFrame:
     """(doc_id, h, pos, n, leaf, exact, line) of every line of `least` tokens or more; line is masked.
 
-    `leaf` names the path in the tree, `exact` the masked line, h the document's text.
+    `leaf` names the path in the tree, `exact` the masked line, h the document's text. With `short` also the
+    lines of fewer tokens, if not blank: their numbers stay as they are, so that each is a template of its own,
+    and `place` counts the lines that are not blank.
     """
     # single spaces part the tokens of a masked line; a bound variable, as a plain column would be computed at each use
     tokens = lambda m: F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1
     each = F.transform(F.split("text", "\n", -1), lambda raw, i: bound(masked(raw), lambda m: F.struct(i.alias("pos"), tokens(m).alias("n"), m.alias("line"))))
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    rows = rows.select("doc_id", "h", F.inline(F.filter(each, lambda x: x["n"] >= least)))  # h isn't made again for each line
     head = F.substring_index("line", " ", depth)
-    return rows.select("doc_id", "h", "pos", "n", F.xxhash64("n", head).alias("leaf"), F.xxhash64(F.lit(1), "line").alias("exact"), "line")
+    named = [F.xxhash64("n", head).alias("leaf"), F.xxhash64(F.lit(1), "line").alias("exact"), "line"]
+    if not short:
+        rows = rows.select("doc_id", "h", F.inline(F.filter(each, lambda x: x["n"] >= least)))  # h isn't made again for each line
+        return rows.select("doc_id", "h", "pos", "n", *named)
+    plain = lambda raw: F.trim(F.regexp_replace(raw, r"[\x20\x09-\x0D]+", " "))
+    line = lambda raw: bound(masked(raw), lambda m: F.when(tokens(m) < least, plain(raw)).otherwise(m))
+    each = F.transform(F.split("text", "\n", -1), lambda raw, i: bound(line(raw), lambda m: F.struct(i.alias("pos"), tokens(m).alias("n"), m.alias("line"))))
+    rows = rows.select("doc_id", "h", F.posexplode(F.filter(each, lambda x: x["line"] != "")).alias("place", "x"))
+    return rows.select("doc_id", "h", "place", "x.*").select("doc_id", "h", "pos", "place", "n", *named)
 
 
 def templates(docs: DataFrame, keys: DataFrame, least_docs: int = MIN_DOCS) -> DataFrame:
@@ -66,9 +75,44 @@ def templates(docs: DataFrame, keys: DataFrame, least_docs: int = MIN_DOCS) -> D
     return joined.where(same >= SIMILAR * F.col("n")).select("leaf", "exact")
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, passage_docs: int = PASSAGE_DOCS) -> DataFrame:
-    """(doc_id, h, pos): lines to drop, those of recurring templates in all documents but the first."""
-    at = written(lines(docs).drop("line"), "lines")
+def islands(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with `run`, the same number for those of a partition whose places follow each other without a gap."""
+    return rows.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy(*by).orderBy("place")))
+
+
+def passages(at: DataFrame, shared: DataFrame, held: DataFrame) -> DataFrame:
+    """(doc_id, h, pos): lines of a run of neighbouring lines that make PASSAGE_TOKENS together and stand in two documents.
+
+    `shared` has (leaf, exact, template, of_leaf, docs, first) of the lines in two documents or more, `held`
+    (template, of_leaf, doc) of all. A line that only two documents have names the other one in `other`; lines that
+    more have count in a run if that document has them too. The first of the two documents keeps the run.
+    """
+    doc = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")
+    rows = at.join(shared, ["leaf", "exact"]).withColumn("doc", doc)
+    rows = rows.withColumn("other", F.when((F.col("docs") == 2) & (F.col("doc") != F.col("first")), F.col("first")))
+    rows = rows.groupBy("doc", "place").agg(*[F.first(c).alias(c) for c in ("pos", "n", "template", "of_leaf", "other")])  # rows repeated in all are one document
+    rows = written(rows, "shared-lines")
+    some = rows.where("other is not null").select("doc").distinct()
+    rows = islands(rows.join(some, "doc"), ["doc"])
+    # the nearest document named before and after a line of the run
+    for name, order in (("before", F.col("place")), ("after", F.col("place").desc())):
+        rows = rows.withColumn(name, F.last("other", True).over(Window.partitionBy("doc", "run").orderBy(order)))
+    near = F.when(F.col("other").isNotNull(), F.array("other")).otherwise(F.array_distinct(F.array_compact(F.array("before", "after"))))
+    rows = rows.select("doc", "place", "pos", "n", "template", "of_leaf", F.col("other").isNotNull().alias("own"), F.explode(near).alias("other"))
+    rows = written(rows, "neighbours")
+    has = held.select("template", "of_leaf", F.col("doc").alias("other"))
+    more = rows.where("not own").join(has, ["template", "of_leaf", "other"], "left_semi")
+    rows = islands(rows.where("own").unionByName(more), ["doc", "other"])
+    whole = F.sum("n").over(Window.partitionBy("doc", "other", "run"))
+    return rows.withColumn("all", whole).where((F.col("all") >= PASSAGE_TOKENS) & F.col("own")).select("doc.doc_id", "doc.h", "pos")
+
+
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, passage_docs: int = PASSAGE_DOCS, whole: bool = False) -> DataFrame:
+    """(doc_id, h, pos): lines to drop, those of recurring templates in all documents but the first.
+
+    With `whole` lines of fewer than MIN_TOKENS tokens recur too, and passages over several lines.
+    """
+    at = written(lines(docs, short=whole).drop("line"), "lines")
     keys = written(at.select("leaf", "exact", "n", "doc_id", "h").distinct(), "line-docs")
     known = written(templates(docs, keys, min_docs), "templates").withColumn("of_leaf", F.lit(True))
     named = keys.join(known, ["leaf", "exact"], "left")
@@ -82,20 +126,30 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, passage_docs: int = PAS
     drop = kinds.join(often, (kinds["template"] == often["template"]) & kinds["of_leaf"].eqNullSafe(often["of_leaf"])).select("leaf", "exact", "first")
     drop = written(drop, "recurring")
     out = at.select("doc_id", "h", "pos", "leaf", "exact").join(drop, ["leaf", "exact"])
-    return out.where(~F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
-
-
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, passage_docs: int = PASSAGE_DOCS) -> DataFrame:
+    out = out.where(~F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
+    if not whole:
+        return out
+    # of_leaf is never null here, as plain joins take no nulls
+    each = each.withColumn("of_leaf", F.col("of_leaf").isNotNull())
+    held = written(each.groupBy("template", "of_leaf", "doc").agg(F.min("n").alias("n")), "held")
+    per = held.groupBy("template", "of_leaf").agg(F.count("*").alias("docs"), F.min("doc").alias("first")).where("docs > 1")
+    kinds = each.select("template", "of_leaf", "leaf", "exact").distinct()
+    shared = written(kinds.join(per, ["template", "of_leaf"]), "shared")
+    return out.unionByName(passages(at, shared, held))
+
+
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, passage_docs: int = PASSAGE_DOCS, whole: bool = False) -> DataFrame:
     """docs without the lines whose template recurs in `min_docs` documents (a passage of 50 tokens: two).
 
     The first document (by doc_id, nulls last, then text hash) keeps its lines, so nothing vanishes from the
     corpus; in it, and where nothing recurs, texts are unchanged to the byte. Null and empty texts stay; a text
     whose lines all go is empty; rows repeated in all of doc_id and text are one document. n_chars, if there,
-    follows the text. Extra columns stay whatever their names.
+    follows the text. Extra columns stay whatever their names. With `whole` short lines recur as well, and a
+    passage in two documents goes however many lines it is in.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     base = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    gone = recurring(base, min_docs, passage_docs).groupBy("doc_id", "h").agg(F.collect_set("pos").alias("gone"))
+    gone = recurring(base, min_docs, passage_docs, whole).groupBy("doc_id", "h").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "h").alias("key"), "gone")
     out = docs.select(row.alias("row")).withColumn("key", F.xxhash64(F.col("row.doc_id").isNull(), F.col("row.doc_id").cast("bigint"), F.xxhash64(F.col("row.text").cast("string"))))
     out = out.join(gone, "key", "left")

@@ -120,6 +120,18 @@ def test_lines(spark):
     assert lines.drop_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_short_lines_and_passages(spark):
+    verse = "\n".join(f"{w} words of the verse that is found twice" for w in "one two three four five six seven".split())
+    lone = "a single line of the two"
+    rows = [(i, f"own{'x' * i} line of this document\nLes.\nAnd ornd.\n{100 + i}") for i in range(3)]
+    rows += [(7, f"heading seven here\n{verse}\nend of seven"), (8, f"a start of eight\n{verse.replace(chr(10), chr(10) * 2)}\n\nand then\n{lone}"), (9, f"some text\n{lone}")]
+    out = corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()
+    got = {r.doc_id: r.text for r in out}
+    assert got[0] == rows[0][1] and got[7] == rows[3][1] and got[9] == rows[5][1]
+    assert got[1] == "ownx line of this document\n101" and got[2] == "ownxx line of this document\n102"
+    assert [t for t in got[8].split("\n") if t] == ["a start of eight", "and then", lone]
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels)
