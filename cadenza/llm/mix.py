@@ -12,15 +12,20 @@ from cadenza.llm.common import WORD, running, table, written
 
 #: A block of a source is the range of its permuted documents whose keys share this many hex digits.
 DIGITS = 3
+#: Digits of a key that name the doc_id, and those of its text that part an id's rows on the way to the row at the cut.
+ID_DIGITS, TEXT_DIGITS = 32, 3
 
 
 def sized(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """docs with `size` in words (null: 0), `src` (the source, apart from null), the permutation `key` and `block`."""
+    """docs with `size` in words (null: 0), `src` (the source, apart from null), the permutation `key` and `block`.
+
+    The key is a hash of doc_id followed by one of the text, so rows share it only if equal in both.
+    """
     return docs.withColumns(
         {
             "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
             "src": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")),
-            "key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+            "key": F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.coalesce(F.md5("text"), F.lit(""))),
         }
     ).withColumn("block", F.substring("key", 1, DIGITS))
 
@@ -126,9 +131,10 @@ def draws(docs: DataFrame, shards: int = 16, seed: int = 7, weights: Sequence[in
 
     docs is what sized() returns. A source is permuted by a keyed hash of doc_id and cut into blocks of
     equal ranges of the hash. It gives all its blocks target // source_size times, then the blocks up to
-    the one in which the target ends; the document at that point gives only the words still missing
-    (rows that share its doc_id share them). So a source's taken words fall short of its target by less
-    than one word, or one word for each row with that doc_id. The tree says how many blocks of each
+    the one in which the target ends; the document at that point gives only the words still missing, rows
+    of its doc_id standing in order of a text hash and equal rows one after the other. So one document of
+    a source at most is cut, and its taken words fall short of its target by less than one word. Only rows
+    equal to that document are numbered, in one task for a source. The tree says how many blocks of each
     source each shard gets; which ones is a second permutation. `place` shuffles within a shard.
     Empty texts, and sources without words, take no part. Reruns agree: nothing depends on row order.
     """
@@ -139,8 +145,13 @@ def draws(docs: DataFrame, shards: int = 16, seed: int = 7, weights: Sequence[in
     per_block = written(per_block.withColumn("before", running(per_block, ["src"], ["block"], "words")), "blocks")
     edge = per_block.where("before < rest and rest < before + words").select("src", "block", (F.col("rest") - F.col("before")).alias("want"))
     edge_rows = docs.where("size > 0").join(edge, ["src", "block"]).groupBy("src", "key", "want").agg(F.sum("size").alias("words"))
-    cut = edge_rows.withColumn("past", running(edge_rows, ["src"], ["key"], "words"))
-    cut = cut.where("past <= want and want < past + words").select("src", F.col("key").alias("cut"), (F.col("want") - F.col("past")).alias("part"), F.col("words").alias("cut_words"))
+    rest = written(edge_rows, "edge")
+    for digits in (ID_DIGITS, ID_DIGITS + TEXT_DIGITS, 2 * ID_DIGITS):  # the doc_id, some of its texts, the text
+        part = rest.groupBy("src", F.substring("key", 1, digits).alias("cut"), "want").agg(F.sum("words").alias("words"))
+        part = part.withColumn("past", running(part, ["src"], ["cut"], "words"))
+        part = part.where("past <= want and want < past + words").select("src", "cut", (F.col("want") - F.col("past")).alias("part"))
+        rest = rest.withColumn("cut", F.substring("key", 1, digits)).join(part, ["src", "cut"]).select("src", "key", F.col("part").alias("want"), "words")
+    cut = written(rest.select("src", F.col("key").alias("cut"), F.col("want").alias("part")), "cut")
     per_block = per_block.join(cut, "src", "left").withColumn("drawn", F.col("epochs") + F.when(F.col("before") < F.col("rest"), 1).otherwise(0))
     blocks = per_block.where("drawn > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("drawn").cast("int"))).alias("epoch"))
     blocks = blocks.withColumn("at", F.row_number().over(Window.partitionBy("src").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "src", "block", "epoch")), "block", "epoch")))
@@ -152,14 +163,17 @@ def draws(docs: DataFrame, shards: int = 16, seed: int = 7, weights: Sequence[in
     tree = tree.withColumn("past", running(tree, ["src"], ["shard"], "n")).where("n > 0")
     ends = tree.groupBy("src").agg(F.array_sort(F.collect_list(F.struct((F.col("past") + F.col("n")).alias("end"), "shard"))).alias("ends"))
     blocks = blocks.join(ends, "src").withColumn("shard", F.get(F.filter("ends", lambda x: x["end"] >= F.col("at")), F.lit(0))["shard"])
-    slim = blocks.select("src", "block", "epoch", "shard", "epochs", "cut", "part", "cut_words")
+    slim = blocks.select("src", "block", "epoch", "shard", "epochs", "cut", "part")
     out = docs.where("size > 0").join(slim, ["src", "block"])
-    partial = F.when(F.col("cut").isNull() | (F.col("key") < F.col("cut")), F.col("size")).when(
-        F.col("key") == F.col("cut"), F.floor(F.col("size").cast("decimal(20,0)") * F.col("part") / F.col("cut_words")).cast("long")
-    ).otherwise(0)
-    out = out.withColumn("taken", F.when(F.col("epoch") <= F.col("epochs"), F.col("size")).otherwise(partial)).where("taken > 0")
+    at_cut = F.coalesce((F.col("key") == F.col("cut")) & (F.col("epoch") > F.col("epochs")), F.lit(False))
+    before = F.col("cut").isNull() | (F.col("key") < F.col("cut")) | (F.col("epoch") <= F.col("epochs"))
+    whole = out.where(~at_cut & before).withColumn("taken", F.col("size"))
+    equal = out.where(at_cut)
+    missing = F.col("part") - running(equal, ["src"], ["size"], "size")
+    some = equal.withColumn("taken", F.greatest(F.lit(0).cast("long"), F.least("size", missing)))
+    out = whole.unionByName(some.where("taken > 0"))
     out = out.withColumn("place", F.md5(F.concat_ws(":", F.lit(str(seed)), "shard", "epoch", "key")))
-    return out.drop("epochs", "cut", "part", "cut_words")
+    return out.drop("epochs", "cut", "part")
 
 
 def mix(docs: DataFrame, shards: int = 16, seed: int = 7, weights: Sequence[int] = (1, 2, 3), times: int = 3) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cadenza.llm import bpe, jaccard, lines, pii, quality
+from cadenza.llm import bpe, jaccard, lines, mix, pii, quality
 from cadenza.llm.queries import ORACLES, QUERIES
 from tests.oracle import check
 
@@ -159,3 +159,16 @@ def test_one_of_each(spark):
     rows = [(5, words), (3, words + " more"), (9, "other text"), (9, "other text"), (None, None), (None, "")]
     out = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == [3, 9]
+
+
+def test_mix_cuts_one(spark):
+    """Rows that share a doc_id, or have none, are drawn whole but for one of a source."""
+    words = lambda n, x: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(None, words(7 + i % 5, f"t{i % 30}x"), "a") for i in range(90)] + [(3, words(9, f"u{i}x"), "b") for i in range(40)] + [(i, words(50, "v"), "c") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mix.mix(docs).collect()
+    whole = {(r[2], r[1]) for r in rows}
+    cut = [r.source for r in out if (r.source, r.text) not in whole]
+    assert cut and len(cut) == len(set(cut))
+    goal = {r.src[1:]: int(r.target) for r in mix.targets(mix.sized(docs)).collect()}
+    assert {s: sum(len(r.text.split()) for r in out if r.source == s) for s in goal} == goal
