@@ -55,7 +55,7 @@ def least_matches(threshold: float, tolerance: float, most: int) -> list[int]:
 
 
 def signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text class, MinHash values) of (doc_id, text). Texts of the same words in a row are of one class."""
+    """(doc_id, h, text class, MinHash values) of (doc_id, text, h). Texts of the same words in a row are of one class."""
     seen: dict[bytes, bytes] = {}
     for batch in batches:
         for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
@@ -69,12 +69,12 @@ def signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
                     seen[name] = minhash(shingles(words, size)).tobytes()
                 classes.append(name.hex())
                 values.append(seen[name])
-            yield pa.record_batch([part.column(0), pa.array(classes), pa.array(values, pa.binary())], names=["doc_id", "class", "sig"])
+            yield pa.record_batch([part.column(0), part.column(2), pa.array(classes), pa.array(values, pa.binary())], names=["doc_id", "h", "class", "sig"])
     forget()
 
 
 def members(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The shingles of candidates (node, copies, component, blocks, class, sig, text); rows of another text with the same doc_id go."""
+    """The shingles of candidates (node, copies, component, blocks, class, sig, text); rows of another text with the same hash go."""
     for batch in batches:
         for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
             words = [WORDS(t or "") for t in part.column("text").to_pylist()]
@@ -206,9 +206,20 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD
     are counted a few at a time, pairs whose posterior falls below the tolerance go, the rest are verified
     exactly. Of the links only counts and a spanning forest leave the task.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    rows = written(docs.mapInArrow(lambda it: signatures(it, size), "doc_id bigint, class string, sig binary"), "signatures")
-    classes = rows.groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min("sig").alias("sig"))
+    rows, texts_of = _classes(docs, size, threshold, tolerance)
+    texts_of = texts_of.select("class", "class_id", F.col("first_id").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows.select("doc_id", "class").join(texts_of, "class").select("doc_id", "class_id", "copy_of", "n_links")
+
+
+def _classes(docs: DataFrame, size: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, class) of every row, h hashing its text, and each text class with its group (see jaccard_join).
+
+    A class's or group's first row is that of the least doc_id, nulls last, then text hash.
+    """
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
+    rows = written(docs.mapInArrow(lambda it: signatures(it, size), "doc_id bigint, h bigint, class string, sig binary"), "signatures")
+    row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")
+    classes = rows.groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(row).alias("first"), F.min("sig").alias("sig"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     bands = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 4 * ROWS + 1, F.lit(4 * ROWS))))).alias("band"))
     heads = bands.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("band", "head")
@@ -216,8 +227,11 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD
     found = written(found, "candidates")
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     wanted = found.join(sizes, "component").join(classes, "node")
-    wanted = wanted.select("node", "component", "blocks", "copies", "sig", "class", F.coalesce("first_id", F.lit(-(2**63))).alias("id"))
-    texts = docs.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id").join(wanted, "id")
+    wanted = wanted.select("node", "component", "blocks", "copies", "sig", "class", F.col("first.null").alias("null"), F.coalesce("first_id", F.lit(0)).alias("id"), F.col("first.h").alias("h"))
+    # a class is given the text of its first row; of rows without an id each text goes once, whatever their number
+    named = docs.where("doc_id is not null").unionByName(docs.where("doc_id is null").dropDuplicates(["h"]))
+    named = named.select(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "text")
+    texts = named.join(wanted, ["null", "id", "h"])
     texts = texts.select("node", "copies", "component", "blocks", "class", "sig", "text")
     known = texts.mapInArrow(lambda it: members(it, size), "node bigint, copies bigint, component bigint, blocks int, sig binary, shingles binary")
     known = known.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
@@ -227,22 +241,20 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD
     links = written(meet.mapInArrow(lambda it: block_links(it, threshold, tolerance), "node bigint, links bigint, other bigint"), "links")
     counts = links.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     group = components(links.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
-    texts_of = classes.select("class", "node", "copies", "first_id").join(counts, "node", "left").join(group, "node", "left")
+    texts_of = classes.select("class", "node", "copies", "first_id", "first").join(counts, "node", "left").join(group, "node", "left")
     texts_of = texts_of.withColumn("component", F.coalesce("component", "node"))
-    least = texts_of.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    texts_of = texts_of.join(least, "component").select("class", "class_id", F.col("first_id").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.select("doc_id", "class").join(texts_of, "class").select("doc_id", "class_id", "copy_of", "n_links")
+    least = texts_of.groupBy("component").agg(F.min("first_id").alias("class_id"), F.min("first").alias("group_first"))
+    return rows.drop("sig"), texts_of.join(least, "component")
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its group, one row for each different text of such an id.
-
-    A null doc_id stays only if all of its group are null.
-    """
-    found = jaccard_join(docs, size, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    first = written(found.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id")).distinct(), "firsts")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(first, "id", "left_semi").dropDuplicates(["id", "h"])
+    """One row of docs for each group: that of the least doc_id, nulls last, and of its texts the one of the least hash."""
+    _, texts_of = _classes(docs, size, threshold, TOLERANCE)
+    first = texts_of.where(F.col("first") == F.col("group_first")).select("first.null", F.coalesce("first_id", F.lit(0)).alias("id"), "first.h")
+    first = written(first, "firsts")
+    doc_id = F.col("doc_id").cast("bigint")
+    rows = docs.select(doc_id.isNull().alias("null"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(first, ["null", "id", "h"], "left_semi").dropDuplicates(["null", "id", "h"])
     return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -161,6 +161,17 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == [3, 9]
 
 
+def test_one_of_each_without_ids(spark):
+    """Copies without an id go if their group has one, else one stays; a repeated id doesn't keep another group's text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (None, a + " more"), (None, b), (None, b + " more"), (None, b), (1, b + " less"), (2, c), (2, c + " more"), (None, "alone"), (None, "alone")]
+    out = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = sorted((r.doc_id or 0, r.text[:1], r.text) for r in out)
+    assert [t[:2] for t in texts] == [(0, "a"), (1, "a"), (1, "b"), (2, "c")] and texts[0][2] == "alone"
+    ids = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in ids) == sorted([(1, 1, 1), (0, 1, 1), *[(0, 1, 3)] * 3, (1, 1, 3), (2, 2, 1), (2, 2, 1), (0, 0, 1), (0, 0, 1)])
+
+
 def test_mix_cuts_one(spark):
     """Rows that share a doc_id, or have none, are drawn whole but for one of a source."""
     words = lambda n, x: " ".join(f"{x}{i}" for i in range(n))
