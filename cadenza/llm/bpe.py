@@ -6,7 +6,7 @@ import base64
 import heapq
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -14,15 +14,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import release, table
+from cadenza.llm.common import partitions_of, release, table
 from cadenza.llm.units import Units, gather
 
-#: A chunk closes when its texts reach this many characters, or its words this many.
-CHUNK_CHARS, CHUNK_WORDS = 64_000_000, 700_000
-#: Longer words (bytes) are merged by a heap in Python, by the same ranks.
-FOLD_BYTES = 48
-#: Buckets of the literal rank map; a power of two.
-BUCKETS = 1 << 14
+#: A lot of texts closes at this many characters; a task forgets its words beyond this many.
+LOT_CHARS, KNOWN_WORDS = 1_000_000, 500_000
+#: Input of a task, so that a word that recurs is folded once for as much text.
+TASK_BYTES = 64 << 20
+#: Words from this many bytes on are cut where no token reaches across.
+CUT_BYTES = 32
+#: A piece beyond this many bytes that can't be cut is merged by a heap, as a fold takes the square of its length.
+FOLD_BYTES = 1024
+#: Buckets of the literal rank map, a power of two; the code point that names the first token.
+BUCKETS, FIRST = 1 << 16, 0x10000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -32,15 +36,25 @@ def read_ranks(path: str) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
-def as_text(word: bytes) -> str:
-    """One code point for each byte."""
-    return word.decode("latin-1")
+def cutter(words: list[bytes]) -> Callable[[bytes], list[bytes]]:
+    """Parts a long word between two bytes that no token has side by side: no merge can reach across."""
+    met = np.zeros(1 << 16, bool)
+    for w in words:
+        b = np.frombuffer(w, "u1").astype("i4")
+        met[b[:-1] << 8 | b[1:]] = True
+
+    def cut(word: bytes) -> list[bytes]:
+        if len(word) < CUT_BYTES:
+            return [word]
+        b = np.frombuffer(word, "u1").astype("i4")
+        at = [0, *(np.flatnonzero(~met[b[:-1] << 8 | b[1:]]) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+    return cut
 
 
 def merge(word: bytes, rank: dict[bytes, int]) -> list[int]:
-    """Ids of one long word: always the leftmost pair of lowest rank, by a heap over linked pieces."""
-    if word in rank:
-        return [rank[word]]
+    """Ids of one very long piece: always the leftmost pair of lowest rank, by a heap over linked pieces."""
     n = len(word)
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     heap: list[tuple[int, int, int, int]] = []
@@ -70,107 +84,148 @@ def merge(word: bytes, rank: dict[bytes, int]) -> list[int]:
 
 
 def rank_map(words: list[bytes]) -> Column:
-    """Literal array<map<string,int>>: the ranks of all tokens, dealt to buckets by crc32 so that a look-up is short."""
+    """Literal struct. `names`: a character for each token, that of a single byte its own; `bytes`: the ids of single
+    bytes; `ranks`: for the names of two tokens that together are one its rank, dealt to buckets by crc32.
+    """
+    rank = {w: i for i, w in enumerate(words)}
+    if len(rank) != len(words) or len(words) > 1_000_000 or any(bytes([b]) not in rank for b in range(256)):
+        raise ValueError("ranks must be distinct, a million at most, and hold every single byte")
+    names = [w.decode("latin-1") if len(w) == 1 else chr(FIRST + i) for i, w in enumerate(words)]
     lots: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for i, w in enumerate(words):
-        text = as_text(w)
-        lots[zlib.crc32(text.encode()) % BUCKETS][text] = i
-    return F.from_json(F.lit(json.dumps(lots)), "array<map<string,int>>")
-
+    for r, w in enumerate(words):
+        for i in range(1, len(w)):
+            a, b = rank.get(w[:i]), rank.get(w[i:])
+            if a is not None and b is not None:
+                pair = names[a] + names[b]
+                lots[zlib.crc32(pair.encode()) % BUCKETS][pair] = r
+    value = {"names": names, "bytes": [rank[bytes([b])] for b in range(256)], "ranks": lots}
+    return F.from_json(F.lit(json.dumps(value)), "names array<string>, bytes array<int>, ranks array<map<string,int>>")
 
-def _rank(text: str) -> str:
-    """SQL for the rank of a token, null if it has none; `ranks` is the rank map."""
-    return f"get(ranks, cast(crc32(cast({text} as binary)) & {BUCKETS - 1} as int))[{text}]"
 
+def fold_sql(word: str) -> str:
+    """SQL for array<int>: the ids of `word` (binary); `m` is the rank map.
 
-def fold_sql(words: str) -> str:
-    """SQL for array<array<int>>: the ids of each of `words` (text of as_text(), FOLD_BYTES at most).
-
-    The state of a word holds `at`, the borders of its pieces, and `keys`, rank * 64 + left border of each
-    neighbouring pair that has a rank. A step takes the least key, so the leftmost pair of lowest rank,
-    drops the border inside it, and gives the pairs on either side their new ranks. Borders beyond an
-    end are null, and so are all keys made of them.
+    The state is the word's pieces, each by the character that names it, bytes at first. A step looks up every two
+    neighbours and joins those of lowest rank, the leftmost of these: the token of that rank takes their place.
     """
-    key = lambda text, at: f"{_rank(text)} * 64 + {at}"
-    first = f"transform(sequence(0, length(w) - 2), i -> {key('substring(w, i + 1, 2)', 'i')})"
-    start = f"named_struct('at', sequence(0, length(w)), 'keys', {first})"
-    place = "array_position(s.at, b & 63)"
-    near = f"transform(array({place}), p -> named_struct('h', get(s.at, cast(p as int) - 2), 'i', b & 63, 'j', get(s.at, cast(p as int)), 'k', get(s.at, cast(p as int) + 1), 'm', get(s.at, cast(p as int) + 2)))[0]"
-    kept = "filter(s.keys, x -> x & 63 <> c.i and x & 63 <> c.j and x & 63 <> coalesce(c.h, -1))"
-    texts = "named_struct('l', substring(w, c.h + 1, c.k - c.h), 'r', substring(w, c.i + 1, c.m - c.i))"
-    keys = f"transform(array({texts}), t -> array_append(array_append({kept}, {key('t.l', 'c.h')}), {key('t.r', 'c.i')}))[0]"
-    joined = f"transform(array({near}), c -> named_struct('at', array_remove(s.at, c.j), 'keys', {keys}))[0]"
-    step = f"transform(array(array_min(s.keys)), b -> if(b is null, s, {joined}))[0]"
-    ids = f"transform(sequence(0, size(s.at) - 2), i -> {_rank('substring(w, get(s.at, i) + 1, get(s.at, i + 1) - get(s.at, i))')})"
-    folded = f"aggregate(sequence(2, length(w)), {start}, (s, x) -> {step}, s -> {ids})"
-    whole = _rank("w")
-    each = f"transform({words}, w -> case when w = '' then cast(array() as array<int>) when {whole} is not null then array({whole}) else {folded} end)"
+    pair = "substring(s, i, 2)"
+    rank = f"get(m.ranks, cast(crc32(cast({pair} as binary)) & {BUCKETS - 1} as int))[{pair}]"
+    least = f"array_min(transform(sequence(1, length(s) - 1), i -> shiftleft(cast({rank} as bigint), 20) | i))"
+    joined = "overlay(s placing get(m.names, cast(shiftright(b, 20) as int)) from cast(b & 1048575 as int) for 2)"
+    step = f"if(length(s) < 2, s, aggregate(array({least}), s, (z, b) -> if(b is null, s, {joined})))"
+    ids = f"transform(split(s, ''), c -> if(ascii(c) < 256, get(m.bytes, ascii(c)), ascii(c) - {FIRST}))"
+    folded = f"aggregate(sequence(2, greatest(2, length({word}))), decode({word}, 'ISO-8859-1'), (s, x) -> {step}, s -> {ids})"
     # bound as a variable, the map stands in the plan once, not once for each use
-    return f"transform(array(ranks), ranks -> {each})[0]"
+    return f"if({word} is null, null, aggregate(array(m), cast(null as array<int>), (z, m) -> {folded}))"
+
+
+#: A row is a new word (`word`, or the ids of one that is known), or a lot of texts: its new units as counts of words
+#: and word numbers, its documents as unit numbers. `turn` changes when a task starts anew to number words and units.
+CHUNK = "turn int, word binary, known array<int>, unit_lens binary, unit_words binary, doc_id array<bigint>, n array<int>, codes binary"
+_CHUNK = pa.schema(
+    [
+        ("turn", pa.int32()),
+        ("word", pa.binary()),
+        ("known", pa.list_(pa.int32())),
+        ("unit_lens", pa.binary()),
+        ("unit_words", pa.binary()),
+        ("doc_id", pa.list_(pa.int64())),
+        ("n", pa.list_(pa.int32())),
+        ("codes", pa.binary()),
+    ]
+)
+ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
 
 
-CHUNK = "doc_id array<bigint>, n array<int>, codes binary, unit_at binary, unit_words binary, words array<string>, long array<binary>"
-ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
+def word_rows(words: list[bytes], turn: int, rank: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(words), 10_000):
+        lot = words[at : at + 10_000]
+        long = [len(w) > FOLD_BYTES for w in lot]
+        word = pa.array([None if far else w for w, far in zip(lot, long, strict=True)], pa.binary())
+        known = pa.array([merge(w, rank) if far else None for w, far in zip(lot, long, strict=True)], pa.list_(pa.int32()))
+        rest = [pa.nulls(len(lot), t) for t in _CHUNK.types[3:]]
+        yield pa.record_batch([pa.array([turn] * len(lot), pa.int32()), word, known, *rest], schema=_CHUNK)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
-    """One row for each chunk of texts: its distinct words, its units as words, its texts as units."""
-    schema = pa.schema(
-        [("doc_id", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("codes", pa.binary()), ("unit_at", pa.binary()), ("unit_words", pa.binary()), ("words", pa.list_(pa.string())), ("long", pa.list_(pa.binary()))]
-    )
+def chunks(batches: Iterator[pa.RecordBatch], pattern: str, words: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Rows of CHUNK for texts (doc_id, text): a lot's new words stand before it."""
+    cut, rank, turn = cutter(words), {w: i for i, w in enumerate(words)}, 0
+    units, doc_ids, codes, size = Units(pattern, cut), [], [], 0
 
-    def close() -> pa.RecordBatch:
-        words = [w.encode("utf-8", "surrogatepass") for w in units.words]
-        short = [as_text(w) if len(w) <= FOLD_BYTES else "" for w in words]
-        long_ = [w for w in words if len(w) > FOLD_BYTES]
-        values = [doc_ids, [len(c) for c in codes], np.concatenate([*codes, np.zeros(0, "<i4")]).astype("<i4").tobytes(), *(np.asarray(x, "<i4").tobytes() for x in units.table()), short, long_]
-        return pa.record_batch([pa.array([v], type=f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+    def close() -> Iterator[pa.RecordBatch]:
+        fresh, lens, parts = units.take()
+        yield from word_rows(fresh, turn, rank)
+        values = [turn, None, None, lens, parts, doc_ids, [len(c) for c in codes], np.concatenate(codes).tobytes()]
+        yield pa.record_batch([pa.array([v], type=f.type) for v, f in zip(values, _CHUNK, strict=True)], schema=_CHUNK)
 
-    units, doc_ids, codes, size = Units(pattern), [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            doc_ids.append(doc_id)
-            codes.append(units.codes(text or ""))
-            size += len(text or "")
-            if size >= CHUNK_CHARS or len(units.words) >= CHUNK_WORDS:
-                yield close()
-                units, doc_ids, codes, size = Units(pattern), [], [], 0
+        for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                doc_ids.append(doc_id)
+                codes.append(units.codes(text or ""))
+                size += len(text or "")
+                if size >= LOT_CHARS:
+                    yield from close()
+                    doc_ids, codes, size = [], [], 0
+                    if len(units.word) >= KNOWN_WORDS:
+                        units, turn = Units(pattern, cut), turn + 1
     if doc_ids:
-        yield close()
-    units, doc_ids, codes = Units(pattern), [], []
+        yield from close()
+    units, doc_ids, codes = Units(pattern, cut), [], []
     release()
 
 
-def spell(batches: Iterator[pa.RecordBatch], rank: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """The texts of a chunk as ids, from the ids of its words."""
+class Runs:
+    """Runs of numbers that are added to."""
+
+    def __init__(self) -> None:
+        self.flat, self.lens, self.starts, self.used, self.count = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, "i8"), np.zeros(1 << 14, "i8"), 0, 0
+
+    def add(self, lens: np.ndarray, flat: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.count + len(lens) > len(self.lens):
+            self.lens, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lens, self.starts))
+        self.flat[self.used : self.used + len(flat)] = flat
+        at = slice(self.count, self.count + len(lens))
+        self.lens[at] = lens
+        self.starts[at] = self.used + np.cumsum(lens) - lens
+        self.used += len(flat)
+        self.count += len(lens)
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return gather(self.starts, self.lens, self.flat, which)
+
+
+def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_tokens, ids) of the texts of a task, from its rows of CHUNK with `ids` for each word."""
+    words, units, turn = Runs(), Runs(), 0
     for batch in batches:
-        for row in range(batch.num_rows):
-            col = {f: batch.column(f)[row] for f in batch.schema.names}
-            ids = col["ids"].values
-            at = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype("i8")
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            if long_ := col["long"].as_py():
-                more = [np.array(merge(w, rank), "<u4") for w in long_]
-                lens = np.diff(at)
-                lens[lens == 0] = [len(x) for x in more]
-                rest, flat = at, np.concatenate([flat, *more])
-                starts = rest[:-1].copy()
-                starts[np.diff(rest) == 0] = len(flat) - sum(map(len, more)) + np.cumsum([0, *(len(x) for x in more)])[:-1]
-            else:
-                starts, lens = at[:-1], np.diff(at)
-            unit_at, unit_words, codes = (np.frombuffer(col[k].as_buffer(), "<i4") for k in ("unit_at", "unit_words", "codes"))
-            unit_flat, word_lens = gather(starts, lens, flat, unit_words)
-            ends = np.concatenate([[0], np.cumsum(word_lens)])[unit_at]
-            starts, lens = ends[:-1], np.diff(ends)
-            doc_ids, n = col["doc_id"].as_py(), np.array(col["n"].as_py(), "i8")
-            borders = np.concatenate([[0], np.cumsum(n)])
-            for lot in np.split(np.arange(len(n)), np.flatnonzero(np.diff(borders[1:] // 2_000_000)) + 1):
-                blobs, counts = [], []
-                for d in lot:
-                    out, _ = gather(starts, lens, unit_flat, codes[borders[d] : borders[d + 1]])
-                    counts.append(len(out))
-                    blobs.append(out.tobytes())
-                yield pa.record_batch([pa.array([doc_ids[d] for d in lot], pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        turns = batch.column("turn").to_numpy(zero_copy_only=False)
+        lots = np.flatnonzero(batch.column("codes").is_valid().to_numpy(zero_copy_only=False))
+        at = 0
+        for lot in [*lots.tolist(), batch.num_rows]:
+            while at < lot:  # words up to the lot, or to the next turn
+                if turns[at] != turn:
+                    words, units, turn = Runs(), Runs(), turns[at]
+                stop = int(np.argmax(turns[at:lot] != turn)) + at if (turns[at:lot] != turn).any() else lot
+                ids = batch.column("ids").slice(at, stop - at)
+                words.add(ids.value_lengths().to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False))
+                at = stop
+            if lot == batch.num_rows:
+                break
+            if turns[lot] != turn:
+                words, units, turn = Runs(), Runs(), turns[lot]
+            lens, parts, codes = (np.frombuffer(batch.column(c)[lot].as_buffer(), "<i4") for c in ("unit_lens", "unit_words", "codes"))
+            flat, n = words.of(parts)
+            ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(lens)])]
+            units.add(np.diff(ends), flat)
+            doc_ids, counts = batch.column("doc_id")[lot].as_py(), batch.column("n")[lot].as_py()
+            out, n = units.of(codes)
+            borders = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
+            blobs = [out[a:b].tobytes() for a, b in zip(borders, borders[1:], strict=False)]
+            yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(np.diff(borders)), pa.array(blobs, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            at = lot + 1
 
 
 def unspell(batches: Iterator[pa.RecordBatch], words: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -188,21 +243,24 @@ def encode(docs: DataFrame, ranks: list[bytes], pattern: str, with_decoded: bool
 
     with_decoded adds `decoded` as decode() does, from the ids, in the task that has just made them.
 
-    A task gathers the distinct words of a chunk of texts in one row; Spark folds the ranked merges over
-    them, and the task then spells its texts out. Nothing is shuffled. A null text is an empty one;
-    repeated rows and doc_ids, null doc_ids and texts of any length are rows like others; columns besides
-    doc_id and text aren't read.
+    A task streams its texts in lots of a million characters, each after the words that are new in it; Spark
+    folds the ranked merges over the bytes of these words, once a task for each (a task of very many words
+    starts anew), and the end of the same task spells the texts out. Nothing is shuffled or kept but the
+    task's words. Long words are cut where no token reaches across; what is still over FOLD_BYTES, say a
+    run of one letter, is merged by a heap, by the same ranks. A null text is an empty one; repeated rows and
+    doc_ids, null doc_ids and texts of any length are rows like others; columns besides doc_id and text
+    aren't read.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    few = max(2 * docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 8)
-    known = docs.sparkSession.sparkContext.broadcast(ranks)
-    rows = docs.coalesce(few).mapInArrow(lambda it: chunks(it, pattern), CHUNK)
-    release()
-    rows = rows.withColumn("ranks", rank_map(ranks)).selectExpr("doc_id", "n", "codes", "unit_at", "unit_words", "long", f"{fold_sql('words')} as ids")
+    known = spark.sparkContext.broadcast(ranks)
+    rows = partitions_of(docs, TASK_BYTES).mapInArrow(lambda it: chunks(it, pattern, known.value), CHUNK)
+    rows = rows.withColumn("m", rank_map(ranks))
+    ids = F.expr(f"coalesce(known, {fold_sql('word')})")
+    rows = rows.select("turn", "unit_lens", "unit_words", "doc_id", "n", "codes", ids.alias("ids"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelt = spell(batches, {w: i for i, w in enumerate(known.value)})
-        yield from unspell(spelt, known.value) if with_decoded else spelt
+        yield from unspell(spell(batches), known.value) if with_decoded else spell(batches)
         release()
 
     return rows.mapInArrow(finish, ENCODED + (", decoded binary" if with_decoded else ""))

@@ -75,6 +75,16 @@ def ranges(df: DataFrame, col: str, rows_per_range: int = 4000, at_most: int = 4
     return F.when(F.col(col).isNull(), 0).otherwise(place + 1), len(cuts) + 2
 
 
+def partitions_of(df: DataFrame, size: int) -> DataFrame:
+    """df with input splits put together to about `size` bytes a task, if that leaves two tasks a core."""
+    conf = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(conf[-1:], 0)
+    split = int(conf.rstrip("kmg")) << unit
+    together = max(1, size // max(1, split))
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions() // together)
+    return df.coalesce(tasks)
+
+
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), with value computed once."""
     return F.transform(F.array(value), f)[0]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -24,44 +26,57 @@ def units_of(text: str) -> list[str]:
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
+class _Known(dict):
+    """Numbers of keys; a key not met before is given to `learn`."""
+
+    def __init__(self, learn: Callable[[str], int]) -> None:
+        self.learn = learn
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = self.learn(key)
+        return n
+
+
 class Units:
     """Numbers of distinct units and words over the texts seen so far.
 
     A pattern of the byte-level kind starts a new word at a single space between other characters and
     makes a single line end a word by itself, so units can be split apart from each other. Other texts
-    are split whole, their words standing as units.
+    are split whole, their words standing as units. `cut` parts a word (bytes) into pieces that count as words.
     """
 
-    def __init__(self, pattern: str) -> None:
-        self.find = regex.compile(pattern).findall
-        self.unit: dict[str, int] = {}
-        self.parts: list[list[int]] = []
-        self.word: dict[str, int] = {}
-
-    @property
-    def words(self) -> dict[str, int]:
-        return self.word
-
-    def _new(self, key: str, words: list[str]) -> int:
-        self.unit[key] = n = len(self.parts)
-        self.parts.append([self.word.setdefault(w, len(self.word)) for w in words])
-        return n
+    def __init__(self, pattern: str, cut: Callable[[bytes], list[bytes]]) -> None:
+        self.find, self.cut = regex.compile(pattern).findall, cut
+        self.word: dict[bytes, int] = {}
+        self.lens, self.parts, self.fresh = array("i"), array("i"), []
+        # a word of an odd text is kept apart from a unit of the same letters
+        self.unit = _Known(lambda key: self._new(self.find(key)))
+        self.odd = _Known(lambda key: self._new([key]))
+        self.count = 0
+
+    def _new(self, words: list[str]) -> int:
+        n = 0
+        for w in words:
+            for part in self.cut(w.encode("utf-8", "surrogatepass")):
+                at = self.word.get(part)
+                if at is None:
+                    at = self.word[part] = len(self.word)
+                    self.fresh.append(part)
+                self.parts.append(at)
+                n += 1
+        self.lens.append(n)
+        self.count += 1
+        return self.count - 1
 
     def codes(self, text: str) -> np.ndarray:
-        unit = self.unit
-        if not plain(text):
-            # a word of an odd text is kept apart from a unit of the same letters
-            keys = ((f"\n\n{w}", w) for w in self.find(text))
-            return np.array([unit[k] if k in unit else self._new(k, [w]) for k, w in keys], "<i4")
-        found = units_of(text)
-        out = list(map(unit.get, found))
-        if None in out:
-            out = [n if n is not None else unit[u] if u in unit else self._new(u, self.find(u)) for n, u in zip(out, found, strict=True)]
-        return np.array(out, "<i4")
-
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where each unit's words start, with the end, and the words."""
-        return np.concatenate([[0], np.cumsum([len(p) for p in self.parts])]).astype("<i4"), np.array([w for p in self.parts for w in p], "<i4")
+        found, known = (units_of(text), self.unit) if plain(text) else (self.find(text), self.odd)
+        return np.fromiter(map(known.__getitem__, found), "<i4", len(found))
+
+    def take(self) -> tuple[list[bytes], bytes, bytes]:
+        """What is new since the last call: words, and of units the counts of their words, and these words."""
+        out = self.fresh, self.lens.tobytes(), self.parts.tobytes()
+        self.fresh, self.lens, self.parts = [], array("i"), array("i")
+        return out
 
 
 def gather(starts: np.ndarray, lens: np.ndarray, flat: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
