@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import partitions_of, release, table
-from cadenza.llm.units import Units, gather
+from cadenza.llm.units import Runs, Units, gather
 
 #: A lot of texts closes at this many characters; a task forgets its words beyond this many.
 LOT_CHARS, KNOWN_WORDS = 1_000_000, 500_000
@@ -175,28 +175,6 @@ def chunks(batches: Iterator[pa.RecordBatch], pattern: str, words: list[bytes])
     release()
 
 
-class Runs:
-    """Runs of numbers that are added to."""
-
-    def __init__(self) -> None:
-        self.flat, self.lens, self.starts, self.used, self.count = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, "i8"), np.zeros(1 << 14, "i8"), 0, 0
-
-    def add(self, lens: np.ndarray, flat: np.ndarray) -> None:
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.count + len(lens) > len(self.lens):
-            self.lens, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lens, self.starts))
-        self.flat[self.used : self.used + len(flat)] = flat
-        at = slice(self.count, self.count + len(lens))
-        self.lens[at] = lens
-        self.starts[at] = self.used + np.cumsum(lens) - lens
-        self.used += len(flat)
-        self.count += len(lens)
-
-    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return gather(self.starts, self.lens, self.flat, which)
-
-
 def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_tokens, ids) of the texts of a task, from its rows of CHUNK with `ids` for each word."""
     words, units, turn = Runs(), Runs(), 0

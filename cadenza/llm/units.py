@@ -26,7 +26,7 @@ def units_of(text: str) -> list[str]:
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
-class _Known(dict):
+class Known(dict):
     """Numbers of keys; a key not met before is given to `learn`."""
 
     def __init__(self, learn: Callable[[str], int]) -> None:
@@ -50,8 +50,8 @@ class Units:
         self.word: dict[bytes, int] = {}
         self.lens, self.parts, self.fresh = array("i"), array("i"), []
         # a word of an odd text is kept apart from a unit of the same letters
-        self.unit = _Known(lambda key: self._new(self.find(key)))
-        self.odd = _Known(lambda key: self._new([key]))
+        self.unit = Known(lambda key: self._new(self.find(key)))
+        self.odd = Known(lambda key: self._new([key]))
         self.count = 0
 
     def _new(self, words: list[str]) -> int:
@@ -85,3 +85,25 @@ def gather(starts: np.ndarray, lens: np.ndarray, flat: np.ndarray, which: np.nda
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
     return flat[np.repeat(starts[which] - (ends - n), n) + np.arange(total)], n
+
+
+class Runs:
+    """Runs of numbers that are added to."""
+
+    def __init__(self) -> None:
+        self.flat, self.lens, self.starts, self.used, self.count = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, "i8"), np.zeros(1 << 14, "i8"), 0, 0
+
+    def add(self, lens: np.ndarray, flat: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.count + len(lens) > len(self.lens):
+            self.lens, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lens, self.starts))
+        self.flat[self.used : self.used + len(flat)] = flat
+        at = slice(self.count, self.count + len(lens))
+        self.lens[at] = lens
+        self.starts[at] = self.used + np.cumsum(lens) - lens
+        self.used += len(flat)
+        self.count += len(lens)
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return gather(self.starts, self.lens, self.flat, which)
