@@ -52,15 +52,3 @@ def centred_mean(df: DataFrame, signal: str, window: int, out: str) -> DataFrame
     df = df.withColumn("__sum", total)
     mean = F.when(F.col("__sum.n") > 0, F.col("__sum.s") / F.col("__sum.n") / 1e6).otherwise(F.col(signal))
     return df.withColumn(out, mean).drop("__near", "__n", "__sum")
-
-
-def islands(df: DataFrame, member: Column, broken: Column, tolerance: int, by: list[str]) -> DataFrame:
-    """Rows of df where `member` holds, with the number of their `island`.
-
-    A new island begins after more than `tolerance` other cells, or after any cell that is `broken`.
-    """
-    w = Window.partitionBy(*by).orderBy("i")
-    marked = df.withColumn("__broken", F.sum(broken.cast("int")).over(upto(w))).where(member)
-    new = (F.col("i") - F.lag("i").over(w) - 1 > tolerance) | (F.lag("__broken").over(w) != F.col("__broken"))
-    marked = marked.withColumn("__new", F.coalesce(new, F.lit(True)).cast("int"))
-    return marked.withColumn("island", F.sum("__new").over(upto(w))).drop("__new", "__broken")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,7 +42,7 @@ def clock(seconds: Column) -> Column:
     """HH:MM:SS, hours beyond 24 counted on."""
     s = F.floor(seconds).cast("bigint")
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    hours = F.expr("1") * F.floor(s / 3600).cast("bigint")
+    hours = F.floor(s / 3600).cast("bigint")
     wide = F.when(hours < 100, two(hours)).otherwise(hours.cast("string"))
     return F.concat_ws(":", wide, two(F.floor(s % 3600 / 60).cast("bigint")), two(s % 60))
 
@@ -103,3 +103,26 @@ def one_of(x: Column, values: list[str]) -> Column:
 def types_key(types: Column) -> Column:
     """Eight hex digits that name a set of series types."""
     return F.substring(F.sha1(F.array_join(F.array_sort(types), ",")), 1, 8)
+
+
+def decoded(x: Column, names: dict[int, str], other: str) -> Column:
+    """The name of a code, `other` for a code without one, null for null."""
+    out = F.when(x.isNotNull(), F.lit(other))
+    for code, name in names.items():
+        out = F.when(x == code, name).otherwise(out)
+    return out
+
+
+def entries(df: DataFrame, column: str, key: str, value: str) -> DataFrame:
+    """A row for each entry of a map column; rows with an empty or null map go."""
+    return df.select(*[c for c in df.columns if c != column], F.explode(F.map_entries(column)).alias("__e")).select("*", F.col("__e.key").alias(key), F.col("__e.value").alias(value)).drop("__e")
+
+
+def compact(x: Column) -> Column:
+    """JSON without spaces."""
+    return F.to_json(x)
+
+
+def pretty(x: Column) -> Column:
+    """JSON over indented lines."""
+    return F.to_json(x, {"pretty": "true"})

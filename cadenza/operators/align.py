@@ -19,7 +19,7 @@ MIN_COVERAGE = 80.0
 def cleaned(samples: DataFrame, most: int = MOST_CELLS) -> DataFrame:
     """Samples (activity_id, sample_idx, t, ...) whose rounded time passes all before it, with `first` and `last`.
 
-    Series that would take more than `most` cells are left out; too_long() names them.
+    Series that would take more than `most` cells are left out; availability() lists them with a status.
     """
     t = F.floor(finite(F.col("t").cast("double")) + 0.5).cast("bigint")
     rows = samples.withColumn("t", t).where("t is not null")
@@ -29,10 +29,13 @@ def cleaned(samples: DataFrame, most: int = MOST_CELLS) -> DataFrame:
     return rows.withColumns({"first": F.min("t").over(whole), "last": F.max("t").over(whole)}).where(F.col("last") - F.col("first") < most)
 
 
-def too_long(samples: DataFrame, most: int = MOST_CELLS) -> DataFrame:
+def availability(samples: DataFrame, signals: Sequence[str] = SIGNALS, most: int = MOST_CELLS) -> DataFrame:
+    """(activity_id, status, has_<signal>) of every series in samples: ok, too_long, or no_time if none of its samples has one."""
     t = F.floor(finite(F.col("t").cast("double")) + 0.5).cast("bigint")
-    span = samples.groupBy(KEY).agg((F.max(t) - F.min(t) + 1).alias("cells"))
-    return span.where(F.col("cells") > most)
+    has = [F.coalesce(F.max(finite(F.col(s).cast("double")).isNotNull()), F.lit(False)).alias(f"has_{s}") for s in signals]
+    per = samples.groupBy(KEY).agg((F.max(t) - F.min(t) + 1).alias("cells"), *has)
+    status = F.when(F.col("cells").isNull(), "no_time").when(F.col("cells") > most, "too_long").otherwise("ok")
+    return per.select(KEY, status.alias("status"), *[f"has_{s}" for s in signals])
 
 
 def dropped(samples: DataFrame) -> DataFrame:
@@ -57,12 +60,13 @@ def gaps(clean: DataFrame, gap_fill: int = GAP_FILL) -> DataFrame:
 
 
 def align(samples: DataFrame, signals: Sequence[str] = SIGNALS, gap_fill: int = GAP_FILL, moving: bool = False) -> DataFrame:
-    """(activity_id, i, offset, valid, signals..., known_<signal>, moving): one row for each grid cell.
+    """(activity_id, i, offset, valid, gap, signals..., known_<signal>, has_<signal>, moving): one row for each grid cell.
 
     A cell between samples is valid if the gap it lies in is no longer than gap_fill, whatever the signals.
     A signal runs straight between two values at most gap_fill cells apart, else its last value is carried;
     ends are carried outwards, a signal without any value is 0. `known_` says that a cell has a value of its
-    own. `moving` is carried forward, its leading cells take the first value.
+    own, `has_` that the series has one anywhere: metrics of a signal that it lacks are null. `gap` is the count of
+    cells missing after a sample. `moving` is carried forward, its leading cells take the first value.
 
     Neighbouring values are looked up among the samples, before cells are made of them: the only shuffle
     is by activity, and windows run over samples, not cells.
@@ -76,6 +80,7 @@ def align(samples: DataFrame, signals: Sequence[str] = SIGNALS, gap_fill: int =
         anchor = F.when(value.isNotNull(), F.struct(F.col("t").alias("t"), value.alias("v")))
         found[f"p_{s}"] = F.last(anchor, ignorenulls=True).over(at_or_before)
         found[f"q_{s}"] = F.last(anchor, ignorenulls=True).over(after)
+        found[f"has_{s}"] = F.max(value.isNotNull()).over(Window.partitionBy(KEY))
     if moving:
         found["p_moving"] = F.last("moving", ignorenulls=True).over(at_or_before)
         found["q_moving"] = F.last("moving", ignorenulls=True).over(after)
@@ -86,12 +91,13 @@ def align(samples: DataFrame, signals: Sequence[str] = SIGNALS, gap_fill: int =
         (F.col("c") - F.col("first")).alias("i"),
         F.col("first").alias("offset"),
         ((F.col("c") == F.col("t")) | (F.col("next") - F.col("t") - 1 <= gap_fill)).alias("valid"),
+        F.when(F.col("c") == F.col("t"), F.col("next") - F.col("t") - 1).alias("gap"),
     ]
     for s in signals:
         p, q = F.col(f"p_{s}"), F.col(f"q_{s}")
         straight = p["v"] + (q["v"] - p["v"]) * (F.col("c") - p["t"]) / (q["t"] - p["t"])
         value = F.when(p.isNull(), q["v"]).when(q.isNull() | (F.col("c") == p["t"]) | (q["t"] - p["t"] - 1 > gap_fill), p["v"]).otherwise(straight)
-        out += [F.coalesce(value, F.lit(0.0)).alias(s), (F.col("c") == p["t"]).alias(f"known_{s}")]
+        out += [F.coalesce(value, F.lit(0.0)).alias(s), F.coalesce(F.col("c") == p["t"], F.lit(False)).alias(f"known_{s}"), f"has_{s}"]
     if moving:
         out.append(F.coalesce("p_moving", "q_moving").alias("moving"))
     return cells.select(*out)
@@ -106,28 +112,34 @@ def sliced(aligned: DataFrame, spans: DataFrame, names: Sequence[str] = ("from_i
     return rows.withColumns({"offset": F.col("offset") + start, "i": F.col("i") - start})
 
 
-def quality(aligned: DataFrame, gap_rows: DataFrame, signals: Sequence[str] = SIGNALS) -> DataFrame:
-    """One row for each activity: cells, coverage, gaps, each signal's coverage and missing cells, warnings."""
+def quality(aligned: DataFrame, signals: Sequence[str] = SIGNALS, gap_fill: int = GAP_FILL) -> DataFrame:
+    """One row for each activity: cells, coverage, gaps with the list of unfilled ones, each signal's own cells, warnings."""
     pct = lambda n: rnd(F.when(F.col("cells") > 0, n / F.col("cells") * 100).otherwise(0.0), 1)
-    counts = aligned.groupBy(KEY).agg(
+    open_ = F.struct((F.col("i") + 1).alias("from_s"), (F.col("i") + F.col("gap")).alias("to_s"))
+    per = aligned.groupBy(KEY).agg(
         F.count("*").alias("cells"),
         F.count_if("valid").alias("valid_cells"),
-        *[F.count_if(F.coalesce(f"known_{s}", F.lit(False))).alias(f"anchors_{s}") for s in signals],
+        F.count_if(F.col("gap") > 0).alias("gap_count"),
+        F.coalesce(F.sum(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(0)).alias("gap_seconds"),
+        F.coalesce(F.max(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(0)).alias("longest_gap_s"),
+        F.array_sort(F.collect_list(F.when(F.col("gap") > gap_fill, open_))).alias("unfilled"),
+        *[F.count_if(f"known_{s}").alias(f"own_{s}") for s in signals],
     )
-    held = gap_rows.groupBy(KEY).agg(
-        F.count("*").alias("gap_count"),
-        F.sum("duration_s").alias("gap_seconds"),
-        F.max("duration_s").alias("longest_gap_s"),
-        F.count_if(~F.col("filled")).alias("unfilled_gaps"),
-    )
-    out = counts.join(held, KEY, "left").na.fill(0, ["gap_count", "gap_seconds", "longest_gap_s", "unfilled_gaps"])
     coverage = pct(F.col("valid_cells"))
-    return out.select(
-        KEY, "cells", "valid_cells", coverage.alias("coverage_pct"), "gap_count", "gap_seconds", "longest_gap_s", "unfilled_gaps",
-        *[(F.col(f"anchors_{s}") > 0).alias(f"{s}_available") for s in signals],
-        *[F.when(F.col(f"anchors_{s}") > 0, F.col("cells") - F.col(f"anchors_{s}")).otherwise(0).alias(f"{s}_filled") for s in signals],
+    return per.select(
+        KEY,
+        "cells",
+        "valid_cells",
+        coverage.alias("coverage_pct"),
+        "gap_count",
+        "gap_seconds",
+        "longest_gap_s",
+        F.size("unfilled").cast("bigint").alias("unfilled_gaps"),
+        F.array_join(F.transform("unfilled", lambda g: F.concat_ws("-", g["from_s"], g["to_s"])), ",").alias("unfilled_list"),
+        *[(F.col(f"own_{s}") > 0).alias(f"{s}_available") for s in signals],
+        *[F.when(F.col(f"own_{s}") > 0, F.col("cells") - F.col(f"own_{s}")).otherwise(0).alias(f"{s}_filled") for s in signals],
         (coverage < MIN_COVERAGE).alias("low_coverage"),
-    )
+    )
 
 
 def power_source(has_power: Column, device_watts: Column) -> Column:

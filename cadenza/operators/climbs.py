@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.ordered import KEY, along, centred_mean, upto
+from cadenza.functions.ordered import KEY, along, centred_mean, prefixes, trailing_sum, upto
 from cadenza.functions.scalars import micro, rnd
+from cadenza.operators.power import NP_WINDOW, with_signal
 
-SMOOTHING, GRADE_METRES, SUSTAINED_METRES, NOISE = 15, 50, 200, 1.0
+SMOOTHING, GRADE_METRES, NOISE = 15, 50, 1.0
+#: The stretch of a sustained grade, in metres, and the least of it that counts.
+SUSTAINED_METRES, SUSTAINED_LEAST = 200, 180
 MIN_GAIN, MIN_GRADE, MIN_LENGTH, MAX_FLAT = 30.0, 3.0, 500.0, 200.0
 #: The least score of each tier, and its name.
 TIERS = ((700.0, "muy dura"), (300.0, "dura"), (100.0, "media"), (20.0, "suave"))
@@ -44,37 +47,111 @@ def tier(score: Column) -> Column:
     return out
 
 
-def climbs(aligned: DataFrame) -> DataFrame:
-    """(activity_id, climb, from_i, to_i, distance_m, gain_m, grade_pct, vam, score, tier, avg_w) of each climb.
-
-    A cell rises if it and the one before are valid and its grade reaches MIN_GRADE. Rising cells belong
-    together unless an invalid cell or more than MAX_FLAT metres of others lie between. The span begins one
-    cell before, is trimmed to where altitude rises, and must reach the length, gain and grade limits.
-    """
+def _spans(aligned: DataFrame) -> DataFrame:
+    """The cells of each climb, trimmed: rows of aligned with smooth, grade, `climb`, `from_i` and `to_i`, in one pass by activity."""
     w = along()
-    rows = grades(smooth(aligned))
+    rows = grades(smooth(aligned.where(with_signal(aligned, "altitude") & with_signal(aligned, "distance"))))
     step = F.greatest(F.col("distance") - F.lag("distance").over(w), F.lit(0.0))
-    rows = rows.withColumns({"ok": F.coalesce(F.col("valid") & F.lag("valid").over(w), F.lit(False)), "step": F.coalesce(step, F.lit(0.0)), "up": F.coalesce(F.col("smooth") > F.lag("smooth").over(w), F.lit(False))})
+    rows = rows.withColumns(
+        {
+            "ok": F.coalesce(F.col("valid") & F.lag("valid").over(w), F.lit(False)),
+            "step": F.coalesce(step, F.lit(0.0)),
+            "up": F.coalesce(F.col("smooth") > F.lag("smooth").over(w), F.lit(False)),
+        }
+    )
     rows = rows.withColumn("rising", F.col("ok") & (F.col("grade") >= MIN_GRADE))
-    rows = rows.withColumns({"bad": F.sum((~F.col("ok")).cast("int")).over(upto(w)), "flat": F.sum(F.when(F.col("rising"), 0.0).otherwise(F.col("step"))).over(upto(w))})
-    up = rows.where("rising")
-    new = (F.col("bad") != F.lag("bad").over(w)) | (F.col("flat") - F.lag("flat").over(w) > MAX_FLAT)
-    up = up.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("climb", F.sum("new").over(upto(w)))
-    spans = up.groupBy(KEY, "climb").agg((F.min("i") - 1).alias("from_i"), F.max("i").alias("to_i"))
-    inside = rows.join(spans, KEY).where("i between from_i and to_i")
-    # the trimmed span runs from the cell before the first rise to the last rise
+    flat = F.when(F.col("rising"), 0.0).otherwise(F.col("step"))
+    rows = rows.withColumns({"bad": F.sum((~F.col("ok")).cast("int")).over(upto(w)), "flat": F.sum(flat).over(upto(w))})
+    last = F.last(F.when(F.col("rising"), F.struct("bad", "flat")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = last.isNull() | (last["bad"] != F.col("bad")) | (F.col("flat") - last["flat"] > MAX_FLAT)
+    rows = rows.withColumn("new", F.when(F.col("rising") & new, 1).otherwise(0)).withColumn("number", F.sum("new").over(upto(w)))
+    down = along(F.desc("i"))
+    after = F.last(F.when(F.col("rising"), F.col("number")), ignorenulls=True).over(upto(down))
+    # a climb begins one cell before its first rising one
+    starts = F.lead("new").over(w) == 1
+    rows = rows.withColumn("climb", F.when(F.col("rising") | (after == F.col("number")), F.col("number")).when(starts, F.col("number") + 1))
     by = Window.partitionBy(KEY, "climb")
-    rise = F.col("up") & (F.col("i") > F.col("from_i"))
-    inside = inside.withColumns({"from_i": F.min(F.when(rise, F.col("i") - 1)).over(by), "to_i": F.max(F.when(rise, F.col("i"))).over(by)}).where("i between from_i and to_i")
+    rows = rows.where(F.col("climb") > 0).withColumn("begin", F.min("i").over(by))
+    rise = F.col("up") & (F.col("i") > F.col("begin"))
+    rows = rows.withColumns({"from_i": F.min(F.when(rise, F.col("i") - 1)).over(by), "to_i": F.max(F.when(rise, F.col("i"))).over(by)})
+    return rows.where("i between from_i and to_i")
+
+
+def climbs(aligned: DataFrame, weight: Column | None = None, measured: Column | None = None) -> DataFrame:
+    """A row for each climb: (activity_id, climb, from_i, to_i, distance_m, gain_m, grade_pct, sustained_pct, vam, score, tier,
+    avg_w, np_w, avg_wkg, efficiency_index, avg_hr).
+
+    A cell rises if it and the one before are valid and its grade reaches MIN_GRADE. Rising cells belong
+    together unless an invalid cell or more than MAX_FLAT metres of others lie between. The span begins one
+    cell before, is trimmed to where altitude rises, and must reach the length, gain and grade limits. Series without
+    altitude or distance have no climbs; align.availability() tells them apart from flat ones. weight and measured are
+    literals or columns of aligned; the efficiency index needs measured power.
+    """
+    none = F.lit(None)
+    aligned = aligned.withColumns({"__kg": (weight if weight is not None else none).cast("double"), "__measured": (measured if measured is not None else none).cast("boolean")})
+    has_w, has_h = with_signal(aligned, "watts"), with_signal(aligned, "heartrate") if "heartrate" in aligned.columns else F.lit(False)
+    heart = micro(F.col("heartrate")) if "heartrate" in aligned.columns else none.cast("bigint")
+    rows = prefixes(aligned.withColumns({"__w": has_w, "__h": F.when(F.col("valid") & has_h, heart)}), "watts")
+    rows = rows.withColumn("__mean", trailing_sum(NP_WINDOW) / float(NP_WINDOW) / 1e6).drop("s", "ok")
+    inside = _spans(rows)
+    back = Window.partitionBy(KEY, "climb").orderBy("distance").rangeBetween(-SUSTAINED_METRES, 0)
+    start = F.min(F.struct("i", "distance", "smooth")).over(back)
+    run = F.col("distance") - start["distance"]
+    inside = inside.withColumn("__grade", F.when(run >= SUSTAINED_LEAST, (F.col("smooth") - start["smooth"]) / run * 100))
     track = F.transform(F.array_sort(F.collect_list(F.struct("i", "smooth"))), lambda x: x["smooth"])
-    per = inside.groupBy(KEY, "climb", "from_i", "to_i").agg((F.max("distance") - F.min("distance")).alias("d"), deadband_gain(track).alias("g"), F.sum(F.when(F.col("valid"), micro(F.col("watts")))).alias("w"), F.count_if("valid").alias("n"))
+    window_inside = F.col("i") - F.col("from_i") >= NP_WINDOW - 1
+    per = inside.groupBy(KEY, "climb", "from_i", "to_i").agg(
+        (F.max("distance") - F.min("distance")).alias("d"),
+        deadband_gain(track).alias("g"),
+        F.sum(F.when(F.col("valid") & F.col("__w"), micro(F.col("watts")))).alias("w"),
+        F.count_if(F.col("valid") & F.col("__w")).alias("n"),
+        F.avg(F.when(window_inside & F.col("__w"), F.pow("__mean", F.lit(4.0)))).alias("fourth"),
+        F.max("__grade").alias("sustained"),
+        F.sum("__h").alias("h"),
+        F.count("__h").alias("hn"),
+        F.max("__kg").alias("kg"),
+        F.max("__measured").alias("measured"),
+    )
     per = per.where((F.col("d") >= MIN_LENGTH) & (F.col("g") >= MIN_GAIN) & (F.col("g") / F.col("d") * 100 >= MIN_GRADE))
     grade = F.col("g") / F.col("d") * 100
-    score = rnd(grade * grade * F.col("d") / 1000, 1)
+    raw = grade * grade * F.col("d") / 1000
+    vam = F.col("g") / ((F.col("to_i") - F.col("from_i")) / 3600.0)
+    watts = F.col("w") / 1e6 / F.nullif("n", F.lit(0))
+    wkg = watts / F.nullif("kg", F.lit(0.0))
     return per.select(
-        KEY, F.row_number().over(Window.partitionBy(KEY).orderBy("from_i")).alias("climb"), "from_i", "to_i", rnd(F.col("d"), 1).alias("distance_m"), rnd(F.col("g"), 1).alias("gain_m"), rnd(grade, 2).alias("grade_pct"),
-        rnd(F.col("g") / ((F.col("to_i") - F.col("from_i")) / 3600.0), 1).alias("vam"), score.alias("score"), tier(grade * grade * F.col("d") / 1000).alias("tier"), rnd(F.col("w") / 1e6 / F.col("n"), 2).alias("avg_w"),
-    )
+        KEY,
+        F.row_number().over(Window.partitionBy(KEY).orderBy("from_i")).alias("climb"),
+        "from_i",
+        "to_i",
+        rnd(F.col("d"), 1).alias("distance_m"),
+        rnd(F.col("g"), 1).alias("gain_m"),
+        rnd(grade, 2).alias("grade_pct"),
+        rnd(F.col("sustained"), 2).alias("sustained_pct"),
+        rnd(vam, 1).alias("vam"),
+        rnd(raw, 1).alias("score"),
+        tier(raw).alias("tier"),
+        rnd(watts, 2).alias("avg_w"),
+        rnd(F.pow("fourth", F.lit(0.25)), 2).alias("np_w"),
+        rnd(wkg, 3).alias("avg_wkg"),
+        F.when(F.col("measured") & (wkg > 0), rnd(vam / wkg, 2)).alias("efficiency_index"),
+        rnd(F.col("h") / 1e6 / F.nullif("hn", F.lit(0)), 2).alias("avg_hr"),
+    )
+
+
+def total_gain(found: DataFrame) -> DataFrame:
+    """(activity_id, climbs, gain_m): the climbs of an activity and the sum of their rounded gains."""
+    tenths = F.sum(F.floor(F.col("gain_m") * 10 + 0.5).cast("bigint"))
+    return found.groupBy(KEY).agg(F.count("*").alias("climbs"), rnd(tenths / 10.0, 1).alias("gain_m"))
+
+
+def against_best(found: DataFrame, best: DataFrame) -> DataFrame:
+    """found with `best_w` and `percent_of_best`: a climb's power against the best mean over as many seconds.
+
+    best has (duration_s, best) of the athlete's history, one row a duration, without the activity itself.
+    """
+    rows = found.withColumn("duration_s", F.col("to_i") - F.col("from_i"))
+    rows = rows.join(best.select("duration_s", F.col("best").alias("best_w")), "duration_s", "left")
+    return rows.withColumn("percent_of_best", rnd(F.col("avg_w") / F.nullif("best_w", F.lit(0.0)) * 100, 1))
 
 
 def trend(rows: DataFrame, x: str, y: str, by: str = KEY) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.ordered import KEY
 from cadenza.functions.scalars import micro, rnd
+from cadenza.operators.power import with_signal
 
 MIN_SECONDS = 600
 
@@ -14,9 +15,10 @@ MIN_SECONDS = 600
 def decoupling(aligned: DataFrame, warmup_min: float = 0.0, low_w: float | None = None, high_w: float | None = None, moving_only: bool = False, min_seconds: int = MIN_SECONDS) -> DataFrame:
     """A row for each activity: valid_seconds, excluded_seconds, first_ef, second_ef, decoupling_pct, available.
 
-    Filters come first; the halves are halves of what is left by count, not by time.
+    Filters come first; the halves are halves of what is left by count, not by time. A series without power or heart
+    rate has nothing left.
     """
-    keep = (F.col("i") >= int(warmup_min * 60 + 0.5)) & (F.col("heartrate") > 0)
+    keep = (F.col("i") >= int(warmup_min * 60 + 0.5)) & (F.col("heartrate") > 0) & with_signal(aligned, "watts") & with_signal(aligned, "heartrate")
     if low_w is not None:
         keep &= F.col("watts") >= low_w
     if high_w is not None:

@@ -19,16 +19,23 @@ def normalized(mean_fourth: Column) -> Column:
     return F.pow(mean_fourth, F.lit(0.25))
 
 
+def with_signal(aligned: DataFrame, signal: str) -> Column:
+    """Whether the cell's series has the signal; True where alignment didn't say."""
+    return F.col(f"has_{signal}") if f"has_{signal}" in aligned.columns else F.lit(True)
+
+
 def power_metrics(aligned: DataFrame, ftp: Column, weight: Column, by: Sequence[str] = (KEY,)) -> DataFrame:
     """valid_seconds, avg_w, np_w, vi, if, tss, work_kj, avg_wkg, np_windows for each activity (or `by`).
 
     ftp and weight are literals or columns of aligned that are constant for each group; null leaves what
-    depends on them null. The normalised power takes complete, wholly valid trailing windows only.
+    depends on them null. The normalised power takes complete, wholly valid trailing windows only. Without
+    power all but valid_seconds is null, and there are no windows.
     """
+    has = with_signal(aligned, "watts")
     rows = prefixes(aligned.withColumns({"__ftp": ftp, "__kg": weight}), "watts")
     mean = trailing_sum(NP_WINDOW) / float(NP_WINDOW) / 1e6
-    rows = rows.withColumn("__fourth", F.pow(mean, F.lit(4.0)))
-    total = F.sum(F.when(F.col("valid"), micro(F.col("watts"))))
+    rows = rows.withColumn("__fourth", F.when(has, F.pow(mean, F.lit(4.0))))
+    total = F.sum(F.when(F.col("valid") & has, micro(F.col("watts"))))
     per = rows.groupBy(*by).agg(
         F.count_if("valid").alias("valid_seconds"), total.alias("total"), F.avg("__fourth").alias("fourth"), F.count("__fourth").alias("np_windows"), F.max("__ftp").alias("ftp"), F.max("__kg").alias("kg")
     )
@@ -52,10 +59,11 @@ def curve(aligned: DataFrame, durations: Sequence[int] = DURATIONS, signal: str
     """(by, duration_s, best, best_raw, start_s, end_s): the best mean over each duration, the earliest of equals.
 
     All durations come from one prefix sum and one aggregation; a duration without a wholly valid window
-    has null values.
+    has null values, and so has a series without the signal.
     """
     wanted = sorted({int(d) for d in durations})
-    rows = prefixes(aligned, signal).withColumns({f"__{d}": trailing_sum(d) for d in wanted})
+    has = with_signal(aligned, signal)
+    rows = prefixes(aligned, signal).withColumns({f"__{d}": F.when(has, trailing_sum(d)) for d in wanted})
     best = [F.max(F.when(F.col(f"__{d}").isNotNull(), F.struct(F.col(f"__{d}").alias("s"), (-F.col("i")).alias("minus")))).alias(f"__{d}") for d in wanted]
     per = rows.groupBy(*by).agg(F.max("offset").alias("offset"), *best)
     each = F.array(*[F.struct(F.lit(d).alias("duration_s"), F.col(f"__{d}").alias("b")) for d in wanted])
@@ -66,8 +74,10 @@ def curve(aligned: DataFrame, durations: Sequence[int] = DURATIONS, signal: str
 
 
 def signal_summary(aligned: DataFrame, signals: Sequence[tuple[str, bool]] = (("heartrate", True), ("cadence", False))) -> DataFrame:
-    """(activity_id, signal, seconds, mean, max, min) over valid cells; False leaves values of 0 or less out."""
-    cells = F.array(*[F.struct(F.lit(s).alias("signal"), F.when(F.col("valid") & (F.lit(zeros) | (F.col(s) > 0)), F.col(s)).alias("v")) for s, zeros in signals])
+    """(activity_id, signal, seconds, mean, max, min) over valid cells; False leaves values of 0 or less out. An absent
+    signal has 0 seconds and nulls."""
+    used = lambda s, zeros: F.col("valid") & with_signal(aligned, s) & (F.lit(zeros) | (F.col(s) > 0))
+    cells = F.array(*[F.struct(F.lit(s).alias("signal"), F.when(used(s, zeros), F.col(s)).alias("v")) for s, zeros in signals])
     rows = aligned.select(KEY, F.inline(cells))
     per = rows.groupBy(KEY, "signal").agg(F.count("v").alias("seconds"), F.sum(micro(F.col("v"))).alias("s"), F.max("v").alias("top"), F.min("v").alias("low"))
     return per.select(KEY, "signal", "seconds", rnd(F.col("s") / 1e6 / F.nullif("seconds", F.lit(0)), 2).alias("mean"), rnd(F.col("top"), 2).alias("max"), rnd(F.col("low"), 2).alias("min"))

@@ -40,7 +40,12 @@ def segments(plans: DataFrame, key: str, text: str) -> DataFrame:
 
     A null or empty text has no segments. Durations too long for a long are null.
     """
-    lines = plans.select(key, F.posexplode(F.split(text, "\n")).alias("place", "line")).where(F.col("line").rlike(LINE))
+    return segments_of_lines(plans.select(key, F.posexplode(F.split(text, "\n")).alias("place", "line")), key)
+
+
+def segments_of_lines(lines: DataFrame, key: str) -> DataFrame:
+    """segments() of plans that come as rows (key, place, line)."""
+    lines = lines.where(F.col("line").rlike(LINE))
     part = lambda i: F.regexp_extract("line", LINE, i)
     count = part(2).try_cast("bigint")
     extras, target = part(5), F.trim(part(4))
@@ -77,6 +82,7 @@ def as_xml(found: DataFrame, key: str, author: str = "") -> DataFrame:
         F.lit("/>"),
     )
     steps = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", step.alias("step")))), lambda x: x["step"]), "\n")
+    # fixed format
     head = f"<workout_file>\n    <author>{author}</author>\n    <name>Generated Workout</name>\n    <description>Workout generated based on recent activities</description>\n    <sportType>bike</sportType>\n    <tags></tags>\n    <workout>\n"
     return found.groupBy(key).agg(F.concat(F.lit(head), steps, F.lit("\n    </workout>\n</workout_file>")).alias("xml"))
 

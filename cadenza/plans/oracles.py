@@ -4,19 +4,38 @@ from __future__ import annotations
 
 from cadenza.operators import bands, power
 
-KEYS = {"dense": ("event_type", 3600), "gappy": ("event_type || '-' || CAST(user_id % 4 AS VARCHAR)", 1800), "daily": ("event_type || '-' || strftime(ts, '%Y-%m-%d')", 600)}
+GROUP = "CAST(floor(user_id / 10) AS BIGINT)"
+KEYS = {"rides": f"'r' || {GROUP}", "days": f"'r' || {GROUP} || '-' || strftime(ts, '%Y-%m-%d')"}
 
 
 def samples(view: str) -> str:
-    key, step = KEYS[view]
     return f"""
-ev AS (SELECT {key} AS activity_id, epoch_us(ts) // {step * 1_000_000} AS t, ts, event_id, value, CAST(props->>'k' AS INTEGER) AS k FROM events),
-f AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY activity_id, t ORDER BY ts, event_id) = 1),
+ev AS (SELECT {KEYS[view]} AS activity_id, {GROUP} AS g, ts, event_id, value, CAST(props->>'k' AS INTEGER) AS k FROM events),
+nm AS (
+  SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY ts, event_id) - 1 AS n,
+         CASE WHEN event_id % 701 = 0 THEN 6 ELSE 1 + k % 3 END AS step
+  FROM ev),
 smp AS (
-  SELECT activity_id, t, value AS watts, CASE WHEN k % 10 <> 0 THEN least(178.0::DOUBLE, floor(95 + 0.19::DOUBLE * value + 0.5::DOUBLE)) END AS heartrate, CAST(k AS DOUBLE) AS cadence,
-         CAST(1000 + sum(CASE WHEN (t // 200) % 2 = 0 THEN k % 8 ELSE -(k % 6) END) OVER w AS DOUBLE) / 10.0::DOUBLE AS altitude, CAST(sum(3 + k % 5) OVER w AS DOUBLE) AS distance
-  FROM f WINDOW w AS (PARTITION BY activity_id ORDER BY t)),
-cl AS (SELECT *, min(t) OVER (PARTITION BY activity_id) AS first, max(t) OVER (PARTITION BY activity_id) AS last, lead(t) OVER (PARTITION BY activity_id ORDER BY t) AS next FROM smp)"""
+  SELECT activity_id, g, ts, n AS sample_idx, CAST(sum(step) OVER w AS BIGINT) AS t,
+         CASE WHEN g % 7 <> 6 THEN value END AS watts,
+         CASE WHEN g % 5 <> 4 AND k % 10 <> 0 THEN least(178.0::DOUBLE, floor(95 + 0.19::DOUBLE * value + 0.5::DOUBLE)) END AS heartrate,
+         CAST(k AS DOUBLE) AS cadence,
+         CASE WHEN g % 11 <> 10 THEN CAST(10000 + sum(CASE WHEN (n // 40) % 2 = 0 THEN step * (50 + k % 10) ELSE -step * (40 + k % 10) END) OVER w AS DOUBLE) / 100.0::DOUBLE END AS altitude,
+         CAST(sum(step * (70 + k % 20)) OVER w AS DOUBLE) / 10.0::DOUBLE AS distance,
+         k % 17 <> 0 AS moving
+  FROM nm WINDOW w AS (PARTITION BY activity_id ORDER BY ts, event_id)),
+cl AS (
+  SELECT *, min(t) OVER (PARTITION BY activity_id) AS first, max(t) OVER (PARTITION BY activity_id) AS last,
+         lead(t) OVER (PARTITION BY activity_id ORDER BY t) AS next
+  FROM smp)"""
+
+
+def activities(view: str) -> str:
+    return """
+act AS (
+  SELECT activity_id, min(g) AS athlete_id, CAST(min(ts) AS DATE) AS day,
+         CASE WHEN min(g) % 4 = 1 THEN false WHEN min(g) % 4 <> 3 THEN true END AS device_watts
+  FROM smp GROUP BY 1)"""
 
 
 SIGNALS = ("watts", "heartrate", "cadence", "altitude", "distance")
@@ -30,14 +49,19 @@ def aligned(view: str) -> str:
     )
     values = ", ".join(
         f"coalesce(CASE WHEN pt_{s} IS NULL THEN qv_{s} WHEN qt_{s} IS NULL OR c = pt_{s} OR qt_{s} - pt_{s} - 1 > 3 THEN pv_{s} "
-        f"ELSE pv_{s} + (qv_{s} - pv_{s}) * (c - pt_{s}) / (qt_{s} - pt_{s}) END, 0) AS {s}, coalesce(c = pt_{s}, false) AS known_{s}"
+        f"ELSE pv_{s} + (qv_{s} - pv_{s}) * (c - pt_{s}) / (qt_{s} - pt_{s}) END, 0) AS {s}, coalesce(c = pt_{s}, false) AS known_{s}, bool_or({s} IS NOT NULL) OVER (PARTITION BY activity_id) AS has_{s}"
         for s in SIGNALS
     )
     return f"""{samples(view)},
-nb AS (SELECT *, {found} FROM cl WINDOW up AS (PARTITION BY activity_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-       rest AS (PARTITION BY activity_id ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+nb AS (
+  SELECT *, {found}
+  FROM cl WINDOW up AS (PARTITION BY activity_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    rest AS (PARTITION BY activity_id ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 cell AS (SELECT *, unnest(generate_series(t, coalesce(next - 1, t))) AS c FROM nb),
-al AS (SELECT activity_id, c - first AS i, first AS "offset", c = t OR next - t - 1 <= 3 AS valid, {values} FROM cell)"""
+al AS (
+  SELECT activity_id, c - first AS i, first AS "offset", c = t OR next - t - 1 <= 3 AS valid, CASE WHEN c = t THEN next - t - 1 END AS gap,
+         last_value(moving) OVER (PARTITION BY activity_id ORDER BY c ROWS UNBOUNDED PRECEDING) AS moving, {values}
+  FROM cell)"""
 
 
 def rnd(x: str, d: int) -> str:
@@ -58,18 +82,29 @@ def trailing(d: int) -> str:
     return f"CASE WHEN ok - lag(ok, {d}, 0) {w} = {d} AND i >= {d - 1} THEN s - lag(s, {d}, 0) {w} END"
 
 
-def metrics(view: str, ftp: float, kg: float) -> str:
+def metrics_cte(ftp: str, kg: str) -> str:
+    """fo, g and pm: power metrics of al, with the parameters as expressions over g."""
     np_ = "pow(fourth, 0.25::DOUBLE)"
     avg = "total / 1e6 / nullif(valid_seconds, 0)"
-    return f"""WITH {aligned(view)}, {prefix("watts")},
-fo AS (SELECT *, pow(({trailing(30)}) / 30.0::DOUBLE / 1e6, 4) AS fourth FROM px),
-g AS (SELECT activity_id, count(*) FILTER (valid) AS valid_seconds, sum({micro("watts")}) FILTER (valid) AS total, avg(fourth) AS fourth, count(fourth) AS np_windows FROM fo GROUP BY 1)
-SELECT activity_id, valid_seconds, {rnd(avg, 2)} AS avg_w, {rnd(np_, 2)} AS np_w, {rnd(f"{np_} / nullif({avg}, 0)", 4)} AS vi, {rnd(f"{np_} / {ftp}::DOUBLE", 4)} AS intensity,
-  {rnd(f"valid_seconds * {np_} * ({np_} / {ftp}::DOUBLE) / ({ftp}::DOUBLE * 3600) * 100", 2)} AS tss, {rnd("total / 1e6 / 1000", 2)} AS work_kj, {rnd(f"{avg} / {kg}::DOUBLE", 3)} AS avg_wkg, np_windows FROM g"""
+    return f"""{prefix("watts")},
+fo AS (SELECT *, CASE WHEN has_watts THEN pow(({trailing(30)}) / 30.0::DOUBLE / 1e6, 4) END AS fourth FROM px),
+g AS (
+  SELECT activity_id, count(*) FILTER (valid) AS valid_seconds, sum({micro("watts")}) FILTER (valid AND has_watts) AS total,
+         avg(fourth) AS fourth, count(fourth) AS np_windows
+  FROM fo GROUP BY 1),
+pm AS (
+  SELECT activity_id, valid_seconds, {rnd(avg, 2)} AS avg_w, {rnd(np_, 2)} AS np_w, {rnd(f"{np_} / nullif({avg}, 0)", 4)} AS vi,
+         {rnd(f"{np_} / {ftp}", 4)} AS intensity, {rnd(f"valid_seconds * {np_} * ({np_} / {ftp}) / ({ftp} * 3600) * 100", 2)} AS tss,
+         {rnd("total / 1e6 / 1000", 2)} AS work_kj, {rnd(f"{avg} / {kg}", 3)} AS avg_wkg, np_windows
+  FROM g)"""
+
+
+def metrics(view: str, ftp: float, kg: float) -> str:
+    return f"WITH {aligned(view)}, {metrics_cte(f'{ftp}::DOUBLE', f'{kg}::DOUBLE')} SELECT * FROM pm"
 
 
 def curves(durations: tuple[int, ...], signal: str = "watts") -> str:
-    parts = " UNION ALL ".join(f"SELECT activity_id, i, \"offset\", {d} AS duration_s, {trailing(d)} AS b FROM px" for d in durations)
+    parts = " UNION ALL ".join(f"SELECT activity_id, i, \"offset\", {d} AS duration_s, CASE WHEN has_{signal} THEN {trailing(d)} END AS b FROM px" for d in durations)
     return f"""{prefix(signal)}, ws AS ({parts}),
 cv AS (SELECT activity_id, duration_s, max(b) AS b, arg_max(i, (b, -i)) FILTER (b IS NOT NULL) + max("offset") AS end_s FROM ws GROUP BY ALL),
 curve AS (SELECT activity_id, duration_s, {rnd("b / duration_s / 1e6", 2)} AS best, end_s - duration_s + 1 AS start_s, end_s FROM cv)"""
@@ -82,18 +117,24 @@ def bands_sql(zones: list, name: str = "zs") -> str:
 
 def zones(view: str, signal: str, zones_: list) -> str:
     return f"""WITH {aligned(view)}, {bands_sql(zones_)},
-hit AS (SELECT activity_id, band, {micro("watts")} AS w FROM al LEFT JOIN zs ON {signal} >= lower AND (upper IS NULL OR {signal} < upper) WHERE valid),
+hit AS (
+  SELECT activity_id, band, {micro("watts")} AS w, has_{signal} AS has, has_watts AS power
+  FROM al LEFT JOIN zs ON {signal} >= lower AND (upper IS NULL OR {signal} < upper) WHERE valid),
 per AS (SELECT activity_id, band, count(*) AS n, sum(w) AS w FROM hit GROUP BY ALL),
-tot AS (SELECT activity_id, count(band) AS classified, count(*) FILTER (band IS NULL) AS unclassified_seconds FROM hit GROUP BY 1)
-SELECT t.activity_id, zone, {rnd("lower", 4)} AS lower, {rnd("upper", 4)} AS upper, coalesce(n, 0) AS seconds, {rnd("coalesce(n, 0) / 60.0::DOUBLE", 2)} AS minutes,
-  CASE WHEN classified > 0 THEN {rnd("coalesce(n, 0)::DOUBLE / classified * 100", 2)} ELSE 0 END AS percent, {rnd("coalesce(w, 0) / 1e6 / 1000", 2)} AS work_kj, unclassified_seconds
+tot AS (
+  SELECT activity_id, count(band) AS classified, count(*) FILTER (band IS NULL) AS out_, bool_or(has) AS has, bool_or(power) AS power
+  FROM hit GROUP BY 1)
+SELECT t.activity_id, zone, {rnd("lower", 4)} AS lower, {rnd("upper", 4)} AS upper, CASE WHEN has THEN coalesce(n, 0) END AS seconds,
+  CASE WHEN has THEN {rnd("coalesce(n, 0) / 60.0::DOUBLE", 2)} END AS minutes,
+  CASE WHEN has THEN CASE WHEN classified > 0 THEN {rnd("coalesce(n, 0)::DOUBLE / classified * 100", 2)} ELSE 0 END END AS percent,
+  CASE WHEN has AND power THEN {rnd("coalesce(w, 0) / 1e6 / 1000", 2)} END AS work_kj, CASE WHEN has THEN out_ END AS unclassified_seconds
 FROM tot t CROSS JOIN zs LEFT JOIN per p ON p.activity_id = t.activity_id AND p.band = zs.band"""
 
 
 def efforts(zones_: list) -> str:
     return f"""{bands_sql(zones_)},
 bk AS (SELECT *, sum(CAST(NOT valid AS INT)) OVER (PARTITION BY activity_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS bad FROM al),
-inn AS (SELECT activity_id, i, bad, band, zone FROM bk JOIN zs ON valid AND watts >= lower AND (upper IS NULL OR watts < upper)),
+inn AS (SELECT activity_id, i, bad, band, zone FROM bk JOIN zs ON valid AND has_watts AND watts >= lower AND (upper IS NULL OR watts < upper)),
 nw AS (SELECT *, CASE WHEN lag(i) OVER w IS NULL OR i - lag(i) OVER w - 1 > 2 OR lag(bad) OVER w <> bad THEN 1 ELSE 0 END AS new FROM inn WINDOW w AS (PARTITION BY activity_id, band ORDER BY i)),
 isl AS (SELECT *, sum(new) OVER (PARTITION BY activity_id, band ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM nw),
 eff AS (SELECT activity_id, zone AS range, CAST(island AS BIGINT) AS island, min(i) AS from_i, max(i) AS to_i, count(*) AS seconds FROM isl GROUP BY ALL)"""
@@ -107,77 +148,239 @@ HR = bands.lthr_zones(110.0, 178.0)
 ACTS = "acts AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders)"
 PROFILE = "pr AS (SELECT o_custkey AS athlete_id, CAST(o_orderdate AS DATE) AS effective_from, CAST(max(o_totalprice) AS DOUBLE) AS value FROM orders GROUP BY ALL), pf AS (SELECT *, lead(effective_from) OVER (PARTITION BY athlete_id ORDER BY effective_from) - 1 AS effective_to FROM pr)"
 
+DAYS = (1, 5, 10)
+SMOOTH = f"""n AS (SELECT *, count(*) OVER (PARTITION BY activity_id) AS n FROM al),
+r AS (SELECT *, least(7, i, n - 1 - i) AS r FROM n),
+sm AS (
+  SELECT a.activity_id, a.i, a.distance, coalesce(sum({micro('b.altitude')}) FILTER (b.valid) / count(*) FILTER (b.valid) / 1e6, any_value(a.altitude)) AS smooth
+  FROM r a JOIN al b ON b.activity_id = a.activity_id AND b.i BETWEEN a.i - a.r AND a.i + a.r GROUP BY a.activity_id, a.i, a.distance),
+bk AS (
+  SELECT *, coalesce(max((i, distance, smooth)) OVER (PARTITION BY activity_id ORDER BY distance RANGE BETWEEN UNBOUNDED PRECEDING AND 50 PRECEDING),
+                     min((i, distance, smooth)) OVER (PARTITION BY activity_id)) AS b
+  FROM sm),
+gr AS (SELECT activity_id, i, smooth, CASE WHEN distance - b[2] < 1 THEN 0 ELSE (smooth - b[3]) / (distance - b[2]) * 100 END AS grade FROM bk)"""
+#: Climbs of `al` as `climb`, after `act` with the power's source.
+CLIMBS = f"""{SMOOTH}, {prefix("watts")},
+c1 AS (
+  SELECT px.*, gr.smooth, gr.grade, pow(({trailing(30)}) / 30.0::DOUBLE / 1e6, 4) AS fourth,
+         lag(px.valid) OVER w AS was, px.distance - lag(px.distance) OVER w AS gone, coalesce(gr.smooth > lag(gr.smooth) OVER w, false) AS up
+  FROM px JOIN gr USING (activity_id, i) WHERE has_altitude AND has_distance WINDOW w AS (PARTITION BY activity_id ORDER BY i)),
+c2 AS (SELECT *, valid AND coalesce(was, false) AS fine, greatest(coalesce(gone, 0), 0) AS step FROM c1),
+c3 AS (SELECT *, fine AND grade >= 3 AS rising FROM c2),
+c4 AS (
+  SELECT *, sum(CAST(NOT fine AS INT)) OVER w AS bad, sum(CASE WHEN rising THEN 0 ELSE step END) OVER w AS flat
+  FROM c3 WINDOW w AS (PARTITION BY activity_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+c5 AS (SELECT activity_id, i, CASE WHEN lag(bad) OVER w = bad AND flat - lag(flat) OVER w <= 200 THEN 0 ELSE 1 END AS new FROM c4 WHERE rising WINDOW w AS (PARTITION BY activity_id ORDER BY i)),
+c6 AS (SELECT activity_id, i, sum(new) OVER (PARTITION BY activity_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS climb FROM c5),
+c7 AS (SELECT activity_id, climb, min(i) - 1 AS a, max(i) AS b FROM c6 GROUP BY ALL),
+c8 AS (SELECT c4.*, climb, a FROM c4 JOIN c7 ON c7.activity_id = c4.activity_id AND i BETWEEN a AND b),
+c9 AS (SELECT *, min(CASE WHEN up AND i > a THEN i - 1 END) OVER w AS from_i, max(CASE WHEN up AND i > a THEN i END) OVER w AS to_i FROM c8 WINDOW w AS (PARTITION BY activity_id, climb)),
+c10 AS (
+  SELECT *, min((i, distance, smooth)) OVER (PARTITION BY activity_id, climb ORDER BY distance RANGE BETWEEN 200 PRECEDING AND CURRENT ROW) AS back
+  FROM c9 WHERE i BETWEEN from_i AND to_i),
+c11 AS (
+  SELECT activity_id, climb, from_i, to_i, max(distance) - min(distance) AS d,
+         list_reduce(list_transform(list(smooth ORDER BY i), lambda x: {{'ref': x, 'gain': 0.0::DOUBLE}}),
+           lambda acc, e: CASE WHEN e.ref < acc.ref THEN {{'ref': e.ref, 'gain': acc.gain}}
+                               WHEN e.ref - acc.ref > 1.0 THEN {{'ref': e.ref, 'gain': acc.gain + (e.ref - acc.ref)}} ELSE acc END).gain AS g,
+         sum({micro("watts")}) FILTER (valid AND has_watts) / 1e6 / nullif(count(*) FILTER (valid AND has_watts), 0) AS w,
+         avg(fourth) FILTER (i - from_i >= 29 AND has_watts) AS fourth,
+         max(CASE WHEN distance - back[2] >= 180 THEN (smooth - back[3]) / (distance - back[2]) * 100 END) AS sustained,
+         sum({micro("heartrate")}) FILTER (valid AND has_heartrate) / 1e6 / nullif(count(*) FILTER (valid AND has_heartrate), 0) AS h
+  FROM c10 GROUP BY ALL),
+c12 AS (SELECT *, g / d * 100 AS gp, g / ((to_i - from_i) / 3600.0::DOUBLE) AS v, w / {KG}::DOUBLE AS wkg FROM c11 WHERE d >= 500 AND g >= 30 AND g / d * 100 >= 3),
+climb AS (
+  SELECT activity_id, CAST(row_number() OVER (PARTITION BY activity_id ORDER BY from_i) AS INTEGER) AS climb, from_i, to_i,
+         {rnd("d", 1)} AS distance_m, {rnd("g", 1)} AS gain_m, {rnd("gp", 2)} AS grade_pct, {rnd("sustained", 2)} AS sustained_pct, {rnd("v", 1)} AS vam,
+         {rnd("gp * gp * d / 1000", 1)} AS score,
+         CASE WHEN gp * gp * d / 1000 >= 700 THEN 'muy dura' WHEN gp * gp * d / 1000 >= 300 THEN 'dura' WHEN gp * gp * d / 1000 >= 100 THEN 'media'
+              WHEN gp * gp * d / 1000 >= 20 THEN 'suave' ELSE 'corta' END AS tier,
+         {rnd("w", 2)} AS avg_w, {rnd("pow(fourth, 0.25::DOUBLE)", 2)} AS np_w, {rnd("wkg", 3)} AS avg_wkg,
+         CASE WHEN device_watts AND wkg > 0 THEN {rnd("v / wkg", 2)} END AS efficiency_index, {rnd("h", 2)} AS avg_hr
+  FROM c12 JOIN act USING (activity_id))"""
+RIDES = f"WITH {aligned('rides')}, {activities('rides')}"
+
+
+def trend(y: str) -> str:
+    return f"""{RIDES}, {CLIMBS}
+SELECT activity_id, {rnd(f"regr_slope({y}, climb)", 4)} AS slope, {rnd(f"regr_intercept({y}, climb)", 4)} AS intercept,
+       {rnd(f"coalesce(regr_r2({y}, climb), 1)", 4)} AS r2, count(*) AS n
+FROM climb WHERE {y} IS NOT NULL GROUP BY 1 HAVING count(*) >= 3"""
+
+
+def best(signal: str, measured: str) -> str:
+    return f"""WITH {aligned('days')}, {activities('days')}, {curves(DAYS, signal)},
+top AS (
+  SELECT *, row_number() OVER (ORDER BY day DESC, activity_id) AS pos FROM act
+  WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' ORDER BY pos LIMIT 30),
+kept AS (SELECT * FROM top WHERE athlete_id % 13 <> 5),
+fit AS (SELECT DISTINCT activity_id FROM curve JOIN kept USING (activity_id) WHERE best IS NOT NULL AND {measured})"""
+
+
 SQL = {
-    "align_grid": f"WITH {aligned('gappy')} SELECT activity_id, i, \"offset\", valid, {', '.join(rnd(s, 6) + f' AS {s}' for s in SIGNALS)} FROM al",
-    "gap_summary": f"""WITH {samples('gappy')}, gp AS (SELECT activity_id, next - t - 1 AS d FROM cl WHERE next - t > 1)
-SELECT activity_id, count(*) AS gap_count, CAST(sum(d) AS BIGINT) AS gap_seconds, max(d) AS longest_gap_s, count(*) FILTER (d > 3) AS unfilled_gaps FROM gp GROUP BY 1""",
-    "quality": f"""WITH {aligned('gappy')}, gp AS (SELECT activity_id, count(*) AS n, sum(next - t - 1) AS s, max(next - t - 1) AS m, count(*) FILTER (next - t - 1 > 3) AS u FROM cl WHERE next - t > 1 GROUP BY 1),
-q AS (SELECT activity_id, count(*) AS cells, count(*) FILTER (valid) AS valid_cells, count(*) FILTER (known_heartrate) AS h, count(*) FILTER (known_watts) AS p FROM al GROUP BY 1)
-SELECT activity_id, cells, valid_cells, {rnd('valid_cells::DOUBLE / cells * 100', 1)} AS coverage_pct, coalesce(n, 0) AS gap_count, CAST(coalesce(s, 0) AS BIGINT) AS gap_seconds, coalesce(m, 0) AS longest_gap_s, coalesce(u, 0) AS unfilled_gaps,
-  p > 0 AS watts_available, h > 0 AS heartrate_available, CASE WHEN p > 0 THEN cells - p ELSE 0 END AS watts_filled, CASE WHEN h > 0 THEN cells - h ELSE 0 END AS heartrate_filled, {rnd('valid_cells::DOUBLE / cells * 100', 1)} < 80 AS low_coverage
-FROM q LEFT JOIN gp USING (activity_id)""",
-    "power_metrics": metrics("dense", FTP, KG),
-    "power_metrics_gappy": metrics("gappy", FTP, KG),
-    "power_curve": f"WITH {aligned('gappy')}, {curves(DUR)} SELECT * FROM curve",
-    "signal_summary": f"""WITH {aligned('gappy')}, v AS (SELECT activity_id, 'heartrate' AS signal, CASE WHEN valid THEN heartrate END AS v FROM al UNION ALL SELECT activity_id, 'cadence', CASE WHEN valid AND cadence > 0 THEN cadence END FROM al)
-SELECT activity_id, signal, count(v) AS seconds, {rnd(f"sum({micro('v')}) / 1e6 / nullif(count(v), 0)", 2)} AS mean, {rnd('max(v)', 2)} AS max, {rnd('min(v)', 2)} AS min FROM v GROUP BY ALL""",
-    "time_in_power_zones": zones("gappy", "watts", POWER),
-    "time_in_hr_zones": zones("gappy", "heartrate", HR),
-    "torque_cadence": f"""WITH {aligned('gappy')}, {bands_sql([(str(k), k * 10.0, None if k == 14 else (k + 1) * 10.0) for k in range(15)])},
-tq AS (SELECT activity_id, least(CAST(floor(cadence / 10.0::DOUBLE) AS INT), 14) AS band, {micro('watts')} AS w, watts / (2 * pi() * cadence / 60) AS torque FROM al WHERE valid AND cadence > 0),
-per AS (SELECT activity_id, band, count(*) AS n, sum(w) AS w, sum({micro('torque')}) AS t, max(torque) AS top FROM tq GROUP BY ALL), tt AS (SELECT activity_id, sum(n) AS analysed FROM per GROUP BY 1),
-base AS (SELECT activity_id, count(*) FILTER (NOT cadence > 0) AS excluded_seconds FROM al WHERE valid GROUP BY 1)
-SELECT b.activity_id, lower AS lower_rpm, upper AS upper_rpm, coalesce(n, 0) AS seconds, coalesce({rnd('n::DOUBLE / analysed * 100', 2)}, 0) AS percent, {rnd('w / 1e6 / n', 2)} AS mean_power_w, {rnd('t / 1e6 / n', 3)} AS mean_torque_nm,
-  {rnd('top', 3)} AS max_torque_nm, coalesce({rnd('w / 1e6 / 1000', 3)}, 0) AS work_kj, excluded_seconds
+    "align_grid": f"""WITH {aligned('rides')}
+SELECT activity_id, i, "offset", valid, moving, {', '.join(rnd(s, 6) + f' AS {s}' for s in SIGNALS)} FROM al""",
+    "availability": f"""WITH {samples('rides')}
+SELECT activity_id, 'ok' AS status, {', '.join(f'bool_or({s} IS NOT NULL) AS has_{s}' for s in SIGNALS)} FROM smp GROUP BY 1""",
+    "gap_summary": f"""WITH {samples('rides')}, gp AS (SELECT activity_id, next - t - 1 AS d FROM cl WHERE next - t > 1)
+SELECT activity_id, count(*) AS gap_count, CAST(sum(d) AS BIGINT) AS gap_seconds, max(d) AS longest_gap_s, count(*) FILTER (d > 3) AS unfilled_gaps
+FROM gp GROUP BY 1""",
+    "quality": f"""WITH {aligned('rides')}, {activities('rides')},
+q AS (
+  SELECT activity_id, count(*) AS cells, count(*) FILTER (valid) AS valid_cells, count(*) FILTER (known_heartrate) AS h, count(*) FILTER (known_watts) AS p,
+         count(*) FILTER (gap > 0) AS gap_count, CAST(coalesce(sum(gap) FILTER (gap > 0), 0) AS BIGINT) AS gap_seconds, coalesce(max(gap) FILTER (gap > 0), 0) AS longest_gap_s,
+         count(*) FILTER (gap > 3) AS unfilled_gaps, coalesce(string_agg(CAST(i + 1 AS VARCHAR) || '-' || CAST(i + gap AS VARCHAR), ',' ORDER BY i) FILTER (gap > 3), '') AS unfilled_list
+  FROM al GROUP BY 1)
+SELECT activity_id, cells, valid_cells, {rnd('valid_cells::DOUBLE / cells * 100', 1)} AS coverage_pct, gap_count, gap_seconds, longest_gap_s, unfilled_gaps, unfilled_list,
+  p > 0 AS watts_available, h > 0 AS heartrate_available, CASE WHEN p > 0 THEN cells - p ELSE 0 END AS watts_filled, CASE WHEN h > 0 THEN cells - h ELSE 0 END AS heartrate_filled,
+  {rnd('valid_cells::DOUBLE / cells * 100', 1)} < 80 AS low_coverage,
+  CASE WHEN p = 0 THEN 'none' WHEN device_watts THEN 'measured' ELSE 'estimated' END AS power_source
+FROM q JOIN act USING (activity_id)""",
+    "power_metrics": metrics("rides", FTP, KG),
+    "power_metrics_daily": metrics("days", FTP, KG),
+    "power_curve": f"""WITH {aligned('rides')}, {curves(DUR)}
+SELECT *, {rnd(f"best / {KG}::DOUBLE", 3)} AS best_wkg FROM curve""",
+    "signal_summary": f"""WITH {aligned('rides')},
+v AS (
+  SELECT activity_id, 'heartrate' AS signal, CASE WHEN valid AND has_heartrate THEN heartrate END AS v FROM al
+  UNION ALL SELECT activity_id, 'cadence', CASE WHEN valid AND has_cadence AND cadence > 0 THEN cadence END FROM al)
+SELECT activity_id, signal, count(v) AS seconds, {rnd(f"sum({micro('v')}) / 1e6 / nullif(count(v), 0)", 2)} AS mean, {rnd('max(v)', 2)} AS max, {rnd('min(v)', 2)} AS min
+FROM v GROUP BY ALL""",
+    "time_in_power_zones": zones("rides", "watts", POWER),
+    "time_in_hr_zones": zones("rides", "heartrate", HR),
+    "torque_cadence": f"""WITH {aligned('rides')}, {bands_sql([(str(k), k * 10.0, None if k == 14 else (k + 1) * 10.0) for k in range(15)])},
+tq AS (
+  SELECT activity_id, least(CAST(floor(cadence / 10.0::DOUBLE) AS INT), 14) AS band, {micro('watts')} AS w, watts / (2 * pi() * cadence / 60) AS torque
+  FROM al WHERE valid AND cadence > 0 AND has_watts AND has_cadence),
+per AS (SELECT activity_id, band, count(*) AS n, sum(w) AS w, sum({micro('torque')}) AS t, max(torque) AS top FROM tq GROUP BY ALL),
+tt AS (SELECT activity_id, sum(n) AS analysed FROM per GROUP BY 1),
+base AS (SELECT activity_id, bool_or(has_watts AND has_cadence) AS has, count(*) FILTER (NOT cadence > 0) AS out_ FROM al WHERE valid GROUP BY 1)
+SELECT b.activity_id, lower AS lower_rpm, upper AS upper_rpm, CASE WHEN has THEN coalesce(n, 0) END AS seconds,
+  CASE WHEN has THEN coalesce({rnd('n::DOUBLE / analysed * 100', 2)}, 0) END AS percent, {rnd('w / 1e6 / n', 2)} AS mean_power_w, {rnd('t / 1e6 / n', 3)} AS mean_torque_nm,
+  {rnd('top', 3)} AS max_torque_nm, CASE WHEN has THEN coalesce({rnd('w / 1e6 / 1000', 3)}, 0) END AS work_kj, CASE WHEN has THEN out_ END AS excluded_seconds
 FROM base b CROSS JOIN zs LEFT JOIN tt ON tt.activity_id = b.activity_id LEFT JOIN per p ON p.activity_id = b.activity_id AND p.band = zs.band""",
-    "efforts": f"WITH {aligned('gappy')}, {efforts(WORK)} SELECT * FROM eff",
-    "work_above_ftp": f"""WITH {aligned('gappy')}, {efforts(WORK)},
-vs AS (SELECT activity_id, count(*) AS vn FROM al WHERE valid GROUP BY 1),
-wk AS (SELECT activity_id, band, count(*) AS n, sum({micro('watts')}) AS w FROM al JOIN zs ON valid AND watts >= lower AND (upper IS NULL OR watts < upper) GROUP BY ALL),
+    "efforts": f"WITH {aligned('rides')}, {efforts(WORK)} SELECT * FROM eff",
+    "work_above_ftp": f"""WITH {aligned('rides')}, {efforts(WORK)},
+vs AS (SELECT activity_id, count(*) FILTER (valid) AS vn, bool_or(has_watts) AS has FROM al GROUP BY 1),
+wk AS (SELECT activity_id, band, count(*) AS n, sum({micro('watts')}) AS w FROM al JOIN zs ON valid AND has_watts AND watts >= lower AND (upper IS NULL OR watts < upper) GROUP BY ALL),
 es AS (SELECT activity_id, range, count(*) AS c, sum(seconds) AS total, max(seconds) AS m FROM eff GROUP BY ALL)
-SELECT vs.activity_id, zone AS range, {rnd('lower', 2)} AS lower_w, {rnd('upper', 2)} AS upper_w, coalesce(n, 0) AS seconds, {rnd('coalesce(n, 0)::DOUBLE / vn * 100', 2)} AS percent, {rnd('coalesce(w, 0) / 1e6 / 1000', 3)} AS work_kj,
-  {rnd(f'(coalesce(w, 0) / 1e6 - coalesce(n, 0) * {FTP}::DOUBLE) / 1000', 3)} AS work_above_kj, coalesce(c, 0) AS effort_count, {rnd('total::DOUBLE / c', 2)} AS mean_effort_s, m AS max_effort_s
+SELECT vs.activity_id, zone AS range, {rnd('lower', 2)} AS lower_w, {rnd('upper', 2)} AS upper_w, CASE WHEN has THEN coalesce(n, 0) END AS seconds,
+  CASE WHEN has THEN {rnd('coalesce(n, 0)::DOUBLE / nullif(vn, 0) * 100', 2)} END AS percent, CASE WHEN has THEN {rnd('coalesce(w, 0) / 1e6 / 1000', 3)} END AS work_kj,
+  CASE WHEN has THEN {rnd(f'(coalesce(w, 0) / 1e6 - coalesce(n, 0) * {FTP}::DOUBLE) / 1000', 3)} END AS work_above_kj, CASE WHEN has THEN coalesce(c, 0) END AS effort_count,
+  {rnd('total::DOUBLE / c', 2)} AS mean_effort_s, m AS max_effort_s
 FROM vs CROSS JOIN zs LEFT JOIN wk ON wk.activity_id = vs.activity_id AND wk.band = zs.band LEFT JOIN es ON es.activity_id = vs.activity_id AND es.range = zone""",
-    "decoupling": f"""WITH {aligned('gappy')}, k AS (SELECT *, i >= 60 AND heartrate > 0 AND watts >= 10 AS keep FROM al WHERE valid),
+    "decoupling": f"""WITH {aligned('rides')},
+k AS (SELECT *, i >= 60 AND heartrate > 0 AND watts >= 10 AND has_watts AND has_heartrate AND moving AS keep FROM al WHERE valid),
 n AS (SELECT *, count(*) OVER (PARTITION BY activity_id, keep) AS n, row_number() OVER (PARTITION BY activity_id, keep ORDER BY i) AS at_ FROM k),
-g AS (SELECT activity_id, count(*) FILTER (keep) AS n, count(*) FILTER (NOT keep) AS x, sum({micro('watts')}) FILTER (keep AND at_ <= n // 2)::DOUBLE AS w1, sum({micro('heartrate')}) FILTER (keep AND at_ <= n // 2)::DOUBLE AS h1,
-  sum({micro('watts')}) FILTER (keep AND at_ > n // 2)::DOUBLE AS w2, sum({micro('heartrate')}) FILTER (keep AND at_ > n // 2)::DOUBLE AS h2 FROM n GROUP BY 1),
+g AS (
+  SELECT activity_id, count(*) FILTER (keep) AS n, count(*) FILTER (NOT keep) AS x,
+         sum({micro('watts')}) FILTER (keep AND at_ <= n // 2)::DOUBLE AS w1, sum({micro('heartrate')}) FILTER (keep AND at_ <= n // 2)::DOUBLE AS h1,
+         sum({micro('watts')}) FILTER (keep AND at_ > n // 2)::DOUBLE AS w2, sum({micro('heartrate')}) FILTER (keep AND at_ > n // 2)::DOUBLE AS h2
+  FROM n GROUP BY 1),
 e AS (SELECT *, (w1 / 1e6 / (n // 2)) / (h1 / 1e6 / (n // 2)) AS e1, (w2 / 1e6 / (n - n // 2)) / (h2 / 1e6 / (n - n // 2)) AS e2 FROM g)
-SELECT activity_id, n >= 100 AS available, CASE WHEN n >= 2 THEN n ELSE 0 END AS valid_seconds, CASE WHEN n >= 2 THEN x ELSE 0 END AS excluded_seconds, CASE WHEN n >= 100 THEN {rnd('e1', 6)} END AS first_ef, CASE WHEN n >= 100 THEN {rnd('e2', 6)} END AS second_ef,
+SELECT activity_id, n >= 100 AS available, CASE WHEN n >= 2 THEN n ELSE 0 END AS valid_seconds, CASE WHEN n >= 2 THEN x ELSE 0 END AS excluded_seconds,
+  CASE WHEN n >= 100 THEN {rnd('e1', 6)} END AS first_ef, CASE WHEN n >= 100 THEN {rnd('e2', 6)} END AS second_ef,
   CASE WHEN n >= 100 THEN {rnd('(e1 - e2) / nullif(e1, 0) * 100', 4)} END AS decoupling_pct FROM e""",
-    "best_effort_period": f"""WITH {aligned('daily')}, {curves((1, 5, 10))},
-ls AS (SELECT activity_id, max(CAST(right(activity_id, 10) AS DATE)) AS day FROM smp GROUP BY 1),
-top AS (SELECT *, row_number() OVER (ORDER BY day DESC, activity_id) AS pos FROM ls WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' ORDER BY pos LIMIT 30),
-ok AS (SELECT * FROM top WHERE day(day) % 3 <> 0)
-SELECT duration_s, activity_id, day, best, start_s, end_s FROM curve JOIN ok USING (activity_id) WHERE best IS NOT NULL QUALIFY row_number() OVER (PARTITION BY duration_s ORDER BY best DESC, pos) = 1""",
-    "estimates": f"""WITH {aligned('gappy')}, {curves((30, 120))}, c AS (SELECT activity_id, max(best) FILTER (duration_s = 30) AS short, max(best) FILTER (duration_s = 120) AS long FROM curve GROUP BY 1)
-SELECT activity_id, {rnd(f'16.6::DOUBLE + 8.87::DOUBLE * (short / {KG}::DOUBLE)', 2)} AS vo2max, {rnd('long * 0.95::DOUBLE', 2)} AS ftp, {rnd('long * 0.98::DOUBLE', 0)} AS lthr FROM c""",
-    "climb_grade": f"""WITH {aligned('gappy')}, n AS (SELECT *, count(*) OVER (PARTITION BY activity_id) AS n FROM al),
-r AS (SELECT *, least(7, i, n - 1 - i) AS r FROM n),
-sm AS (SELECT a.activity_id, a.i, a.distance, coalesce(sum({micro('b.altitude')}) FILTER (b.valid) / count(*) FILTER (b.valid) / 1e6, any_value(a.altitude)) AS smooth
-  FROM r a JOIN al b ON b.activity_id = a.activity_id AND b.i BETWEEN a.i - a.r AND a.i + a.r GROUP BY a.activity_id, a.i, a.distance),
-bk AS (SELECT *, coalesce(max((i, distance, smooth)) OVER (PARTITION BY activity_id ORDER BY distance RANGE BETWEEN UNBOUNDED PRECEDING AND 50 PRECEDING), min((i, distance, smooth)) OVER (PARTITION BY activity_id)) AS b FROM sm)
-SELECT activity_id, i, {rnd('smooth', 4)} AS smooth, {rnd('CASE WHEN distance - b[2] < 1 THEN 0 ELSE (smooth - b[3]) / (distance - b[2]) * 100 END', 3)} AS grade FROM bk""",
-    "stream_stats": f"""WITH {samples('gappy')} SELECT activity_id, count(*) AS samples, max(heartrate) AS hr_max, min(heartrate) AS hr_min, {rnd(f"sum({micro('heartrate')}) / 1e6 / count(heartrate)", 0)} AS hr_avg, max(watts) AS watts_max, {rnd(f"sum({micro('watts')}) / 1e6 / count(watts)", 0)} AS watts_avg FROM smp GROUP BY 1""",
-    "downsample": f"""WITH {aligned('gappy')}, sz AS (SELECT activity_id, count(*) AS n FROM al GROUP BY 1),
-tg AS (SELECT activity_id, n, unnest(CASE WHEN n <= 100 THEN generate_series(0, n - 1) ELSE list_transform(generate_series(0, 99), lambda j: CAST(floor(j * (n - 1) / 99.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) END) AS target FROM sz),
+    "best_effort_period": f"""{best('watts', 'device_watts')}
+SELECT duration_s, activity_id, day, best, start_s, end_s FROM curve JOIN kept USING (activity_id)
+WHERE best IS NOT NULL AND device_watts QUALIFY row_number() OVER (PARTITION BY duration_s ORDER BY best DESC, pos) = 1""",
+    "best_effort_hr": f"""{best('heartrate', 'true')}
+SELECT duration_s, activity_id, day, best, start_s, end_s FROM curve JOIN kept USING (activity_id)
+WHERE best IS NOT NULL QUALIFY row_number() OVER (PARTITION BY duration_s ORDER BY best DESC, pos) = 1""",
+    "best_effort_skips": f"""{best('watts', 'device_watts')}
+SELECT activity_id, day, CASE WHEN device_watts IS NULL THEN 'power_source_unknown' WHEN NOT device_watts THEN 'power_estimated'
+  WHEN activity_id IN (SELECT activity_id FROM fit) THEN 'used' ELSE 'no_data' END AS status FROM kept""",
+    "estimates": f"""WITH {aligned('rides')}, {curves((300, 1200))},
+hx AS (
+  SELECT activity_id, i, has_heartrate, sum({micro('heartrate')}) OVER w AS hs, sum(CAST(valid AS INT)) OVER w AS hok
+  FROM al WINDOW w AS (PARTITION BY activity_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+hw AS (
+  SELECT activity_id, CASE WHEN has_heartrate AND hok - lag(hok, 1200, 0) OVER w = 1200 AND i >= 1199 THEN hs - lag(hs, 1200, 0) OVER w END AS h
+  FROM hx WINDOW w AS (PARTITION BY activity_id ORDER BY i)),
+hb AS (SELECT activity_id, {rnd('max(h) / 1200 / 1e6', 2)} AS beats FROM hw GROUP BY 1),
+c AS (SELECT activity_id, max(best) FILTER (duration_s = 300) AS short, max(best) FILTER (duration_s = 1200) AS long FROM curve GROUP BY 1)
+SELECT activity_id, CASE WHEN short > 0 THEN {rnd(f'16.6::DOUBLE + 8.87::DOUBLE * (short / {KG}::DOUBLE)', 2)} END AS vo2max,
+       CASE WHEN long > 0 THEN {rnd('long * 0.95::DOUBLE', 2)} END AS ftp, CASE WHEN beats > 0 THEN {rnd('beats * 0.98::DOUBLE', 0)} END AS lthr
+FROM c JOIN hb USING (activity_id)""",
+    "climb_grade": f"""WITH {aligned('rides')}, {SMOOTH}
+SELECT activity_id, i, {rnd('smooth', 4)} AS smooth, {rnd('grade', 3)} AS grade FROM gr""",
+    "climb_segments": f"{RIDES}, {CLIMBS} SELECT * FROM climb",
+    "climb_trend": trend("avg_w"),
+    "climb_trend_hr": trend("avg_hr"),
+    "climb_gain": f"""{RIDES}, {CLIMBS}
+SELECT activity_id, count(*) AS climbs, {rnd("sum(CAST(floor(gain_m * 10 + 0.5::DOUBLE) AS BIGINT)) / 10.0::DOUBLE", 1)} AS gain_m FROM climb GROUP BY 1""",
+    "climb_vs_best": f"""{RIDES}, {CLIMBS},
+d AS (SELECT *, to_i - from_i AS duration_s FROM climb),
+bs AS (SELECT duration_s, max(avg_w) AS best_w FROM d GROUP BY 1)
+SELECT activity_id, climb, duration_s, avg_w, best_w, {rnd("avg_w / nullif(best_w, 0) * 100", 1)} AS percent_of_best FROM d LEFT JOIN bs USING (duration_s)""",
+    "compare_activities": f"""{RIDES},
+fp AS (SELECT activity_id, CASE WHEN athlete_id % 3 <> 2 THEN (50 + athlete_id % 20)::DOUBLE END AS ftp, CASE WHEN athlete_id % 4 <> 0 THEN (60 + athlete_id % 9)::DOUBLE END AS kg FROM act),
+{metrics_cte('(SELECT ftp FROM fp WHERE fp.activity_id = g.activity_id)', '(SELECT kg FROM fp WHERE fp.activity_id = g.activity_id)')},
+sg AS (
+  SELECT activity_id, bool_or(has_watts) AS hw, bool_or(has_heartrate) AS hh, bool_or(has_cadence) AS hc,
+         {rnd(f"sum({micro('heartrate')}) FILTER (valid AND has_heartrate) / 1e6 / nullif(count(*) FILTER (valid AND has_heartrate), 0)", 2)} AS mean_hr,
+         {rnd("max(heartrate) FILTER (valid AND has_heartrate)", 2)} AS max_hr,
+         {rnd(f"sum({micro('cadence')}) FILTER (valid AND cadence > 0) / 1e6 / nullif(count(*) FILTER (valid AND cadence > 0), 0)", 2)} AS mean_cadence
+  FROM al GROUP BY 1),
+b AS (SELECT * FROM pm JOIN sg USING (activity_id) JOIN fp USING (activity_id))
+""" + " UNION ALL ".join(
+        f"SELECT activity_id, '{m}' AS metric, CAST({m} AS DOUBLE) AS value, {status} AS status FROM b"
+        for m, status in (
+            ("valid_seconds", "'ok'"),
+            *[(m, "CASE WHEN NOT hw THEN 'no_watts' ELSE 'ok' END") for m in ("avg_w", "np_w", "vi", "work_kj")],
+            *[(m, "CASE WHEN NOT hw THEN 'no_watts' WHEN ftp IS NULL THEN 'no_ftp_w' ELSE 'ok' END") for m in ("intensity", "tss")],
+            ("avg_wkg", "CASE WHEN NOT hw THEN 'no_watts' WHEN kg IS NULL THEN 'no_weight_kg' ELSE 'ok' END"),
+            *[(m, "CASE WHEN NOT hh THEN 'no_heartrate' ELSE 'ok' END") for m in ("mean_hr", "max_hr")],
+            ("mean_cadence", "CASE WHEN NOT hc THEN 'no_cadence' ELSE 'ok' END"),
+        )
+    ),
+    "compare_rejected": f"""WITH {samples('rides')}, {activities('rides')},
+asked AS (SELECT DISTINCT 'r' || user_id AS activity_id FROM events)
+SELECT asked.activity_id, CASE WHEN athlete_id IS NULL THEN 'not_found' ELSE 'other_athlete' END AS reason
+FROM asked LEFT JOIN act USING (activity_id) WHERE athlete_id IS NULL OR athlete_id <> 1""",
+    "stream_stats": f"""WITH {samples('rides')},
+sp AS (
+  SELECT *, (distance - lag(distance) OVER w) / nullif(t - lag(t) OVER w, 0) AS speed,
+         CASE WHEN row_number() OVER w >= 30 THEN pow(sum({micro('coalesce(watts, 0)')}) OVER (PARTITION BY activity_id ORDER BY sample_idx ROWS 29 PRECEDING) / 30.0::DOUBLE / 1e6, 4) END AS f
+  FROM smp WINDOW w AS (PARTITION BY activity_id ORDER BY sample_idx))
+SELECT activity_id, count(*) AS samples, max(heartrate) AS hr_max, min(heartrate) AS hr_min, {rnd(f"sum({micro('heartrate')}) / 1e6 / nullif(count(heartrate), 0)", 0)} AS hr_avg,
+       max(watts) AS watts_max, {rnd(f"sum({micro('watts')}) / 1e6 / nullif(count(watts), 0)", 0)} AS watts_avg, {rnd('max(speed) * 3.6::DOUBLE', 1)} AS speed_max,
+       {rnd(f"sum({micro('speed')}) / 1e6 / nullif(count(speed), 0) * 3.6::DOUBLE", 1)} AS speed_avg, coalesce({rnd('pow(avg(f), 0.25::DOUBLE)', 0)}, 0) AS naive_np
+FROM sp GROUP BY 1""",
+    "downsample": f"""WITH {aligned('rides')}, sz AS (SELECT activity_id, count(*) AS n FROM al GROUP BY 1),
+tg AS (
+  SELECT activity_id, n, unnest(CASE WHEN n <= 100 THEN generate_series(0, n - 1)
+    ELSE list_transform(generate_series(0, 99), lambda j: CAST(floor(j * (n - 1) / 99.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) END) AS target FROM sz),
 nr AS (SELECT t.activity_id, target, a.i, a.watts AS v FROM tg t JOIN al a ON a.activity_id = t.activity_id AND a.i BETWEEN target - 3 AND target + 3),
-pk AS (SELECT activity_id, target, max(v) FILTER (i = target) AS v, max(v) AS tv, arg_max(i, (v, -i)) AS ti, min(v) AS lv, arg_min(i, (v, i)) AS li FROM nr GROUP BY ALL),
-al2 AS (SELECT activity_id, target AS i FROM pk UNION SELECT activity_id, ti FROM pk WHERE abs(tv - v) > 0.1::DOUBLE * abs(v) UNION SELECT activity_id, li FROM pk WHERE abs(lv - v) > 0.1::DOUBLE * abs(v)),
+pk AS (
+  SELECT activity_id, target, max(v) FILTER (i = target) AS v, max(v) AS tv, arg_max(i, (v, -i)) AS ti, min(v) AS lv, arg_min(i, (v, i)) AS li
+  FROM nr GROUP BY ALL),
+al2 AS (
+  SELECT activity_id, target AS i FROM pk UNION SELECT activity_id, ti FROM pk WHERE abs(tv - v) > 0.1::DOUBLE * abs(v)
+  UNION SELECT activity_id, li FROM pk WHERE abs(lv - v) > 0.1::DOUBLE * abs(v)),
 pl AS (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY i) AS place FROM al2)
 SELECT activity_id, i, CAST(place AS INTEGER) AS place, {rnd('watts', 6)} AS watts FROM pl JOIN al USING (activity_id, i) WHERE place <= 100""",
-    "chunk_assign": f"WITH {aligned('gappy')} SELECT activity_id, i // 405 AS chunk, count(*) AS points, min(i) AS first_i, {rnd('max(watts)', 6)} AS top FROM al GROUP BY ALL",
+    "uniform_sample": f"""WITH {aligned('rides')}, sz AS (SELECT activity_id, count(*) AS n FROM al GROUP BY 1),
+tg AS (
+  SELECT activity_id, unnest(CASE WHEN n <= 100 THEN generate_series(0, n - 1)
+    ELSE list_transform(generate_series(0, 99), lambda j: CAST(floor(j * (n - 1) / 99.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) END) AS i FROM sz)
+SELECT activity_id, i, moving FROM tg JOIN al USING (activity_id, i)""",
+    "verbose_streams": f"""WITH {samples('rides')}
+SELECT activity_id, sample_idx, printf('%02d:%02d:%02d', t % 86400 // 3600, t % 3600 // 60, t % 60) AS clock, {rnd('distance / 1000.0::DOUBLE', 2)} AS kilometres FROM smp""",
+    "chunk_assign": f"""WITH {aligned('rides')}
+SELECT activity_id, i // 405 AS chunk, count(*) AS points, '{{"i":[' || string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) || '],"valid":[' || string_agg(CAST(valid AS VARCHAR), ',' ORDER BY i) || ']}}' AS payload
+FROM al GROUP BY ALL""",
     "profile_asof": f"""WITH {PROFILE}, ac AS (SELECT l_orderkey * 10 + l_linenumber AS activity_id, l_orderkey % 500 AS athlete_id, CAST(l_shipdate AS DATE) AS day FROM lineitem),
 a2 AS (SELECT activity_id, min(athlete_id) AS athlete_id, min(day) AS day FROM ac GROUP BY 1)
 SELECT a2.activity_id, a2.athlete_id, a2.day, max(value) AS value, max(effective_from) AS effective_from FROM a2 LEFT JOIN pf ON pf.athlete_id = a2.athlete_id AND effective_from <= day AND (effective_to IS NULL OR day <= effective_to) GROUP BY 1, 2, 3""",
-    "profile_overlap_violations": """WITH p AS (SELECT o_custkey AS athlete_id, CAST(o_orderdate AS DATE) AS effective_from, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 AS INTEGER) AS effective_to FROM orders WHERE o_orderpriority = '1-URGENT'),
+    "profile_overlap_violations": """WITH p AS (SELECT o_custkey AS athlete_id, CAST(o_orderdate AS DATE) AS effective_from, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 AS INTEGER) AS effective_to FROM orders),
 q AS (SELECT DISTINCT * FROM p QUALIFY row_number() OVER (PARTITION BY athlete_id, effective_from ORDER BY effective_to) = 1),
 r AS (SELECT *, lead(effective_from) OVER (PARTITION BY athlete_id ORDER BY effective_from) AS next_from FROM q) SELECT * FROM r WHERE next_from IS NOT NULL AND effective_to >= next_from""",
     "activity_filter": "SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND lower(o_orderstatus) IN ('f', 'o') AND lower(o_orderpriority) IN ('1-urgent', '5-low')",
     "activity_page": "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100",
     "recent_activities": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 30",
     "segment_bbox": "SELECT s_suppkey, s_acctbal / 100 AS lat, CAST(s_nationkey AS DOUBLE) AS lng FROM suppliers_ WHERE lat BETWEEN 10 AND 60 AND lng BETWEEN 3 AND 15".replace("suppliers_", "supplier"),
-    "leaderboard_topk": "SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey) AS INTEGER) AS rank FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' QUALIFY rank <= 10",
+    "leaderboard_topk": "SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey) AS INTEGER) AS rank FROM lineitem QUALIFY rank <= 10",
     "athlete_totals": f"SELECT c_nationkey, year(o_orderdate) AS year, count(*) AS activities, {rnd('sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) / 1e2', 2)} AS distance, max(o_totalprice) AS biggest FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
     "format_durations": r"""SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS clock, CASE WHEN s >= 3600 THEN printf('%dh %dm', s // 3600, s % 3600 // 60) ELSE printf('%dm', s // 60) END AS short, strftime(ts, '%m/%d/%Y, %H:%M') AS local,
   printf('%d:%02d', CAST(floor(1000.0::DOUBLE / value + 0.5::DOUBLE) AS BIGINT) // 60, CAST(floor(1000.0::DOUBLE / value + 0.5::DOUBLE) AS BIGINT) % 60) AS pace FROM (SELECT *, CAST(floor(value * 60) AS BIGINT) AS s FROM events)""",
@@ -190,3 +393,55 @@ SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id)
        CASE k % 4 WHEN 0 THEN 0.85::DOUBLE WHEN 1 THEN 0.8::DOUBLE WHEN 2 THEN 1.05::DOUBLE ELSE 0.75::DOUBLE END AS power,
        CASE WHEN k % 3 = 0 AND k > 0 THEN k END AS cadence, CASE WHEN k % 3 = 0 THEN 'go' END AS notes
 FROM (SELECT *, CAST(props->>'k' AS INTEGER) AS k FROM events)"""
+
+SQL |= {
+    "hr_order_violations": """WITH o AS (
+  SELECT o_custkey AS athlete_id, ['aet_hr_bpm', 'hr_threshold_bpm', 'hr_max_bpm'][1 + o_orderkey % 3] AS metric, 1 + o_orderkey % 3 AS place, 80 + o_orderkey % 120 AS value,
+         CAST(o_orderdate AS DATE) AS effective_from, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 AS INTEGER) AS effective_to FROM orders)
+SELECT a.athlete_id, a.metric AS metric_a, CAST(a.value AS DOUBLE) AS value_a, a.effective_from AS effective_from_a, a.effective_to AS effective_to_a,
+       b.metric AS metric_b, CAST(b.value AS DOUBLE) AS value_b, b.effective_from AS effective_from_b, b.effective_to AS effective_to_b
+FROM o a JOIN o b ON a.athlete_id = b.athlete_id AND a.place < b.place AND a.effective_from <= b.effective_to AND b.effective_from <= a.effective_to WHERE a.value >= b.value""",
+    "profile_violations": """WITH e AS (
+  SELECT o_orderkey AS entry, ['ftp_w', 'weight_kg', 'hr_max_bpm', 'speed'][1 + o_orderkey % 4] AS metric, CAST(o_totalprice / 1000 AS DOUBLE) AS value,
+         ['W', 'kg', 'bpm', 'W', 'W'][1 + o_orderkey % 5] AS unit, CAST(o_orderdate AS DATE) AS effective_from,
+         CAST(o_orderdate AS DATE) + CAST(o_orderkey % 11 - 2 AS INTEGER) AS effective_to FROM orders),
+s(metric, wanted, lo, hi) AS (VALUES ('ftp_w', 'W', 50.0, 600.0), ('weight_kg', 'kg', 30.0, 200.0), ('hr_max_bpm', 'bpm', 120.0, 230.0)),
+p AS (
+  SELECT e.entry, e.metric, CASE WHEN wanted IS NULL THEN 'unknown_metric' WHEN unit <> wanted THEN 'unit' WHEN value < lo OR value > hi THEN 'range'
+    WHEN effective_to < effective_from THEN 'dates' END AS problem FROM e LEFT JOIN s USING (metric))
+SELECT * FROM p WHERE problem IS NOT NULL""",
+    "profile_multi_asof": """WITH e AS (
+  SELECT o_custkey % 200 AS athlete_id, ['ftp_w', 'weight_kg', 'hr_max_bpm'][1 + o_orderkey % 3] AS metric, CAST(o_orderdate AS DATE) AS effective_from, max(o_totalprice) AS value
+  FROM orders GROUP BY ALL),
+f AS (SELECT *, lead(effective_from) OVER (PARTITION BY athlete_id, metric ORDER BY effective_from) - 1 AS effective_to FROM e),
+a AS (SELECT o_orderkey AS activity_id, o_custkey % 200 AS athlete_id, CAST(o_orderdate AS DATE) + 40 AS day FROM orders)
+SELECT activity_id, a.athlete_id, day, max(value) FILTER (metric = 'ftp_w') AS ftp_w, max(value) FILTER (metric = 'weight_kg') AS weight_kg, max(value) FILTER (metric = 'hr_max_bpm') AS hr_max_bpm
+FROM a LEFT JOIN f ON f.athlete_id = a.athlete_id AND effective_from <= day AND (effective_to IS NULL OR day <= effective_to) GROUP BY 1, 2, 3""",
+    "profile_upsert": """WITH p AS (
+  SELECT o_custkey AS athlete_id, CAST(o_orderdate AS DATE) AS effective_from, max(o_totalprice) AS value, NULL::DATE AS effective_to FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL),
+n AS (SELECT o_custkey AS athlete_id, CAST(o_orderdate AS DATE) AS effective_from, max(o_totalprice) AS value, NULL::DATE AS effective_to FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL),
+u AS (SELECT *, false AS new FROM p UNION ALL SELECT *, true FROM n WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.athlete_id = n.athlete_id AND p.effective_from = n.effective_from))
+SELECT athlete_id, effective_from, value, CASE WHEN lead(new) OVER w AND effective_to IS NULL THEN lead(effective_from) OVER w - 1 ELSE effective_to END AS effective_to
+FROM u WINDOW w AS (PARTITION BY athlete_id ORDER BY effective_from)""",
+    "leaderboard_filters": """SELECT l_orderkey, l_linenumber, rank FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey) AS INTEGER) AS rank FROM lineitem
+  WHERE l_returnflag = 'R' AND l_quantity >= 25 AND l_quantity < 35 AND 40 + l_suppkey % 60 >= 65 AND 40 + l_suppkey % 60 < 75 AND l_linenumber % 2 = 0 AND l_partkey % 7 IN (1, 3)
+    AND CAST(l_shipdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-10-15') WHERE rank <= 100""",
+    "climb_category": "SELECT p_partkey, p_size % 6 AS climb_category FROM part WHERE p_size % 6 BETWEEN 2 AND 4",
+    "athlete_period_totals": f"""WITH o AS (SELECT c_nationkey, CAST(o_orderdate AS DATE) AS day, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents, o_orderpriority AS sport FROM orders JOIN customer ON o_custkey = c_custkey),
+p(period) AS (VALUES ('recent'), ('ytd'), ('all')),
+k AS (SELECT DISTINCT c_nationkey, sport FROM o)
+SELECT k.c_nationkey, k.sport, period, count(day) AS activities, CAST(coalesce(sum(cents), 0) AS BIGINT) AS distance
+FROM k CROSS JOIN p LEFT JOIN o ON o.c_nationkey = k.c_nationkey AND o.sport = k.sport
+  AND CASE period WHEN 'recent' THEN day > DATE '1998-06-30' - 28 AND day <= DATE '1998-06-30' WHEN 'ytd' THEN year(day) = 1998 AND day <= DATE '1998-06-30' ELSE true END
+GROUP BY ALL""",
+    "record_counts": "SELECT count(*) AS fetched, count(*) FILTER (lower(o_orderstatus) = 'f') AS matching, least(count(*) FILTER (lower(o_orderstatus) = 'f'), 50) AS returned FROM orders",
+    "unit_conversions": f"""SELECT event_id, {rnd('value * 1000 / 1000.0::DOUBLE', 3)} AS km, {rnd('value * 1000 / 1609.344::DOUBLE', 3)} AS miles, {rnd('value * 3.28084::DOUBLE', 3)} AS feet, {rnd('value * 3.6::DOUBLE', 3)} AS kmh,
+  printf('%02d:%02d:%02d', s % 86400 // 3600, s % 3600 // 60, s % 60) AS clock_of_day, CASE WHEN length(props) > 8 THEN left(props, 8) || '...' ELSE props END AS short,
+  concat_ws(', ', event_type, CASE WHEN event_id % 3 <> 0 THEN props END) AS joined, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) END AS id, substring(sha1(array_to_string(list_sort([event_type, 'heartrate']), ',')), 1, 8) AS types,
+  CASE WHEN event_id % 4 = 0 THEN 'open' ELSE CAST(event_id % 4 AS VARCHAR) END AS source
+FROM (SELECT *, CAST(floor(value * 1000) AS BIGINT) AS s FROM events)""",
+    "photo_urls": """SELECT user_id, event_id, u.size, u.url FROM (
+  SELECT user_id, event_id, unnest([{'size': '100', 'url': event_type || '/s'}, {'size': '600', 'url': event_type || '/l'}]) AS u FROM events)""",
+    "route_gpx": """SELECT o_custkey, string_agg('<trkpt lat="' || printf('%.6f', (o_orderkey % 90)::DOUBLE) || '" lon="' || printf('%.6f', (o_orderkey % 180)::DOUBLE) || '"/>', '' ORDER BY o_orderkey) AS points FROM orders GROUP BY 1""",
+}

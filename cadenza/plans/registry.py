@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from cadenza.functions import scalars
 from cadenza.functions.ordered import KEY
 from cadenza.functions.scalars import rnd
-from cadenza.operators import align, bands, climbs, decoupling, estimate, power, profile, records, workout
-from cadenza.plans.oracles import DUR, FTP, HR, KG, POWER, SQL
-from cadenza.sources.events import samples, table
+from cadenza.operators import align, analysis, bands, climbs, decoupling, estimate, exports, power, profile, records, workout
+from cadenza.plans.oracles import DAYS, DUR, FTP, HR, KG, POWER, SQL
+from cadenza.sources.events import activities, samples, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES = SQL
@@ -23,40 +23,47 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def aligned(spark: SparkSession, sf_dir: str, view: str = "gappy") -> DataFrame:
-    return align.align(samples(spark, sf_dir, view))
+def aligned(spark: SparkSession, sf_dir: str, view: str = "rides", moving: bool = False) -> DataFrame:
+    return align.align(samples(spark, sf_dir, view), moving=moving)
 
 
 @query
 def align_grid(spark, sf_dir):
-    return aligned(spark, sf_dir).select(KEY, "i", "offset", "valid", *[rnd(F.col(s), 6).alias(s) for s in align.SIGNALS])
+    return aligned(spark, sf_dir, moving=True).select(KEY, "i", "offset", "valid", "moving", *[rnd(F.col(s), 6).alias(s) for s in align.SIGNALS])
+
+
+@query
+def availability(spark, sf_dir):
+    return align.availability(samples(spark, sf_dir, "rides"))
 
 
 @query
 def gap_summary(spark, sf_dir):
-    gaps = align.gaps(align.cleaned(samples(spark, sf_dir, "gappy")))
-    return gaps.groupBy(KEY).agg(F.count("*").alias("gap_count"), F.sum("duration_s").alias("gap_seconds"), F.max("duration_s").alias("longest_gap_s"), F.count_if(~F.col("filled")).alias("unfilled_gaps"))
+    gaps = align.gaps(align.cleaned(samples(spark, sf_dir, "rides")))
+    return gaps.groupBy(KEY).agg(
+        F.count("*").alias("gap_count"), F.sum("duration_s").alias("gap_seconds"), F.max("duration_s").alias("longest_gap_s"), F.count_if(~F.col("filled")).alias("unfilled_gaps")
+    )
 
 
 @query
 def quality(spark, sf_dir):
-    rows = samples(spark, sf_dir, "gappy")
-    return align.quality(align.align(rows), align.gaps(align.cleaned(rows)), ("watts", "heartrate"))
+    found = align.quality(aligned(spark, sf_dir), ("watts", "heartrate")).join(activities(spark, sf_dir, "rides").select(KEY, "device_watts"), KEY)
+    return found.withColumn("power_source", align.power_source(F.col("watts_available"), F.col("device_watts"))).drop("device_watts")
 
 
 @query
 def power_metrics(spark, sf_dir):
-    return power.power_metrics(aligned(spark, sf_dir, "dense"), F.lit(FTP), F.lit(KG))
+    return power.power_metrics(aligned(spark, sf_dir), F.lit(FTP), F.lit(KG))
 
 
 @query
-def power_metrics_gappy(spark, sf_dir):
-    return power.power_metrics(aligned(spark, sf_dir), F.lit(FTP), F.lit(KG))
+def power_metrics_daily(spark, sf_dir):
+    return power.power_metrics(aligned(spark, sf_dir, "days"), F.lit(FTP), F.lit(KG))
 
 
 @query
 def power_curve(spark, sf_dir):
-    return power.curve(aligned(spark, sf_dir), DUR).drop("best_raw")
+    return power.curve(aligned(spark, sf_dir), DUR).drop("best_raw").withColumn("best_wkg", rnd(F.col("best") / KG, 3))
 
 
 @query
@@ -91,27 +98,44 @@ def work_above_ftp(spark, sf_dir):
 
 @query
 def decoupling_halves(spark, sf_dir):
-    return decoupling.decoupling(aligned(spark, sf_dir), warmup_min=1, low_w=10.0, min_seconds=100)
+    return decoupling.decoupling(aligned(spark, sf_dir, moving=True), warmup_min=1, low_w=10.0, moving_only=True, min_seconds=100)
 
 
 QUERIES["decoupling"] = QUERIES.pop("decoupling_halves")
 
 
+def period_efforts(spark: SparkSession, sf_dir: str, signal: str) -> tuple[DataFrame, DataFrame]:
+    """Best efforts among the newest 30 activities of a period, some of which are excluded; only these are aligned."""
+    all_ = activities(spark, sf_dir, "days")
+    excluded = all_.where(F.col("athlete_id") % 13 == 5)
+    listed = records.listed(all_, F.lit("2024-01-05").cast("date"), F.lit("2024-01-25").cast("date"), 30, excluded)
+    return analysis.best_efforts(samples(spark, sf_dir, "days"), listed, DAYS, signal)
+
+
 @query
 def best_effort_period(spark, sf_dir):
-    """Newest 30 activities of a period, measured ones only, aligned after they are chosen."""
-    rows = samples(spark, sf_dir, "daily")
-    listed = rows.select(KEY).distinct().withColumn("day", F.to_date(F.right(KEY, F.lit(10)))).where("day between date'2024-01-05' and date'2024-01-25'")
-    listed = listed.orderBy(F.desc("day"), KEY).limit(30).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("day"), KEY)))
-    measured = F.broadcast(listed.where(F.dayofmonth("day") % 3 != 0))  # 30 rows at most
-    curves = power.curve(align.align(rows.join(measured.select(KEY), KEY, "left_semi"), ("watts",)), (1, 5, 10)).where("best is not null").join(measured, KEY)
-    return records.leaderboard(curves, ["duration_s"], F.desc("best"), 1, "pos").select("duration_s", KEY, "day", "best", "start_s", "end_s")
+    return period_efforts(spark, sf_dir, "watts")[0]
+
+
+@query
+def best_effort_hr(spark, sf_dir):
+    return period_efforts(spark, sf_dir, "heartrate")[0]
+
+
+@query
+def best_effort_skips(spark, sf_dir):
+    return period_efforts(spark, sf_dir, "watts")[1].select(KEY, "day", "status")
 
 
 @query
 def estimates(spark, sf_dir):
-    best = power.curve(aligned(spark, sf_dir), (30, 120)).groupBy(KEY).agg(*[F.max(F.when(F.col("duration_s") == d, F.col("best"))).alias(n) for d, n in ((30, "short"), (120, "long"))])
-    return best.select(KEY, estimate.vo2max(F.col("short"), F.lit(KG)).alias("vo2max"), estimate.ftp(F.col("long")).alias("ftp"), estimate.lthr(F.col("long")).alias("lthr"))
+    rows = aligned(spark, sf_dir)
+    of = lambda d: F.max(F.when(F.col("duration_s") == d, F.col("best")))
+    best = power.curve(rows, (300, 1200)).groupBy(KEY).agg(of(300).alias("short"), of(1200).alias("long"))
+    beats = power.curve(rows, (1200,), "heartrate").select(KEY, F.col("best").alias("beats"))
+    return best.join(beats, KEY).select(
+        KEY, estimate.vo2max(F.col("short"), F.lit(KG)).alias("vo2max"), estimate.ftp(F.col("long")).alias("ftp"), estimate.lthr(F.col("beats")).alias("lthr")
+    )
 
 
 @query
@@ -119,29 +143,58 @@ def climb_grade(spark, sf_dir):
     return climbs.grades(climbs.smooth(aligned(spark, sf_dir))).select(KEY, "i", rnd(F.col("smooth"), 4).alias("smooth"), rnd(F.col("grade"), 3).alias("grade"))
 
 
+def found_climbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = aligned(spark, sf_dir).join(activities(spark, sf_dir, "rides").select(KEY, "device_watts"), KEY)
+    return climbs.climbs(rows, F.lit(KG), F.col("device_watts"))
+
+
 @query
 def climb_segments(spark, sf_dir):
-    return climbs.climbs(aligned(spark, sf_dir))
+    return found_climbs(spark, sf_dir)
 
 
 @query
 def climb_trend(spark, sf_dir):
-    return climbs.trend(climbs.climbs(aligned(spark, sf_dir)), "climb", "avg_w")
+    return climbs.trend(found_climbs(spark, sf_dir), "climb", "avg_w")
+
+
+@query
+def climb_trend_hr(spark, sf_dir):
+    return climbs.trend(found_climbs(spark, sf_dir), "climb", "avg_hr")
+
+
+@query
+def climb_gain(spark, sf_dir):
+    return climbs.total_gain(found_climbs(spark, sf_dir))
+
+
+@query
+def climb_vs_best(spark, sf_dir):
+    """Each climb against the best power that any climb of its length in seconds had."""
+    found = found_climbs(spark, sf_dir)
+    best = found.groupBy((F.col("to_i") - F.col("from_i")).alias("duration_s")).agg(F.max("avg_w").alias("best"))
+    return climbs.against_best(found, best).select(KEY, "climb", "duration_s", "avg_w", "best_w", "percent_of_best")
 
 
 @query
 def compare_activities(spark, sf_dir):
-    """Each activity's metrics side by side, a missing one with its status."""
-    rows = aligned(spark, sf_dir)
-    halves = decoupling.decoupling(rows, min_seconds=100).select(KEY, "decoupling_pct")
-    both = power.power_metrics(rows, F.lit(FTP), F.lit(KG)).join(halves, KEY, "left")
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("avg_w", "np_w", "vi", "tss", "work_kj", "decoupling_pct")])
-    return both.select(KEY, F.inline(cells)).withColumn("status", F.when(F.col("value").isNull(), "missing_data").otherwise("ok"))
+    """Eleven cells of each activity, with thresholds and weights that some athletes lack."""
+    a = F.col("athlete_id")
+    parameters = activities(spark, sf_dir, "rides").select(
+        KEY, F.when(a % 3 != 2, (50 + a % 20).cast("double")).alias("ftp_w"), F.when(a % 4 != 0, (60 + a % 9).cast("double")).alias("weight_kg")
+    )
+    return analysis.compare(aligned(spark, sf_dir).join(parameters, KEY))
+
+
+@query
+def compare_rejected(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias(KEY))
+    return analysis.rejected(asked, activities(spark, sf_dir, "rides"), F.lit(1))
 
 
 @query
 def stream_stats(spark, sf_dir):
-    return records.series_stats(samples(spark, sf_dir, "gappy"))
+    return records.series_stats(samples(spark, sf_dir, "rides"))
 
 
 @query
@@ -149,10 +202,19 @@ def downsample(spark, sf_dir):
     return records.downsampled(aligned(spark, sf_dir), "watts", 100).select(KEY, "i", "place", rnd(F.col("watts"), 6).alias("watts"))
 
 
+@query
+def uniform_sample(spark, sf_dir):
+    return records.sampled(aligned(spark, sf_dir, moving=True), 100).select(KEY, "i", "moving")
+
+
+@query
+def verbose_streams(spark, sf_dir):
+    return records.verbose(samples(spark, sf_dir, "rides")).select(KEY, "sample_idx", "clock", "kilometres")
+
+
 @query
 def chunk_assign(spark, sf_dir):
-    size = records.chunk_size(5)
-    return aligned(spark, sf_dir).groupBy(KEY, F.expr(f"i div {size}").alias("chunk")).agg(F.count("*").alias("points"), F.min("i").alias("first_i"), rnd(F.max("watts"), 6).alias("top"))
+    return records.chunks(aligned(spark, sf_dir), records.chunk_size(5), "valid")
 
 
 @query
@@ -167,7 +229,7 @@ def profile_asof(spark, sf_dir):
 @query
 def profile_overlap_violations(spark, sf_dir):
     start = F.to_date("o_orderdate")
-    rows = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("athlete_id"), start.alias("effective_from"), F.date_add(start, (F.col("o_orderkey") % 400).cast("int")).alias("effective_to"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("athlete_id"), start.alias("effective_from"), F.date_add(start, (F.col("o_orderkey") % 400).cast("int")).alias("effective_to"))
     rows = rows.groupBy("athlete_id", "effective_from").agg(F.min("effective_to").alias("effective_to"))
     return profile.overlaps(rows, ["athlete_id"])
 
@@ -196,7 +258,7 @@ def segment_bbox(spark, sf_dir):
 
 @query
 def leaderboard_topk(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'1998-01-01'")
+    rows = table(spark, sf_dir, "lineitem")
     return records.leaderboard(rows, ["l_suppkey"], F.asc("l_extendedprice"), 10, "l_orderkey", "l_linenumber", "l_partkey").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "rank")
 
 
@@ -213,14 +275,129 @@ def format_durations(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalars.clock(s).alias("clock"), scalars.short_duration(s).alias("short"), scalars.local_text(F.col("ts")).alias("local"), scalars.pace(F.col("value")).alias("pace"))
 
 
-def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, text): a workout line for each event of a user's, in order."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    line = F.concat(F.lit("- "), "event_type", F.lit(": "), k.cast("string"), F.when(k % 2 == 0, " min at ").otherwise(" sec at "), F.get(F.array(*map(F.lit, ("tempo", "80% FTP", "Very hard", "steady"))), k % 4))
-    rows = table(spark, sf_dir, "events").select("user_id", F.struct("event_id", F.concat(line, F.when(k % 3 == 0, F.concat(F.lit(" [Cadence: "), k.cast("string"), F.lit(", Notes: go]"))).otherwise("")).alias("line")).alias("x"))
-    return rows.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
+@query
+def hr_order_violations(spark, sf_dir):
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    metric = F.get(F.array(*map(F.lit, profile.HEART_ORDER)), (k % 3).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("athlete_id"), metric.alias("metric"), (80 + k % 120).cast("double").alias("value"), day.alias("effective_from"), F.date_add(day, (k % 30).cast("int")).alias("effective_to")
+    )
+    return profile.order_violations(rows, ["athlete_id"], profile.HEART_ORDER)
+
+
+@query
+def profile_violations(spark, sf_dir):
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), (k % n).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("entry"),
+        pick(("ftp_w", "weight_kg", "hr_max_bpm", "speed"), 4).alias("metric"),
+        (F.col("o_totalprice") / 1000).alias("value"),
+        pick(("W", "kg", "bpm", "W", "W"), 5).alias("unit"),
+        day.alias("effective_from"),
+        F.date_add(day, (k % 11 - 2).cast("int")).alias("effective_to"),
+    )
+    return profile.violations(rows).select("entry", "metric", "problem")
+
+
+@query
+def profile_multi_asof(spark, sf_dir):
+    metrics = ("ftp_w", "weight_kg", "hr_max_bpm")
+    orders = table(spark, sf_dir, "orders").withColumn("athlete_id", F.col("o_custkey") % 200)
+    metric = F.get(F.array(*map(F.lit, metrics)), (F.col("o_orderkey") % 3).cast("int"))
+    entries = orders.groupBy("athlete_id", metric.alias("metric"), F.to_date("o_orderdate").alias("effective_from")).agg(F.max("o_totalprice").alias("value"))
+    w = Window.partitionBy("athlete_id", "metric").orderBy("effective_from")
+    entries = entries.withColumn("effective_to", F.date_sub(F.lead("effective_from").over(w), 1))
+    rows = orders.select(F.col("o_orderkey").alias(KEY), "athlete_id", F.date_add(F.to_date("o_orderdate"), 40).alias("day"))
+    return profile.as_of_all(rows, entries, ["athlete_id"], "day", metrics)
+
+
+@query
+def profile_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("athlete_id"), F.to_date("o_orderdate").alias("effective_from"), F.col("o_totalprice").alias("value"))
+    entries = lambda odd: (
+        rows.where(F.col("k") % 2 == odd).groupBy("athlete_id", "effective_from").agg(F.max("value").alias("value")).withColumn("effective_to", F.lit(None).cast("date"))
+    )
+    return profile.upserted(entries(0), entries(1), ["athlete_id"], overwrite=False)
+
+
+@query
+def leaderboard_filters(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_extendedprice",
+        F.col("l_returnflag").alias("gender"),
+        F.col("l_quantity").alias("age"),
+        (40 + F.col("l_suppkey") % 60).alias("weight"),
+        (F.col("l_linenumber") % 2 == 0).alias("followed"),
+        F.array((F.col("l_partkey") % 7).cast("int"), (F.col("l_partkey") % 7 - 2).cast("int")).alias("clubs"),
+        F.to_date("l_shipdate").alias("day"),
+    )
+    kept = records.leaderboard_filter(
+        rows, F.lit("1997-10-15").cast("date"), gender="R", age_group="25_34", weight_class="65_74", following=True, club_id=1, date_range="this_year"
+    )
+    best = kept.orderBy("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey").limit(100)
+    w = Window.orderBy("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey")  # 100 rows
+    return best.withColumn("rank", F.row_number().over(w)).select("l_orderkey", "l_linenumber", "rank")
+
+
+@query
+def climb_category(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 6).alias("climb_category"))
+    return records.climb_category(rows, True, 2, 4)
+
+
+@query
+def athlete_period_totals(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumnRenamed("o_orderpriority", "sport")
+    cents = F.floor(F.col("o_totalprice") * 100 + 0.5).cast("bigint")
+    return records.period_totals(rows, ["c_nationkey", "sport"], F.to_date("o_orderdate"), F.lit("1998-06-30").cast("date"), 28, distance=cents)
+
+
+@query
+def record_counts(spark, sf_dir):
+    hit = F.count_if(scalars.one_of(F.col("o_orderstatus"), ["F"]))
+    return table(spark, sf_dir, "orders").agg(F.count("*").alias("fetched"), hit.alias("matching"), F.least(hit, F.lit(50)).alias("returned"))
+
+
+@query
+def unit_conversions(spark, sf_dir):
+    metres, e = F.col("value") * 1000, F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        rnd(scalars.km(metres), 3).alias("km"),
+        rnd(scalars.miles(metres), 3).alias("miles"),
+        rnd(scalars.feet(F.col("value")), 3).alias("feet"),
+        rnd(scalars.kmh(F.col("value")), 3).alias("kmh"),
+        scalars.time_of_day(metres).alias("clock_of_day"),
+        scalars.shortened(F.col("props"), 8).alias("short"),
+        scalars.joined(F.col("event_type"), F.when(e % 3 != 0, F.col("props"))).alias("joined"),
+        scalars.valid_id(F.when(e % 2 == 0, F.concat(F.lit(" "), e.cast("string"))).otherwise(F.concat(F.lit("x"), e.cast("string")))).alias("id"),
+        scalars.types_key(F.array(F.col("event_type"), F.lit("heartrate"))).alias("types"),
+        scalars.decoded(e % 4, {1: "1", 2: "2", 3: "3"}, "open").alias("source"),
+    )
+
+
+@query
+def photo_urls(spark, sf_dir):
+    urls = F.create_map(F.lit("100"), F.concat("event_type", F.lit("/s")), F.lit("600"), F.concat("event_type", F.lit("/l")))
+    return scalars.entries(table(spark, sf_dir, "events").select("user_id", "event_id", urls.alias("urls")), "urls", "size", "url")
+
+
+@query
+def route_gpx(spark, sf_dir):
+    points = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("place"), (F.col("o_orderkey") % 90).cast("double").alias("lat"), (F.col("o_orderkey") % 180).cast("double").alias("lng"))
+    return exports.track_points(points, "o_custkey")
 
 
 @query
 def workout_segments(spark, sf_dir):
-    return workout.segments(plans(spark, sf_dir), "user_id", "text")
+    """A workout line for each event, numbered along each user's events; lines are read one by one, no text is gathered."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    target = F.get(F.array(*map(F.lit, ("tempo", "80% FTP", "Very hard", "steady"))), k % 4)
+    line = F.concat(F.lit("- "), "event_type", F.lit(": "), k.cast("string"), F.when(k % 2 == 0, " min at ").otherwise(" sec at "), target)
+    line = F.concat(line, F.when(k % 3 == 0, F.concat(F.lit(" [Cadence: "), k.cast("string"), F.lit(", Notes: go]"))).otherwise(""))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return workout.segments_of_lines(table(spark, sf_dir, "events").select("user_id", place.alias("place"), line.alias("line")), "user_id")
