@@ -10,13 +10,13 @@ from cadenza.llm.common import written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -25,14 +25,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected edge table (u, v), the component named by its smallest node.
 
     Loops and repeated edges do no harm, null ends are left out; nodes without edges don't appear.
-    A hub with a third of all edges is pre-aggregated before each shuffle and its join is one that
-    adaptive execution can split. Every round is written to the shared folder.
+    A hub with a third of all edges is pre-aggregated before each shuffle. Minima are written before they are
+    joined, so that both sides of the join are plain shuffles, of which adaptive execution splits the hub's.
+    Every round is written to the shared folder.
     """
     edges = written(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
     nodes = edges.select("u").union(edges.select("v")).distinct()
     before = None
     for _ in range(rounds):
-        edges = written(_small_star(_large_star(edges)).distinct(), "star")
+        edges = written(_small_star(written(_large_star(edges).distinct(), "large")).distinct(), "star")
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break

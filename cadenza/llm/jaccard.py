@@ -22,8 +22,8 @@ SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 21, 3
 #: A pair goes once the posterior probability that it reaches the threshold is below this.
 TOLERANCE = 1e-7
-#: MinHash values compared at a time, and members of a block.
-STEP, BLOCK = 9, 256
+#: MinHash values compared at a time, members of a block of texts, and of a part of a band's bucket.
+STEP, BLOCK, PART = 9, 256, 1024
 COLUMNS = 16_384
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 2**63, BANDS * ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -74,13 +74,13 @@ def signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
 
 
 def members(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The shingles of candidates (node, copies, component, blocks, class, sig, text); rows of another text with the same hash go."""
+    """The shingles of candidates (node, copies, block, class, sig, text); rows of another text with the same hash go."""
     for batch in batches:
         for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
             words = [WORDS(t or "") for t in part.column("text").to_pylist()]
             names = [xxhash.xxh3_128_hexdigest("\n".join(w).encode("utf-8", "surrogatepass")) for w in words]
             keep = [i for i, (a, b) in enumerate(zip(names, part.column("class").to_pylist(), strict=True)) if a == b]
-            rest = part.select(["node", "copies", "component", "blocks", "sig"]).take(pa.array(keep, pa.int64()))
+            rest = part.select(["node", "copies", "block", "sig"]).take(pa.array(keep, pa.int64()))
             blobs = pa.array([shingles(words[i], size).tobytes() for i in keep], pa.binary())
             yield pa.record_batch([*rest.columns, blobs], names=[*rest.schema.names, "shingles"])
     forget()
@@ -148,37 +148,67 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str], keys: int) -> Iterator[list[tuple]]:
+    """Rows that agree in their first columns, of sorted batches."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+
+    return (list(g) for _, g in itertools.groupby(rows(), key=lambda r: r[:keys]))
+
+
+def meeting_blocks(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
+    """(lo, hi): blocks of texts that hold a pair which outlives the comparison, from sorted pairs of a bucket's parts."""
+    fewest = least_matches(threshold, tolerance, BANDS * ROWS)
+    out: set[tuple[int, int]] = set()
+    for group in _groups(batches, ["bucket", "lo", "hi", "part", "block", "sig"], 3):
+        lo, hi = group[0][1:3]
+        left = [r for r in group if r[3] == lo]
+        right = left if lo == hi else [r for r in group if r[3] == hi]
+        if not left or not right:
+            continue
+        i, j = likely(*(np.frombuffer(b"".join(r[5] for r in side), "<u4").reshape(len(side), -1) for side in (left, right)), lo == hi, fewest)
+        a, b = (np.array([r[4] for r in side]) for side in (left, right))
+        found = np.unique(np.stack([np.minimum(a[i], b[j]), np.maximum(a[i], b[j])]), axis=1)
+        out.update(zip(*found.tolist(), strict=True))
+        if len(out) > 20_000:
+            yield _pairs(out)
+            out = set()
+    yield _pairs(out)
+
+
+def _pairs(rows: set[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], names=["lo", "hi"])
+
+
 def block_links(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
     """(node, links, other): link counts (other null) and forest edges of sorted block pairs."""
     fewest = least_matches(threshold, tolerance, BANDS * ROWS)
-    names = ["component", "lo", "hi", "block", "node", "copies", "sig", "shingles"]
+    names = ["lo", "hi", "block", "node", "copies", "sig", "shingles"]
 
     def work(group: list[tuple]) -> list[tuple]:
-        group = list({r[4]: r for r in group}.values())
-        lo, hi = group[0][1], group[0][2]
-        left = [r for r in group if r[3] == lo]
-        right = left if lo == hi else [r for r in group if r[3] == hi]
+        group = list({r[3]: r for r in group}.values())
+        lo, hi = group[0][:2]
+        left = [r for r in group if r[2] == lo]
+        right = left if lo == hi else [r for r in group if r[2] == hi]
         if not left or not right:
             return []
-        a, b = ([np.frombuffer(r[7], "u8") for r in side] for side in (left, right))
-        sig_a, sig_b = (np.stack([np.frombuffer(r[6], "<u4") for r in side]) for side in (left, right))
+        a, b = ([np.frombuffer(r[6], "u8") for r in side] for side in (left, right))
+        sig_a, sig_b = (np.stack([np.frombuffer(r[5], "<u4") for r in side]) for side in (left, right))
         i, j = likely(sig_a, sig_b, lo == hi, fewest)
         ok = verified(a, b, i, j, threshold)
         i, j = i[ok], j[ok]
-        copies_a, copies_b = np.array([r[5] for r in left]), np.array([r[5] for r in right])
+        copies_a, copies_b = np.array([r[4] for r in left]), np.array([r[4] for r in right])
         links = [np.bincount(i, copies_b[j], len(left)), np.bincount(j, copies_a[i], len(right))]
-        nodes = [r[4] for r in left] + ([] if lo == hi else [r[4] for r in right])
+        nodes = [r[3] for r in left] + ([] if lo == hi else [r[3] for r in right])
         links = links[0] + links[1] if lo == hi else np.concatenate(links)
         out = [(n, int(c), None) for n, c in zip(nodes, links, strict=True) if c]
         return out + [(nodes[x], 0, nodes[y]) for x, y in stars(len(nodes), i, j if lo == hi else j + len(left))]
 
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
-
     out: list[tuple] = []
-    for _, group in itertools.groupby(rows(), key=lambda r: r[:3]):
-        out += work(list(group))
+    for group in _groups(batches, names, 2):
+        out += work(group)
         if len(out) > 20_000:
             yield _links(out)
             out = []
@@ -200,11 +230,13 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD
     shingle; null and empty texts are copies of each other. Null doc_ids come after all others, an id's
     repeated rows count as rows. Columns besides doc_id and text aren't read.
 
-    Copies are collapsed first. Candidates are texts that share a band of MinHash values; a band's texts
-    are joined as a star, so nothing grows with the square of its size. Within a connected set of
-    candidates blocks of about BLOCK texts meet, each pair of blocks in a task of its own: equal values
-    are counted a few at a time, pairs whose posterior falls below the tolerance go, the rest are verified
-    exactly. Of the links only counts and a spanning forest leave the task.
+    Copies are collapsed first. Candidates are texts that share a bucket of a band of MinHash values; of
+    buckets with the same texts one is kept. Each text has a home, the largest of its buckets, and there a block of
+    about BLOCK texts. Within a bucket, in pairs of parts, equal values are counted a few at a time and pairs
+    whose posterior falls below the tolerance go; what is passed on is which blocks hold a pair that is left.
+    Such blocks meet, each two in a task of their own: pairs are pruned alike, the rest are verified exactly.
+    Of the links only counts and a spanning forest leave the task. So texts meet if they, or others of their
+    blocks, are likely pairs, not if a chain of lesser likenesses connects them, and no pairs are shuffled.
     """
     rows, texts_of = _classes(docs, size, threshold, tolerance)
     texts_of = texts_of.select("class", "class_id", F.col("first_id").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
@@ -221,23 +253,35 @@ def _classes(docs: DataFrame, size: int, threshold: float, tolerance: float) ->
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")
     classes = rows.groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(row).alias("first"), F.min("sig").alias("sig"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    bands = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 4 * ROWS + 1, F.lit(4 * ROWS))))).alias("band"))
-    heads = bands.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("band", "head")
-    found = components(bands.join(heads, "band").select(F.col("head").alias("u"), F.col("node").alias("v")))
-    found = written(found, "candidates")
-    sizes = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = found.join(sizes, "component").join(classes, "node")
-    wanted = wanted.select("node", "component", "blocks", "copies", "sig", "class", F.col("first.null").alias("null"), F.coalesce("first_id", F.lit(0)).alias("id"), F.col("first.h").alias("h"))
+    band = lambda b: F.xxhash64(b, F.substring("sig", b * 4 * ROWS + 1, F.lit(4 * ROWS)))
+    bands = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
+    same = [F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all")]
+    buckets = bands.groupBy("bucket").agg(*same).where("n > 1").groupBy("n", "least", "most", "all").agg(F.min("bucket").alias("bucket"))
+    # written, so that the join has plain shuffles on both sides and a hot bucket can be split
+    buckets = written(buckets.select("bucket", "n"), "buckets")
+    found = written(bands.join(buckets, "bucket"), "members")
+    home = written(found.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("home")).select("node", "home.bucket"), "homes")
+    sizes = written(home.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "home-sizes")
+    wanted = home.join(sizes, "bucket").select("node", F.xxhash64("bucket", F.pmod(F.xxhash64("node"), "blocks")).alias("block")).join(classes, "node")
+    wanted = wanted.select("node", "block", "copies", "sig", "class", F.col("first.null").alias("null"), F.coalesce("first_id", F.lit(0)).alias("id"), F.col("first.h").alias("h"))
+    wanted = written(wanted, "candidates")
+    parts = found.join(wanted.select("node", "block", "sig"), "node").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    parts = parts.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), "parts").cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = parts.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "block", "sig")
+    parts = parts.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    pairs = parts.mapInArrow(lambda it: meeting_blocks(it, threshold, tolerance), "lo bigint, hi bigint").distinct()
+    pairs = written(pairs, "pairs")
     # a class is given the text of its first row; of rows without an id each text goes once, whatever their number
     named = docs.where("doc_id is not null").unionByName(docs.where("doc_id is null").dropDuplicates(["h"]))
     named = named.select(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "text")
     texts = named.join(wanted, ["null", "id", "h"])
-    texts = texts.select("node", "copies", "component", "blocks", "class", "sig", "text")
-    known = texts.mapInArrow(lambda it: members(it, size), "node bigint, copies bigint, component bigint, blocks int, sig binary, shingles binary")
-    known = known.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    meet = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = meet.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "copies", "sig", "shingles")
-    meet = meet.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    texts = texts.select("node", "copies", "block", "class", "sig", "text")
+    known = texts.mapInArrow(lambda it: members(it, size), "node bigint, copies bigint, block bigint, sig binary, shingles binary")
+    known = written(known, "shingles")
+    sides = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    meet = known.join(sides, "block").select("lo", "hi", "block", "node", "copies", "sig", "shingles")
+    meet = meet.repartition("lo", "hi").sortWithinPartitions("lo", "hi")
     links = written(meet.mapInArrow(lambda it: block_links(it, threshold, tolerance), "node bigint, links bigint, other bigint"), "links")
     counts = links.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     group = components(links.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
