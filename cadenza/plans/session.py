@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +23,10 @@ def session(name: str, cpus: int = 8, memory: str = "12g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, where it isn't installed there; once for a session, before the first query."""
+    root = Path(__file__).resolve().parent.parent.parent
+    folder = tempfile.mkdtemp(prefix="cadenza-")  # the driver serves the archive from there
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/cadenza", "zip", root, "cadenza"))
