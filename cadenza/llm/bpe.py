@@ -18,15 +18,13 @@ from cadenza.llm.common import partitions_of, release, table
 from cadenza.llm.units import Runs, Units, gather
 
 #: A lot of texts closes at this many characters; a task forgets its words beyond this many.
-LOT_CHARS, KNOWN_WORDS = 1_000_000, 500_000
+LOT_CHARS, KNOWN_WORDS = 1_000_000, 600_000
 #: Input of a task, so that a word that recurs is folded once for as much text.
 TASK_BYTES = 64 << 20
-#: Words from this many bytes on are cut where no token reaches across.
-CUT_BYTES = 32
 #: A piece beyond this many bytes that can't be cut is merged by a heap, as a fold takes the square of its length.
 FOLD_BYTES = 1024
 #: Buckets of the literal rank map, a power of two; the code point that names the first token.
-BUCKETS, FIRST = 1 << 16, 0x10000
+BUCKETS, FIRST = 1 << 14, 0x10000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -36,21 +34,43 @@ def read_ranks(path: str) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
-def cutter(words: list[bytes]) -> Callable[[bytes], list[bytes]]:
-    """Parts a long word between two bytes that no token has side by side: no merge can reach across."""
-    met = np.zeros(1 << 16, bool)
-    for w in words:
-        b = np.frombuffer(w, "u1").astype("i4")
-        met[b[:-1] << 8 | b[1:]] = True
+class Cutter:
+    """Parts words where no token reaches across, so that fewer and shorter pieces are left to merge.
 
-    def cut(word: bytes) -> list[bytes]:
-        if len(word) < CUT_BYTES:
-            return [word]
-        b = np.frombuffer(word, "u1").astype("i4")
-        at = [0, *(np.flatnonzero(~met[b[:-1] << 8 | b[1:]]) + 1).tolist(), len(word)]
-        return [word[i:j] for i, j in zip(at, at[1:], strict=False)]
+    A merge makes a token, so none can join what stands on either side of such a place. The longest token
+    from each byte on is found for all words at once, by steps down a tree of the tokens' bytes.
+    """
 
-    return cut
+    def __init__(self, words: list[bytes]) -> None:
+        node: dict[bytes, int] = {}
+        for w in words:
+            for n in range(1, len(w) + 1):
+                node.setdefault(w[:n], len(node))
+        whole = set(words)
+        self.is_token = np.array([x in whole for x in node])
+        self.first = np.array([node.get(bytes([b]), -1) for b in range(256)], "i4")
+        pairs = sorted((node[x[:-1]] << 8 | x[-1], n) for x, n in node.items() if len(x) > 1)
+        self.keys, self.to = np.array(pairs, "i4").reshape(-1, 2).T.copy()
+
+    def __call__(self, words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words in a row, where their pieces end in it, and how many pieces each has."""
+        flat, ends = b"".join(words), np.cumsum([len(w) for w in words], dtype="i8")
+        data = np.frombuffer(flat, "u1").astype("i4")
+        stop = np.repeat(ends, np.diff(ends, prepend=0))
+        reach = np.arange(1, len(data) + 1)
+        at, state = np.arange(len(data)), self.first[data]
+        for n in range(1, len(data)):
+            keep = (at + n < stop[at]) & (state >= 0)
+            at, state = at[keep], state[keep]
+            if not len(at):
+                break
+            key = state << 8 | data[at + n]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            state = np.where(self.keys[place] == key, self.to[place], -1)
+            met = (state >= 0) & self.is_token[state]
+            reach[at[met]] = at[met] + n + 1
+        cuts = np.flatnonzero(np.maximum.accumulate(reach) == np.arange(1, len(data) + 1)) + 1
+        return flat, cuts, np.diff(np.searchsorted(cuts, ends, "right"), prepend=0)
 
 
 def merge(word: bytes, rank: dict[bytes, int]) -> list[int]:
@@ -113,7 +133,7 @@ def fold_sql(word: str) -> str:
     least = f"array_min(transform(sequence(1, length(s) - 1), i -> shiftleft(cast({rank} as bigint), 20) | i))"
     joined = "overlay(s placing get(m.names, cast(shiftright(b, 20) as int)) from cast(b & 1048575 as int) for 2)"
     step = f"if(length(s) < 2, s, aggregate(array({least}), s, (z, b) -> if(b is null, s, {joined})))"
-    ids = f"transform(split(s, ''), c -> if(ascii(c) < 256, get(m.bytes, ascii(c)), ascii(c) - {FIRST}))"
+    ids = f"transform(transform(sequence(1, length(s)), i -> ascii(substring(s, i, 1))), c -> if(c < 256, get(m.bytes, c), c - {FIRST}))"
     folded = f"aggregate(sequence(2, greatest(2, length({word}))), decode({word}, 'ISO-8859-1'), (s, x) -> {step}, s -> {ids})"
     # bound as a variable, the map stands in the plan once, not once for each use
     return f"if({word} is null, null, aggregate(array(m), cast(null as array<int>), (z, m) -> {folded}))"
@@ -149,7 +169,7 @@ def word_rows(words: list[bytes], turn: int, rank: dict[bytes, int]) -> Iterator
 
 def chunks(batches: Iterator[pa.RecordBatch], pattern: str, words: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Rows of CHUNK for texts (doc_id, text): a lot's new words stand before it."""
-    cut, rank, turn = cutter(words), {w: i for i, w in enumerate(words)}, 0
+    cut, rank, turn = Cutter(words), {w: i for i, w in enumerate(words)}, 0
     units, doc_ids, codes, size = Units(pattern, cut), [], [], 0
 
     def close() -> Iterator[pa.RecordBatch]:
@@ -167,7 +187,7 @@ def chunks(batches: Iterator[pa.RecordBatch], pattern: str, words: list[bytes])
                 if size >= LOT_CHARS:
                     yield from close()
                     doc_ids, codes, size = [], [], 0
-                    if len(units.word) >= KNOWN_WORDS:
+                    if units.count >= KNOWN_WORDS:
                         units, turn = Units(pattern, cut), turn + 1
     if doc_ids:
         yield from close()
@@ -224,7 +244,7 @@ def encode(docs: DataFrame, ranks: list[bytes], pattern: str, with_decoded: bool
     A task streams its texts in lots of a million characters, each after the words that are new in it; Spark
     folds the ranked merges over the bytes of these words, once a task for each (a task of very many words
     starts anew), and the end of the same task spells the texts out. Nothing is shuffled or kept but the
-    task's words. Long words are cut where no token reaches across; what is still over FOLD_BYTES, say a
+    task's words. Words are cut where no token reaches across; a piece that is still over FOLD_BYTES, say a
     run of one letter, is merged by a heap, by the same ranks. A null text is an empty one; repeated rows and
     doc_ids, null doc_ids and texts of any length are rows like others; columns besides doc_id and text
     aren't read.

@@ -38,33 +38,24 @@ class Known(dict):
 
 
 class Units:
-    """Numbers of distinct units and words over the texts seen so far.
+    """Numbers of distinct units and of the pieces of their words, over the texts seen so far.
 
     A pattern of the byte-level kind starts a new word at a single space between other characters and
     makes a single line end a word by itself, so units can be split apart from each other. Other texts
-    are split whole, their words standing as units. `cut` parts a word (bytes) into pieces that count as words.
+    are split whole, their words standing as units. `cut` parts many words into pieces at once.
     """
 
-    def __init__(self, pattern: str, cut: Callable[[bytes], list[bytes]]) -> None:
+    def __init__(self, pattern: str, cut: Callable[[list[bytes]], tuple[bytes, np.ndarray, np.ndarray]]) -> None:
         self.find, self.cut = regex.compile(pattern).findall, cut
-        self.word: dict[bytes, int] = {}
-        self.lens, self.parts, self.fresh = array("i"), array("i"), []
+        self.piece: dict[bytes, int] = {}
+        self.words, self.counts, self.count = [], array("i"), 0
         # a word of an odd text is kept apart from a unit of the same letters
         self.unit = Known(lambda key: self._new(self.find(key)))
         self.odd = Known(lambda key: self._new([key]))
-        self.count = 0
 
     def _new(self, words: list[str]) -> int:
-        n = 0
-        for w in words:
-            for part in self.cut(w.encode("utf-8", "surrogatepass")):
-                at = self.word.get(part)
-                if at is None:
-                    at = self.word[part] = len(self.word)
-                    self.fresh.append(part)
-                self.parts.append(at)
-                n += 1
-        self.lens.append(n)
+        self.words += words
+        self.counts.append(len(words))
         self.count += 1
         return self.count - 1
 
@@ -73,10 +64,19 @@ class Units:
         return np.fromiter(map(known.__getitem__, found), "<i4", len(found))
 
     def take(self) -> tuple[list[bytes], bytes, bytes]:
-        """What is new since the last call: words, and of units the counts of their words, and these words."""
-        out = self.fresh, self.lens.tobytes(), self.parts.tobytes()
-        self.fresh, self.lens, self.parts = [], array("i"), array("i")
-        return out
+        """What is new since the last call: pieces, and of units the counts of their pieces, and these pieces."""
+        flat, cuts, n = self.cut([w.encode("utf-8", "surrogatepass") for w in self.words])
+        known, fresh, numbers, a = self.piece, [], np.empty(len(cuts), "<i4"), 0
+        for i, b in enumerate(cuts.tolist()):
+            piece, a = flat[a:b], b
+            at = known.get(piece)
+            if at is None:
+                at = known[piece] = len(known)
+                fresh.append(piece)
+            numbers[i] = at
+        lens = np.diff(np.concatenate([[0], np.cumsum(n)])[np.cumsum(self.counts, dtype="i8")], prepend=0).astype("<i4")
+        self.words, self.counts = [], array("i")
+        return fresh, lens.tobytes(), numbers.tobytes()
 
 
 def gather(starts: np.ndarray, lens: np.ndarray, flat: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
