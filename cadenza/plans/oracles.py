@@ -445,3 +445,22 @@ FROM (SELECT *, CAST(floor(value * 1000) AS BIGINT) AS s FROM events)""",
   SELECT user_id, event_id, unnest([{'size': '100', 'url': event_type || '/s'}, {'size': '600', 'url': event_type || '/l'}]) AS u FROM events)""",
     "route_gpx": """SELECT o_custkey, string_agg('<trkpt lat="' || printf('%.6f', (o_orderkey % 90)::DOUBLE) || '" lon="' || printf('%.6f', (o_orderkey % 180)::DOUBLE) || '"/>', '' ORDER BY o_orderkey) AS points FROM orders GROUP BY 1""",
 }
+
+SQL |= {
+    "activity_by_id": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 100",
+    "activity_details": f"""SELECT o_orderkey, {rnd('o_totalprice / 1000.0::DOUBLE', 2)} AS km, {rnd('o_totalprice / nullif(s, 0) * 3.6::DOUBLE', 1)} AS kmh,
+  CASE WHEN o_orderstatus = 'F' AND s > 0 THEN printf('%d:%02d', p // 60, p % 60) END AS pace
+FROM (SELECT *, CAST(floor(1000.0::DOUBLE / (o_totalprice / nullif(s, 0)) + 0.5::DOUBLE) AS BIGINT) AS p FROM (SELECT *, o_orderkey % 5000 AS s FROM orders))""",
+    "segment_efforts": """SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS TIMESTAMP) AS start FROM lineitem
+WHERE CAST(l_shipdate AS TIMESTAMP) BETWEEN TIMESTAMP '1996-02-01' AND TIMESTAMP '1996-03-15'""",
+    "activity_laps": f"""WITH m AS (SELECT l_orderkey, l_linenumber, CAST(floor(sum(l_extendedprice) + 0.5) AS BIGINT) AS metres, sum(l_quantity) * 60 AS seconds FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, CAST(row_number() OVER w AS INTEGER) AS lap, {rnd('metres / 1000.0::DOUBLE', 2)} AS km, {rnd('metres::DOUBLE / nullif(seconds, 0) * 3.6::DOUBLE', 1)} AS kmh,
+       {rnd('CAST(sum(metres) OVER w AS BIGINT) / 1000.0::DOUBLE', 2)} AS total_km
+FROM m WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)""",
+    "athlete_zones": """SELECT c_custkey, CAST(z AS INTEGER) AS zone, CAST(CASE WHEN z = 1 THEN 0 ELSE c_custkey % 40 + 80 + 20 * z END AS INTEGER) AS lower,
+       CAST(CASE WHEN z < 5 THEN c_custkey % 40 + 100 + 20 * z END AS INTEGER) AS upper FROM customer, range(1, 6) t(z)""",
+    "athlete_shoes": f"""SELECT o_custkey, CAST(count(*) OVER (PARTITION BY o_custkey) AS INTEGER) AS items, 'shoe' || o_orderkey AS name, {rnd('o_totalprice / 1000.0::DOUBLE', 2)} AS km,
+       o_orderstatus = 'F' AS primary FROM orders""".replace("AS primary", 'AS "primary"'),
+    "starred_segments": f"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN {rnd('p_size * 137 / 1000.0::DOUBLE', 2)} ELSE {rnd('p_size * 137 / 1609.344::DOUBLE', 2)} END AS length,
+       CASE WHEN p_partkey % 2 = 0 THEN 'km' ELSE 'mi' END AS unit FROM part WHERE p_partkey % 3 = 0""",
+}

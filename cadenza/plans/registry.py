@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import scalars
 from cadenza.functions.ordered import KEY
 from cadenza.functions.scalars import rnd
-from cadenza.operators import align, analysis, bands, climbs, decoupling, estimate, exports, power, profile, records, workout
+from cadenza.operators import align, analysis, bands, climbs, decoupling, estimate, exports, power, profile, records, retrieval, workout
 from cadenza.plans.oracles import DAYS, DUR, FTP, HR, KG, POWER, SQL
 from cadenza.sources.events import activities, samples, table
 
@@ -401,3 +401,47 @@ def workout_segments(spark, sf_dir):
     line = F.concat(line, F.when(k % 3 == 0, F.concat(F.lit(" [Cadence: "), k.cast("string"), F.lit(", Notes: go]"))).otherwise(""))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     return workout.segments_of_lines(table(spark, sf_dir, "events").select("user_id", place.alias("place"), line.alias("line")), "user_id")
+
+
+@query
+def activity_by_id(spark, sf_dir):
+    return retrieval.by_id(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "o_orderkey", " 100 ")
+
+
+@query
+def activity_details(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", (F.col("o_orderkey") % 5000).alias("seconds"))
+    return retrieval.details(rows, F.col("o_totalprice"), F.col("seconds"), F.col("o_orderstatus") == "F").select("o_orderkey", "km", "kmh", "pace")
+
+
+@query
+def segment_efforts(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("timestamp_ntz").alias("start"))
+    return retrieval.in_period(rows, "start", "1996-02-01 00:00:00", "1996-03-15 00:00:00")
+
+
+@query
+def activity_laps(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_extendedprice").alias("metres"), F.sum("l_quantity").alias("seconds"))
+    metres = F.floor(F.col("metres") + 0.5).cast("bigint")
+    return retrieval.laps(rows, "l_orderkey", "l_linenumber", metres, F.col("seconds") * 60).select("l_orderkey", "lap", "km", "kmh", "total_km")
+
+
+@query
+def athlete_zones(spark, sf_dir):
+    edge = lambda i: F.floor(F.col("c_custkey") % 40).cast("int") + 100 + 20 * i
+    each = [F.struct((F.lit(0) if i == 0 else edge(i)).cast("int").alias("min"), (F.lit(-1) if i == 4 else edge(i + 1)).cast("int").alias("max")) for i in range(5)]
+    return retrieval.zones(table(spark, sf_dir, "customer").select("c_custkey", F.array(*each).alias("zones")), "zones")
+
+
+@query
+def athlete_shoes(spark, sf_dir):
+    shoe = F.struct(F.concat(F.lit("shoe"), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_totalprice").alias("distance"), (F.col("o_orderstatus") == "F").alias("primary"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(shoe).alias("shoes"))
+    return retrieval.gear(rows, "shoes")
+
+
+@query
+def starred_segments(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3 == 0).alias("starred"), (F.col("p_size") * 137).cast("double").alias("metres"), (F.col("p_partkey") % 2 == 0).alias("metric"))
+    return retrieval.starred(rows, "starred", F.col("metres"), F.col("metric")).select("p_partkey", "length", "unit")
