@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='cadenza-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -40,39 +43,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() gave, once nothing reads them any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranges(df: DataFrame, col: str, rows_per_range: int = 4000, at_most: int = 4096) -> tuple[Column, int]:
-    """A deterministic range number for each value of col, ascending, nulls 0, and the count of ranges.
+def ranges(df: DataFrame, col: str, tie: str, rows_per_range: int = 500) -> tuple[Column, int]:
+    """A deterministic range number for each row by (col, tie), ascending, nulls first, and the count of ranges.
 
-    Only at most `at_most` boundaries reach the driver, however large df is; beyond it ranges grow.
+    There are as many ranges as the session has shuffle partitions, fewer for small tables. A value that many rows have,
+    null among them, takes several ranges, its rows dealt by tie, a 64-bit hash. Only the cuts reach the driver.
     """
-    n = df.count()
-    count = max(1, min(at_most, n // rows_per_range))
-    if count == 1:
-        return F.when(F.col(col).isNull(), 0).otherwise(1), 2
-    shares = [i / count for i in range(1, count)]
-    cuts = df.agg(F.percentile_approx(col, shares, 10 * count).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.when(F.col(col).isNull(), 0).otherwise(1), 2
-    literal = F.array(*[F.lit(c) for c in cuts])
+    n, nulls = df.agg(F.count("*"), F.count_if(F.col(col).isNull())).first()
+    count = max(1, min(partitions(df.sparkSession), n // rows_per_range))
+    first = max(1, round(count * nulls / max(1, n)))
+    cuts = df.agg(F.percentile_approx(col, [i / count for i in range(1, count)] or [0.5], 10 * count + 100).alias("c")).first()["c"] or []
+    literal = F.from_json(F.lit(json.dumps(sorted(cuts))), "array<bigint>")
     # How many cuts are below the value; a binary search folded over the bits of the position.
-    bits = len(cuts).bit_length()
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
-    place = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= len(cuts)) & (F.get(literal, at + step - 1) < F.col(col)), at + step
-        ).otherwise(at),
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, len(cuts).bit_length())))])
+    below = lambda hit: F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & hit(F.get(literal, at + step - 1)), at + step).otherwise(at)
     )
-    return F.when(F.col(col).isNull(), 0).otherwise(place + 1), len(cuts) + 2
+    share = F.col(tie) / float(1 << 64) + 0.5
+    at, upto = below(lambda cut: cut < F.col(col)), below(lambda cut: cut <= F.col(col))
+    same = F.floor(share * (upto - at)).cast("int")
+    place = F.when(F.col(col).isNull(), F.least(F.floor(share * first).cast("int"), F.lit(first - 1))).otherwise(first + at + F.least(same, F.greatest(upto - at - 1, F.lit(0))))
+    return place, first + len(cuts) + 1
 
 
 def partitions_of(df: DataFrame, size: int) -> DataFrame:

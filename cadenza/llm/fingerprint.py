@@ -18,27 +18,35 @@ from cadenza.llm.shingles import WORDS, shingles
 SCALE_BITS = 2
 
 
+#: Values from here on are hashes above the threshold.
+ABOVE = np.uint64(1 << 40)
+
+
 def sketch(text: str, scale_bits: int = SCALE_BITS) -> np.ndarray:
-    """The kept hashes of a text's five-word shingles, ascending; a text with words but no hash below the
-    threshold keeps its smallest, so that different short texts don't look alike. No words: none."""
+    """The kept hashes of a text's five-word shingles, ascending, 40 bits each. A text with words but no hash below the
+    threshold keeps its smallest one as a stand-in, from ABOVE on, so that different short texts don't look alike. No words: none."""
     h = shingles(WORDS(text))
     kept = h[: max(1, int(np.searchsorted(h, np.uint64(1 << (64 - scale_bits)))))]
     return np.unique(kept >> np.uint64(24 - scale_bits)) if len(kept) else kept
 
 
 def fingerprint(kept: np.ndarray) -> str:
-    """Base64 of the kept hashes, big-endian, five bytes each."""
-    return base64.b64encode(kept.astype(">u8").view("u1").reshape(-1, 8)[:, 3:].tobytes()).decode()
+    """Base64 of the kept hashes, big-endian, five bytes each; a stand-in takes six."""
+    size = 6 if len(kept) == 1 and kept[0] >= ABOVE else 5
+    return base64.b64encode(kept.astype(">u8").view("u1").reshape(-1, 8)[:, 8 - size :].tobytes()).decode()
 
 
 def hashes(fingerprint_: str) -> np.ndarray:
-    raw = np.frombuffer(base64.b64decode(fingerprint_), "u1").reshape(-1, 5)
-    return np.pad(raw, ((0, 0), (3, 0))).copy().view(">u8").ravel().astype("u8")
+    raw = np.frombuffer(base64.b64decode(fingerprint_), "u1")
+    raw = raw.reshape(-1, 6 if len(raw) == 6 else 5)
+    return np.pad(raw, ((0, 0), (8 - raw.shape[1], 0))).copy().view(">u8").ravel().astype("u8")
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of two texts together (but for shingles over the seam)."""
-    return np.union1d(a, b)
+    """The sketch of two texts together (but for shingles over the seam): a stand-in stays only if there is nothing else."""
+    both = np.union1d(a, b)
+    below = both[both < ABOVE]
+    return below if len(below) else both[:1]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -85,22 +93,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     """(part, is_next, doc_id, text) in partitions sorted so that each row's next one by descending doc_id
     follows it in its part; the row that follows a part's last one is there once more as is_next.
 
-    Null doc_ids come last, rows of one doc_id in the order of their texts' hash; the last row is followed
-    by the first. Parts are ranges of doc_id, so nothing global is sorted in one task.
+    Null doc_ids come last, rows of one doc_id by descending hash of their texts; the last row is followed
+    by the first. Parts are ranges of doc_id and hash, as many as the session has shuffle partitions, so nothing global
+    is sorted in one task, nor all rows of an id that very many have.
     """
-    place, parts = ranges(docs, "doc_id", 2000)
-    rows = docs.select(place.alias("part"), "doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("tie"))
-    first = rows.groupBy("part").agg(F.min(F.struct((-F.col("doc_id")).alias("minus"), "tie")).alias("first"))
+    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    place, parts = ranges(docs, "doc_id", "tie")
+    rows = docs.withColumn("part", place)
+    first = rows.groupBy("part").agg(F.max(F.struct("doc_id", "tie")).alias("first"))
     up, whole = Window.orderBy("part"), Window.partitionBy()
-    # at most 4098 rows, one for each part
     first = first.select("part", "first", F.coalesce(F.lead("part").over(up), F.min("part").over(whole)).alias("also"))
-    rows = rows.join(F.broadcast(first), "part")
-    is_first = F.col("first.minus").eqNullSafe(-F.col("doc_id")) & (F.col("first.tie") == F.col("tie"))
+    rows = rows.join(F.broadcast(first), "part")  # one row for each part
+    is_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.tie") == F.col("tie"))
     own, copy = F.struct("part", F.lit(False).alias("is_next")), F.struct(F.col("also").alias("part"), F.lit(True).alias("is_next"))
     rows = rows.select(F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own))).alias("at"), "doc_id", "text", "tie")
     rows = rows.select("at.part", "at.is_next", "doc_id", "text", "tie")
-    order = ["part", "is_next", F.col("doc_id").desc_nulls_last(), "tie"]
-    return rows.repartition(parts, "part").sortWithinPartitions(*order).select("part", "is_next", "doc_id", "text")
+    order = ["part", "is_next", F.col("doc_id").desc_nulls_last(), F.desc("tie")]
+    return rows.repartitionById(parts, "part").sortWithinPartitions(*order).select("part", "is_next", "doc_id", "text")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
