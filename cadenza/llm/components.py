@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import written
+from cadenza.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    out = written(out.distinct(), "large")
+    discard(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    out = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "star")
+    discard(least)
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -33,7 +38,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     nodes = edges.select("u").union(edges.select("v")).distinct()
     before = None
     for _ in range(rounds):
-        edges = written(_small_star(written(_large_star(edges).distinct(), "large")).distinct(), "star")
+        large = _large_star(edges)
+        star = _small_star(large)
+        discard(large, *([edges] if before is not None else []))  # the first table also names the nodes
+        edges = star
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break
