@@ -12,101 +12,131 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import table, written
 
 SHARD_ROWS, QUERY_ROWS = 8192, 512
-#: Dimensions (terms) whose postings are traversed before bounds are compared again.
-STEP = 16
-#: Below this share of competitive (query, row) pairs, the other terms are probed for those alone.
-PROBE = 0.1
+#: Beyond this, sums of products are made in Python's own integers.
+EXACT = float(1 << 62)
+POSTINGS = "shard int, ids binary, dim int, ends binary, rows binary, values binary"
 BLOCK = "shard int, ids binary, dim int, terms binary"
 
 
 def quantised(vectors: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of each component as double; null if the vector is null or has a null or non-finite component."""
+    """floor(scale * x) of each component as double, held within a long; null if the vector is null or has a null or
+    non-finite component."""
     x = F.transform(vectors, lambda x: x.cast("double"))
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return F.when(fine, F.transform(x, lambda v: F.floor(v * scale).cast("long")))
 
 
-def pack(group: pd.DataFrame) -> pd.DataFrame:
-    """A group of (shard, id, terms) as one row of blobs; shorter vectors are filled up with zeros."""
-    group = group.sort_values("id", kind="stable")
-    dim = max(map(len, group["terms"]), default=0)
-    out = np.zeros((len(group), dim), "<i8")
+def dense(group: pd.DataFrame) -> np.ndarray:
+    """The terms of a group as a matrix; shorter vectors are filled up with zeros."""
+    out = np.zeros((len(group), max(map(len, group["terms"]), default=0)), "<i8")
     for row, terms in zip(out, group["terms"], strict=True):
         row[: len(terms)] = terms
-    return pd.DataFrame({"shard": [group["shard"].iloc[0]], "ids": [group["id"].to_numpy("<i8").tobytes()], "dim": [dim], "terms": [out.tobytes()]})
+    return out
 
 
-def unpack(ids: bytes, dim: int, terms: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids, "<i8")
-    rows = np.zeros((len(ids), width), "<i8")
-    rows[:, :dim] = np.frombuffer(terms, "<i8").reshape(len(ids), dim)
-    return ids, rows
-
+def pack(group: pd.DataFrame) -> pd.DataFrame:
+    """A group of queries (shard, id, terms) as one row of blobs."""
+    group = group.sort_values("id", kind="stable")
+    rows = dense(group)
+    return pd.DataFrame({"shard": [group["shard"].iloc[0]], "ids": [group["id"].to_numpy("<i8").tobytes()], "dim": [rows.shape[1]], "terms": [rows.tobytes()]})
 
-def maxscore(queries: np.ndarray, rows: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of every pair whose score reaches its query's floor, scores exact.
 
-    The terms with the largest bounds are essential: their postings are traversed for all rows, term
-    group by term group, until few rows could still reach the floor even with all other terms at their
-    bounds. Those alone are probed for the non-essential terms.
-    """
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
-    if most >= 2**52:  # beyond exact doubles: python integers, held within a long
-        exact = queries.astype(object) @ rows.astype(object).T
-        score = np.clip(exact, -(2**63), 2**63 - 1).astype("i8")
-        q, r = np.nonzero(score >= floor[:, None])
-        return q, r, score[q, r]
-    q_all, r_all = queries.astype("f8"), np.ascontiguousarray(rows.T, dtype="f8")
-    high, low = r_all.max(1, initial=-np.inf), r_all.min(1, initial=np.inf)
-    bound = np.maximum(q_all * high, q_all * low)
-    order = np.argsort(-np.abs(q_all).sum(0) * (high - low), kind="stable")
-    score = np.zeros((len(queries), rows.shape[0]))
-    for at in range(0, len(order), STEP):
-        now, rest = order[at : at + STEP], order[at + STEP :]
-        score += q_all[:, now] @ r_all[now]
-        open_ = score >= (floor - bound[:, rest].sum(1))[:, None]
-        if len(rest) and np.count_nonzero(open_) <= PROBE * open_.size:
-            q, r = np.nonzero(open_)
-            total = score[q, r]
-            for lot in np.array_split(np.arange(len(q)), max(1, len(q) // 100_000)):
-                total[lot] += np.einsum("ij,ij->i", q_all[q[lot]][:, rest], rows[r[lot]][:, rest].astype("f8"))
-            keep = total >= floor[q]
-            return q[keep], r[keep], total[keep].astype("i8")
-    q, r = np.nonzero(score >= floor[:, None])
-    return q, r, score[q, r].astype("i8")
-
-
-def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Places of each query's k highest scores, ties to the smaller id, grouped by query."""
-    order = np.lexsort((ids, -score, q))
-    first = np.searchsorted(q[order], q[order])
-    return order[np.arange(len(order)) - first < k]
+def invert(group: pd.DataFrame) -> pd.DataFrame:
+    """A shard of vectors as one row of postings: for each term the rows that have it, ascending, and their values."""
+    group = group.sort_values("id", kind="stable")
+    rows = dense(group)
+    term, row = np.nonzero(rows.T)
+    ends = np.searchsorted(term, np.arange(rows.shape[1]), "right").astype("<i4")
+    blobs = {"ends": ends, "rows": row.astype("<i4"), "values": rows.T[term, row].astype("<i8")}
+    return pd.DataFrame({"shard": [group["shard"].iloc[0]], "ids": [group["id"].to_numpy("<i8").tobytes()], "dim": [rows.shape[1]], **{k: [v.tobytes()] for k, v in blobs.items()}})
+
+
+class Shard:
+    """The postings of a shard, with the highest and lowest contribution that a term's weight can meet in it."""
+
+    def __init__(self, ids: bytes, ends: bytes, rows: bytes, values: bytes) -> None:
+        self.ids = np.frombuffer(ids, "<i8")
+        ends = np.frombuffer(ends, "<i4").astype("i8")
+        rows, values = np.frombuffer(rows, "<i4"), np.frombuffer(values, "<i8")
+        self.rows, self.values = np.split(rows, ends[:-1]) if len(ends) else [], np.split(values, ends[:-1]) if len(ends) else []
+        whole = [len(r) == len(self.ids) for r in self.rows]
+        # a row without a term contributes nothing
+        self.high = np.array([max(int(v.max()), -(2**63) if w else 0) if len(v) else 0 for v, w in zip(self.values, whole, strict=True)], "f8")
+        self.low = np.array([min(int(v.min()), 2**63 - 1 if w else 0) if len(v) else 0 for v, w in zip(self.values, whole, strict=True)], "f8")
+
+    def at(self, term: int, rows: np.ndarray) -> np.ndarray:
+        """The term's values in some rows, 0 where they lack it."""
+        own, values = self.rows[term], self.values[term]
+        if len(own) == len(self.ids):
+            return values[rows]
+        place = np.minimum(np.searchsorted(own, rows), len(own) - 1)
+        return np.where(own[place] == rows, values[place], 0)
+
+    def maxscore(self, query: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, score) of all rows that can reach the floor, scores exact.
+
+        The query's terms go by falling bounds. Those without which the rest together stays below the floor are essential:
+        their postings are traversed, and a row in none of them can't reach it. The other terms are probed for the rows
+        that are left, while their bounds can still lift them to the floor.
+        """
+        terms = np.flatnonzero(query)
+        terms = terms[terms < len(self.rows)]
+        weights = query[terms].astype("f8")
+        bound = np.maximum(weights * self.high[terms], weights * self.low[terms])
+        reach = np.maximum(np.abs(self.high[terms]), np.abs(self.low[terms]))
+        exact = float(np.abs(weights) @ reach) >= EXACT
+        order = np.argsort(-bound, kind="stable")
+        terms, bound = terms[order], bound[order]
+        # what the terms from each place on can add at most; a hair more, as sums of doubles round
+        rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
+        rest += np.abs(rest) * 1e-9
+        essential = int(np.argmax(rest < max(floor, 0.0))) if (rest < max(floor, 0.0)).any() and floor > 0 else len(terms)
+        if exact:
+            essential = len(terms)
+        score = np.zeros(len(self.ids), object if exact else "i8")
+        met = np.zeros(len(self.ids), bool) if floor > 0 else np.ones(len(self.ids), bool)
+        for t in terms[:essential]:
+            rows, gain = self.rows[t], self.values[t].astype(object) * int(query[t]) if exact else self.values[t] * query[t]
+            if len(rows) == len(self.ids):
+                score += gain
+                met[:] = True
+            else:
+                score[rows] += gain
+                met[rows] = True
+        left = np.flatnonzero(met & (score + rest[essential] >= floor))
+        some = score[left]
+        for k in range(essential, len(terms)):
+            if not len(left):
+                break
+            some = some + query[terms[k]] * self.at(terms[k], left)
+            keep = some + rest[k + 1] >= floor
+            left, some = left[keep], some[keep]
+        if exact:
+            some = np.clip(some, -(2**63), 2**63 - 1)
+        return left, some.astype("i8")
 
 
 def search(pairs: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """Each shard's best k for each query of a block; floors found on one shard hold for the next."""
+    """Each shard's best k for each query of a block; floors found on one shard hold for the task's next ones."""
     floors: dict[int, np.ndarray] = {}
+    number, shard = None, None
     for batch in pairs:
         for p in batch.itertuples():
-            width = max(p.dim, p.q_dim)
-            ids, rows = unpack(p.ids, p.dim, p.terms, width)
-            q_ids, q_rows = unpack(p.q_ids, p.q_dim, p.q_terms, width)
-            floor = floors.get(p.q_shard, np.full(len(q_ids), -(2.0**63)))
+            if p.shard != number:
+                number, shard = p.shard, Shard(p.ids, p.ends, p.rows, p.values)
+            q_ids = np.frombuffer(p.q_ids, "<i8")
+            queries = np.frombuffer(p.q_terms, "<i8").reshape(len(q_ids), p.q_dim)
+            floor = floors.setdefault(p.q_shard, np.full(len(q_ids), -np.inf))
             found = []
-            for at in range(0, len(ids), 1024 if p.q_shard not in floors else len(ids)):
-                part = slice(at, at + (1024 if p.q_shard not in floors else len(ids)))
-                q, r, score = maxscore(q_rows, rows[part], floor)
-                keep = ids[part][r] != q_ids[q]
-                found.append((q[keep], ids[part][r[keep]], score[keep]))
-                q, i, score = (np.concatenate(x) for x in zip(*found, strict=True))
-                top = best(q, i, score, k)
-                found = [(q[top], i[top], score[top])]
-                q, score = q[top], score[top]
-                full = np.bincount(q, minlength=len(q_ids)) >= k
-                last = np.searchsorted(q, np.arange(len(q_ids)), "right") - 1
-                floor = np.where(full, score[np.maximum(last, 0)] if len(score) else floor, floor)
-            q, i, score = found[0] if found else (np.zeros(0, int),) * 3
-            floors[p.q_shard] = np.maximum(floors.get(p.q_shard, floor), floor)
+            for q, (query_id, query) in enumerate(zip(q_ids, queries, strict=True)):
+                rows, score = shard.maxscore(query, floor[q])
+                own = shard.ids[rows] != query_id
+                ids, score = shard.ids[rows[own]], score[own]
+                top = np.lexsort((ids, ~score))[:k]  # ~x falls as x rises, without overflow
+                if len(top) == k:
+                    floor[q] = max(floor[q], float(score[top[-1]]))
+                found.append((np.full(len(top), q), ids[top], score[top]))
+            q, i, score = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pd.DataFrame({"q_shard": p.q_shard, "q": q, "query_id": q_ids[q], "vec_id": i, "score": score}).astype({"q_shard": "int32", "q": "int32"})
 
 
@@ -115,14 +145,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     vectors and queries have (id long, terms array<long>). Rows with a null id or null terms take no part,
     missing components count as 0, an id's repeated rows are ranked as rows of their own, ties go to the
-    smaller id. Rows are dealt to shards of about SHARD_ROWS by hash, queries to blocks; every block meets
-    every shard, as blobs. Scores beyond a long are held at its ends.
+    smaller id. Rows are dealt to shards of about SHARD_ROWS by hash and inverted to postings, queries to blocks; every
+    block meets every shard, as blobs, and each query's own split of terms decides what it reads there. Scores beyond a
+    long are held at its ends.
     """
     vectors, queries = (x.where("id is not null and terms is not null") for x in (vectors, queries))
     vectors, queries = written(vectors, "vectors"), written(queries, "queries")
     shards, lots = max(1, -(-vectors.count() // SHARD_ROWS)), max(1, -(-queries.count() // QUERY_ROWS))
     deal = lambda x, n: x.withColumn("shard", F.pmod(F.xxhash64("id", "terms"), F.lit(n)).cast("int"))
-    packed = deal(vectors, shards).groupBy("shard").applyInPandas(pack, BLOCK)
+    packed = deal(vectors, shards).groupBy("shard").applyInPandas(invert, POSTINGS)
     asked = deal(queries, lots).groupBy("shard").applyInPandas(pack, BLOCK)
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     found = packed.join(asked, "shard").mapInPandas(lambda it: search(it, k), "q_shard int, q int, query_id long, vec_id long, score long")
