@@ -3,6 +3,7 @@ probabilities calibrated by a temperature."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import release, table
+from cadenza.llm.common import partitions_of, release, table
 
 #: Words are hashed to this many rows; a word's index vector has NONZERO entries of +-1 among DIM.
 ROWS, DIM, NONZERO = 1 << 14, 32, 4
@@ -27,6 +28,8 @@ THRESHOLD = 0.3
 PIECES = re.compile(r"\w+|[^\w\s]+").findall
 KNOWN = 400_000
 CHUNK = 1_000_000
+#: Input of a task that sums up: it returns a whole table of vectors.
+TASK_BYTES = 64 << 20
 
 
 def rows_of(text: str, known: dict[str, int]) -> np.ndarray:
@@ -90,13 +93,14 @@ def summed(group: pd.DataFrame) -> pd.DataFrame:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """A unit vector for each row of words, from all texts.
 
-    A task sums what its words gathered; Spark adds the tasks' blocks up. What reaches the driver is
+    A task sums what its words gathered; Spark adds the tasks' blocks up in two steps. What reaches the driver is
     ROWS x DIM numbers (4 MB) whatever the input.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("string"))
-    tasks = max(2 * spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // 8)
-    rows = texts.coalesce(tasks).mapInArrow(gathered, "block int, sums binary").groupBy("block").applyInPandas(summed, "block int, sums binary")
+    texts = partitions_of(docs.select(F.col("text").cast("string")), TASK_BYTES)
+    side = math.ceil(math.sqrt(texts.rdd.getNumPartitions()))
+    rows = texts.mapInArrow(gathered, "block int, sums binary").withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(side)))
+    # in two steps, so that no group has more blobs than the root of the tasks' count
+    rows = rows.groupBy("block", "lot").applyInPandas(summed, "block int, sums binary").groupBy("block").applyInPandas(summed, "block int, sums binary")
     out = np.zeros((ROWS // 256, 256 * DIM))
     for r in rows.collect():
         out[r["block"]] = np.frombuffer(r["sums"], "<i8")
@@ -182,7 +186,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Word vectors from all of docs, the network from at most `sample` labelled rows that aren't held out."""
+    """Word vectors from all of docs, the network from at most `sample` labelled rows that aren't held out.
+
+    Labels of one doc_id are averaged; of its rows in docs one is learnt from, that of the least text hash. Without labels
+    every score is one half.
+    """
     spark = docs.sparkSession
     vectors = word_vectors(docs)
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
@@ -199,7 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         release()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(known), "doc_id")
-    rows = rows.select("doc_id", "quality", features("text").alias("x")).collect()
+    # one row for each id, however often it occurs: that of the least text hash
+    rows = rows.select("doc_id", "quality", F.struct(F.xxhash64("text").alias("h"), features("text").alias("x")).alias("of"))
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("of").alias("of")).select("doc_id", "quality", "of.x").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["x"]))
     x = np.array([np.frombuffer(r["x"], "f4") for r in rows], "f8").reshape(len(rows), 2 * DIM + 3)
     check = np.array([xxhash.xxh3_64_intdigest(str(r["doc_id"])) % 5 == 0 for r in rows], bool)
@@ -211,8 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `score`, the probability that a text is of quality 1; null texts are empty ones. A column of
-    docs named score is replaced."""
+    """docs with `score`, the probability that a text is of quality 1; null texts are empty ones, equal texts have equal
+    scores. A column of docs named score is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
