@@ -3,31 +3,39 @@ output shards, disjoint permuted blocks and a local shuffle. DataFrame functions
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import WORD, running, table, written
+from cadenza.llm.common import WORD, partitions, running, table, written
 
-#: A block of a source is the range of its permuted documents whose keys share this many hex digits.
-DIGITS = 3
+#: A block of a source is the range of its permuted documents whose keys share some hex digits: so many that there are this
+#: many blocks for each shard.
+PER_SHARD = 16
 #: Digits of a key that name the doc_id, and those of its text that part an id's rows on the way to the row at the cut.
 ID_DIGITS, TEXT_DIGITS = 32, 3
 
 
-def sized(docs: DataFrame, seed: int = 7) -> DataFrame:
+def shards_of(spark: SparkSession, shards: int | None) -> int:
+    """Output shards: the session's shuffle partitions where none are asked for, so that they grow with the cluster."""
+    return max(1, partitions(spark) if shards is None else shards)
+
+
+def sized(docs: DataFrame, seed: int = 7, shards: int | None = None) -> DataFrame:
     """docs with `size` in words (null: 0), `src` (the source, apart from null), the permutation `key` and `block`.
 
     The key is a hash of doc_id followed by one of the text, so rows share it only if equal in both.
     """
+    digits = math.ceil(math.log(PER_SHARD * shards_of(docs.sparkSession, shards), 16))
     return docs.withColumns(
         {
             "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
             "src": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")),
             "key": F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.coalesce(F.md5("text"), F.lit(""))),
         }
-    ).withColumn("block", F.substring("key", 1, DIGITS))
+    ).withColumn("block", F.substring("key", 1, digits))
 
 
 def targets(rows: DataFrame, weights: Sequence[int] = (1, 2, 3), times: int = 3) -> DataFrame:
@@ -126,7 +134,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("lo").alias("shard"), F.posexplode("q").alias("i", "n"))
 
 
-def draws(docs: DataFrame, shards: int = 16, seed: int = 7, weights: Sequence[int] = (1, 2, 3), times: int = 3) -> DataFrame:
+def draws(docs: DataFrame, shards: int | None = None, seed: int = 7, weights: Sequence[int] = (1, 2, 3), times: int = 3) -> DataFrame:
     """One row for each copy of a document that the mix takes, with its words `taken`, `epoch`, `shard` and `place`.
 
     docs is what sized() returns. A source is permuted by a keyed hash of doc_id and cut into blocks of
@@ -138,6 +146,7 @@ def draws(docs: DataFrame, shards: int = 16, seed: int = 7, weights: Sequence[in
     source each shard gets; which ones is a second permutation. `place` shuffles within a shard.
     Empty texts, and sources without words, take no part. Reruns agree: nothing depends on row order.
     """
+    shards = shards_of(docs.sparkSession, shards)
     per_block = written(docs.where("size > 0").groupBy("src", "block").agg(F.sum("size").alias("words")), "blocks")
     goal = targets(per_block.withColumnRenamed("words", "size"), weights, times)
     goal = goal.withColumn("whole", F.floor("target").cast("long")).withColumn("epochs", F.expr("whole div source_size"))
@@ -161,9 +170,11 @@ def draws(docs: DataFrame, shards: int = 16, seed: int = 7, weights: Sequence[in
     names = quotas.select(F.posexplode("all").alias("i", "x")).select("i", "x.src")
     tree = split_tree(quotas.where(F.size("all") > 0).select(F.transform("all", lambda x: x["n"]).alias("q")), shards, seed).join(names, "i")
     tree = tree.withColumn("past", running(tree, ["src"], ["shard"], "n")).where("n > 0")
-    ends = tree.groupBy("src").agg(F.array_sort(F.collect_list(F.struct((F.col("past") + F.col("n")).alias("end"), "shard"))).alias("ends"))
-    blocks = blocks.join(ends, "src").withColumn("shard", F.get(F.filter("ends", lambda x: x["end"] >= F.col("at")), F.lit(0))["shard"])
-    slim = blocks.select("src", "block", "epoch", "shard", "epochs", "cut", "part")
+    # the tree's counts as places in the source's permuted row of blocks
+    places = tree.select("src", "shard", F.explode(F.sequence(F.col("past") + 1, F.col("past") + F.col("n"))).alias("at"))
+    blocks = blocks.withColumn("at", F.col("at").cast("bigint")).join(places, ["src", "at"])
+    # written, so that Spark knows its size before it shuffles any text
+    slim = written(blocks.select("src", "block", "epoch", "shard", "epochs", "cut", "part"), "dealt")
     out = docs.where("size > 0").join(slim, ["src", "block"])
     at_cut = F.coalesce((F.col("key") == F.col("cut")) & (F.col("epoch") > F.col("epochs")), F.lit(False))
     before = F.col("cut").isNull() | (F.col("key") < F.col("cut")) | (F.col("epoch") <= F.col("epochs"))
@@ -176,22 +187,23 @@ def draws(docs: DataFrame, shards: int = 16, seed: int = 7, weights: Sequence[in
     return out.drop("epochs", "cut", "part")
 
 
-def mix(docs: DataFrame, shards: int = 16, seed: int = 7, weights: Sequence[int] = (1, 2, 3), times: int = 3) -> DataFrame:
-    """The mixed corpus: docs' own columns, a row for each copy drawn, each shard's rows together in shuffled order.
+def mix(docs: DataFrame, shards: int | None = None, seed: int = 7, weights: Sequence[int] = (1, 2, 3), times: int = 3) -> DataFrame:
+    """The mixed corpus: docs' own columns, a row for each copy drawn; each shard is a partition, its rows in shuffled order.
 
     A copy of which only a part was drawn keeps its first words; n_chars, if there, follows its text.
     Extra columns stay; columns of docs named like the working ones (size, src, key, block, epoch,
     shard, taken, place) are carried through unharmed. An empty table gives an empty one.
     """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    base = sized(row.select("row", "row.doc_id", "row.text", "row.source"), seed)
+    shards = shards_of(docs.sparkSession, shards)
+    base = sized(row.select("row", "row.doc_id", "row.text", "row.source"), seed, shards)
     base = base.drop("doc_id", "text", "source")
     out = draws(base, shards, seed, weights, times)
     k = F.col("taken").cast("int")
     gaps, words = F.split("row.text", WORD), F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0))
     head = F.array_join(F.zip_with(F.slice(gaps, F.lit(1), k), F.slice(words, F.lit(1), k), lambda g, w: F.concat(g, w)), "")
     text = F.when(F.col("taken") < F.col("size"), head).otherwise(F.col("row.text"))
-    out = out.repartition("shard", F.substring("place", 1, 1)).sortWithinPartitions("shard", "place").withColumn("text", text)
+    out = out.repartitionById(shards, "shard").sortWithinPartitions("place").withColumn("text", text)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
@@ -200,16 +212,15 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     base = sized(docs).withColumn("rid", F.monotonically_increasing_id())
     base = written(base.select("rid", "doc_id", "size", "src", "key", "block"), "sized")
-    took = draws(base).groupBy("rid").agg(F.sum("taken").alias("taken"))
+    took = draws(base).groupBy("rid").agg(F.sum("taken").alias("taken"), F.count("*").alias("copies"))
     out = base.join(took, "rid", "left").join(targets(base), "src")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("taken", "copies")])
 
 
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
-         CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
-]+')), 0) AS BIGINT) AS size
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -237,6 +248,7 @@ r AS (
   FROM g)
 SELECT doc_id, size, source_size, target,
        CAST(epochs * size + CASE WHEN before + same <= rest THEN size
-                                 WHEN before < rest THEN size * (rest - before) // same ELSE 0 END AS BIGINT) AS taken
+                                 WHEN before < rest THEN size * (rest - before) // same ELSE 0 END AS BIGINT) AS taken,
+       CASE WHEN size = 0 THEN 0 ELSE epochs + CASE WHEN before < rest THEN 1 ELSE 0 END END AS copies
 FROM r
 """
