@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.llm import binary, bpe, fingerprint, jaccard, lines, mix, pii, quality, topk, urls
+from cadenza.llm import binary, bpe, fingerprint, jaccard, licenses, lines, mix, pii, quality, topk, urls
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_mix_sources": mix.op9_mix_sources,
     "op10_maxscore_topk": topk.op10_maxscore_topk,
+    "op11_license_scan": licenses.op11_license_scan,
 }
 ORACLES = {
     "op4_url_filter": urls.OP4_SQL,
     "op8_line_dedup": lines.OP8_SQL,
     "op9_mix_sources": mix.OP9_SQL,
     "op10_maxscore_topk": topk.OP10_SQL,
+    "op11_license_scan": licenses.OP11_SQL,
 }
