@@ -1,7 +1,6 @@
 """License scans: merged diagonals, verified spans and odd rows."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from cadenza.llm import licenses
 
@@ -51,6 +50,6 @@ def test_odd_rows(spark):
 
 
 def test_plan(spark):
-    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("cc by nc").alias("text"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1 and "Python" not in plan
