@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.llm import audit, binary, bpe, fingerprint, jaccard, licenses, lines, mix, pii, quality, topk, urls
+from cadenza.llm import audit, binary, bpe, crosstoken, fingerprint, jaccard, licenses, lines, mix, pii, quality, topk, urls
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mix_sources": mix.op9_mix_sources,
     "op10_maxscore_topk": topk.op10_maxscore_topk,
     "op11_license_scan": licenses.op11_license_scan,
+    "op12_token_alignment": crosstoken.op12_token_alignment,
     "op13_filter_audit": audit.op13_filter_audit,
 }
 ORACLES = {
