@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import release, table, written
-from cadenza.llm.units import Known, Runs, plain
+from cadenza.llm.units import Known, Runs, gather, plain
 
 #: White space as tokenizers see it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: A lot of documents ends at this many bytes of text or documents; a worker forgets its units beyond this many, or characters of them.
 LOT_BYTES, LOT_DOCS, KNOWN_UNITS, KNOWN_CHARS = 8 << 20, 50_000, 400_000, 32 << 20
+#: Words asked for in one text.
+JOINED = 500
 LINKS = ("ends", "overlaps", "products")
 
 
@@ -73,9 +75,15 @@ class Aligner:
         self.kind, self.a, self.b = kind, Tokenizer.from_str(vocabulary), sentencepiece.SentencePieceProcessor(model_proto=model)
         self.a.encode_special_tokens = True
         signs, size = byte_signs(), self.b.get_piece_size()
-        self.bytes_a = {i: bytes(map(signs.__getitem__, t)) if all(c in signs for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        names = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         pieces = self.b.id_to_piece(list(range(size)))
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        spelt_a = [bytes(map(signs.__getitem__, t)) if all(c in signs for c in t) else t.encode() for t in (names.get(i, "") for i in range(max(names) + 1))]
+        spelt_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.bytes_a, self.bytes_b = (np.array(x, object) for x in (spelt_a, spelt_b))
+        self.lens_a, self.lens_b = (np.array(list(map(len, x)), "i8") for x in (spelt_a, spelt_b))
+        self.named_a, self.named_b = (np.array([[b"%d%c" % (i, sign) for i in range(len(x))] for sign in signs_], object) for x, signs_ in ((spelt_a, b",|"), (spelt_b, b",;")))
+        self.line_a = self.a.encode("\n", add_special_tokens=False).ids[0]
+        self.line_b = self.b.encode("\n")[-1]
         self.space = self.b.piece_to_id("▁")
         joined = [m for i, p in enumerate(pieces) if not self.b.is_control(i) for m in re.findall(f"(?<=[^{WHITE}▁])[{WHITE}▁]|(?<=▁)[{WHITE}]", p)]
         if self.b.is_unknown(self.space) or "▁" in joined or " " in joined:
@@ -103,42 +111,70 @@ class Aligner:
             return f" {text}".replace("\n", "\0\n").replace(" ", "\0 ").split("\0")[1:]
         return [f" {text}"] if self.whole.search(text) else UNIT.findall(f" {text}")
 
-    def encoded(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        ids_b = self.b.encode([u.removeprefix(" ") for u in units], num_threads=1)
-        # the library puts a space before every text: the unit's own, if it begins with one
-        return ids_a, [ids[1:] if u[0] != " " else ids if len(u) > 1 else [self.space] for u, ids in zip(units, ids_b, strict=True)]
+    def encoded(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of both tokenizers, all units' ids in a row and the count of each unit; words after single spaces are asked for
+        together, with line ends between."""
+        together = np.array([len(u) > 1 and u[0] == " " and not u[1].isspace() and "\n" not in u for u in units])
+        joined, single = list(itertools.compress(units, together)), list(itertools.compress(units, ~together))
+        joint = ["\n".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)]
+        place = np.empty(len(units), "i8")
+        place[np.flatnonzero(together)] = np.arange(len(joined))
+        place[np.flatnonzero(~together)] = len(joined) + np.arange(len(single))
+        out = []
+        for ask, line in ((self.ask_a, self.line_a), (self.ask_b, self.line_b)):
+            many = np.fromiter(itertools.chain.from_iterable([*ids, line] for ids in ask(joint)), "i8")
+            ends, few = np.flatnonzero(many == line), ask(single)
+            lens = np.concatenate([np.diff(ends, prepend=-1) - 1, np.fromiter(map(len, few), "i8", len(few))])
+            flat = np.concatenate([many[many != line], np.fromiter(itertools.chain.from_iterable(few), "i8")])
+            out.append(gather(np.cumsum(lens) - lens, lens, flat, place))
+        return out
+
+    def ask_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ask_b(self, texts: list[str]) -> list[list[int]]:
+        """The library puts a space before every text: the text's own, if it begins with one, else it is taken off."""
+        found = self.b.encode([t.removeprefix(" ") for t in texts], num_threads=1)
+        return [ids[1:] if t[:1] != " " else ids if len(t) > 1 else [self.space] for t, ids in zip(texts, found, strict=True)]
+
+    def spelt(self, units: list[str], found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Whether the tokens' bytes are those of each unit; all are looked at together first."""
+        raw = [u.encode("utf-8", "surrogatepass") for u in units]
+        size, whole, good = np.fromiter(map(len, raw), "i8", len(raw)), b"".join(raw), np.ones(len(units), bool)
+        for (ids, n), table, lens in zip(found, (self.bytes_a, self.bytes_b), (self.lens_a, self.lens_b), strict=True):
+            until = np.concatenate([[0], np.cumsum(lens[ids])])[np.cumsum(n)]
+            if b"".join(table[ids]) != whole or (np.diff(until, prepend=0) != size).any():
+                starts = np.cumsum(n) - n
+                good &= np.array([b"".join(table[ids[i : i + k]]) == r for i, k, r in zip(starts.tolist(), n.tolist(), raw, strict=True)])
+        return good
 
     def learn(self) -> None:
         """Encodes and aligns all new units at once."""
         units, self.new = self.new, []
-        found_a, found_b = self.encoded(units)
-        spoilt = np.zeros(len(units), bool)
-        for i, (u, x, y) in enumerate(zip(units, found_a, found_b, strict=True)):
-            b = u.encode("utf-8", "surrogatepass")
-            spoilt[i] = b != b"".join(map(self.bytes_a.__getitem__, x)) or b != b"".join(map(self.bytes_b.__getitem__, y))
-            if spoilt[i]:
-                found_a[i] = found_b[i] = []
-        a, b = (np.fromiter((i for x in found for i in x), "i8") for found in (found_a, found_b))
-        ends_a = np.cumsum(np.fromiter((len(self.bytes_a[i]) for i in a.tolist()), "i8", len(a)))
-        ends_b = np.cumsum(np.fromiter((len(self.bytes_b[i]) for i in b.tolist()), "i8", len(b)))
-        own_a, own_b, closes = intervals(ends_a, ends_b)
-        from_a, from_b = (np.concatenate([[0], np.cumsum([len(x) for x in found])]) for found in (found_a, found_b))
+        found = self.encoded(units)
+        good = self.spelt(units, found)
+        if not good.all():
+            found = [(ids[np.repeat(good, n)], np.where(good, n, 0)) for ids, n in found]
+        (a, n_a), (b, n_b) = found
+        own_a, own_b, closes = intervals(np.cumsum(self.lens_a[a]), np.cumsum(self.lens_b[b]))
+        from_a, from_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
         last_a, last_b = own_a[closes] + 1, own_b[closes] + 1  # where groups end, as counts of tokens
         group = np.searchsorted(last_a, from_a, "right")  # units end where groups do
-        groups, ids = list(zip(last_a.tolist(), last_b.tolist(), strict=True)), (list(map(str, a.tolist())), list(map(str, b.tolist())))
-        at_a = at_b = 0
-        for lo, hi in itertools.pairwise(group.tolist()):
-            names = []
-            for x, y in groups[lo:hi]:
-                names.append(f"{','.join(ids[0][at_a:x])}|{','.join(ids[1][at_b:y])}")
-                at_a, at_b = x, y
-            self.names.append(";".join(names).encode())
-        sizes = np.column_stack([np.diff(from_a), np.diff(from_b), np.diff(group), spoilt])
+
+        # the tokens of all groups in a row, A's before B's, each spelt with the sign that follows it
+        group_a, group_b = (np.searchsorted(last, np.arange(len(x)), "right") for last, x in ((last_a, a), (last_b, b)))
+        items = np.empty(len(a) + len(b), object)
+        items[np.arange(len(a)) + np.concatenate([[0], last_b])[group_a]] = self.named_a[np.isin(np.arange(1, len(a) + 1), last_a).astype(int), a]
+        items[np.arange(len(b)) + last_a[group_b]] = self.named_b[np.isin(np.arange(1, len(b) + 1), last_b).astype(int), b]
+        text, ends = b"".join(items), np.concatenate([[0], np.cumsum(np.fromiter(map(len, items), "i8", len(items)))])[from_a + from_b].tolist()
+        self.names += [text[lo : max(lo, hi - 1)] for lo, hi in itertools.pairwise(ends)]
+
+        sizes = np.column_stack([n_a, n_b, np.diff(group), ~good])
         self.sizes.add(np.full(len(units), sizes.shape[1]), sizes.ravel())
         link_a, link_b = linked(own_a, own_b, closes, self.kind)
-        codes = ((a[link_a] << 32) | b[link_b]).tolist()
-        self.links.add(np.diff(np.searchsorted(link_a, from_a)), np.fromiter(map(self.pair.__getitem__, codes), "<u4", len(codes)))
+        codes, which = np.unique((a[link_a] << 32) | b[link_b], return_inverse=True)
+        numbers = np.fromiter(map(self.pair.__getitem__, codes.tolist()), "<u4", len(codes))
+        self.links.add(np.diff(np.searchsorted(link_a, from_a)), numbers[which])
 
     def codes(self, texts: list[str]) -> list[np.ndarray | None]:
         """The units of each text by number; None where the text has no tokens."""
@@ -155,14 +191,14 @@ class Aligner:
         """The ids of both for a text, and its groups."""
         if not text:
             return [], [], []
-        (a,), (b,) = self.encoded([f" {text}"])
-        spelt_a, spelt_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if not b"".join(spelt_a) == b"".join(spelt_b) == f" {text}".encode("utf-8", "surrogatepass"):
+        whole = [f" {text}"]
+        a, b = (np.array(ask(whole)[0], "i8") for ask in (self.ask_a, self.ask_b))
+        if not self.spelt(whole, [(a, np.array([len(a)])), (b, np.array([len(b)]))]).all():
             return [], [], []
-        ends = [np.cumsum([len(x) for x in spelt]) for spelt in (spelt_a, spelt_b)]
+        ends = np.cumsum(self.lens_a[a]), np.cumsum(self.lens_b[b])
         last_a, last_b = linked(*intervals(*ends), "ends")
         sizes = zip(np.diff(last_a, prepend=-1).tolist(), np.diff(last_b, prepend=-1).tolist(), ends[0][last_a].tolist(), strict=True)
-        return a, b, [{"a": x, "b": y, "end": e} for x, y, e in sizes]
+        return a.tolist(), b.tolist(), [{"a": x, "b": y, "end": e} for x, y, e in sizes]
 
     def figures(self) -> np.ndarray:
         """Of each unit: its tokens of either, its groups, and whether it is spoilt."""
@@ -197,8 +233,10 @@ def lots(batches: Iterator[pa.RecordBatch], vocabulary: str, model: bytes, kind:
 
     def close() -> pa.RecordBatch:
         nonlocal number, docs, links, size
-        found, which, times = np.unique(np.concatenate(links), return_inverse=True, return_counts=True)
-        codes = np.fromiter(own.pair, "i8", len(own.pair))[found]
+        every = np.concatenate(links)
+        seen = np.bincount(every, minlength=len(own.pair))
+        found, which = np.flatnonzero(seen), (np.cumsum(seen > 0) - 1)[every]
+        codes, times = np.fromiter(own.pair, "i8", len(own.pair))[found], seen[found]
         packed = press.compress(which.astype("<u2" if len(found) <= 1 << 16 else "<u4").tobytes())
         columns = [[x] for x in zip(*docs, strict=True)]
         row = [[number], *columns, [codes], [times], [packed]]
