@@ -144,16 +144,6 @@ def total_gain(found: DataFrame) -> DataFrame:
     return found.groupBy(KEY).agg(F.count("*").alias("climbs"), rnd(tenths / 10.0, 1).alias("gain_m"))
 
 
-def against_best(found: DataFrame, best: DataFrame) -> DataFrame:
-    """found with `best_w` and `percent_of_best`: a climb's power against the best mean over as many seconds.
-
-    best has (duration_s, best) of the athlete's history, one row a duration, without the activity itself.
-    """
-    rows = found.withColumn("duration_s", F.col("to_i") - F.col("from_i"))
-    rows = rows.join(best.select("duration_s", F.col("best").alias("best_w")), "duration_s", "left")
-    return rows.withColumn("percent_of_best", rnd(F.col("avg_w") / F.nullif("best_w", F.lit(0.0)) * 100, 1))
-
-
 def trend(rows: DataFrame, x: str, y: str, by: str = KEY) -> DataFrame:
     """(by, slope, intercept, r2, n): a straight line by least squares, with three points or more."""
     per = rows.where(F.col(y).isNotNull()).groupBy(by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count("*").alias("n"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from cadenza.operators import bands, power
 
 GROUP = "CAST(floor(user_id / 10) AS BIGINT)"
-KEYS = {"rides": f"'r' || {GROUP}", "days": f"'r' || {GROUP} || '-' || strftime(ts, '%Y-%m-%d')"}
+KEYS = {
+    "rides": f"'r' || {GROUP}",
+    "days": f"'r' || {GROUP} || '-' || strftime(ts, '%Y-%m-%d')",
+    "weeks": f"'r' || {GROUP} || '-w' || ((CAST(ts AS DATE) - DATE '1970-01-01') // 7)",
+}
 
 
-def samples(view: str) -> str:
+def samples(view: str, watts: str = "value") -> str:
     return f"""
 ev AS (SELECT {KEYS[view]} AS activity_id, {GROUP} AS g, ts, event_id, value, CAST(props->>'k' AS INTEGER) AS k FROM events),
 nm AS (
@@ -17,7 +21,7 @@ nm AS (
   FROM ev),
 smp AS (
   SELECT activity_id, g, ts, n AS sample_idx, CAST(sum(step) OVER w AS BIGINT) AS t,
-         CASE WHEN g % 7 <> 6 THEN value END AS watts,
+         CASE WHEN g % 7 <> 6 THEN {watts} END AS watts,
          CASE WHEN g % 5 <> 4 AND k % 10 <> 0 THEN least(178.0::DOUBLE, floor(95 + 0.19::DOUBLE * value + 0.5::DOUBLE)) END AS heartrate,
          CAST(k AS DOUBLE) AS cadence,
          CASE WHEN g % 11 <> 10 THEN CAST(10000 + sum(CASE WHEN (n // 40) % 2 = 0 THEN step * (50 + k % 10) ELSE -step * (40 + k % 10) END) OVER w AS DOUBLE) / 100.0::DOUBLE END AS altitude,
@@ -41,7 +45,7 @@ act AS (
 SIGNALS = ("watts", "heartrate", "cadence", "altitude", "distance")
 
 
-def aligned(view: str) -> str:
+def aligned(view: str, watts: str = "value") -> str:
     found = ", ".join(
         f"last_value(CASE WHEN {s} IS NOT NULL THEN t END IGNORE NULLS) OVER up AS pt_{s}, last_value({s} IGNORE NULLS) OVER up AS pv_{s}, "
         f"first_value(CASE WHEN {s} IS NOT NULL THEN t END IGNORE NULLS) OVER rest AS qt_{s}, first_value({s} IGNORE NULLS) OVER rest AS qv_{s}"
@@ -52,7 +56,7 @@ def aligned(view: str) -> str:
         f"ELSE pv_{s} + (qv_{s} - pv_{s}) * (c - pt_{s}) / (qt_{s} - pt_{s}) END, 0) AS {s}, coalesce(c = pt_{s}, false) AS known_{s}, bool_or({s} IS NOT NULL) OVER (PARTITION BY activity_id) AS has_{s}"
         for s in SIGNALS
     )
-    return f"""{samples(view)},
+    return f"""{samples(view, watts)},
 nb AS (
   SELECT *, {found}
   FROM cl WINDOW up AS (PARTITION BY activity_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
@@ -149,6 +153,8 @@ ACTS = "acts AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_or
 PROFILE = "pr AS (SELECT o_custkey AS athlete_id, CAST(o_orderdate AS DATE) AS effective_from, CAST(max(o_totalprice) AS DOUBLE) AS value FROM orders GROUP BY ALL), pf AS (SELECT *, lead(effective_from) OVER (PARTITION BY athlete_id ORDER BY effective_from) - 1 AS effective_to FROM pr)"
 
 DAYS = (1, 5, 10)
+#: Power uphill, more for some groups than for others.
+UPHILL = "value * CASE WHEN (n // 40) % 2 = 0 THEN 1 + (g % 5) / 4.0::DOUBLE ELSE 1 END"
 SMOOTH = f"""n AS (SELECT *, count(*) OVER (PARTITION BY activity_id) AS n FROM al),
 r AS (SELECT *, least(7, i, n - 1 - i) AS r FROM n),
 sm AS (
@@ -309,10 +315,23 @@ SELECT activity_id, i, {rnd('smooth', 4)} AS smooth, {rnd('grade', 3)} AS grade
     "climb_trend_hr": trend("avg_hr"),
     "climb_gain": f"""{RIDES}, {CLIMBS}
 SELECT activity_id, count(*) AS climbs, {rnd("sum(CAST(floor(gain_m * 10 + 0.5::DOUBLE) AS BIGINT)) / 10.0::DOUBLE", 1)} AS gain_m FROM climb GROUP BY 1""",
-    "climb_vs_best": f"""{RIDES}, {CLIMBS},
-d AS (SELECT *, to_i - from_i AS duration_s FROM climb),
-bs AS (SELECT duration_s, max(avg_w) AS best_w FROM d GROUP BY 1)
-SELECT activity_id, climb, duration_s, avg_w, best_w, {rnd("avg_w / nullif(best_w, 0) * 100", 1)} AS percent_of_best FROM d LEFT JOIN bs USING (duration_s)""",
+    "climb_vs_best": f"""WITH {aligned('weeks', UPHILL)}, {activities('weeks')}, {CLIMBS},
+own AS (SELECT *, athlete_id // 5 AS rider FROM act),
+dc AS (SELECT c.*, to_i - from_i AS duration_s, rider, device_watts FROM climb c JOIN own USING (activity_id)),
+dem AS (SELECT DISTINCT rider, duration_s AS d FROM dc WHERE device_watts AND duration_s > 0),
+ls AS (SELECT *, row_number() OVER (PARTITION BY rider ORDER BY day DESC, activity_id) AS pos FROM own WHERE day BETWEEN DATE '2024-02-20' - 42 AND DATE '2024-02-20'),
+hs AS (SELECT * FROM ls WHERE pos <= 30 AND device_watts),
+wn AS (
+  SELECT hs.rider, hs.activity_id, hs.pos, hs.day, d, p1.s - coalesce(p0.s, 0) AS b
+  FROM hs JOIN dem USING (rider) JOIN px p1 ON p1.activity_id = hs.activity_id AND p1.i >= d - 1 LEFT JOIN px p0 ON p0.activity_id = p1.activity_id AND p0.i = p1.i - d
+  WHERE p1.has_watts AND p1.ok - coalesce(p0.ok, 0) = d),
+bs AS (SELECT rider, activity_id, pos, day, d, {rnd("max(b) / d / 1e6", 2)} AS best FROM wn GROUP BY 1, 2, 3, 4, 5)
+SELECT c.activity_id, c.climb, c.duration_s, c.avg_w,
+       CASE WHEN NOT coalesce(device_watts, false) THEN 'not_measured' WHEN avg_w IS NULL THEN 'no_power' WHEN best IS NULL THEN 'no_history' ELSE 'compared' END AS status,
+       CASE WHEN device_watts AND avg_w IS NOT NULL THEN best END AS best_w, CASE WHEN device_watts AND avg_w IS NOT NULL THEN b.activity_id END AS best_activity_id,
+       CASE WHEN device_watts AND avg_w IS NOT NULL THEN b.day END AS best_day, CASE WHEN device_watts THEN {rnd("avg_w / nullif(best, 0) * 1000", 0)} / 10.0::DOUBLE END AS percent_of_best
+FROM dc c LEFT JOIN bs b ON b.rider = c.rider AND b.d = c.duration_s AND b.activity_id <> c.activity_id
+QUALIFY row_number() OVER (PARTITION BY c.activity_id, c.climb ORDER BY best DESC NULLS LAST, b.pos) = 1""",
     "compare_activities": f"""{RIDES},
 fp AS (SELECT activity_id, CASE WHEN athlete_id % 3 <> 2 THEN (50 + athlete_id % 20)::DOUBLE END AS ftp, CASE WHEN athlete_id % 4 <> 0 THEN (60 + athlete_id % 9)::DOUBLE END AS kg FROM act),
 {metrics_cte('(SELECT ftp FROM fp WHERE fp.activity_id = g.activity_id)', '(SELECT kg FROM fp WHERE fp.activity_id = g.activity_id)')},

@@ -20,8 +20,11 @@ def group() -> Column:
 
 
 def key_of(view: str) -> Column:
-    """rides: a series of each group of users; days: one of each group and day."""
+    """rides: a series of each group of users; days and weeks: one of each group and day, or week."""
     name = F.concat(F.lit("r"), group().cast("string"))
+    if view == "weeks":
+        week = F.floor(F.datediff("ts", F.lit("1970-01-01").cast("date")) / 7)
+        return F.concat(name, F.lit("-w"), week.cast("string"))
     return name if view == "rides" else F.concat(name, F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))
 
 
