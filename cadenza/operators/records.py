@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.ordered import KEY
 from cadenza.functions.scalars import km, kmh, micro, rnd, time_of_day
+from cadenza.sources.shared import written
 
 
 def newest(rows: DataFrame, n: int, by: str, tie: str) -> DataFrame:
@@ -194,3 +196,33 @@ def listed(rows: DataFrame, first: Column, last: Column, most: int, excluded: Da
 def chunk_size(types: int, verbose: bool = False) -> int:
     """Points of a chunk of about 50 kB."""
     return max(50, min(1000 if verbose else 2000, (50 * 1024 - 500) // ((120 if verbose else 25) * max(1, types))))
+
+
+def kept_newest(rows: DataFrame, at: Column, size: Column, tie: str, most: int | None = 200, most_bytes: int = 128 << 20) -> DataFrame:
+    """rows newest first by `at`, up to `most` of them and as long as their sizes add up to `most_bytes` at most.
+
+    Sizes of rows that don't fit count on, so all later ones are left out as well. Sizes aren't negative, null ones are 0, null times last; tie, a
+    column, orders equal times. With `most` the newest rows are picked first. Without it the sum runs over all rows in two
+    levels: they are written in ranges of time, the sum of each range is taken, and within a range only local sums are
+    added to it. The ranges' sums, a row for each shuffle partition, are all that reaches the driver; ranges that begin
+    beyond the limit aren't read again.
+    """
+    order = [F.col("__at").desc_nulls_last(), F.col(tie).asc_nulls_last()]
+    rows = rows.withColumns({"__at": at, "__size": F.coalesce(size.cast("bigint"), F.lit(0))})
+    if most is not None:
+        newest = rows.orderBy(*order).limit(most)
+        total = F.sum("__size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # `most` rows
+        return newest.withColumn("__total", total).where(F.col("__total") <= most_bytes).drop("__at", "__size", "__total")
+    ranged = written(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("__range").agg(F.sum("__size").alias("s"), F.max("__at").alias("at")).orderBy("__range").collect()
+    before, start = 0, {}
+    for r in sums:
+        if before <= most_bytes:
+            start[r["__range"]] = before
+        before += r["s"]
+    if not start:
+        return ranged.drop("__at", "__size", "__range")
+    base = F.get(F.from_json(F.lit(json.dumps([start.get(k, 0) for k in range(max(start) + 1)])), "array<bigint>"), F.col("__range"))
+    local = F.sum("__size").over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    reached = ranged.where(F.col("__range") <= max(start)).withColumn("__total", base + local)
+    return reached.where(F.col("__total") <= most_bytes).drop("__at", "__size", "__range", "__total")

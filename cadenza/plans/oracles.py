@@ -223,6 +223,11 @@ kept AS (SELECT * FROM top WHERE athlete_id % 13 <> 5),
 fit AS (SELECT DISTINCT activity_id FROM curve JOIN kept USING (activity_id) WHERE best IS NOT NULL AND {measured})"""
 
 
+#: Orders, newest first, with the running sum of their whole prices.
+CACHE = """WITH n AS (
+  SELECT *, row_number() OVER w AS place, sum(CAST(trunc(o_totalprice) AS BIGINT)) OVER w AS total
+  FROM orders WINDOW w AS (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey NULLS LAST ROWS UNBOUNDED PRECEDING))"""
+
 SQL = {
     "align_grid": f"""WITH {aligned('rides')}
 SELECT activity_id, i, "offset", valid, moving, {', '.join(rnd(s, 6) + f' AS {s}' for s in SIGNALS)} FROM al""",
@@ -482,4 +487,10 @@ FROM m WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)""",
        o_orderstatus = 'F' AS primary FROM orders""".replace("AS primary", 'AS "primary"'),
     "starred_segments": f"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN {rnd('p_size * 137 / 1000.0::DOUBLE', 2)} ELSE {rnd('p_size * 137 / 1609.344::DOUBLE', 2)} END AS length,
        CASE WHEN p_partkey % 2 = 0 THEN 'km' ELSE 'mi' END AS unit FROM part WHERE p_partkey % 3 = 0""",
+    "cell_store": f"""WITH {aligned('rides')}
+SELECT activity_id, count(*) AS cells, count(*) FILTER (valid) AS valid_cells, CAST(sum(CAST(floor(watts * 100 + 0.5::DOUBLE) AS BIGINT)) AS BIGINT) AS watts,
+       CAST(CASE WHEN CAST(substr(activity_id, 2) AS BIGINT) % 4 = 2 THEN 1 ELSE 2 END AS INTEGER) AS fill
+FROM al GROUP BY 1""",
+    "cache_newest": f"{CACHE} SELECT o_orderkey, o_orderdate, o_totalprice FROM n WHERE place <= 200 AND total <= 20000000",
+    "cache_bytes": f"{CACHE} SELECT o_orderkey, o_orderdate, o_totalprice FROM n WHERE total <= 134217728",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,9 @@ from cadenza.functions.ordered import KEY
 from cadenza.functions.scalars import rnd
 from cadenza.operators import align, analysis, bands, climbs, decoupling, estimate, exports, history, power, profile, records, retrieval, workout
 from cadenza.plans.oracles import DAYS, DUR, FTP, HR, KG, POWER, SQL
+from cadenza.sources import shared
 from cadenza.sources.events import activities, samples, table
+from cadenza.sources.store import CellStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES = SQL
@@ -451,3 +454,28 @@ def athlete_shoes(spark, sf_dir):
 def starred_segments(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3 == 0).alias("starred"), (F.col("p_size") * 137).cast("double").alias("metres"), (F.col("p_partkey") % 2 == 0).alias("metric"))
     return retrieval.starred(rows, "starred", F.col("metres"), F.col("metric")).select("p_partkey", "length", "unit")
+
+
+@query
+def cell_store(spark, sf_dir):
+    """A store filled twice: at first with half of the series, some of them without a few samples, then with all."""
+    all_, g = samples(spark, sf_dir, "rides"), F.substring(KEY, 2, 20).cast("bigint")
+    some = all_.where((g % 2 == 0) & ((g % 4 != 0) | (F.col("sample_idx") % 50 != 7)))
+    store = CellStore(spark, f"{shared.folder(spark)}/cadenza/{uuid.uuid4().hex}")
+    store.fill(some)
+    second = store.fill(all_).select(KEY, F.lit(2).alias("fill"))
+    watts = F.sum(F.floor(F.col("watts") * 100 + 0.5).cast("bigint"))
+    per = store.cells().groupBy(KEY).agg(F.count("*").alias("cells"), F.count_if("valid").alias("valid_cells"), watts.alias("watts"))
+    return per.join(second, KEY, "left").select(KEY, "cells", "valid_cells", "watts", F.coalesce("fill", F.lit(1)).alias("fill"))
+
+
+@query
+def cache_newest(spark, sf_dir):
+    """The newest 200 orders as long as their prices stay below a limit."""
+    return records.kept_newest(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), F.col("o_orderdate"), F.col("o_totalprice"), "o_orderkey", 200, 20_000_000)
+
+
+@query
+def cache_bytes(spark, sf_dir):
+    """The newest orders as long as their prices add up to no more than a limit, however many they are."""
+    return records.kept_newest(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), F.col("o_orderdate"), F.col("o_totalprice"), "o_orderkey", None, 128 << 20)
