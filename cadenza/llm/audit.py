@@ -18,7 +18,7 @@ FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS = 50, 65, 5, b"#$%&*|"
 COPY = 1 << FILTERS.index("E")
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
-#: A map task hands its chains on once they hold this many bytes of text.
+#: A map task hands its chains on once they hold this many bytes of text; a partition gets about as many.
 CHAIN_BYTES = 64 << 20
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
@@ -118,13 +118,14 @@ def verdicts(docs: DataFrame) -> DataFrame:
     A null text is an empty one, a null source the part ''. A row is a copy (E) if a row with the same text has a smaller
     doc_id; a null id is larger than any other, rows of one id and text are no copies of each other, so a text whose
     rows all lack an id has none. Texts go by xxhash to partitions, once for each map task (or 64 MB of text) at most,
-    however many copies there are; there chains compare whole texts. There are as many partitions as input splits, so a
-    task holds about a split's texts. Other columns aren't read; an empty table gives no rows.
+    however many copies there are; there chains compare whole texts. The texts' bytes are added up first: there are so many
+    partitions that one holds about 64 MB of different texts. Other columns aren't read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))).rdd
-    count = max(partitions(spark), rows.getNumPartitions())
-    out = rows.mapPartitions(route).partitionBy(count, lambda key: key).mapPartitions(judged)
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(partitions(spark), -(-size // CHAIN_BYTES))
+    out = rows.rdd.mapPartitions(route).partitionBy(count, lambda key: key).mapPartitions(judged)
     return spark.createDataFrame(out, "doc_id bigint, part string, mask int, n bigint", verifySchema=False)
 
 
