@@ -37,18 +37,18 @@ def trailing_sum(size: int) -> Column:
 def centred_mean(df: DataFrame, signal: str, window: int, out: str) -> DataFrame:
     """Mean over the cells around each one, the radius shrinking alike on both sides at the ends.
 
-    Only valid cells count; without any the cell keeps its own value. The frame has a fixed width, so a
-    shrunken radius is a sum over the part of it within reach of the end.
+    Only valid cells count; without any the cell keeps its own value. Each mean is the difference of two running sums, looked
+    up as many cells ahead and back as the radius says; near the ends that is less, so there is a look-up for each radius.
     """
-    half = window // 2
-    w = along()
-    near = w.rowsBetween(-half, half)
-    cell = F.struct(F.col("i"), F.when(F.col("valid"), micro(F.col(signal))).alias("v"))
-    df = df.withColumns({"__near": F.collect_list(cell).over(near), "__n": F.count("*").over(Window.partitionBy(KEY))})
+    half, w = window // 2, along()
+    sums = F.struct(F.sum(F.when(F.col("valid"), micro(F.col(signal)))).over(upto(w)).alias("s"), F.sum(F.col("valid").cast("int")).over(upto(w)).alias("n"))
+    df = df.withColumns({"__sums": sums, "__n": F.count("*").over(Window.partitionBy(KEY))})
+    found = {f"__up{k}": F.lead("__sums", k).over(w) for k in range(1, half + 1)} | {f"__low{k}": F.lag("__sums", k + 1).over(w) for k in range(half + 1)}
     radius = F.least(F.lit(half), F.col("i"), F.col("__n") - 1 - F.col("i"))
-    inside = F.filter("__near", lambda c: (F.abs(c["i"] - F.col("i")) <= radius) & c["v"].isNotNull())
-    zero = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("n"))
-    total = F.aggregate(inside, zero, lambda a, c: F.struct((a["s"] + c["v"]).alias("s"), (a["n"] + 1).alias("n")))
-    df = df.withColumn("__sum", total)
-    mean = F.when(F.col("__sum.n") > 0, F.col("__sum.s") / F.col("__sum.n") / 1e6).otherwise(F.col(signal))
-    return df.withColumn(out, mean).drop("__near", "__n", "__sum")
+    df = df.withColumns(found | {"__r": radius})
+    upper, lower = F.col("__sums"), F.col("__low0")
+    for k in range(1, half + 1):
+        upper, lower = (F.when(F.col("__r") == k, F.col(f"__{side}{k}")).otherwise(x) for side, x in (("up", upper), ("low", lower)))
+    gone = lambda c: F.coalesce(upper[c], F.lit(0)) - F.coalesce(lower[c], F.lit(0))
+    mean = F.when(gone("n") > 0, gone("s") / gone("n") / 1e6).otherwise(F.col(signal))
+    return df.withColumn(out, mean).drop(*found, "__sums", "__n", "__r")

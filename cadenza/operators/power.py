@@ -24,6 +24,38 @@ def with_signal(aligned: DataFrame, signal: str) -> Column:
     return F.col(f"has_{signal}") if f"has_{signal}" in aligned.columns else F.lit(True)
 
 
+def with_fourth(aligned: DataFrame) -> DataFrame:
+    """aligned with `__fourth`: the fourth power of the mean over the last NP_WINDOW cells, null without a whole window or power."""
+    mean = trailing_sum(NP_WINDOW) / float(NP_WINDOW) / 1e6
+    rows = prefixes(aligned, "watts").withColumn("__fourth", F.when(with_signal(aligned, "watts"), F.pow(mean, F.lit(4.0))))
+    return rows.drop("s", "ok")
+
+
+def power_sums(has: Column) -> dict[str, Column]:
+    """What power_figures() needs of the cells of with_fourth()."""
+    return {
+        "valid_seconds": F.count_if("valid"),
+        "total": F.sum(F.when(F.col("valid") & has, micro(F.col("watts")))),
+        "fourth": F.avg("__fourth"),
+        "np_windows": F.count("__fourth"),
+    }
+
+
+def power_figures(ftp: Column, kg: Column) -> dict[str, Column]:
+    """The metrics from power_sums(); a null parameter leaves what depends on it null."""
+    n, avg, np_ = F.col("valid_seconds"), F.col("total") / 1e6 / F.nullif("valid_seconds", F.lit(0)), normalized(F.col("fourth"))
+    ratio = np_ / F.nullif(ftp, F.lit(0.0))
+    return {
+        "avg_w": rnd(avg, 2),
+        "np_w": rnd(np_, 2),
+        "vi": rnd(np_ / F.nullif(avg, F.lit(0.0)), 4),
+        "intensity": rnd(ratio, 4),
+        "tss": rnd(n * np_ * ratio / (F.nullif(ftp, F.lit(0.0)) * 3600) * 100, 2),
+        "work_kj": rnd(F.col("total") / 1e6 / 1000, 2),
+        "avg_wkg": rnd(avg / F.nullif(kg, F.lit(0.0)), 3),
+    }
+
+
 def power_metrics(aligned: DataFrame, ftp: Column, weight: Column, by: Sequence[str] = (KEY,)) -> DataFrame:
     """valid_seconds, avg_w, np_w, vi, if, tss, work_kj, avg_wkg, np_windows for each activity (or `by`).
 
@@ -31,28 +63,10 @@ def power_metrics(aligned: DataFrame, ftp: Column, weight: Column, by: Sequence[
     depends on them null. The normalised power takes complete, wholly valid trailing windows only. Without
     power all but valid_seconds is null, and there are no windows.
     """
-    has = with_signal(aligned, "watts")
-    rows = prefixes(aligned.withColumns({"__ftp": ftp, "__kg": weight}), "watts")
-    mean = trailing_sum(NP_WINDOW) / float(NP_WINDOW) / 1e6
-    rows = rows.withColumn("__fourth", F.when(has, F.pow(mean, F.lit(4.0))))
-    total = F.sum(F.when(F.col("valid") & has, micro(F.col("watts"))))
-    per = rows.groupBy(*by).agg(
-        F.count_if("valid").alias("valid_seconds"), total.alias("total"), F.avg("__fourth").alias("fourth"), F.count("__fourth").alias("np_windows"), F.max("__ftp").alias("ftp"), F.max("__kg").alias("kg")
-    )
-    n, avg, np_ = F.col("valid_seconds"), F.col("total") / 1e6 / F.nullif("valid_seconds", F.lit(0)), normalized(F.col("fourth"))
-    ratio = np_ / F.nullif("ftp", F.lit(0.0))
-    return per.select(
-        *by,
-        "valid_seconds",
-        rnd(avg, 2).alias("avg_w"),
-        rnd(np_, 2).alias("np_w"),
-        rnd(np_ / F.nullif(avg, F.lit(0.0)), 4).alias("vi"),
-        rnd(ratio, 4).alias("intensity"),
-        rnd(n * np_ * ratio / (F.nullif("ftp", F.lit(0.0)) * 3600) * 100, 2).alias("tss"),
-        rnd(F.col("total") / 1e6 / 1000, 2).alias("work_kj"),
-        rnd(avg / F.nullif("kg", F.lit(0.0)), 3).alias("avg_wkg"),
-        "np_windows",
-    )
+    rows = with_fourth(aligned.withColumns({"__ftp": ftp, "__kg": weight}))
+    sums = power_sums(with_signal(aligned, "watts")) | {"__ftp": F.max("__ftp"), "__kg": F.max("__kg")}
+    per = rows.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()])
+    return per.select(*by, "valid_seconds", *[c.alias(n) for n, c in power_figures(F.col("__ftp"), F.col("__kg")).items()], "np_windows")
 
 
 def curve(aligned: DataFrame, durations: Sequence[int] = DURATIONS, signal: str = "watts", by: Sequence[str] = (KEY,)) -> DataFrame:
