@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.ordered import KEY, along, centred_mean, prefixes, trailing_sum, upto
+from cadenza.functions.ordered import KEY, along, centred_mean, upto
 from cadenza.functions.scalars import micro, rnd
-from cadenza.operators.power import NP_WINDOW, with_signal
+from cadenza.operators.power import NP_WINDOW, with_fourth, with_signal
 
 SMOOTHING, GRADE_METRES, NOISE = 15, 50, 1.0
 #: The stretch of a sustained grade, in metres, and the least of it that counts.
@@ -47,10 +47,13 @@ def tier(score: Column) -> Column:
     return out
 
 
-def _spans(aligned: DataFrame) -> DataFrame:
-    """The cells of each climb, trimmed: rows of aligned with smooth, grade, `climb`, `from_i` and `to_i`, in one pass by activity."""
+def marked(aligned: DataFrame) -> DataFrame:
+    """aligned with smooth, grade, and of the cells inside a climb, trimmed, `climb`, `from_i` and `to_i`; in one pass by activity.
+
+    Cells of series without altitude or distance are in no climb.
+    """
     w = along()
-    rows = grades(smooth(aligned.where(with_signal(aligned, "altitude") & with_signal(aligned, "distance"))))
+    rows = grades(smooth(aligned))
     step = F.greatest(F.col("distance") - F.lag("distance").over(w), F.lit(0.0))
     rows = rows.withColumns(
         {
@@ -59,7 +62,8 @@ def _spans(aligned: DataFrame) -> DataFrame:
             "up": F.coalesce(F.col("smooth") > F.lag("smooth").over(w), F.lit(False)),
         }
     )
-    rows = rows.withColumn("rising", F.col("ok") & (F.col("grade") >= MIN_GRADE))
+    has = with_signal(aligned, "altitude") & with_signal(aligned, "distance")
+    rows = rows.withColumn("rising", F.col("ok") & (F.col("grade") >= MIN_GRADE) & has)
     flat = F.when(F.col("rising"), 0.0).otherwise(F.col("step"))
     rows = rows.withColumns({"bad": F.sum((~F.col("ok")).cast("int")).over(upto(w)), "flat": F.sum(flat).over(upto(w))})
     last = F.last(F.when(F.col("rising"), F.struct("bad", "flat")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -71,10 +75,69 @@ def _spans(aligned: DataFrame) -> DataFrame:
     starts = F.lead("new").over(w) == 1
     rows = rows.withColumn("climb", F.when(F.col("rising") | (after == F.col("number")), F.col("number")).when(starts, F.col("number") + 1))
     by = Window.partitionBy(KEY, "climb")
-    rows = rows.where(F.col("climb") > 0).withColumn("begin", F.min("i").over(by))
+    rows = rows.withColumn("begin", F.min("i").over(by))
     rise = F.col("up") & (F.col("i") > F.col("begin"))
     rows = rows.withColumns({"from_i": F.min(F.when(rise, F.col("i") - 1)).over(by), "to_i": F.max(F.when(rise, F.col("i"))).over(by)})
-    return rows.where("i between from_i and to_i")
+    inside = (F.col("climb") > 0) & F.col("i").between(F.col("from_i"), F.col("to_i"))
+    rows = rows.withColumns({c: F.when(inside, F.col(c)) for c in ("climb", "from_i", "to_i")})
+    return rows.drop("ok", "step", "up", "rising", "bad", "flat", "new", "number", "begin")
+
+
+def with_sustained(rows: DataFrame) -> DataFrame:
+    """Cells of marked() with `__grade`: the grade over the last SUSTAINED_METRES of their climb, null over too short a stretch."""
+    back = Window.partitionBy(KEY, "climb").orderBy("distance").rangeBetween(-SUSTAINED_METRES, 0)
+    start = F.min(F.struct("i", "distance", "smooth")).over(back)
+    run = F.col("distance") - start["distance"]
+    return rows.withColumn("__grade", F.when(run >= SUSTAINED_LEAST, (F.col("smooth") - start["smooth"]) / run * 100))
+
+
+def climb_sums(aligned: DataFrame) -> dict[str, Column]:
+    """What figures() needs of a climb's cells, which with_fourth(), marked() and with_sustained() made of aligned."""
+    has_w, has_h = with_signal(aligned, "watts"), with_signal(aligned, "heartrate") if "heartrate" in aligned.columns else F.lit(False)
+    heart = micro(F.col("heartrate")) if "heartrate" in aligned.columns else F.lit(None).cast("bigint")
+    inside = F.col("climb").isNotNull()
+    within = lambda x: F.when(inside, x)
+    track = F.transform(F.array_sort(F.collect_list(within(F.struct("i", "smooth")))), lambda x: x["smooth"])
+    beats = F.when(inside & F.col("valid") & has_h, heart)
+    return {
+        "c_d": F.max(within(F.col("distance"))) - F.min(within(F.col("distance"))),
+        "c_g": deadband_gain(track),
+        "c_w": F.sum(F.when(inside & F.col("valid") & has_w, micro(F.col("watts")))),
+        "c_n": F.count_if(inside & F.col("valid") & has_w),
+        "c_fourth": F.avg(F.when(F.col("i") - F.col("from_i") >= NP_WINDOW - 1, F.col("__fourth"))),
+        "c_sustained": F.max(within(F.col("__grade"))),
+        "c_h": F.sum(beats),
+        "c_hn": F.count(beats),
+    }
+
+
+def is_climb() -> Column:
+    """Whether the cells of climb_sums() make a climb: long, high and steep enough."""
+    return F.col("climb").isNotNull() & (F.col("c_d") >= MIN_LENGTH) & (F.col("c_g") >= MIN_GAIN) & (F.col("c_g") / F.col("c_d") * 100 >= MIN_GRADE)
+
+
+def figures(kg: Column, measured: Column) -> dict[str, Column]:
+    """A climb's metrics from climb_sums()."""
+    d, g = F.col("c_d"), F.col("c_g")
+    grade = g / d * 100
+    raw = grade * grade * d / 1000
+    vam = g / ((F.col("to_i") - F.col("from_i")) / 3600.0)
+    watts = F.col("c_w") / 1e6 / F.nullif("c_n", F.lit(0))
+    wkg = watts / F.nullif(kg, F.lit(0.0))
+    return {
+        "distance_m": rnd(d, 1),
+        "gain_m": rnd(g, 1),
+        "grade_pct": rnd(grade, 2),
+        "sustained_pct": rnd(F.col("c_sustained"), 2),
+        "vam": rnd(vam, 1),
+        "score": rnd(raw, 1),
+        "tier": tier(raw),
+        "avg_w": rnd(watts, 2),
+        "np_w": rnd(F.pow("c_fourth", F.lit(0.25)), 2),
+        "avg_wkg": rnd(wkg, 3),
+        "efficiency_index": F.when(measured & (wkg > 0), rnd(vam / wkg, 2)),
+        "avg_hr": rnd(F.col("c_h") / 1e6 / F.nullif("c_hn", F.lit(0)), 2),
+    }
 
 
 def climbs(aligned: DataFrame, weight: Column | None = None, measured: Column | None = None) -> DataFrame:
@@ -89,53 +152,12 @@ def climbs(aligned: DataFrame, weight: Column | None = None, measured: Column |
     """
     none = F.lit(None)
     aligned = aligned.withColumns({"__kg": (weight if weight is not None else none).cast("double"), "__measured": (measured if measured is not None else none).cast("boolean")})
-    has_w, has_h = with_signal(aligned, "watts"), with_signal(aligned, "heartrate") if "heartrate" in aligned.columns else F.lit(False)
-    heart = micro(F.col("heartrate")) if "heartrate" in aligned.columns else none.cast("bigint")
-    rows = prefixes(aligned.withColumns({"__w": has_w, "__h": F.when(F.col("valid") & has_h, heart)}), "watts")
-    rows = rows.withColumn("__mean", trailing_sum(NP_WINDOW) / float(NP_WINDOW) / 1e6).drop("s", "ok")
-    inside = _spans(rows)
-    back = Window.partitionBy(KEY, "climb").orderBy("distance").rangeBetween(-SUSTAINED_METRES, 0)
-    start = F.min(F.struct("i", "distance", "smooth")).over(back)
-    run = F.col("distance") - start["distance"]
-    inside = inside.withColumn("__grade", F.when(run >= SUSTAINED_LEAST, (F.col("smooth") - start["smooth"]) / run * 100))
-    track = F.transform(F.array_sort(F.collect_list(F.struct("i", "smooth"))), lambda x: x["smooth"])
-    window_inside = F.col("i") - F.col("from_i") >= NP_WINDOW - 1
-    per = inside.groupBy(KEY, "climb", "from_i", "to_i").agg(
-        (F.max("distance") - F.min("distance")).alias("d"),
-        deadband_gain(track).alias("g"),
-        F.sum(F.when(F.col("valid") & F.col("__w"), micro(F.col("watts")))).alias("w"),
-        F.count_if(F.col("valid") & F.col("__w")).alias("n"),
-        F.avg(F.when(window_inside & F.col("__w"), F.pow("__mean", F.lit(4.0)))).alias("fourth"),
-        F.max("__grade").alias("sustained"),
-        F.sum("__h").alias("h"),
-        F.count("__h").alias("hn"),
-        F.max("__kg").alias("kg"),
-        F.max("__measured").alias("measured"),
-    )
-    per = per.where((F.col("d") >= MIN_LENGTH) & (F.col("g") >= MIN_GAIN) & (F.col("g") / F.col("d") * 100 >= MIN_GRADE))
-    grade = F.col("g") / F.col("d") * 100
-    raw = grade * grade * F.col("d") / 1000
-    vam = F.col("g") / ((F.col("to_i") - F.col("from_i")) / 3600.0)
-    watts = F.col("w") / 1e6 / F.nullif("n", F.lit(0))
-    wkg = watts / F.nullif("kg", F.lit(0.0))
-    return per.select(
-        KEY,
-        F.row_number().over(Window.partitionBy(KEY).orderBy("from_i")).alias("climb"),
-        "from_i",
-        "to_i",
-        rnd(F.col("d"), 1).alias("distance_m"),
-        rnd(F.col("g"), 1).alias("gain_m"),
-        rnd(grade, 2).alias("grade_pct"),
-        rnd(F.col("sustained"), 2).alias("sustained_pct"),
-        rnd(vam, 1).alias("vam"),
-        rnd(raw, 1).alias("score"),
-        tier(raw).alias("tier"),
-        rnd(watts, 2).alias("avg_w"),
-        rnd(F.pow("fourth", F.lit(0.25)), 2).alias("np_w"),
-        rnd(wkg, 3).alias("avg_wkg"),
-        F.when(F.col("measured") & (wkg > 0), rnd(vam / wkg, 2)).alias("efficiency_index"),
-        rnd(F.col("h") / 1e6 / F.nullif("hn", F.lit(0)), 2).alias("avg_hr"),
-    )
+    aligned = aligned.where(with_signal(aligned, "altitude") & with_signal(aligned, "distance"))
+    inside = with_sustained(marked(with_fourth(aligned)).where("climb is not null"))
+    sums = climb_sums(aligned) | {"__kg": F.max("__kg"), "__measured": F.max("__measured")}
+    per = inside.groupBy(KEY, "climb", "from_i", "to_i").agg(*[c.alias(n) for n, c in sums.items()]).where(is_climb())
+    place = F.row_number().over(Window.partitionBy(KEY).orderBy("from_i"))
+    return per.select(KEY, place.alias("climb"), "from_i", "to_i", *[c.alias(n) for n, c in figures(F.col("__kg"), F.col("__measured")).items()])
 
 
 def total_gain(found: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.ordered import KEY
+from cadenza.functions.ordered import KEY, along, upto
 from cadenza.functions.scalars import micro, rnd
 from cadenza.operators.power import with_signal
 
@@ -25,18 +25,32 @@ def decoupling(aligned: DataFrame, warmup_min: float = 0.0, low_w: float | None
         keep &= F.col("watts") <= high_w
     if moving_only and "moving" in aligned.columns:
         keep &= F.coalesce("moving", F.lit(True))
-    rows = aligned.where("valid").withColumn("keep", keep)
-    by_keep = Window.partitionBy(KEY, "keep")
-    rows = rows.withColumns({"n": F.count("*").over(by_keep), "at": F.row_number().over(by_keep.orderBy("i"))})
-    first = F.col("keep") & (F.col("at") <= F.floor(F.col("n") / 2))
-    second = F.col("keep") & (F.col("at") > F.floor(F.col("n") / 2))
-    sums = [F.sum(F.when(half, micro(F.col(c)))).alias(f"{c[0]}{k}") for k, half in ((1, first), (2, second)) for c in ("watts", "heartrate")]
-    per = rows.groupBy(KEY).agg(F.count_if("keep").alias("n"), F.count_if(~F.col("keep")).alias("excluded"), F.count_if(first).alias("n1"), F.count_if(second).alias("n2"), *sums)
+    rows = halved(aligned.where("valid"), keep)
+    per = rows.groupBy(KEY).agg(F.count_if("keep").alias("n"), F.count_if(~F.col("keep")).alias("excluded"), *[c.alias(n) for n, c in half_sums().items()])
     per = per.withColumn("available", F.col("n") >= max(2, min_seconds))
-    ef1 = (F.col("w1") / 1e6 / F.col("n1")) / (F.col("h1") / 1e6 / F.col("n1"))
-    ef2 = (F.col("w2") / 1e6 / F.col("n2")) / (F.col("h2") / 1e6 / F.col("n2"))
-    shown = lambda x, d: F.when(F.col("available"), rnd(x, d))
+    shown = lambda c: F.when(F.col("available"), c)
     return per.select(
         KEY, "available", F.when(F.col("n") >= 2, F.col("n")).otherwise(0).alias("valid_seconds"), F.when(F.col("n") >= 2, F.col("excluded")).otherwise(0).alias("excluded_seconds"),
-        shown(ef1, 6).alias("first_ef"), shown(ef2, 6).alias("second_ef"), shown((ef1 - ef2) / F.nullif(ef1, F.lit(0.0)) * 100, 4).alias("decoupling_pct"),
+        *[shown(c).alias(n) for n, c in half_figures().items()],
     )
+
+
+def halved(rows: DataFrame, keep: Column) -> DataFrame:
+    """rows with `keep`, and `half`: 1 or 2 for the first and second half, by count, of what each activity keeps."""
+    rows = rows.withColumn("keep", F.coalesce(keep, F.lit(False)))
+    kept = F.col("keep").cast("int")
+    n, at = F.sum(kept).over(Window.partitionBy(KEY)), F.sum(kept).over(upto(along()))
+    return rows.withColumn("half", F.when(F.col("keep"), F.when(at <= F.floor(n / 2), 1).otherwise(2)))
+
+
+def half_sums() -> dict[str, Column]:
+    """What half_figures() needs of the cells of halved()."""
+    sums = {f"{c[0]}{k}": F.sum(F.when(F.col("half") == k, micro(F.col(c)))) for k in (1, 2) for c in ("watts", "heartrate")}
+    return sums | {f"n{k}": F.count_if(F.col("half") == k) for k in (1, 2)}
+
+
+def half_figures() -> dict[str, Column]:
+    n1, n2 = (F.nullif(f"n{k}", F.lit(0)) for k in (1, 2))
+    ef1 = (F.col("w1") / 1e6 / n1) / (F.col("h1") / 1e6 / n1)
+    ef2 = (F.col("w2") / 1e6 / n2) / (F.col("h2") / 1e6 / n2)
+    return {"first_ef": rnd(ef1, 6), "second_ef": rnd(ef2, 6), "decoupling_pct": rnd((ef1 - ef2) / F.nullif(ef1, F.lit(0.0)) * 100, 4)}

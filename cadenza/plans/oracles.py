@@ -223,6 +223,22 @@ kept AS (SELECT * FROM top WHERE athlete_id % 13 <> 5),
 fit AS (SELECT DISTINCT activity_id FROM curve JOIN kept USING (activity_id) WHERE best IS NOT NULL AND {measured})"""
 
 
+#: Parameters of each activity as of its day, as fp, after act: each kind's entry that covers the day.
+PARAMETERS = """pe0 AS (
+  SELECT o_custkey % 60 AS athlete_id, o_orderkey % 3 AS m, DATE '2023-12-20' + CAST(o_orderkey % 50 AS INT) AS f, max(o_orderkey) AS k,
+         max(CASE o_orderkey % 3 WHEN 0 THEN 50 + o_orderkey % 20 WHEN 1 THEN 60 + o_orderkey % 9 ELSE 160 + o_orderkey % 30 END)::DOUBLE AS value
+  FROM orders GROUP BY 1, 2, 3),
+pe AS (SELECT *, least(lead(f) OVER (PARTITION BY athlete_id, m ORDER BY f) - 1, CASE WHEN k % 5 = 0 THEN f + 9 END) AS u FROM pe0),
+fp AS (
+  SELECT activity_id, any_value(device_watts) AS device_watts, max(value) FILTER (m = 0) AS ftp, max(value) FILTER (m = 1) AS kg, max(value) FILTER (m = 2) AS hm
+  FROM act LEFT JOIN pe ON pe.athlete_id = act.athlete_id AND day >= f AND (u IS NULL OR day <= u) GROUP BY 1)"""
+#: Heart rate and cadence of each activity, as sg.
+SUMMARIES = f"""sg AS (
+  SELECT activity_id, bool_or(has_watts) AS hw, bool_or(has_heartrate) AS hh, bool_or(has_cadence) AS hc,
+         {rnd(f"sum({micro('heartrate')}) FILTER (valid AND has_heartrate) / 1e6 / nullif(count(*) FILTER (valid AND has_heartrate), 0)", 2)} AS mean_hr,
+         {rnd("max(heartrate) FILTER (valid AND has_heartrate)", 2)} AS max_hr, {rnd("min(heartrate) FILTER (valid AND has_heartrate)", 2)} AS min_hr,
+         {rnd(f"sum({micro('cadence')}) FILTER (valid AND cadence > 0) / 1e6 / nullif(count(*) FILTER (valid AND cadence > 0), 0)", 2)} AS mean_cadence
+  FROM al GROUP BY 1)"""
 #: Orders, newest first, with the running sum of their whole prices.
 CACHE = """WITH n AS (
   SELECT *, row_number() OVER w AS place, sum(CAST(trunc(o_totalprice) AS BIGINT)) OVER w AS total
@@ -337,15 +353,55 @@ SELECT c.activity_id, c.climb, c.duration_s, c.avg_w,
        CASE WHEN device_watts AND avg_w IS NOT NULL THEN b.day END AS best_day, CASE WHEN device_watts THEN {rnd("avg_w / nullif(best, 0) * 1000", 0)} / 10.0::DOUBLE END AS percent_of_best
 FROM dc c LEFT JOIN bs b ON b.rider = c.rider AND b.d = c.duration_s AND b.activity_id <> c.activity_id
 QUALIFY row_number() OVER (PARTITION BY c.activity_id, c.climb ORDER BY best DESC NULLS LAST, b.pos) = 1""",
-    "compare_activities": f"""{RIDES},
-fp AS (SELECT activity_id, CASE WHEN athlete_id % 3 <> 2 THEN (50 + athlete_id % 20)::DOUBLE END AS ftp, CASE WHEN athlete_id % 4 <> 0 THEN (60 + athlete_id % 9)::DOUBLE END AS kg FROM act),
-{metrics_cte('(SELECT ftp FROM fp WHERE fp.activity_id = g.activity_id)', '(SELECT kg FROM fp WHERE fp.activity_id = g.activity_id)')},
-sg AS (
-  SELECT activity_id, bool_or(has_watts) AS hw, bool_or(has_heartrate) AS hh, bool_or(has_cadence) AS hc,
-         {rnd(f"sum({micro('heartrate')}) FILTER (valid AND has_heartrate) / 1e6 / nullif(count(*) FILTER (valid AND has_heartrate), 0)", 2)} AS mean_hr,
-         {rnd("max(heartrate) FILTER (valid AND has_heartrate)", 2)} AS max_hr,
-         {rnd(f"sum({micro('cadence')}) FILTER (valid AND cadence > 0) / 1e6 / nullif(count(*) FILTER (valid AND cadence > 0), 0)", 2)} AS mean_cadence
-  FROM al GROUP BY 1),
+    "activity_analysis": f"""WITH {aligned('weeks')}, {activities('weeks')}, {PARAMETERS},
+{metrics_cte('(SELECT ftp FROM fp WHERE fp.activity_id = g.activity_id)', '(SELECT kg FROM fp WHERE fp.activity_id = g.activity_id)')}, {SUMMARIES}, {CLIMBS.replace(prefix("watts") + ",", "")},
+z AS (
+  SELECT activity_id, count(*) FILTER (valid) AS valid_n, count(*) AS cells, bool_or(has_altitude AND has_distance) AS ha,
+         {', '.join(f"count(*) FILTER (valid AND has_watts AND watts >= {lo}::DOUBLE * ftp" + (f" AND watts < {hi}::DOUBLE * ftp" if hi else "") + f") AS p{k}" for k, (_, lo, hi) in enumerate(bands.POWER_ZONES))},
+         {', '.join(f"count(*) FILTER (valid AND has_heartrate AND heartrate >= {lo}::DOUBLE * hm" + (f" AND heartrate < {hi}::DOUBLE * hm" if hi else "") + f") AS h{k}" for k, (_, lo, hi) in enumerate(bands.HR_ZONES))}
+  FROM al JOIN fp USING (activity_id) GROUP BY 1),
+k AS (SELECT * FROM al WHERE valid AND heartrate > 0 AND has_watts AND has_heartrate),
+kn AS (SELECT *, count(*) OVER (PARTITION BY activity_id) AS n, row_number() OVER (PARTITION BY activity_id ORDER BY i) AS at_ FROM k),
+kg_ AS (
+  SELECT activity_id, count(*) AS n, sum({micro('watts')}) FILTER (at_ <= n // 2)::DOUBLE AS w1, sum({micro('heartrate')}) FILTER (at_ <= n // 2)::DOUBLE AS h1,
+         sum({micro('watts')}) FILTER (at_ > n // 2)::DOUBLE AS w2, sum({micro('heartrate')}) FILTER (at_ > n // 2)::DOUBLE AS h2
+  FROM kn GROUP BY 1),
+e AS (SELECT *, (w1 / 1e6 / (n // 2)) / (h1 / 1e6 / (n // 2)) AS e1, (w2 / 1e6 / (n - n // 2)) / (h2 / 1e6 / (n - n // 2)) AS e2 FROM kg_ WHERE n >= 200),
+cs AS (SELECT activity_id, count(*) AS c, {rnd("sum(CAST(floor(gain_m * 10 + 0.5::DOUBLE) AS BIGINT)) / 10.0::DOUBLE", 1)} AS gain, max(vam) AS vam FROM climb GROUP BY 1),
+j AS (
+  SELECT *, CASE WHEN NOT hw THEN 'MISSING_POWER' END AS pc, CASE WHEN NOT hh THEN 'MISSING_HR' END AS hc_, {rnd('valid_n::DOUBLE / cells * 100', 1)} AS coverage,
+         CASE WHEN NOT hw THEN 'MISSING_POWER' WHEN NOT hh THEN 'MISSING_HR' WHEN e1 IS NULL THEN 'INSUFFICIENT_DURATION' END AS dc, CASE WHEN NOT ha THEN 'MISSING_ELEVATION' END AS cc
+  FROM z JOIN pm USING (activity_id) JOIN sg USING (activity_id) JOIN fp USING (activity_id) LEFT JOIN e USING (activity_id) LEFT JOIN cs USING (activity_id)),
+q AS (SELECT *, coalesce(pc, CASE WHEN ftp IS NULL THEN 'MISSING_FTP' END) AS pzc, coalesce(hc_, CASE WHEN hm IS NULL THEN 'INVALID_PROFILE' END) AS hzc FROM j)
+SELECT activity_id, true AS activity_details_available, CAST(NULL AS VARCHAR) AS activity_details_code, pc IS NULL AS power_metrics_available, pc AS power_metrics_code,
+       hc_ IS NULL AS heartrate_summary_available, hc_ AS heartrate_summary_code, mean_cadence IS NOT NULL AS cadence_summary_available, CAST(NULL AS VARCHAR) AS cadence_summary_code,
+       pzc IS NULL AS power_zones_available, pzc AS power_zones_code, hzc IS NULL AS heartrate_zones_available, hzc AS heartrate_zones_code,
+       dc IS NULL AS decoupling_available, dc AS decoupling_code, cc IS NULL AS climbs_available, cc AS climbs_code,
+       CAST(1 + CAST(pc IS NULL AS INT) + CAST(hc_ IS NULL AS INT) + CAST(mean_cadence IS NOT NULL AS INT) + CAST(pzc IS NULL AS INT) + CAST(hzc IS NULL AS INT) + CAST(dc IS NULL AS INT) + CAST(cc IS NULL AS INT) AS INT) AS modules_available,
+       concat_ws(',', CASE WHEN ftp IS NULL THEN 'MISSING_FTP' END, CASE WHEN kg IS NULL THEN 'MISSING_WEIGHT' END, CASE WHEN coverage < 80 THEN 'LOW_COVERAGE' END) AS errors,
+       cells, valid_n AS valid_seconds, coverage AS coverage_pct, CASE WHEN NOT hw THEN 'none' WHEN device_watts THEN 'measured' ELSE 'estimated' END AS power_source,
+       avg_w, np_w, vi, intensity, tss, work_kj, avg_wkg, CASE WHEN pc IS NULL THEN np_windows END AS np_windows,
+       CASE WHEN pc IS NULL THEN concat_ws(',', CASE WHEN ftp IS NULL THEN 'intensity' END, CASE WHEN ftp IS NULL THEN 'tss' END, CASE WHEN kg IS NULL THEN 'avg_wkg' END) END AS lacking,
+       mean_hr, max_hr, min_hr, mean_cadence, CASE WHEN pzc IS NULL THEN concat_ws(',', {', '.join(f'p{k}' for k in range(7))}) END AS power_seconds,
+       CASE WHEN pzc IS NULL THEN CASE WHEN {'+'.join(f'p{k}' for k in range(7))} > 0 THEN {rnd(f"p1::DOUBLE / ({'+'.join(f'p{k}' for k in range(7))}) * 100", 2)} ELSE 0 END END AS z2_percent,
+       CASE WHEN hzc IS NULL THEN concat_ws(',', {', '.join(f'h{k}' for k in range(5))}) END AS hr_seconds, CASE WHEN hzc IS NULL THEN valid_n - ({'+'.join(f'h{k}' for k in range(5))}) END AS hr_unclassified,
+       {rnd('e1', 6)} AS first_ef, {rnd('e2', 6)} AS second_ef, {rnd('(e1 - e2) / nullif(e1, 0) * 100', 4)} AS decoupling_pct,
+       CASE WHEN cc IS NULL THEN coalesce(c, 0) END AS climb_count, CASE WHEN cc IS NULL THEN coalesce(gain, 0) END AS total_gain_m, vam AS best_vam
+FROM q""",
+    "comparison_requests": f"""WITH {samples('weeks')}, {activities('weeks')},
+rq AS (SELECT user_id, {GROUP} AS g, (CAST(ts AS DATE) - DATE '1970-01-01') // 7 AS week FROM events),
+asked AS (
+  SELECT DISTINCT user_id AS comparison, g AS athlete_id, 'r' || g || '-w' || week AS activity_id FROM rq
+  UNION SELECT user_id, g, 'r' || (g + 1) || '-w' || week FROM rq WHERE user_id % 3 = 0 AND week % 2 = 0),
+m AS (
+  SELECT comparison, a.athlete_id, count(*) AS asked, count(*) FILTER (act.athlete_id = a.athlete_id) AS usable,
+         coalesce(string_agg(activity_id, ',' ORDER BY activity_id) FILTER (act.athlete_id = a.athlete_id), '') AS ids
+  FROM asked a LEFT JOIN act USING (activity_id) GROUP BY 1, 2)
+SELECT comparison, athlete_id, asked, usable, asked - usable AS rejected,
+       CASE WHEN asked < 2 OR asked > 10 THEN 'INVALID_REQUEST' WHEN usable < 2 THEN 'INSUFFICIENT_DURATION' END AS code,
+       CASE WHEN asked < 2 OR asked > 10 OR usable < 2 THEN '' ELSE ids END AS ids FROM m""",
+    "compare_activities": f"""WITH {aligned('weeks')}, {activities('weeks')}, {PARAMETERS},
+{metrics_cte('(SELECT ftp FROM fp WHERE fp.activity_id = g.activity_id)', '(SELECT kg FROM fp WHERE fp.activity_id = g.activity_id)')}, {SUMMARIES},
 b AS (SELECT * FROM pm JOIN sg USING (activity_id) JOIN fp USING (activity_id))
 """ + " UNION ALL ".join(
         f"SELECT activity_id, '{m}' AS metric, CAST({m} AS DOUBLE) AS value, {status} AS status FROM b"

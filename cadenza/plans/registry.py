@@ -185,14 +185,51 @@ def climb_vs_best(spark, sf_dir):
     return rows.select(KEY, "climb", "duration_s", "avg_w", "status", "best_w", "best_activity_id", "best_day", "percent_of_best")
 
 
+def parameters(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    """(activity_id, device_watts, ftp_w, weight_kg, hr_max_bpm) of each activity, as of its day, from entries among the orders:
+    an entry ends where the next of its kind begins, every fifth of them after 9 days."""
+    k, metrics = F.col("o_orderkey"), ("ftp_w", "weight_kg", "hr_max_bpm")
+    value = F.get(F.array((50 + k % 20).cast("double"), (60 + k % 9).cast("double"), (160 + k % 30).cast("double")), (k % 3).cast("int"))
+    start = F.date_add(F.lit("2023-12-20").cast("date"), (k % 50).cast("int"))
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 60).alias("athlete_id"), F.get(F.array(*map(F.lit, metrics)), (k % 3).cast("int")).alias("metric"), start.alias("effective_from"), value.alias("value"), k.alias("k"))
+    entries = rows.groupBy("athlete_id", "metric", "effective_from").agg(F.max("value").alias("value"), F.max("k").alias("k"))
+    until = F.date_sub(F.lead("effective_from").over(Window.partitionBy("athlete_id", "metric").orderBy("effective_from")), 1)
+    short = F.when(F.col("k") % 5 == 0, F.date_add("effective_from", 9))
+    entries = entries.withColumn("effective_to", F.least(until, short)).drop("k")
+    acts = activities(spark, sf_dir, view).select(KEY, "athlete_id", "day", "device_watts")
+    return profile.as_of_all(acts, entries, ["athlete_id"], "day", metrics).drop("athlete_id", "day")
+
+
+@query
+def activity_analysis(spark, sf_dir):
+    """Every module of every week's series."""
+    found = analysis.whole(aligned(spark, sf_dir, "weeks").join(parameters(spark, sf_dir, "weeks"), KEY), min_seconds=200)
+    flags = [x for m in analysis.MODULES for x in (F.col(f"{m}.available").alias(f"{m}_available"), F.col(f"{m}.code").alias(f"{m}_code"))]
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return found.select(
+        KEY, *flags, "modules_available", F.array_join("errors", ",").alias("errors"), "activity_details.cells", "activity_details.valid_seconds", "activity_details.coverage_pct", "activity_details.power_source",
+        *[f"power_metrics.{c}" for c in ("avg_w", "np_w", "vi", "intensity", "tss", "work_kj", "avg_wkg", "np_windows")], listed(F.col("power_metrics.unavailable_metrics")).alias("lacking"),
+        *[f"heartrate_summary.{c}" for c in ("mean_hr", "max_hr", "min_hr")], "cadence_summary.mean_cadence", listed(F.col("power_zones.seconds")).alias("power_seconds"),
+        F.get("power_zones.percent", F.lit(1)).alias("z2_percent"), listed(F.col("heartrate_zones.seconds")).alias("hr_seconds"), F.col("heartrate_zones.unclassified_seconds").alias("hr_unclassified"),
+        *[f"decoupling.{c}" for c in ("first_ef", "second_ef", "decoupling_pct")], "climbs.climb_count", "climbs.total_gain_m", F.array_max(F.transform("climbs.climbs", lambda c: c["vam"])).alias("best_vam"),
+    )
+
+
 @query
 def compare_activities(spark, sf_dir):
-    """Eleven cells of each activity, with thresholds and weights that some athletes lack."""
-    a = F.col("athlete_id")
-    parameters = activities(spark, sf_dir, "rides").select(
-        KEY, F.when(a % 3 != 2, (50 + a % 20).cast("double")).alias("ftp_w"), F.when(a % 4 != 0, (60 + a % 9).cast("double")).alias("weight_kg")
-    )
-    return analysis.compare(aligned(spark, sf_dir).join(parameters, KEY))
+    """Eleven cells of each week's series, with thresholds and weights as of its day."""
+    return analysis.compare(aligned(spark, sf_dir, "weeks").join(parameters(spark, sf_dir, "weeks"), KEY))
+
+
+@query
+def comparison_requests(spark, sf_dir):
+    """Each user compares the weeks of their own events, and every third user one of the group after theirs."""
+    g, week = F.floor(F.col("user_id") / 10).cast("bigint"), F.floor(F.datediff("ts", F.lit("1970-01-01").cast("date")) / 7)
+    key = lambda group: F.concat(F.lit("r"), group.cast("string"), F.lit("-w"), week.cast("string"))
+    ids = F.when((F.col("user_id") % 3 == 0) & (week % 2 == 0), F.array(key(g), key(g + 1))).otherwise(F.array(key(g)))
+    asked = table(spark, sf_dir, "events").select(F.col("user_id").alias("comparison"), g.alias("athlete_id"), F.explode(ids).alias(KEY))
+    found = analysis.comparisons(asked, activities(spark, sf_dir, "weeks"))
+    return found.withColumn("ids", F.array_join("ids", ","))
 
 
 @query
