@@ -549,4 +549,27 @@ SELECT activity_id, count(*) AS cells, count(*) FILTER (valid) AS valid_cells, C
 FROM al GROUP BY 1""",
     "cache_newest": f"{CACHE} SELECT o_orderkey, o_orderdate, o_totalprice FROM n WHERE place <= 200 AND total <= 20000000",
     "cache_bytes": f"{CACHE} SELECT o_orderkey, o_orderdate, o_totalprice FROM n WHERE total <= 134217728",
+    "zone_problems": "SELECT c_custkey, 'own_power' AS set, 'not_contiguous' AS problem FROM customer WHERE c_custkey % 22 = 0",
+    "time_in_own_zones": f"""WITH {aligned('weeks')}, {activities('weeks')},
+cu AS (
+  SELECT c_custkey AS k, (c_custkey // 2) % 60 AS athlete_id, CASE WHEN c_custkey % 2 = 0 THEN 'own_power' ELSE 'lthr' END AS set, DATE '2023-12-01' + CAST(c_custkey % 53 AS INT) AS f,
+         (c_custkey % 50 + 89)::DOUBLE AS l, CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 50 + 89 + c_custkey % 3 * 8)::DOUBLE END AS hm
+  FROM customer WHERE c_custkey % 22 <> 0 QUALIFY row_number() OVER (PARTITION BY athlete_id, set, f ORDER BY c_custkey) = 1),
+cw AS (SELECT *, lead(f) OVER (PARTITION BY athlete_id, set ORDER BY f) - 1 AS u FROM cu),
+lo AS (
+  SELECT *, unnest(range(0, 5)) AS j, CASE WHEN set = 'own_power' THEN [0, 10 + k % 7, 2 * (10 + k % 7), 3 * (10 + k % 7), 4 * (10 + k % 7)]::DOUBLE[]
+    ELSE [0, floor(0.69::DOUBLE * l + 0.5), floor(0.84::DOUBLE * l + 0.5), floor(0.95::DOUBLE * l + 0.5), floor(1.05::DOUBLE * l + 0.5) + 1]::DOUBLE[] END AS b
+  FROM cw),
+zo AS (
+  SELECT athlete_id, set, f, u, CAST(j + 1 AS INT) AS zone, CASE WHEN set = 'own_power' THEN 'P' || j ELSE 'Z' || (j + 1) END AS name, b[j + 1] AS lower,
+         CASE WHEN j < 4 THEN b[j + 2] WHEN set = 'lthr' AND hm >= b[5] THEN floor(hm + 0.5::DOUBLE) + 1 END AS upper
+  FROM lo),
+az AS (SELECT activity_id, zo.* FROM act JOIN zo ON zo.athlete_id = act.athlete_id AND day >= f AND (u IS NULL OR day <= u)),
+v AS (SELECT activity_id, 'own_power' AS set, watts AS v, has_watts AS has FROM al WHERE valid UNION ALL SELECT activity_id, 'lthr', heartrate, has_heartrate FROM al WHERE valid),
+tv AS (SELECT activity_id, set, count(*) AS n, bool_or(has) AS has FROM v GROUP BY 1, 2),
+hit AS (SELECT activity_id, set, zone, count(*) AS n FROM v JOIN az USING (activity_id, set) WHERE has AND v >= lower AND (upper IS NULL OR v < upper) GROUP BY 1, 2, 3),
+ct AS (SELECT activity_id, set, CAST(sum(n) AS BIGINT) AS c FROM hit GROUP BY 1, 2)
+SELECT az.activity_id, az.set, az.zone, name, lower, upper, CASE WHEN has THEN coalesce(hit.n, 0) END AS seconds,
+       CASE WHEN has THEN coalesce({rnd('hit.n::DOUBLE / c * 100', 2)}, 0) END AS percent, CASE WHEN has THEN tv.n - coalesce(c, 0) END AS unclassified_seconds
+FROM az JOIN tv USING (activity_id, set) LEFT JOIN hit ON hit.activity_id = az.activity_id AND hit.set = az.set AND hit.zone = az.zone LEFT JOIN ct ON ct.activity_id = az.activity_id AND ct.set = az.set""",
 }

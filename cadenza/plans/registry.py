@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import scalars
 from cadenza.functions.ordered import KEY
 from cadenza.functions.scalars import rnd
-from cadenza.operators import align, analysis, bands, climbs, decoupling, estimate, exports, history, power, profile, records, retrieval, workout
+from cadenza.operators import align, analysis, bands, climbs, decoupling, estimate, exports, history, power, profile, records, retrieval, workout, zonesets
 from cadenza.plans.oracles import DAYS, DUR, FTP, HR, KG, POWER, SQL
 from cadenza.sources import shared
 from cadenza.sources.events import activities, samples, table
@@ -516,3 +516,41 @@ def cache_newest(spark, sf_dir):
 def cache_bytes(spark, sf_dir):
     """The newest orders as long as their prices add up to no more than a limit, however many they are."""
     return records.kept_newest(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), F.col("o_orderdate"), F.col("o_totalprice"), "o_orderkey", None, 128 << 20)
+
+
+def zone_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, athlete_id, set, signal, zones, effective_from, problem): even customers make power zones of their own, some
+    with a fault, odd ones heart-rate zones from a threshold."""
+    k = F.col("c_custkey")
+    lowers = [F.lit(0.0), *[(j * (10 + k % 7)).cast("double") for j in range(1, 5)]]
+    own = zonesets.zone_array([f"P{j}" for j in range(5)], lowers)
+    faulty = F.transform(own, lambda z, j: F.struct(z["name"].alias("name"), z["lower"].alias("lower"), (z["upper"] + F.when((j == 1) & (k % 22 == 0), 1).otherwise(0)).alias("upper")))
+    lthr = (k % 50 + 89).cast("double")
+    beats = zonesets.lthr_zones(lthr, F.when(k % 5 != 0, lthr + k % 3 * 8))
+    even = k % 2 == 0
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        (F.floor(k / 2) % 60).alias("athlete_id"),
+        F.when(even, "own_power").otherwise("lthr").alias("set"),
+        F.when(even, "watts").otherwise("heartrate").alias("signal"),
+        F.when(even, faulty).otherwise(beats).alias("zones"),
+        F.date_add(F.lit("2023-12-01").cast("date"), (k % 53).cast("int")).alias("effective_from"),
+    )
+    return rows.withColumn("problem", zonesets.problem(F.col("zones"), F.col("set") == "lthr"))
+
+
+@query
+def zone_problems(spark, sf_dir):
+    """Each athlete's sets of zones that break a rule."""
+    return zone_sets(spark, sf_dir).where("problem is not null").select("c_custkey", "set", "problem")
+
+
+@query
+def time_in_own_zones(spark, sf_dir):
+    """Time in each athlete's own sets of zones as of the week, power and heart rate side by side."""
+    fine = zone_sets(spark, sf_dir).where("problem is null")
+    by = ["athlete_id", "set", "effective_from"]
+    one = fine.groupBy(*by).agg(F.min_by(F.struct("signal", "zones"), "c_custkey").alias("x")).select(*by, "x.*")
+    until = F.date_sub(F.lead("effective_from").over(Window.partitionBy("athlete_id", "set").orderBy("effective_from")), 1)
+    held = zonesets.assigned(activities(spark, sf_dir, "weeks"), one.withColumn("effective_to", until))
+    return zonesets.time_in_sets(aligned(spark, sf_dir, "weeks"), held)
