@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructField, StructType
 
 
 def rnd(x: Column, digits: int = 0) -> Column:
@@ -126,3 +127,48 @@ def compact(x: Column) -> Column:
 def pretty(x: Column) -> Column:
     """JSON over indented lines."""
     return F.to_json(x, {"pretty": "true"})
+
+
+def _clean(x: Column, kind: DataType) -> Column:
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~(F.isnan(x) | (F.abs(x) == float("inf"))), x)
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda y: _clean(y, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(x, lambda _, y: _clean(y, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(x.isNotNull(), F.struct(*[_clean(x.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return x
+
+
+def _odd(x: Column, kind: DataType, path: Column) -> Column:
+    """Paths of the numbers in x that aren't finite, with what they are."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        what = F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity")
+        return F.when(what.isNotNull(), F.array(F.concat(path, F.lit(": "), what))).otherwise(F.array().cast("array<string>"))
+    if isinstance(kind, ArrayType):
+        return F.flatten(F.transform(F.coalesce(x, F.array().cast(kind)), lambda y, k: _odd(y, kind.elementType, F.concat(path, F.lit("["), k.cast("string"), F.lit("]")))))
+    if isinstance(kind, MapType):
+        entries = F.coalesce(F.map_entries(x), F.array().cast(ArrayType(StructType([StructField("key", kind.keyType), StructField("value", kind.valueType)]))))
+        return F.flatten(F.transform(entries, lambda e: _odd(e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"].cast("string")))))
+    return F.concat(*[_odd(x.getField(f.name), f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields if _numbers(f.dataType)])
+
+
+def _numbers(kind: DataType) -> bool:
+    """Whether a type holds doubles or floats, map keys apart."""
+    if isinstance(kind, StructType):
+        return any(_numbers(f.dataType) for f in kind.fields)
+    inner = kind.elementType if isinstance(kind, ArrayType) else kind.valueType if isinstance(kind, MapType) else None
+    return _numbers(inner) if inner is not None else isinstance(kind, (DoubleType, FloatType))
+
+
+def sanitized(df: DataFrame, changed: str = "changed") -> DataFrame:
+    """df with null for each NaN or infinite number, at any depth of structs, arrays and map values, and `changed`, an array of
+    their paths: `metrics.curve[3]: NaN`.
+
+    The schema says what to visit, so the rewrite is one expression a column; columns without doubles or floats stay as they
+    are, and so do map keys, null structs, arrays and maps, and 0.
+    """
+    odd = [_odd(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name)) for f in df.schema.fields if _numbers(f.dataType)]
+    clean = [(_clean(F.col(f"`{f.name}`"), f.dataType) if _numbers(f.dataType) else F.col(f"`{f.name}`")).alias(f.name) for f in df.schema.fields]
+    return df.select(*clean, (F.concat(*odd) if odd else F.array().cast("array<string>")).alias(changed))

@@ -103,11 +103,23 @@ def align(samples: DataFrame, signals: Sequence[str] = SIGNALS, gap_fill: int =
     return cells.select(*out)
 
 
+#: Cells of a bin of sliced().
+BIN = 256
+
+
 def sliced(aligned: DataFrame, spans: DataFrame, names: Sequence[str] = ("from_i", "to_i")) -> DataFrame:
     """Cells of aligned within the spans (activity_id, *names, ...) of their activity, ends included; `i` counts
-    from each span's start, `offset` moves with it. Spans beyond an end are cut off there."""
+    from each span's start, `offset` moves with it. Spans beyond an end are cut off there; null or empty ones have no cells.
+
+    Spans and cells meet by activity and bin of 256 cells, not by activity alone: a span is copied to the bins it touches, so a
+    cell meets the spans near it, however many its activity has, and a long series is spread over tasks.
+    """
     lo, hi = names
-    rows = aligned.join(spans, KEY).where(F.col("i").between(F.col(lo), F.col(hi)))
+    first, last = F.greatest(F.col(lo), F.lit(0)), F.least(F.col(hi), F.lit(MOST_CELLS - 1))
+    bins = F.sequence(F.floor(first / BIN).cast("int"), F.floor(last / BIN).cast("int"))
+    near = spans.where((F.col(lo) <= F.col(hi)) & (F.col(hi) >= 0) & (F.col(lo) < MOST_CELLS)).withColumn("__bin", F.explode(bins))
+    cells = aligned.withColumn("__bin", F.floor(F.col("i") / BIN).cast("int"))
+    rows = cells.join(near, [KEY, "__bin"]).where(F.col("i").between(F.col(lo), F.col(hi))).drop("__bin")
     start = F.greatest(F.col(lo), F.lit(0))
     return rows.withColumns({"offset": F.col("offset") + start, "i": F.col("i") - start})
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+import heapq
+from collections.abc import Iterator, Sequence
+from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 
 #: The unit and the plausible range of each metric.
@@ -103,13 +109,71 @@ def overlaps(profile: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.where(F.col("next_from").isNotNull() & (F.col("effective_to").isNull() | (F.col("effective_to") >= F.col("next_from"))))
 
 
+class Active:
+    """Entries of one athlete that are open on the sweep's day, by place and value."""
+
+    def __init__(self, places: int) -> None:
+        self.by_value: list[list[tuple]] = [[] for _ in range(places)]
+        self.ends: list[tuple] = []
+
+    def expire(self, day: date) -> None:
+        while self.ends and self.ends[0][0] < day:
+            _, key, place = heapq.heappop(self.ends)
+            at = bisect.bisect_left(self.by_value[place], key)
+            del self.by_value[place][at]
+
+    def add(self, place: int, key: tuple, until: date) -> None:
+        bisect.insort(self.by_value[place], key)
+        heapq.heappush(self.ends, (until, key, place))
+
+    def broken(self, place: int, value: float) -> Iterator[tuple[tuple, bool]]:
+        """Open entries that an entry of this place and value breaks the order with, and whether theirs is the lower place."""
+        for other, entries in enumerate(self.by_value):
+            if other < place:
+                yield from ((e, True) for e in entries[bisect.bisect_left(entries, (value,)) :])
+            elif other > place:
+                yield from ((e, False) for e in entries[: bisect.bisect_left(entries, (value, float("inf")))])
+
+
+def _sweep(batches: Iterator[pa.RecordBatch], keys: int, order: Sequence[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Pairs that break the order, of rows (keys..., metric, value, from, to) sorted by keys and from."""
+    places, now, active, number, out = {m: k for k, m in enumerate(order)}, None, Active(len(order)), 0, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key, (metric, value, start, end) = row[:keys], row[keys:]
+            if key != now:
+                now, active = key, Active(len(order))
+            number += 1  # tells equal values apart, so rows themselves are never compared
+            active.expire(start)
+            for (_, _, other), lower in active.broken(places[metric], value):
+                a, b = (other, row[keys:]) if lower else (row[keys:], other)
+                out.append((*key, *a, *b))
+                if len(out) >= 10_000:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out = []
+            active.add(places[metric], (value, number, row[keys:]), end or date.max)
+    if out:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
 def order_violations(profile: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Pairs of entries with overlapping windows whose metrics must rise in the given order and don't."""
-    place = F.array_position(F.array(*map(F.lit, order)), F.col("metric"))
-    rows = profile.where(F.col("metric").isin(list(order))).withColumn("place", place)
-    a, b = (rows.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in ("metric", "value", "effective_from", "effective_to", "place")]) for s in "ab")
-    meet = a.join(b, list(by)).where("place_a < place_b and effective_from_a <= coalesce(effective_to_b, date'9999-12-31') and effective_from_b <= coalesce(effective_to_a, date'9999-12-31')")
-    return meet.where("value_a >= value_b").drop("place_a", "place_b")
+    """Pairs of entries with overlapping windows whose metrics must rise in the given order and don't.
+
+    profile has (by, metric, value, effective_from, effective_to), a null end being open. Rows with a null key, value or start, NaN, or
+    an end before their start take part in no pair. An athlete's entries are swept in the order of their starts; those that are open are kept sorted by
+    value, so an entry meets only those it breaks the order with: the work grows with entries and pairs, what is
+    held with the entries open at a time.
+    """
+    columns = ("metric", "value", "effective_from", "effective_to")
+    known = F.coalesce(F.col("effective_to") >= F.col("effective_from"), F.lit(True))
+    for c in (*by, "value", "effective_from"):
+        known &= F.col(c).isNotNull()
+    rows = profile.where(F.col("metric").isin(list(order)) & known & ~F.isnan("value")).select(*by, "metric", F.col("value").cast("double").alias("value"), "effective_from", "effective_to")
+    rows = rows.repartition(*by).sortWithinPartitions(*by, "effective_from")
+    fields = [rows.schema[c] for c in by] + [StructField(f"{c}_{s}", rows.schema[c].dataType) for s in "ab" for c in columns]
+    schema = StructType(fields)
+    arrow = to_arrow_schema(schema)
+    return rows.mapInArrow(lambda it: _sweep(it, len(by), order, arrow), schema)
 
 
 def upserted(profile: DataFrame, entry: DataFrame, by: Sequence[str], close_previous: bool = True, overwrite: bool = True) -> DataFrame:

@@ -572,4 +572,14 @@ ct AS (SELECT activity_id, set, CAST(sum(n) AS BIGINT) AS c FROM hit GROUP BY 1,
 SELECT az.activity_id, az.set, az.zone, name, lower, upper, CASE WHEN has THEN coalesce(hit.n, 0) END AS seconds,
        CASE WHEN has THEN coalesce({rnd('hit.n::DOUBLE / c * 100', 2)}, 0) END AS percent, CASE WHEN has THEN tv.n - coalesce(c, 0) END AS unclassified_seconds
 FROM az JOIN tv USING (activity_id, set) LEFT JOIN hit ON hit.activity_id = az.activity_id AND hit.set = az.set AND hit.zone = az.zone LEFT JOIN ct ON ct.activity_id = az.activity_id AND ct.set = az.set""",
+    "span_slices": f"""WITH {aligned('weeks')},
+sp AS (SELECT {KEYS['weeks']} AS activity_id, event_id, event_id * 37 % 900 - 20 AS lo, event_id * 37 % 900 - 20 + event_id % 90 - 5 AS hi FROM events)
+SELECT event_id, count(*) AS cells, count(*) FILTER (valid) AS valid_cells, max(i - greatest(lo, 0)) AS last_i, CAST(sum(CAST(floor(watts * 100 + 0.5::DOUBLE) AS BIGINT)) FILTER (valid) AS BIGINT) AS watts
+FROM sp JOIN al ON al.activity_id = sp.activity_id AND i BETWEEN lo AND hi GROUP BY 1""",
+    "sanitize_envelopes": f"""WITH x AS (
+  SELECT event_id, value AS v, event_id % 13 <> 0 AS m, {', '.join(f"CASE event_id % {n} WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' WHEN 2 THEN '-Infinity' END AS o{n}" for n in (5, 7, 11, 17))} FROM events)
+SELECT event_id, CASE WHEN m AND o11 IS NULL THEN v END AS np, CASE WHEN m AND o5 IS NULL THEN v END AS c0, CASE WHEN m THEN v END AS c1, CASE WHEN m AND o7 IS NULL THEN v * 2 END AS c2,
+       CASE WHEN o17 IS NULL THEN v END AS z1, 0::DOUBLE AS z2,
+       concat_ws('; ', CASE WHEN m THEN 'metrics.np: ' || o11 END, CASE WHEN m THEN 'metrics.power.curve[0]: ' || o5 END, CASE WHEN m THEN 'metrics.power.curve[2]: ' || o7 END, 'zones.z1: ' || o17) AS changed
+FROM x""",
 }

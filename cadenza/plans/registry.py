@@ -554,3 +554,28 @@ def time_in_own_zones(spark, sf_dir):
     until = F.date_sub(F.lead("effective_from").over(Window.partitionBy("athlete_id", "set").orderBy("effective_from")), 1)
     held = zonesets.assigned(activities(spark, sf_dir, "weeks"), one.withColumn("effective_to", until))
     return zonesets.time_in_sets(aligned(spark, sf_dir, "weeks"), held)
+
+
+@query
+def span_slices(spark, sf_dir):
+    """The cells of a span of the week for each event: how many, how many valid, and their power."""
+    week = F.floor(F.datediff("ts", F.lit("1970-01-01").cast("date")) / 7).cast("string")
+    key = F.concat(F.lit("r"), F.floor(F.col("user_id") / 10).cast("bigint").cast("string"), F.lit("-w"), week)
+    start = F.col("event_id") * 37 % 900 - 20
+    spans = table(spark, sf_dir, "events").select(key.alias(KEY), "event_id", start.alias("from_i"), (start + F.col("event_id") % 90 - 5).alias("to_i"))
+    cells = align.sliced(aligned(spark, sf_dir, "weeks"), spans)
+    watts = F.sum(F.when(F.col("valid"), F.floor(F.col("watts") * 100 + 0.5).cast("bigint")))
+    return cells.groupBy("event_id").agg(F.count("*").alias("cells"), F.count_if("valid").alias("valid_cells"), F.max("i").alias("last_i"), watts.alias("watts"))
+
+
+@query
+def sanitize_envelopes(spark, sf_dir):
+    """Nested results of each event, some numbers of which aren't finite."""
+    e, v = F.col("event_id"), F.col("value")
+    odd = lambda n, x: F.when(e % n == 0, float("nan")).when(e % n == 1, float("inf")).when(e % n == 2, float("-inf")).otherwise(x)
+    curve = F.array(odd(5, v), v, odd(7, v * 2))
+    metrics = F.struct(odd(11, v).alias("np"), F.struct(curve.alias("curve"), F.lit("W").alias("unit")).alias("power"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(e % 13 != 0, metrics).alias("metrics"), F.create_map(F.lit("z1"), odd(17, v), F.lit("z2"), F.lit(0.0)).alias("zones"))
+    found = scalars.sanitized(rows)
+    curve = F.col("metrics.power.curve")
+    return found.select("event_id", F.col("metrics.np").alias("np"), F.get(curve, F.lit(0)).alias("c0"), F.get(curve, F.lit(1)).alias("c1"), F.get(curve, F.lit(2)).alias("c2"), F.col("zones")["z1"].alias("z1"), F.col("zones")["z2"].alias("z2"), F.array_join("changed", "; ").alias("changed"))
