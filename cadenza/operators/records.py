@@ -56,7 +56,7 @@ def series_stats(samples: DataFrame) -> DataFrame:
     return per.join(naive_np(samples), KEY)
 
 
-def _target(i: Column, n: Column, most: int) -> Column:
+def target_cells(i: Column, n: Column, most: int) -> Column:
     """Whether i is one of `most` evenly spaced places among n, ends included; every place if there are no more than that."""
     if most < 2:
         return (n <= most) | (i == 0)
@@ -69,7 +69,7 @@ def _target(i: Column, n: Column, most: int) -> Column:
 def sampled(rows: DataFrame, most: int) -> DataFrame:
     """`most` evenly spaced cells of each series, the first and the last among them."""
     n = F.count("*").over(Window.partitionBy(KEY))
-    return rows.withColumn("__n", n).where(_target(F.col("i"), F.col("__n"), most)).drop("__n")
+    return rows.withColumn("__n", n).where(target_cells(F.col("i"), F.col("__n"), most)).drop("__n")
 
 
 def downsampled(rows: DataFrame, signal: str, most: int, reach: int = 3, share: float = 0.1) -> DataFrame:
@@ -79,7 +79,7 @@ def downsampled(rows: DataFrame, signal: str, most: int, reach: int = 3, share:
     n = F.count("*").over(Window.partitionBy(KEY))
     cell = lambda d: F.when((F.col("i") + d).between(0, F.col("n") - 1), F.struct(F.lead(signal, d).over(w).alias("v"), (F.col("i") + d).alias("i")))
     near = rows.withColumn("n", n).withColumn("near", F.array_compact(F.array(*[cell(d) for d in range(-reach, reach + 1)])))
-    near = near.where(_target(F.col("i"), F.col("n"), most))
+    near = near.where(target_cells(F.col("i"), F.col("n"), most))
     high = F.array_max(F.transform("near", lambda x: F.struct(x["v"].alias("v"), (-x["i"]).alias("minus"))))
     low = F.array_min("near")
     far = lambda v: F.abs(v - F.col(signal)) > share * F.abs(F.col(signal))
@@ -103,12 +103,6 @@ def naive_np(samples: DataFrame, window: int = 30) -> DataFrame:
     return per.select(KEY, F.coalesce(rnd(F.pow("f", F.lit(0.25)), 0), F.lit(0.0)).alias("naive_np"))
 
 
-def verbose(samples: DataFrame) -> DataFrame:
-    """(activity_id, sample_idx, ...) with each signal in its spoken form: clock times, kilometres, whole decimals."""
-    out = {"clock": time_of_day(F.col("t")), "kilometres": rnd(km(F.col("distance")), 2)}
-    return samples.select(KEY, "sample_idx", *[c.alias(n) for n, c in out.items()], F.struct("watts", "heartrate", "cadence").alias("own"))
-
-
 def chunks(rows: DataFrame, size: int, *signals: str) -> DataFrame:
     """(activity_id, chunk, points, payload): series cut into chunks of `size` cells, the payload their signals as JSON."""
     point = F.struct("i", *signals)

@@ -446,7 +446,30 @@ tg AS (
     ELSE list_transform(generate_series(0, 99), lambda j: CAST(floor(j * (n - 1) / 99.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) END) AS i FROM sz)
 SELECT activity_id, i, moving FROM tg JOIN al USING (activity_id, i)""",
     "verbose_streams": f"""WITH {samples('rides')}
-SELECT activity_id, sample_idx, printf('%02d:%02d:%02d', t % 86400 // 3600, t % 3600 // 60, t % 60) AS clock, {rnd('distance / 1000.0::DOUBLE', 2)} AS kilometres FROM smp""",
+SELECT activity_id, sample_idx, t::DOUBLE AS seconds_from_start, printf('%02d:%02d:%02d', t % 86400 // 3600, t % 3600 // 60, t % 60) AS clock, distance AS metres, {rnd('distance / 1000.0::DOUBLE', 2)} AS kilometres,
+       {rnd('distance / t::DOUBLE * 3.6::DOUBLE', 1)} AS kmh, {rnd('altitude / 3.1::DOUBLE', 6)} AS latitude, {rnd('-distance / 91.7::DOUBLE', 6)} AS longitude, {rnd('altitude / 7 - 30', 1)} AS grade, watts, moving FROM smp""",
+    "stream_page": f"""WITH {aligned('rides')}, sz AS (SELECT activity_id, count(*) AS n FROM al GROUP BY 1),
+tg AS (
+  SELECT activity_id, n, unnest(CASE WHEN n <= 100 THEN generate_series(0, n - 1)
+    ELSE list_transform(generate_series(0, 99), lambda j: CAST(floor(j * (n - 1) / 99.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) END) AS target FROM sz),
+v AS (SELECT activity_id, i, 'watts' AS signal, watts AS v FROM al UNION ALL SELECT activity_id, i, 'heartrate', heartrate FROM al),
+nr AS (SELECT t.activity_id, signal, n, target, i, v FROM tg t JOIN v ON v.activity_id = t.activity_id AND i BETWEEN target - 3 AND target + 3),
+pk AS (
+  SELECT activity_id, signal, n, target, max(v) FILTER (i = target) AS v, max(v) FILTER (i > 0 AND i < n - 1) AS tv, arg_max(i, (v, -i)) FILTER (i > 0 AND i < n - 1) AS ti,
+         min(v) FILTER (i > 0 AND i < n - 1) AS lv, arg_min(i, (v, i)) FILTER (i > 0 AND i < n - 1) AS li
+  FROM nr GROUP BY ALL),
+a2 AS (
+  SELECT activity_id, signal, target AS i FROM pk UNION SELECT activity_id, signal, ti FROM pk WHERE n > 100 AND target > 0 AND target < n - 1 AND abs(tv - v) > 0.1::DOUBLE * abs(v)
+  UNION SELECT activity_id, signal, li FROM pk WHERE n > 100 AND target > 0 AND target < n - 1 AND abs(lv - v) > 0.1::DOUBLE * abs(v)),
+pt AS (
+  SELECT activity_id, signal, i, v FROM a2 JOIN v USING (activity_id, signal, i)
+  UNION ALL SELECT activity_id, 'moving', i, CAST(moving AS INT)::DOUBLE FROM tg JOIN al USING (activity_id) WHERE i = target),
+pl AS (SELECT *, row_number() OVER (PARTITION BY activity_id, signal ORDER BY i) AS place FROM pt QUALIFY place <= 100),
+pg AS (SELECT activity_id, CAST(ceil(max(place) / 40.0::DOUBLE) AS INT) AS pages FROM pl WHERE signal = 'watts' GROUP BY 1)
+SELECT activity_id, signal, 2 AS page, any_value(pages) AS pages, CAST(count(*) FILTER (pages >= 2 AND place BETWEEN 41 AND 80) AS INT) AS points, CASE WHEN any_value(pages) >= 2 THEN 'ok' ELSE 'invalid_page' END AS status,
+       coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY place) FILTER (pages >= 2 AND place BETWEEN 41 AND 80), '') AS indexes,
+       coalesce(string_agg(CAST(CAST(floor(v * 100 + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), ',' ORDER BY place) FILTER (pages >= 2 AND place BETWEEN 41 AND 80), '') AS data
+FROM pl JOIN pg USING (activity_id) GROUP BY 1, 2""",
     "chunk_assign": f"""WITH {aligned('rides')}
 SELECT activity_id, i // 405 AS chunk, count(*) AS points, '{{"i":[' || string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) || '],"valid":[' || string_agg(CAST(valid AS VARCHAR), ',' ORDER BY i) || ']}}' AS payload
 FROM al GROUP BY ALL""",

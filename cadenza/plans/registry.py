@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import scalars
 from cadenza.functions.ordered import KEY
 from cadenza.functions.scalars import rnd
-from cadenza.operators import align, analysis, bands, climbs, decoupling, estimate, exports, history, power, profile, records, retrieval, workout, zonesets
+from cadenza.operators import align, analysis, bands, climbs, decoupling, estimate, exports, history, power, profile, records, retrieval, streams, workout, zonesets
 from cadenza.plans.oracles import DAYS, DUR, FTP, HR, KG, POWER, SQL
 from cadenza.sources import shared
 from cadenza.sources.events import activities, samples, table
@@ -255,7 +255,18 @@ def uniform_sample(spark, sf_dir):
 
 @query
 def verbose_streams(spark, sf_dir):
-    return records.verbose(samples(spark, sf_dir, "rides")).select(KEY, "sample_idx", "clock", "kilometres")
+    high, far = F.col("altitude"), F.col("distance")
+    rows = samples(spark, sf_dir, "rides").withColumns({"velocity_smooth": far / F.col("t"), "lat": high / 3.1, "lng": -far / 91.7, "grade": high / 7 - 30})
+    return streams.spoken(rows).select(KEY, "sample_idx", "seconds_from_start", "clock", "metres", "kilometres", "kmh", "latitude", "longitude", "grade", "watts", "moving")
+
+
+@query
+def stream_page(spark, sf_dir):
+    """The second page of 40 points of each series at low resolution: power, heart rate and the moving flag."""
+    found = streams.points(aligned(spark, sf_dir, moving=True), ["watts", "heartrate"], ["moving"], "low")
+    rows = streams.page(found, 2, 40, "watts")
+    hundredths = F.transform("data", lambda x: F.floor(x * 100 + 0.5).cast("bigint").cast("string"))
+    return rows.select(KEY, "signal", "page", "pages", "points", "status", F.array_join(F.transform("indexes", lambda i: i.cast("string")), ",").alias("indexes"), F.array_join(hundredths, ",").alias("data"))
 
 
 @query
