@@ -22,9 +22,12 @@ BASE = tuple(FORMS)
 #: `secret` has no base form: its seeds are long runs of hex or base64 signs, which count only where a sure pattern is.
 KINDS = (*BASE, "secret")
 SECRET = r"^(?=.*[0-9])(?=.*[A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|[A-Za-z0-9+/_-]{32,}=*)$"
+#: Stands for each character of a base span where candidates are looked for; no run reaches across it.
+MASK = "\ue000"
+APART = rf"{SPACE}=:\"'{MASK}"
 #: What else may identify: a run that holds a digit or an @, `=`, `:` and quotes apart, with groups of digits after it
 #: that single spaces part.
-OTHER = rf"(?<![^{SPACE}=:\"'])[^{SPACE}=:\"'0-9@]*+[0-9@][^{SPACE}=:\"']*+(?:\x20[0-9][0-9().-]*+(?![^{SPACE}\"'.,;!?#*$&%)\]>]))*+"
+OTHER = rf"(?<![^{APART}])[^{APART}0-9@]*+[0-9@][^{APART}]*+(?:\x20[0-9][0-9().-]*+(?![^{SPACE}{MASK}\"'.,;!?#*$&%)\]>]))*+"
 #: A candidate has this many characters.
 LEAST_CHARS = 4
 #: A pattern is made of words within this many characters about an instance.
@@ -102,6 +105,24 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(signs[kind], F.filter(matches(text, FORMS[kind]), lambda x: fits(kind, x["m"]))).otherwise(none)
 
 
+def masked(text: Column, kind: str) -> Column:
+    """text with MASK for each character of a fitting match of one kind; as long as before."""
+    parts = F.struct(F.split(text, FORMS[kind], -1).alias("gaps"), F.regexp_extract_all(text, F.lit(FORMS[kind]), F.lit(0)).alias("found"))
+    hidden = lambda g, m: F.concat(g, F.when(fits(kind, m), F.repeat(F.lit(MASK), F.length(m))).otherwise(m))
+    whole = lambda p: F.concat(F.zip_with(F.slice(p["gaps"], 1, F.size(p["found"])), p["found"], hidden), F.array(F.element_at(p["gaps"], -1)))
+    return bound(parts, lambda p: F.array_join(whole(p), ""))
+
+
+def touches(x: Column, kind: str) -> Column:
+    """Whether a candidate meets a span of one kind: of those that start before its end, the last is looked up by halving, as
+    spans of a kind are in order and apart."""
+    spans = F.col(kind)
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in reversed(range(31))]), lambda step: step <= F.size(spans))
+    starts = lambda at: (at <= F.size(spans)) & (F.get(spans, at - 1)["s"] < x["e"])
+    last = F.aggregate(steps, F.lit(0), lambda at, step: F.when(starts(at + step), at + step).otherwise(at))
+    return F.when(F.size(spans) == 0, F.lit(False)).otherwise(F.coalesce(bound(last, lambda at: F.get(spans, at - 1)["e"]) > x["s"], F.lit(False)))
+
+
 def trimmed(x: Column) -> Column:
     """A candidate without the punctuation about it."""
     core = F.regexp_extract(x["m"], r"(?s)[A-Za-z0-9@+](?:.*[A-Za-z0-9])?", 0)
@@ -114,6 +135,11 @@ def words_of(x: Column) -> Column:
     return F.filter(F.split(F.translate(F.lower(x), "123456789", "000000000"), rf"[{SPACE}]+"), lambda w: w != "")
 
 
+def unmasked(words: Column) -> Column:
+    """Words with null for each that holds a masked span."""
+    return F.transform(words, lambda w: F.when(~F.contains(w, F.lit(MASK)), w))
+
+
 def named(left: Column, before: Column, right: Column) -> Column:
     """The patterns of a place: the word before it and the one before that, the word before it if it ends in : or =,
     and the words on either side of it. Words that aren't there are null."""
@@ -122,8 +148,8 @@ def named(left: Column, before: Column, right: Column) -> Column:
 
 
 def patterns(context: Column, after: Column) -> Column:
-    left = words_of(F.regexp_replace(context, rf"[{SPACE}\"'(\[<]+$", ""))
-    right = words_of(F.regexp_replace(after, rf"^[\"')\]>.,;!?]+(?=[{SPACE}])", ""))
+    left = unmasked(words_of(F.regexp_replace(context, rf"[{SPACE}\"'(\[<]+$", "")))
+    right = unmasked(words_of(F.regexp_replace(after, rf"^[\"')\]>.,;!?]+(?=[{SPACE}])", "")))
     return bound(left, lambda w: named(F.get(w, F.size(w) - 1), F.get(w, F.size(w) - 2), F.get(right, F.lit(0))))
 
 
@@ -132,14 +158,14 @@ def found(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumns({k: base_spans(F.col("text"), k) for k in BASE})
     none = F.expr(f"cast(array() as {SPAN})")
-    rows = rows.withColumn("other", F.when(F.regexp_like("text", F.lit("[0-9@]")), matches(F.col("text"), OTHER)).otherwise(none))
-    # a candidate may not touch a base span: the nearest one that starts before its end is looked up in the sorted spans
-    starts = F.array_sort(F.transform(F.concat(*BASE), lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))))
-    rows = rows.withColumn("base", starts)
-    kept = F.filter(
-        F.transform("other", trimmed),
-        lambda x: (F.length(x["m"]) >= LEAST_CHARS) & F.when(F.size("base") == 0, F.lit(True)).otherwise(~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))),
-    )
+    # candidates stand in the gaps between base spans
+    rows = rows.withColumn("open", F.col("text"))
+    for k in BASE:
+        rows = rows.withColumn("open", F.when(F.size(k) > 0, masked(F.col("open"), k)).otherwise(F.col("open")))
+    rows = rows.withColumn("other", F.when(F.regexp_like("open", F.lit("[0-9@]")), matches(F.col("open"), OTHER)).otherwise(none))
+    # spans of different kinds may overlap, and the later one isn't masked then
+    meets = lambda x: touches(x, "email") | touches(x, "ip") | touches(x, "card") | touches(x, "phone")
+    kept = F.filter(F.transform("other", trimmed), lambda x: (F.length(x["m"]) >= LEAST_CHARS) & ~meets(x))
     return rows.select("doc_id", F.xxhash64("text").alias("h"), *BASE, kept.alias("other"))
 
 
@@ -223,7 +249,9 @@ def personal_data(docs: DataFrame, support: int = SUPPORT, sure: float = SURE, o
 
     The counts and `base` are of the base forms, `spans` holds these and what sure patterns found besides,
     under the pattern's kind: arrays of struct<k, s, e>, k the kind's place in KINDS, sorted. Repeated rows
-    each get their own; null doc_ids are like others; columns besides doc_id and text aren't read.
+    each get their own; null doc_ids are like others; columns besides doc_id and text aren't read; an empty table gives no
+    rows. Candidates are looked for between base spans, and the time for a text grows with its length times the logarithm
+    of its spans.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     rows = written(found(docs), "found")
