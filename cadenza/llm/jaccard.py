@@ -272,9 +272,8 @@ def _classes(docs: DataFrame, size: int, threshold: float, tolerance: float) ->
     parts = parts.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     pairs = parts.mapInArrow(lambda it: meeting_blocks(it, threshold, tolerance), "lo bigint, hi bigint").distinct()
     pairs = written(pairs, "pairs")
-    # a class is given the text of its first row; of rows without an id each text goes once, whatever their number
-    named = docs.where("doc_id is not null").unionByName(docs.where("doc_id is null").dropDuplicates(["h"]))
-    named = named.select(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "text")
+    # a class is given the text of its first row; rows of one id and text go once, whatever their number
+    named = docs.select(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "text").dropDuplicates(["null", "id", "h"])
     texts = named.join(wanted, ["null", "id", "h"])
     texts = texts.select("node", "copies", "block", "class", "sig", "text")
     known = texts.mapInArrow(lambda it: members(it, size), "node bigint, copies bigint, block bigint, sig binary, shingles binary")
