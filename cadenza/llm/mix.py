@@ -26,14 +26,17 @@ def shards_of(spark: SparkSession, shards: int | None) -> int:
 def sized(docs: DataFrame, seed: int = 7, shards: int | None = None) -> DataFrame:
     """docs with `size` in words (null: 0), `src` (the source, apart from null), the permutation `key` and `block`.
 
-    The key is a hash of doc_id followed by one of the text, so rows share it only if equal in both.
+    The key is a hash of doc_id followed by one of the text, so rows share it only if equal in both; of rows without an id
+    the text's hash leads, so they are spread over blocks.
     """
+    text = F.coalesce(F.md5("text"), F.lit(""))
+    first = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), text))
     digits = math.ceil(math.log(PER_SHARD * shards_of(docs.sparkSession, shards), 16))
     return docs.withColumns(
         {
             "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
             "src": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")),
-            "key": F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.coalesce(F.md5("text"), F.lit(""))),
+            "key": F.concat(F.md5(F.concat(F.lit(f"{seed}:"), first)), text),
         }
     ).withColumn("block", F.substring("key", 1, digits))
 
@@ -219,7 +222,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 't' || coalesce(md5(text), ''))) || coalesce(md5(text), '') AS key,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (
