@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import table, written
 
 SHARD_ROWS, QUERY_ROWS = 8192, 512
-#: Beyond this, sums of products are made in Python's own integers.
-EXACT = float(1 << 62)
+#: Beyond these, sums of products are no longer exact in doubles, or in 64-bit integers.
+DOUBLE, EXACT = float(1 << 53), float(1 << 62)
+#: Queries whose essential postings are traversed together, and the share of a shard's rows, as one in so many, from which a
+#: term's postings take part in that.
+TOGETHER, MANY = 64, 8
 POSTINGS = "shard int, ids binary, dim int, ends binary, rows binary, values binary"
 BLOCK = "shard int, ids binary, dim int, terms binary"
 
@@ -60,49 +63,77 @@ class Shard:
         rows, values = np.frombuffer(rows, "<i4"), np.frombuffer(values, "<i8")
         self.rows, self.values = np.split(rows, ends[:-1]) if len(ends) else [], np.split(values, ends[:-1]) if len(ends) else []
         whole = [len(r) == len(self.ids) for r in self.rows]
+        # terms that many rows have, side by side with zeros for the others: their postings are traversed for many queries at once
+        self.many = np.flatnonzero([len(r) * MANY >= len(self.ids) for r in self.rows])
+        self.place = np.full(max(len(self.rows), 1), -1)
+        self.place[self.many] = np.arange(len(self.many))
+        self.dense = np.zeros((len(self.many), len(self.ids)), "<i8")
+        for own, t in zip(self.dense, self.many, strict=True):
+            own[self.rows[t]] = self.values[t]
+        self.doubles = self.dense.astype("f8")
         # a row without a term contributes nothing
         self.high = np.array([max(int(v.max()), -(2**63) if w else 0) if len(v) else 0 for v, w in zip(self.values, whole, strict=True)], "f8")
         self.low = np.array([min(int(v.min()), 2**63 - 1 if w else 0) if len(v) else 0 for v, w in zip(self.values, whole, strict=True)], "f8")
 
     def at(self, term: int, rows: np.ndarray) -> np.ndarray:
         """The term's values in some rows, 0 where they lack it."""
+        if self.place[term] >= 0:
+            return self.dense[self.place[term]][rows]
         own, values = self.rows[term], self.values[term]
-        if len(own) == len(self.ids):
-            return values[rows]
         place = np.minimum(np.searchsorted(own, rows), len(own) - 1)
         return np.where(own[place] == rows, values[place], 0)
 
-    def maxscore(self, query: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, score) of all rows that can reach the floor, scores exact.
+    def split(self, query: np.ndarray, floor: float) -> tuple[np.ndarray, int, np.ndarray, float]:
+        """The query's terms by falling bounds, how many are essential, what the terms from each place on can add at most, and
+        how large a sum can become.
 
-        The query's terms go by falling bounds. Those without which the rest together stays below the floor are essential:
-        their postings are traversed, and a row in none of them can't reach it. The other terms are probed for the rows
-        that are left, while their bounds can still lift them to the floor.
+        Essential are the terms without which the rest together stays below the floor: a row in none of their postings can't
+        reach it.
         """
         terms = np.flatnonzero(query)
         terms = terms[terms < len(self.rows)]
         weights = query[terms].astype("f8")
         bound = np.maximum(weights * self.high[terms], weights * self.low[terms])
         reach = np.maximum(np.abs(self.high[terms]), np.abs(self.low[terms]))
-        exact = float(np.abs(weights) @ reach) >= EXACT
+        most = float(np.abs(weights) @ reach)
         order = np.argsort(-bound, kind="stable")
         terms, bound = terms[order], bound[order]
-        # what the terms from each place on can add at most; a hair more, as sums of doubles round
+        # a hair more, as sums of doubles round
         rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
         rest += np.abs(rest) * 1e-9
-        essential = int(np.argmax(rest < max(floor, 0.0))) if (rest < max(floor, 0.0)).any() and floor > 0 else len(terms)
-        if exact:
-            essential = len(terms)
-        score = np.zeros(len(self.ids), object if exact else "i8")
+        below = rest < max(floor, 0.0)
+        return terms, int(np.argmax(below)) if floor > 0 and below.any() and most < EXACT else len(terms), rest, most
+
+    def maxscore(self, queries: np.ndarray, floors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query, (row, score) of all rows that can reach its floor, scores exact.
+
+        Postings of essential terms are traversed: those of terms that many rows have as one product of the queries'
+        essential weights and these postings, as long as doubles hold the sums exactly, the others term by term. The other
+        terms are probed for the rows that are left, while their bounds can still lift them to the floor.
+        """
+        for at in range(0, len(queries), TOGETHER):
+            part = queries[at : at + TOGETHER]
+            splits = [self.split(q, f) for q, f in zip(part, floors[at : at + TOGETHER], strict=True)]
+            weights = np.zeros((len(part), len(self.many)))
+            for w, q, (terms, essential, _, most) in zip(weights, part, splits, strict=True):
+                if most < DOUBLE:
+                    own = terms[:essential][self.place[terms[:essential]] >= 0]
+                    w[self.place[own]] = q[own]
+            summed = (weights @ self.doubles).astype("i8")
+            for q, f, base, one in zip(part, floors[at : at + TOGETHER], summed, splits, strict=True):
+                yield self._reach(q, f, base, *one)
+
+    def _reach(self, query: np.ndarray, floor: float, base: np.ndarray, terms: np.ndarray, essential: int, rest: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+        exact, together = most >= EXACT, most < DOUBLE
+        score = np.zeros(len(self.ids), object) if exact else base
         met = np.zeros(len(self.ids), bool) if floor > 0 else np.ones(len(self.ids), bool)
         for t in terms[:essential]:
-            rows, gain = self.rows[t], self.values[t].astype(object) * int(query[t]) if exact else self.values[t] * query[t]
-            if len(rows) == len(self.ids):
-                score += gain
-                met[:] = True
-            else:
-                score[rows] += gain
-                met[rows] = True
+            rows = self.rows[t]
+            if self.place[t] >= 0 and together:
+                met[:] = True  # those without the term go below
+                continue
+            score[rows] += self.values[t].astype(object) * int(query[t]) if exact else self.values[t] * query[t]
+            met[rows] = True
         left = np.flatnonzero(met & (score + rest[essential] >= floor))
         some = score[left]
         for k in range(essential, len(terms)):
@@ -128,10 +159,12 @@ def search(pairs: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
             queries = np.frombuffer(p.q_terms, "<i8").reshape(len(q_ids), p.q_dim)
             floor = floors.setdefault(p.q_shard, np.full(len(q_ids), -np.inf))
             found = []
-            for q, (query_id, query) in enumerate(zip(q_ids, queries, strict=True)):
-                rows, score = shard.maxscore(query, floor[q])
+            for q, (query_id, (rows, score)) in enumerate(zip(q_ids, shard.maxscore(queries, floor), strict=True)):
                 own = shard.ids[rows] != query_id
                 ids, score = shard.ids[rows[own]], score[own]
+                if len(score) > 4 * k:  # only those that reach the k-th highest are sorted
+                    high = score >= np.partition(score, -k)[-k]
+                    ids, score = ids[high], score[high]
                 top = np.lexsort((ids, ~score))[:k]  # ~x falls as x rises, without overflow
                 if len(top) == k:
                     floor[q] = max(floor[q], float(score[top[-1]]))
@@ -140,21 +173,25 @@ def search(pairs: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"q_shard": p.q_shard, "q": q, "query_id": q_ids[q], "vec_id": i, "score": score}).astype({"q_shard": "int32", "q": "int32"})
 
 
+def dealt(rows: DataFrame, count: int) -> DataFrame:
+    """rows of a written table with `shard`, by id and place, so that equal rows are dealt apart."""
+    return rows.withColumn("shard", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(count)).cast("int"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products over all rows of other ids.
 
     vectors and queries have (id long, terms array<long>). Rows with a null id or null terms take no part,
     missing components count as 0, an id's repeated rows are ranked as rows of their own, ties go to the
-    smaller id. Rows are dealt to shards of about SHARD_ROWS by hash and inverted to postings, queries to blocks; every
+    smaller id. Rows, equal ones too, are dealt to shards of about SHARD_ROWS and inverted to postings, queries to blocks; every
     block meets every shard, as blobs, and each query's own split of terms decides what it reads there. Scores beyond a
     long are held at its ends.
     """
     vectors, queries = (x.where("id is not null and terms is not null") for x in (vectors, queries))
     vectors, queries = written(vectors, "vectors"), written(queries, "queries")
     shards, lots = max(1, -(-vectors.count() // SHARD_ROWS)), max(1, -(-queries.count() // QUERY_ROWS))
-    deal = lambda x, n: x.withColumn("shard", F.pmod(F.xxhash64("id", "terms"), F.lit(n)).cast("int"))
-    packed = deal(vectors, shards).groupBy("shard").applyInPandas(invert, POSTINGS)
-    asked = deal(queries, lots).groupBy("shard").applyInPandas(pack, BLOCK)
+    packed = dealt(vectors, shards).groupBy("shard").applyInPandas(invert, POSTINGS)
+    asked = dealt(queries, lots).groupBy("shard").applyInPandas(pack, BLOCK)
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     found = packed.join(asked, "shard").mapInPandas(lambda it: search(it, k), "q_shard int, q int, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "q_shard", "q").orderBy(F.desc("score"), "vec_id"))

@@ -429,3 +429,32 @@ def test_shared_dir_is_asked_for(monkeypatch):
 
     with pytest.raises(RuntimeError):
         common.shared_dir(Session())
+
+
+def test_repeats_of_a_row_go_once(spark):
+    """Thousands of equal rows with an id are one text class, and one row of shingles."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(8, text + " more")], "doc_id long, text string"))
+    seen, own = [], jaccard.written
+    try:
+        jaccard.written = lambda df, name: seen.append((name, own(df, name))) or seen[-1][1]
+        got = jaccard.jaccard_join(rows).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("n_links"), F.max("n_links"), F.max("class_id")).collect()
+    finally:
+        jaccard.written = own
+    assert sorted(map(tuple, got)) == [(7, 3000, 3000, 3000, 7), (8, 1, 3000, 3000, 7)]
+    assert dict(seen)["shingles"].count() == 2
+
+
+def test_rows_without_ids_are_spread(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    blocks = mix.sized(docs, shards=8).groupBy("block").count()
+    assert blocks.count() > 60 and blocks.agg(F.max("count")).first()[0] < 400
+
+
+def test_equal_vectors_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 500)
+    one = F.array(F.lit(3).cast("long"), F.lit(4).cast("long"))
+    vectors = spark.range(3000).select(F.lit(5).cast("long").alias("id"), one.alias("terms")).unionByName(spark.createDataFrame([(6, [1, 1])], "id long, terms array<long>"))
+    assert [r.vec_id for r in topk.top_k(vectors, vectors.where("id = 6"), 3).collect()] == [5, 5, 5]
+    sizes = [r["count"] for r in topk.dealt(vectors, 7).groupBy("shard").count().collect()]
+    assert len(sizes) == 7 and max(sizes) < 600
