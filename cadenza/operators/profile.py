@@ -102,6 +102,26 @@ def resolved(override: Column, value: Column) -> tuple[Column, Column]:
     return F.coalesce(override, value), F.when(override.isNotNull(), "override").when(value.isNotNull(), "profile").otherwise("missing_parameter")
 
 
+def resolved_as_of(rows: DataFrame, profile: DataFrame, by: Sequence[str], day: str, override: str) -> DataFrame:
+    """rows with value, source, effective_from, estimated and status: the override where a row has one, else the entry as of its day.
+
+    profile has (by, value, source, effective_from, effective_to). source is override, the entry's, or null; status is override,
+    profile or missing_parameter. Only an entry's value can be an estimate; values never come from another day's entry.
+    """
+    entries = profile.select(*by, "effective_from", "effective_to", F.struct("value", "source").alias("value"))
+    found = as_of(rows, entries, by, day).withColumnRenamed("value", "__entry")
+    value, status = resolved(F.col(override), F.col("__entry.value"))
+    own = F.col(override).isNotNull()
+    return found.select(
+        *rows.columns,
+        value.alias("value"),
+        F.when(own, F.lit("override")).otherwise(F.col("__entry.source")).alias("source"),
+        F.when(~own, F.col("effective_from")).alias("effective_from"),
+        (~own & estimated(F.col("__entry.source"))).alias("estimated"),
+        status.alias("status"),
+    )
+
+
 def overlaps(profile: DataFrame, by: Sequence[str]) -> DataFrame:
     """Entries whose window reaches the start of the next one of the same parameter; an open one blocks all later."""
     w = Window.partitionBy(*by).orderBy("effective_from")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.scalars import kmh, km, miles, pace, rnd
+from cadenza.functions.scalars import decoded, joined, km, kmh, miles, pace, rnd
 
 
 def by_id(rows: DataFrame, column: str, wanted: int | str) -> DataFrame:
@@ -57,3 +57,33 @@ def starred(rows: DataFrame, flag: str, metres: Column, metric: Column) -> DataF
     """Starred rows with their length in the owner's unit: kilometres, or miles."""
     length = F.when(metric, rnd(km(metres), 2)).otherwise(rnd(miles(metres), 2))
     return rows.where(F.col(flag)).withColumns({"length": length, "unit": F.when(metric, "km").otherwise("mi")})
+
+
+#: Names of a route's type.
+ROUTE_TYPES = {1: "Ride", 2: "Run"}
+#: Routes of a page at most.
+ROUTES_PAGE = 50
+
+
+def routes(rows: DataFrame, by: str, number: int, size: int, *order: Column | str) -> DataFrame:
+    """One page, from 1, of each owner's routes (by, metres, climbed, type, segments array, ...), with `place`, `pages`, km, gain_m,
+    kind and segment_count (null without a list). A page that an owner doesn't have gives no rows."""
+    if number < 1 or not 1 <= size <= ROUTES_PAGE:
+        raise ValueError(f"pages are counted from 1 and hold {ROUTES_PAGE} routes at most")
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    pages = F.ceil(F.count("*").over(Window.partitionBy(by)) / size).cast("int")
+    rows = rows.withColumns({"place": place, "pages": pages}).where(F.col("place").between((number - 1) * size + 1, number * size))
+    return route_details(rows)
+
+
+def route_details(rows: DataFrame) -> DataFrame:
+    """Routes with km (1 decimal), gain_m (whole), kind and segment_count in place of metres, climbed, type and segments."""
+    count = F.when(F.col("segments").isNotNull(), F.size("segments").cast("bigint"))
+    shown = {"km": rnd(km(F.col("metres")), 1), "gain_m": rnd(F.col("climbed"), 0), "kind": decoded(F.col("type"), ROUTE_TYPES, "Other"), "segment_count": count}
+    return rows.withColumns(shown).drop("metres", "climbed", "type", "segments")
+
+
+def clubs(rows: DataFrame) -> DataFrame:
+    """Clubs (club_id, name, sports array, members, city, state, country, private) with their sports and location as text."""
+    place = joined(F.col("city"), F.col("state"), F.col("country"))
+    return rows.select("club_id", "name", F.array_join(F.array_sort(F.array_distinct("sports")), ", ").alias("sports"), "members", place.alias("location"), "private")

@@ -605,4 +605,20 @@ SELECT event_id, CASE WHEN m AND o11 IS NULL THEN v END AS np, CASE WHEN m AND o
        CASE WHEN o17 IS NULL THEN v END AS z1, 0::DOUBLE AS z2,
        concat_ws('; ', CASE WHEN m THEN 'metrics.np: ' || o11 END, CASE WHEN m THEN 'metrics.power.curve[0]: ' || o5 END, CASE WHEN m THEN 'metrics.power.curve[2]: ' || o7 END, 'zones.z1: ' || o17) AS changed
 FROM x""",
+    "athlete_routes": f"""WITH r AS (
+  SELECT o_orderkey AS route_id, o_custkey AS athlete_id, o_totalprice AS m, o_orderkey % 4 AS type, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place,
+         CAST(ceil(count(*) OVER (PARTITION BY o_custkey) / 3.0::DOUBLE) AS INT) AS pages FROM orders)
+SELECT route_id, athlete_id, CAST(place AS INT) AS place, pages, {rnd('m / 1000.0::DOUBLE', 1)} AS km, {rnd('m / 37', 0)} AS gain_m, CASE type WHEN 1 THEN 'Ride' WHEN 2 THEN 'Run' ELSE 'Other' END AS kind,
+       (SELECT nullif(count(*), 0) FROM lineitem WHERE l_orderkey = route_id) AS segment_count FROM r WHERE place BETWEEN 4 AND 6""",
+    "athlete_clubs": """WITH m AS (SELECT c_nationkey, count(*) AS members, string_agg(DISTINCT c_mktsegment, ', ' ORDER BY c_mktsegment) AS sports FROM customer GROUP BY 1)
+SELECT n_nationkey AS club_id, n_name AS name, sports, members, concat_ws(', ', CASE WHEN n_nationkey % 3 <> 0 THEN 'c' || n_nationkey END, r_name) AS location, n_nationkey % 2 = 0 AS private
+FROM nation JOIN region ON r_regionkey = n_regionkey JOIN m ON c_nationkey = n_nationkey""",
+    "parameter_sources": """WITH o AS (SELECT o_orderkey AS k, o_custkey % 300 AS athlete_id, CAST(o_orderdate AS DATE) AS day, o_totalprice AS price FROM orders),
+e0 AS (SELECT athlete_id, day AS f, arg_max(price, k) AS value, max(k) AS k FROM o WHERE k % 2 = 0 GROUP BY 1, 2),
+e AS (SELECT *, least(lead(f) OVER (PARTITION BY athlete_id ORDER BY f) - 1, f + 60) AS u, CASE k % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'estimated_20min' ELSE 'estimated_hr20min' END AS source FROM e0),
+j AS (
+  SELECT o.k, o.athlete_id, day, CASE WHEN o.k % 5 = 0 THEN price + 1 END AS asked, e.value, e.source, f
+  FROM o LEFT JOIN e ON e.athlete_id = o.athlete_id AND day BETWEEN f AND u WHERE o.k % 2 = 1)
+SELECT k, athlete_id, day, coalesce(asked, value) AS value, CASE WHEN asked IS NOT NULL THEN 'override' ELSE source END AS source, CASE WHEN asked IS NULL THEN f END AS effective_from,
+       asked IS NULL AND coalesce(source = 'estimated_20min', false) AS estimated, CASE WHEN asked IS NOT NULL THEN 'override' WHEN value IS NOT NULL THEN 'profile' ELSE 'missing_parameter' END AS status FROM j""",
 }

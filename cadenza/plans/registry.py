@@ -590,3 +590,36 @@ def sanitize_envelopes(spark, sf_dir):
     found = scalars.sanitized(rows)
     curve = F.col("metrics.power.curve")
     return found.select("event_id", F.col("metrics.np").alias("np"), F.get(curve, F.lit(0)).alias("c0"), F.get(curve, F.lit(1)).alias("c1"), F.get(curve, F.lit(2)).alias("c2"), F.col("zones")["z1"].alias("z1"), F.col("zones")["z2"].alias("z2"), F.array_join("changed", "; ").alias("changed"))
+
+
+@query
+def athlete_routes(spark, sf_dir):
+    """The second page of three of each customer's routes, newest first; lines of an order are its segments."""
+    segments = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("route_id")).agg(F.collect_list("l_linenumber").alias("segments"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("route_id"), F.col("o_custkey").alias("athlete_id"), "o_orderdate", F.col("o_totalprice").alias("metres"), (F.col("o_totalprice") / 37).alias("climbed"), (F.col("o_orderkey") % 4).alias("type"))
+    return retrieval.routes(rows.join(segments, "route_id", "left"), "athlete_id", 2, 3, F.desc("o_orderdate"), "route_id").drop("o_orderdate")
+
+
+@query
+def athlete_clubs(spark, sf_dir):
+    """A club for each nation: its members' segments are its sports."""
+    members = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("members"), F.collect_set("c_mktsegment").alias("sports"))
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    city = F.when(F.col("n_nationkey") % 3 != 0, F.concat(F.lit("c"), F.col("n_nationkey").cast("string")))
+    rows = nations.join(members, F.col("n_nationkey") == F.col("c_nationkey")).select(
+        F.col("n_nationkey").alias("club_id"), F.col("n_name").alias("name"), "sports", "members", city.alias("city"), F.lit("").alias("state"), F.col("r_name").alias("country"), (F.col("n_nationkey") % 2 == 0).alias("private")
+    )
+    return retrieval.clubs(rows)
+
+
+@query
+def parameter_sources(spark, sf_dir):
+    """The threshold power of each order's day, with where it comes from: an override, an entry of any source, or nowhere."""
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    orders = table(spark, sf_dir, "orders").select(k.alias("k"), (F.col("o_custkey") % 300).alias("athlete_id"), day.alias("day"), F.col("o_totalprice").alias("price"))
+    source = F.get(F.array(*map(F.lit, ("manual", "estimated_20min", "estimated_hr20min"))), (F.col("k") % 3).cast("int"))
+    entries = orders.where("k % 2 = 0").groupBy("athlete_id", F.col("day").alias("effective_from")).agg(F.max_by(F.struct(F.col("price").alias("value"), source.alias("source")), "k").alias("x"))
+    entries = entries.select("athlete_id", "effective_from", "x.*")
+    until = F.date_sub(F.lead("effective_from").over(Window.partitionBy("athlete_id").orderBy("effective_from")), 1)
+    rows = orders.where("k % 2 = 1").select("k", "athlete_id", "day", F.when(F.col("k") % 5 == 0, F.col("price") + 1).alias("asked"))
+    return profile.resolved_as_of(rows, entries.withColumn("effective_to", F.least(until, F.date_add("effective_from", 60))), ["athlete_id"], "day", "asked").drop("asked")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import align, analysis, bands, climbs, decoupling, estimate, exports, power, profile, records, workout
+from cadenza.operators import align, analysis, bands, climbs, decoupling, estimate, exports, power, profile, records, retrieval, workout
 from cadenza.plans.registry import ORACLES, QUERIES
 from cadenza.streaming.efforts import effort_sessions
 from cadenza.sources.series import read_listed_series, read_series
@@ -209,3 +209,29 @@ def test_stream_efforts(spark, tmp_path):
     done.awaitTermination(120)
     got = sorted((r.range, r.began.timestamp(), r.seconds, r.mean_w) for r in spark.table("sessions").collect())
     assert [(r[0], r[2], r[3]) for r in got] == [("high", 30, 300.0), ("high", 4, 300.0)]
+
+
+def test_scans_of_whole_analyses(spark):
+    """Cells are made once: samples are read once, and the table once more for what is known of each activity."""
+    for name, most in (("compare_activities", 3), ("activity_analysis", 3), ("stream_page", 1)):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") <= most, name
+
+
+def test_route_pages(spark):
+    rows = spark.createDataFrame([(k, k % 2, 12_345.0 * k, 99.5, k % 4 or None, [1, 2] if k % 3 else None) for k in range(9)], "route_id int, athlete_id int, metres double, climbed double, type int, segments array<int>")
+    got = {r.route_id: (r.place, r.pages, r.km, r.gain_m, r.kind, r.segment_count) for r in retrieval.routes(rows, "athlete_id", 2, 2, "route_id").collect()}
+    assert got == {4: (3, 3, 49.4, 100.0, None, 2), 6: (4, 3, 74.1, 100.0, "Run", None), 5: (3, 2, 61.7, 100.0, "Ride", 2), 7: (4, 2, 86.4, 100.0, "Other", 2)}
+    assert retrieval.routes(rows, "athlete_id", 9, 2, "route_id").count() == 0
+    for page, size in ((0, 5), (1, 51), (1, 0)):
+        with pytest.raises(ValueError, match="pages are counted"):
+            retrieval.routes(rows, "athlete_id", page, size, "route_id")
+
+
+def test_parameter_sources(spark):
+    entries = spark.createDataFrame([("f", 200.0, "estimated_20min", "2024-01-01", "2024-01-31"), ("f", 210.0, "estimated_hr20min", "2024-02-01", None)], "metric string, value double, source string, effective_from string, effective_to string")
+    entries = entries.withColumns({c: F.col(c).cast("date") for c in ("effective_from", "effective_to")})
+    rows = spark.createDataFrame([(1, "f", "2024-01-31", None), (2, "f", "2024-02-01", None), (3, "f", "2023-12-31", None), (4, "f", "2023-12-31", 250.0), (5, "g", "2024-02-01", None), (6, "f", None, None)], "k int, metric string, day string, asked double")
+    got = {r.k: (r.value, r.source, r.estimated, r.status) for r in profile.resolved_as_of(rows.withColumn("day", F.col("day").cast("date")), entries, ["metric"], "day", "asked").collect()}
+    missing = (None, None, False, "missing_parameter")
+    assert got == {1: (200.0, "estimated_20min", True, "profile"), 2: (210.0, "estimated_hr20min", False, "profile"), 3: missing, 4: (250.0, "override", False, "override"), 5: missing, 6: missing}
