@@ -222,7 +222,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `score`, the probability that a text is of quality 1; null texts are empty ones, equal texts have equal
-    scores. A column of docs named score is replaced."""
+    scores. A column of docs named score is replaced, null or repeated doc_ids make no difference, whole texts of any
+    length count, and an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -185,7 +185,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     missing components count as 0, an id's repeated rows are ranked as rows of their own, ties go to the
     smaller id. Rows, equal ones too, are dealt to shards of about SHARD_ROWS and inverted to postings, queries to blocks; every
     block meets every shard, as blobs, and each query's own split of terms decides what it reads there. Scores beyond a
-    long are held at its ends.
+    long are held at its ends. Vectors may have any length, other columns aren't read, empty tables give no rows.
     """
     vectors, queries = (x.where("id is not null and terms is not null") for x in (vectors, queries))
     vectors, queries = written(vectors, "vectors"), written(queries, "queries")
