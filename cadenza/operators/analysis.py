@@ -191,3 +191,20 @@ def whole(cells: DataFrame, min_seconds: int = decoupling.MIN_SECONDS) -> DataFr
         out.append(F.struct(available.alias("available"), code.alias("code"), *[F.when(available, c).alias(n) for n, c in shown.items()]).alias(name))
     errors = F.array_compact(F.array(F.when(F.col("ftp_w").isNull(), "MISSING_FTP"), F.when(F.col("weight_kg").isNull(), "MISSING_WEIGHT"), F.when(coverage < align.MIN_COVERAGE, "LOW_COVERAGE")))
     return per.select(KEY, *out, reduce(lambda a, b: a + b, ready).alias("modules_available"), errors.alias("errors"))
+
+
+def analysis(aligned: DataFrame, ftp: float, weight: float, power_zones: Sequence[bands.Band], hr_zones: Sequence[bands.Band]) -> dict[str, DataFrame]:
+    """All modules over the same cells, a frame each, with nulls where an activity lacks its signals: quality, power, curve, power
+    and heart-rate zones, torque, work above threshold, decoupling and climbs. Pass cells that are stored, as each module reads
+    them; whole() gives one row an activity in one pass."""
+    return {
+        "quality": align.quality(aligned),
+        "power": power.power_metrics(aligned, F.lit(ftp), F.lit(weight)),
+        "curve": power.curve(aligned),
+        "power_zones": bands.time_in_zones(aligned, "watts", power_zones),
+        "hr_zones": bands.time_in_zones(aligned, "heartrate", hr_zones, closed_top=True),
+        "torque": bands.torque_by_cadence(aligned),
+        "work": bands.work_above(aligned, ftp),
+        "decoupling": decoupling.decoupling(aligned),
+        "climbs": climbs.climbs(aligned, F.lit(weight)),
+    }
