@@ -112,3 +112,5 @@ def test_groups_and_empty(spark):
     assert (sum(g.a for g in one.groups), sum(g.b for g in one.groups), one.groups[-1].end) == (len(one.a_ids), len(one.b_ids), len(" hello wörld".encode()))
     assert (none.a_ids, none.groups) == ([], [])
     assert crosstoken.align(docs.limit(0), VOCABULARY, MODEL).count() == 0
+    bare = spark.createDataFrame([(1, ""), (2, None), (None, "▁")], "doc_id long, text string")  # a lot without links
+    assert {tuple(r)[1:] for r in crosstoken.align(bare, VOCABULARY, MODEL).collect()} == {(0, 0, 0, 0, 0, 0, "")}
