@@ -75,7 +75,7 @@ def compare(aligned: DataFrame) -> DataFrame:
     return per.select(KEY, F.inline(F.array(*[cell(*c) for c in CELLS])))
 
 
-#: How many different activities a comparison takes.
+#: How many different activities a comparison takes.
 LEAST_COMPARED, MOST_COMPARED = 2, 10
 
 
@@ -122,7 +122,7 @@ def rejected(asked: DataFrame, activities: DataFrame, athlete: Column) -> DataFr
 
 #: The codes of what a module or an analysis lacks.
 CODES = ("MISSING_POWER", "MISSING_HR", "MISSING_FTP", "MISSING_WEIGHT", "INSUFFICIENT_DURATION", "LOW_COVERAGE", "INVALID_PROFILE", "MISSING_ELEVATION", "MISSING_HR_THRESHOLD")
-#: The modules of a whole analysis.
+#: The modules of a whole analysis.
 MODULES = ("activity_details", "power_metrics", "heartrate_summary", "cadence_summary", "power_zones", "heartrate_zones", "decoupling", "climbs")
 
 

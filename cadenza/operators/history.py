@@ -9,7 +9,7 @@ from cadenza.functions.ordered import KEY, prefixes
 from cadenza.functions.scalars import rnd
 from cadenza.operators.power import with_signal
 
-#: Days of history and activities of an athlete that are listed for it.
+#: Days of history, and activities of an athlete that are listed for it.
 HISTORY_DAYS, HISTORY_MOST = 42, 30
 
 

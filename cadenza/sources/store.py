@@ -16,7 +16,7 @@ from cadenza.operators import align, records
 #: Grows when alignment changes, so that older cells are no longer read.
 VERSION = 1
 BUCKETS = 32
-#: Entries and bytes that a trimmed store keeps.
+#: Entries and bytes that a trimmed store keeps.
 KEEP_ENTRIES, KEEP_BYTES = 200, 128 << 20
 
 
