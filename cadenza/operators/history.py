@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.ordered import KEY, prefixes
 from cadenza.functions.scalars import rnd
 from cadenza.operators.power import with_signal
+from cadenza.sources.shared import written
 
 #: Days of history, and activities of an athlete that are listed for it.
 HISTORY_DAYS, HISTORY_MOST = 42, 30
@@ -79,6 +80,7 @@ def climbs_against_history(found: DataFrame, history: DataFrame, listed: DataFra
     """
     mine = activities.select(KEY, by, F.col("device_watts").alias("__measured"))
     rows = found.join(mine, KEY, "left").withColumn("duration_s", (F.col("to_i") - F.col("from_i")).cast("bigint"))
+    rows = written(rows, "climbs")  # a row a climb, read twice, so that climbs are looked for once
     asked = rows.where("__measured and duration_s > 0").groupBy(by).agg(F.collect_set("duration_s").alias("durations"))
     used = listed.where("device_watts").select(KEY, by, "day", "pos")
     sums = running_sums(history.join(used.select(KEY), KEY, "left_semi"))
