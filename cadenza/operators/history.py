@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.ordered import KEY, prefixes
@@ -42,16 +42,18 @@ def best_over(sums: DataFrame, durations: DataFrame) -> DataFrame:
     of equals; durations without a wholly valid window are left out.
 
     sums is what running_sums() gives, durations has (activity_id, durations array). Every window is the difference of two
-    look-ups in the arrays, so windows of any number of durations are made in one pass, and only the best of each leaves
-    the task.
+    look-ups in the arrays. The windows of a duration are made and compared within the series' row: as rows of their own each
+    would carry the arrays through a sort.
     """
-    rows = sums.join(durations.select(KEY, "durations"), KEY).select(KEY, "sums", "valid", F.explode("durations").alias("duration_s"))
-    rows = rows.where((F.col("duration_s") > 0) & (F.col("duration_s") < F.size("sums")))
-    rows = rows.select("*", F.explode(F.sequence(F.col("duration_s").cast("int"), F.size("sums") - 1)).alias("at"))
-    before = (F.col("at") - F.col("duration_s")).cast("int")
-    gone = lambda c: F.get(c, F.col("at")) - F.get(c, before)
-    whole = F.when(gone("valid") == F.col("duration_s"), F.struct(gone("sums").alias("s"), (-F.col("at")).alias("minus")))
-    per = rows.groupBy(KEY, "duration_s").agg(F.max(whole).alias("b")).where("b is not null")
+    rows = sums.join(durations.select(KEY, "durations"), KEY)
+    fine = F.filter(F.array_distinct("durations"), lambda d: (d > 0) & (d < F.size("sums")))
+
+    def best(d: Column) -> Column:
+        gone = lambda c, at: F.get(c, at) - F.get(c, at - d.cast("int"))
+        window = lambda at: F.when(gone("valid", at) == d, F.struct(gone("sums", at).alias("s"), (-at).alias("minus")))
+        return F.array_max(F.transform(F.sequence(d.cast("int"), F.size("sums") - 1), window))
+
+    per = rows.select(KEY, F.inline(F.transform(fine, lambda d: F.struct(d.alias("duration_s"), best(d).alias("b"))))).where("b is not null")
     end = -F.col("b.minus")
     return per.select(KEY, "duration_s", rnd(F.col("b.s") / F.col("duration_s") / 1e6, 2).alias("best"), (end - F.col("duration_s")).cast("bigint").alias("start_i"), (end - 1).cast("bigint").alias("end_i"))
 
