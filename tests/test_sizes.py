@@ -1,12 +1,39 @@
-"""What a task takes doesn't grow with the tables."""
+"""What a task takes doesn't grow with the tables: series are dealt by their samples, windows stay in their rows."""
 
-from cadenza.operators import history
+import pytest
+
+from cadenza.functions import ordered
+from cadenza.operators import align, climbs, history
+from cadenza.plans.registry import QUERIES
+from cadenza.sources.events import samples
+from tests.oracle import spark_rows
+
+SMALL = "/root/testdata/sf0.01"
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["climb_segments", "stream_page"])
+def test_series_are_dealt_by_samples(spark, monkeypatch, name):
+    want = spark_rows(QUERIES[name](spark, SMALL))
+    assert "REPARTITION_BY_NUM" not in plan(samples(spark, SMALL, "rides"))  # an even share is small enough
+    monkeypatch.setattr(ordered, "TASK_SAMPLES", 400)
+    rows = samples(spark, SMALL, "rides")
+    assert rows.rdd.getNumPartitions() == 25  # 10,000 samples
+    cells = climbs.marked(align.align(rows))
+    assert plan(cells).count("Exchange hashpartitioning") == 1 and cells.rdd.getNumPartitions() == 25
+    assert spark_rows(QUERIES[name](spark, SMALL)) == want
+
+
+def test_tasks(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(ordered, "TASK_SAMPLES", 10)
+    assert [ordered.tasks_for(spark, n) for n in (0, 10 * cores)] == [0, 0]
+    assert ordered.tasks_for(spark, 10 * cores + 1) == max(cores + 1, 8) and ordered.tasks_for(spark, 100_001) == 10_001
+
+
 def test_windows_stay_in_their_row(spark):
     """A row for each window would carry the series' arrays through a sort."""
     sums = spark.createDataFrame([("a", list(range(0, 50_000_000, 1_000_000)), list(range(50)))], "activity_id string, sums array<bigint>, valid array<bigint>")
