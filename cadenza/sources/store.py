@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from cadenza.functions.ordered import KEY
 from cadenza.operators import align, records
+from cadenza.sources.shared import written
 
 #: Grows when alignment changes, so that older cells are no longer read.
 VERSION = 1
@@ -85,13 +86,13 @@ class CellStore:
         with 0 cells, so they aren't tried again.
         """
         number = time.time_ns() // 1000
-        stale = self.stale(samples)
+        stale = written(self.stale(samples), "stale")  # a row a series, read twice, so that samples are digested once
         fresh = samples.repartition(self.buckets, KEY).join(stale.select(KEY), KEY, "left_semi")
         rows = align.align(fresh, self.signals, self.gap_fill, moving=True).withColumn("fill", F.lit(number))
         self._append(rows, "cells", (KEY, "i"))
         made = self.spark.table(f"{self.name}_cells").where(F.col("fill") == number).groupBy(KEY).agg(F.count("*").alias("cells"))
         entries = stale.join(made, KEY, "left").select(KEY, "digest", F.coalesce("cells", F.lit(0)).alias("cells"), F.lit(number).alias("fill"))
-        self._append(entries, "index", (KEY,))
+        self._append(entries.repartition(self.buckets, KEY), "index", (KEY,))
         return self.spark.table(f"{self.name}_index").where(F.col("fill") == number)
 
     def forget(self, ids: DataFrame) -> None:

@@ -1,4 +1,4 @@
-"""What a task takes doesn't grow with the tables: series are dealt by their samples, windows stay in their rows."""
+"""What a task takes doesn't grow with the tables: series are dealt by their samples, windows stay in their rows, fills digest once."""
 
 import pytest
 
@@ -6,6 +6,7 @@ from cadenza.functions import ordered
 from cadenza.operators import align, climbs, history
 from cadenza.plans.registry import QUERIES
 from cadenza.sources.events import samples
+from cadenza.sources.store import CellStore
 from tests.oracle import spark_rows
 
 SMALL = "/root/testdata/sf0.01"
@@ -41,3 +42,18 @@ def test_windows_stay_in_their_row(spark):
     best = history.best_over(sums, wanted)
     assert plan(best).count("Generate ") == 1 and "Aggregate" not in plan(best)
     assert sorted(tuple(r) for r in best.collect()) == [("a", 7, 1.0, 0, 6), ("a", 49, 1.0, 0, 48)]
+
+
+def test_a_fill_digests_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    schema = "activity_id string, sample_idx int, t double, watts double, moving boolean"
+    rows = spark.createDataFrame([(a, t, float(t), 1.0, True) for a in "ab" for t in range(50)], schema).mapInArrow(counted, schema)
+    store = CellStore(spark, f"file://{tmp_path}", ("watts",), buckets=4)
+    assert sorted((r.activity_id, r.cells) for r in store.fill(rows).collect()) == [("a", 50), ("b", 50)]
+    assert read.value == 200  # the digest and the alignment
