@@ -163,7 +163,8 @@ def word_rows(words: list[bytes], turn: int, rank: dict[bytes, int]) -> Iterator
         long = [len(w) > FOLD_BYTES for w in lot]
         word = pa.array([None if far else w for w, far in zip(lot, long, strict=True)], pa.binary())
         known = pa.array([merge(w, rank) if far else None for w, far in zip(lot, long, strict=True)], pa.list_(pa.int32()))
-        rest = [pa.nulls(len(lot), t) for t in _CHUNK.types[3:]]
+        # Spark sizes a batch up after each row, and walks every null at the end of a list column again each time; empty lists it passes over
+        rest = [pa.array([[]] * len(lot), t) if pa.types.is_list(t) else pa.nulls(len(lot), t) for t in _CHUNK.types[3:]]
         yield pa.record_batch([pa.array([turn] * len(lot), pa.int32()), word, known, *rest], schema=_CHUNK)
 
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,14 @@ def test_bpe_pieces():
     assert cut([])[2].tolist() == []
 
 
+def test_bpe_rows_of_words():
+    """Rows of words have no null lists, which Spark would walk again for every row of a batch."""
+    docs = pa.record_batch([pa.array([1, None], pa.int64()), pa.array(["some words " * 3, "z" * 2000])], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(bpe.chunks(iter([docs]), P.PATTERN, bpe.read_ranks(VOCABULARY)))
+    assert rows.num_rows > 2 and [rows[c].null_count for c in ("doc_id", "n")] == [0, 0]
+    assert [x for x in rows["doc_id"].to_pylist() if x] == [[1, None]]
+
+
 def test_bpe_empty(spark, docs, empty):
     ranks = bpe.read_ranks(VOCABULARY)
     assert bpe.encode(empty, ranks, P.PATTERN, with_decoded=True).count() == 0
