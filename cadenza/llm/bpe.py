@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import partitions_of, release, table
 from cadenza.llm.units import Runs, Units, gather
 
-#: A lot of texts closes at this many characters; a task forgets its words beyond this many.
-LOT_CHARS, KNOWN_WORDS = 1_000_000, 600_000
+#: A lot of texts closes at this many characters.
+LOT_CHARS = 400_000
+#: Beyond this many a task forgets its units, which are split again then, or its pieces as well, which are folded again.
+KNOWN_UNITS, KNOWN_PIECES = 250_000, 500_000
 #: Input of a task, so that a word that recurs is folded once for as much text.
 TASK_BYTES = 64 << 20
 #: A piece beyond this many bytes that can't be cut is merged by a heap, as a fold takes the square of its length.
@@ -140,11 +142,13 @@ def fold_sql(word: str) -> str:
 
 
 #: A row is a new word (`word`, or the ids of one that is known), or a lot of texts: its new units as counts of words
-#: and word numbers, its documents as unit numbers. `turn` changes when a task starts anew to number words and units.
-CHUNK = "turn int, word binary, known array<int>, unit_lens binary, unit_words binary, doc_id array<bigint>, n array<int>, codes binary"
+#: and word numbers, its documents as unit numbers. `turn` changes when a task starts anew to number words, `unit_turn` when
+#: it starts anew to number units.
+CHUNK = "turn int, unit_turn int, word binary, known array<int>, unit_lens binary, unit_words binary, doc_id array<bigint>, n array<int>, codes binary"
 _CHUNK = pa.schema(
     [
         ("turn", pa.int32()),
+        ("unit_turn", pa.int32()),
         ("word", pa.binary()),
         ("known", pa.list_(pa.int32())),
         ("unit_lens", pa.binary()),
@@ -164,19 +168,19 @@ def word_rows(words: list[bytes], turn: int, rank: dict[bytes, int]) -> Iterator
         word = pa.array([None if far else w for w, far in zip(lot, long, strict=True)], pa.binary())
         known = pa.array([merge(w, rank) if far else None for w, far in zip(lot, long, strict=True)], pa.list_(pa.int32()))
         # Spark sizes a batch up after each row, and walks every null at the end of a list column again each time; empty lists it passes over
-        rest = [pa.array([[]] * len(lot), t) if pa.types.is_list(t) else pa.nulls(len(lot), t) for t in _CHUNK.types[3:]]
-        yield pa.record_batch([pa.array([turn] * len(lot), pa.int32()), word, known, *rest], schema=_CHUNK)
+        rest = [pa.array([[]] * len(lot), t) if pa.types.is_list(t) else pa.nulls(len(lot), t) for t in _CHUNK.types[4:]]
+        yield pa.record_batch([pa.array([turn] * len(lot), pa.int32()), pa.nulls(len(lot), pa.int32()), word, known, *rest], schema=_CHUNK)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], pattern: str, words: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Rows of CHUNK for texts (doc_id, text): a lot's new words stand before it."""
-    cut, rank, turn = Cutter(words), {w: i for i, w in enumerate(words)}, 0
+    cut, rank, turn, unit_turn = Cutter(words), {w: i for i, w in enumerate(words)}, 0, 0
     units, doc_ids, codes, size = Units(pattern, cut), [], [], 0
 
     def close() -> Iterator[pa.RecordBatch]:
         fresh, lens, parts = units.take()
         yield from word_rows(fresh, turn, rank)
-        values = [turn, None, None, lens, parts, doc_ids, [len(c) for c in codes], np.concatenate(codes).tobytes()]
+        values = [turn, unit_turn, None, None, lens, parts, doc_ids, [len(c) for c in codes], np.concatenate(codes).tobytes()]
         yield pa.record_batch([pa.array([v], type=f.type) for v, f in zip(values, _CHUNK, strict=True)], schema=_CHUNK)
 
     for batch in batches:
@@ -188,8 +192,12 @@ def chunks(batches: Iterator[pa.RecordBatch], pattern: str, words: list[bytes])
                 if size >= LOT_CHARS:
                     yield from close()
                     doc_ids, codes, size = [], [], 0
-                    if units.count >= KNOWN_WORDS:
-                        units, turn = Units(pattern, cut), turn + 1
+                    if units.count >= KNOWN_UNITS:
+                        units.forget()
+                        unit_turn += 1
+                        if len(units.piece) >= KNOWN_PIECES:
+                            units.piece.clear()
+                            turn += 1
     if doc_ids:
         yield from close()
     units, doc_ids, codes = Units(pattern, cut), [], []
@@ -198,15 +206,16 @@ def chunks(batches: Iterator[pa.RecordBatch], pattern: str, words: list[bytes])
 
 def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_tokens, ids) of the texts of a task, from its rows of CHUNK with `ids` for each word."""
-    words, units, turn = Runs(), Runs(), 0
+    words, units, turn, unit_turn = Runs(), Runs(), 0, 0
     for batch in batches:
         turns = batch.column("turn").to_numpy(zero_copy_only=False)
+        unit_turns = batch.column("unit_turn").fill_null(0).to_numpy(zero_copy_only=False)
         lots = np.flatnonzero(batch.column("codes").is_valid().to_numpy(zero_copy_only=False))
         at = 0
         for lot in [*lots.tolist(), batch.num_rows]:
             while at < lot:  # words up to the lot, or to the next turn
                 if turns[at] != turn:
-                    words, units, turn = Runs(), Runs(), turns[at]
+                    words, turn = Runs(), turns[at]
                 stop = int(np.argmax(turns[at:lot] != turn)) + at if (turns[at:lot] != turn).any() else lot
                 ids = batch.column("ids").slice(at, stop - at)
                 words.add(ids.value_lengths().to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False))
@@ -214,7 +223,9 @@ def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if lot == batch.num_rows:
                 break
             if turns[lot] != turn:
-                words, units, turn = Runs(), Runs(), turns[lot]
+                words, turn = Runs(), turns[lot]
+            if unit_turns[lot] != unit_turn:
+                units, unit_turn = Runs(), unit_turns[lot]
             lens, parts, codes = (np.frombuffer(batch.column(c)[lot].as_buffer(), "<i4") for c in ("unit_lens", "unit_words", "codes"))
             flat, n = words.of(parts)
             ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(lens)])]
@@ -242,9 +253,9 @@ def encode(docs: DataFrame, ranks: list[bytes], pattern: str, with_decoded: bool
 
     with_decoded adds `decoded` as decode() does, from the ids, in the task that has just made them.
 
-    A task streams its texts in lots of a million characters, each after the words that are new in it; Spark
+    A task streams its texts in lots of 400,000 characters, each after the words that are new in it; Spark
     folds the ranked merges over the bytes of these words, once a task for each (a task of very many words
-    starts anew), and the end of the same task spells the texts out. Nothing is shuffled or kept but the
+    starts anew; it forgets its units, of which there are more, sooner), and the end of the same task spells the texts out. Nothing is shuffled or kept but the
     task's words. Words are cut where no token reaches across; a piece that is still over FOLD_BYTES, say a
     run of one letter, is merged by a heap, by the same ranks. A null text is an empty one; repeated rows and
     doc_ids, null doc_ids and texts of any length are rows like others; columns besides doc_id and text
@@ -256,7 +267,7 @@ def encode(docs: DataFrame, ranks: list[bytes], pattern: str, with_decoded: bool
     rows = partitions_of(docs, TASK_BYTES).mapInArrow(lambda it: chunks(it, pattern, known.value), CHUNK)
     rows = rows.withColumn("m", rank_map(ranks))
     ids = F.expr(f"coalesce(known, {fold_sql('word')})")
-    rows = rows.select("turn", "unit_lens", "unit_words", "doc_id", "n", "codes", ids.alias("ids"))
+    rows = rows.select("turn", "unit_turn", "unit_lens", "unit_words", "doc_id", "n", "codes", ids.alias("ids"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from unspell(spell(batches), known.value) if with_decoded else spell(batches)

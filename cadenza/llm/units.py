@@ -13,6 +13,8 @@ import regex
 #: before each, and single line ends.
 ODD = ("  ", "\n\n", " \n", "\n ", *(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"))
 UNIT = re.compile(r"\n| ?[^ \n]+")
+#: Words cut at once.
+LOT = 10_000
 
 
 def plain(text: str) -> bool:
@@ -42,12 +44,17 @@ class Units:
 
     A pattern of the byte-level kind starts a new word at a single space between other characters and
     makes a single line end a word by itself, so units can be split apart from each other. Other texts
-    are split whole, their words standing as units. `cut` parts many words into pieces at once.
+    are split whole, their words standing as units. `cut` parts many words into pieces at once, LOT of them, as
+    it takes some hundred bytes for each of theirs.
     """
 
     def __init__(self, pattern: str, cut: Callable[[list[bytes]], tuple[bytes, np.ndarray, np.ndarray]]) -> None:
         self.find, self.cut = regex.compile(pattern).findall, cut
         self.piece: dict[bytes, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew to number units, once take() has given them; pieces keep their numbers."""
         self.words, self.counts, self.count = [], array("i"), 0
         # a word of an odd text is kept apart from a unit of the same letters
         self.unit = Known(lambda key: self._new(self.find(key)))
@@ -65,16 +72,19 @@ class Units:
 
     def take(self) -> tuple[list[bytes], bytes, bytes]:
         """What is new since the last call: pieces, and of units the counts of their pieces, and these pieces."""
-        flat, cuts, n = self.cut([w.encode("utf-8", "surrogatepass") for w in self.words])
-        known, fresh, numbers, a = self.piece, [], np.empty(len(cuts), "<i4"), 0
-        for i, b in enumerate(cuts.tolist()):
-            piece, a = flat[a:b], b
-            at = known.get(piece)
-            if at is None:
-                at = known[piece] = len(known)
-                fresh.append(piece)
-            numbers[i] = at
-        lens = np.diff(np.concatenate([[0], np.cumsum(n)])[np.cumsum(self.counts, dtype="i8")], prepend=0).astype("<i4")
+        known, fresh, numbers, n = self.piece, [], array("i"), [np.zeros(1, "i8")]
+        for lot in range(0, len(self.words), LOT):
+            flat, cuts, pieces = self.cut([w.encode("utf-8", "surrogatepass") for w in self.words[lot : lot + LOT]])
+            n.append(pieces)
+            a = 0
+            for b in cuts.tolist():
+                piece, a = flat[a:b], b
+                at = known.get(piece)
+                if at is None:
+                    at = known[piece] = len(known)
+                    fresh.append(piece)
+                numbers.append(at)
+        lens = np.diff(np.cumsum(np.concatenate(n))[np.cumsum(self.counts, dtype="i8")], prepend=0).astype("<i4")
         self.words, self.counts = [], array("i")
         return fresh, lens.tobytes(), numbers.tobytes()
 

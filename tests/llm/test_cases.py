@@ -129,6 +129,28 @@ def test_bpe_rows_of_words():
     assert [x for x in rows["doc_id"].to_pylist() if x] == [[1, None]]
 
 
+def test_bpe_forgets(monkeypatch):
+    """Forgotten units are split again, but their pieces aren't folded again; forgotten pieces are."""
+    ranks = bpe.read_ranks(VOCABULARY)
+    rank = {w: i for i, w in enumerate(ranks)}
+    texts = [f"internationalisation of {chr(97 + i % 20) * 7}zqx\nstatistische {i % 3}" for i in range(60)] + ["", "  odd  one "]
+    docs = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(bpe, "LOT_CHARS", 100)
+    monkeypatch.setattr(bpe, "KNOWN_UNITS", 6)
+    for most, turns in ((1000, 1), (20, 2)):
+        monkeypatch.setattr(bpe, "KNOWN_PIECES", most)
+        rows = pa.Table.from_batches(bpe.chunks(iter([docs]), P.PATTERN, ranks)).combine_chunks().to_batches()[0]
+        words = [(t, w) for t, w in zip(rows["turn"].to_pylist(), rows["word"].to_pylist(), strict=True) if w]
+        assert len(set(rows["unit_turn"].to_pylist())) > 5 and len(words) == len(set(words))
+        assert (len(set(rows["turn"].to_pylist())) >= turns) and (turns > 1 or len({w for _, w in words}) == len(words))
+        ids = pa.array([bpe.merge(w, rank) if w else None for w in rows["word"].to_pylist()], pa.list_(pa.int32()))
+        parts = rows.append_column("ids", ids)
+        for step in (1, 7, rows.num_rows):
+            out = pa.Table.from_batches(bpe.spell(parts.slice(i, step) for i in range(0, rows.num_rows, step)))
+            assert out["doc_id"].to_pylist() == docs["doc_id"].to_pylist()
+            assert [b"".join(ranks[i] for i in np.frombuffer(x, "<u4")).decode() for x in out["ids"].to_pylist()] == texts
+
+
 def test_bpe_empty(spark, docs, empty):
     ranks = bpe.read_ranks(VOCABULARY)
     assert bpe.encode(empty, ranks, P.PATTERN, with_decoded=True).count() == 0
