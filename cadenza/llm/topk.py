@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import table, written
+from cadenza.llm.common import partitions, table, written
 
 SHARD_ROWS, QUERY_ROWS = 8192, 512
 #: Beyond these, sums of products are no longer exact in doubles, or in 64-bit integers.
@@ -17,8 +17,8 @@ DOUBLE, EXACT = float(1 << 53), float(1 << 62)
 #: Queries whose essential postings are traversed together, and the share of a shard's rows, as one in so many, from which a
 #: term's postings take part in that.
 TOGETHER, MANY = 64, 8
-POSTINGS = "shard int, ids binary, dim int, ends binary, rows binary, values binary"
-BLOCK = "shard int, ids binary, dim int, terms binary"
+#: A shard's postings, with lot -1, or a block of queries, whose terms are the values.
+BLOBS = "shard int, lot int, ids binary, dim int, ends binary, rows binary, values binary"
 
 
 def quantised(vectors: Column, scale: int = 64) -> Column:
@@ -37,11 +37,23 @@ def dense(group: pd.DataFrame) -> np.ndarray:
     return out
 
 
+def slim(numbers: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest of them needs; the first byte says how many."""
+    low, high = (int(numbers.min()), int(numbers.max())) if numbers.size else (0, 0)
+    size = next(n for n in (1, 2, 4, 8) if -(1 << 8 * n - 1) <= low and high < 1 << 8 * n - 1)
+    return bytes([size]) + numbers.astype(f"<i{size}").tobytes()
+
+
+def wide(blob: bytes) -> np.ndarray:
+    """What slim() was given, as longs."""
+    return np.frombuffer(blob, f"<i{blob[0]}", offset=1).astype("<i8")
+
+
 def pack(group: pd.DataFrame) -> pd.DataFrame:
-    """A group of queries (shard, id, terms) as one row of blobs."""
+    """A group of queries (shard, id, terms) as one row of blobs, its number as `lot`."""
     group = group.sort_values("id", kind="stable")
     rows = dense(group)
-    return pd.DataFrame({"shard": [group["shard"].iloc[0]], "ids": [group["id"].to_numpy("<i8").tobytes()], "dim": [rows.shape[1]], "terms": [rows.tobytes()]})
+    return pd.DataFrame({"shard": [0], "lot": [group["shard"].iloc[0]], "ids": [slim(group["id"].to_numpy())], "dim": [rows.shape[1]], "ends": [None], "rows": [None], "values": [slim(rows)]})
 
 
 def invert(group: pd.DataFrame) -> pd.DataFrame:
@@ -49,18 +61,17 @@ def invert(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("id", kind="stable")
     rows = dense(group)
     term, row = np.nonzero(rows.T)
-    ends = np.searchsorted(term, np.arange(rows.shape[1]), "right").astype("<i4")
-    blobs = {"ends": ends, "rows": row.astype("<i4"), "values": rows.T[term, row].astype("<i8")}
-    return pd.DataFrame({"shard": [group["shard"].iloc[0]], "ids": [group["id"].to_numpy("<i8").tobytes()], "dim": [rows.shape[1]], **{k: [v.tobytes()] for k, v in blobs.items()}})
+    ends = np.searchsorted(term, np.arange(rows.shape[1]), "right")
+    blobs = {"ends": ends, "rows": row, "values": rows.T[term, row]}
+    return pd.DataFrame({"shard": [group["shard"].iloc[0]], "lot": [-1], "ids": [slim(group["id"].to_numpy())], "dim": [rows.shape[1]], **{k: [slim(v)] for k, v in blobs.items()}})
 
 
 class Shard:
     """The postings of a shard, with the highest and lowest contribution that a term's weight can meet in it."""
 
     def __init__(self, ids: bytes, ends: bytes, rows: bytes, values: bytes) -> None:
-        self.ids = np.frombuffer(ids, "<i8")
-        ends = np.frombuffer(ends, "<i4").astype("i8")
-        rows, values = np.frombuffer(rows, "<i4"), np.frombuffer(values, "<i8")
+        self.ids = wide(ids)
+        ends, rows, values = wide(ends), wide(rows).astype("i4"), wide(values)
         self.rows, self.values = np.split(rows, ends[:-1]) if len(ends) else [], np.split(values, ends[:-1]) if len(ends) else []
         whole = [len(r) == len(self.ids) for r in self.rows]
         # terms that many rows have, side by side with zeros for the others: their postings are traversed for many queries at once
@@ -147,17 +158,20 @@ class Shard:
         return left, some.astype("i8")
 
 
-def search(pairs: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """Each shard's best k for each query of a block; floors found on one shard hold for the task's next ones."""
+def search(blobs: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """Each shard's best k for each query of the blocks that follow it; floors found on one shard hold for the task's next ones."""
     floors: dict[int, np.ndarray] = {}
     number, shard = None, None
-    for batch in pairs:
+    for batch in blobs:
         for p in batch.itertuples():
-            if p.shard != number:
+            if p.lot < 0:
                 number, shard = p.shard, Shard(p.ids, p.ends, p.rows, p.values)
-            q_ids = np.frombuffer(p.q_ids, "<i8")
-            queries = np.frombuffer(p.q_terms, "<i8").reshape(len(q_ids), p.q_dim)
-            floor = floors.setdefault(p.q_shard, np.full(len(q_ids), -np.inf))
+                continue
+            if p.shard != number:
+                continue  # no vector was dealt to it
+            q_ids = wide(p.ids)
+            queries = wide(p.values).reshape(len(q_ids), p.dim)
+            floor = floors.setdefault(p.lot, np.full(len(q_ids), -np.inf))
             found = []
             for q, (query_id, (rows, score)) in enumerate(zip(q_ids, shard.maxscore(queries, floor), strict=True)):
                 own = shard.ids[rows] != query_id
@@ -170,7 +184,7 @@ def search(pairs: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
                     floor[q] = max(floor[q], float(score[top[-1]]))
                 found.append((np.full(len(top), q), ids[top], score[top]))
             q, i, score = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pd.DataFrame({"q_shard": p.q_shard, "q": q, "query_id": q_ids[q], "vec_id": i, "score": score}).astype({"q_shard": "int32", "q": "int32"})
+            yield pd.DataFrame({"q_shard": p.lot, "q": q, "query_id": q_ids[q], "vec_id": i, "score": score}).astype({"q_shard": "int32", "q": "int32"})
 
 
 def dealt(rows: DataFrame, count: int) -> DataFrame:
@@ -184,16 +198,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     vectors and queries have (id long, terms array<long>). Rows with a null id or null terms take no part,
     missing components count as 0, an id's repeated rows are ranked as rows of their own, ties go to the
     smaller id. Rows, equal ones too, are dealt to shards of about SHARD_ROWS and inverted to postings, queries to blocks; every
-    block meets every shard, as blobs, and each query's own split of terms decides what it reads there. Scores beyond a
-    long are held at its ends. Vectors may have any length, other columns aren't read, empty tables give no rows.
+    block meets every shard, as blobs, and each query's own split of terms decides what it reads there. Shards and blocks are not
+    joined but sorted together, a shard before its blocks: it reaches its task once, and nothing goes by the driver. Scores
+    beyond a long are held at its ends. Vectors may have any length, other columns aren't read, empty tables give no rows.
     """
     vectors, queries = (x.where("id is not null and terms is not null") for x in (vectors, queries))
     vectors, queries = written(vectors, "vectors"), written(queries, "queries")
     shards, lots = max(1, -(-vectors.count() // SHARD_ROWS)), max(1, -(-queries.count() // QUERY_ROWS))
-    packed = dealt(vectors, shards).groupBy("shard").applyInPandas(invert, POSTINGS)
-    asked = dealt(queries, lots).groupBy("shard").applyInPandas(pack, BLOCK)
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    found = packed.join(asked, "shard").mapInPandas(lambda it: search(it, k), "q_shard int, q int, query_id long, vec_id long, score long")
+    packed = dealt(vectors, shards).groupBy("shard").applyInPandas(invert, BLOBS)
+    asked = dealt(queries, lots).groupBy("shard").applyInPandas(pack, BLOBS)
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # few tasks, each with many shards: floors rise from one to the next, so that fewer rows are left to rank
+    spark = vectors.sparkSession
+    tasks = min(shards, partitions(spark), 2 * spark.sparkContext.defaultParallelism)
+    blobs = packed.union(asked).repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "lot")
+    found = blobs.mapInPandas(lambda it: search(it, k), "q_shard int, q int, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "q_shard", "q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

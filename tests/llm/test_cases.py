@@ -489,3 +489,31 @@ def test_equal_vectors_are_dealt_apart(spark, monkeypatch):
     assert [r.vec_id for r in topk.top_k(vectors, vectors.where("id = 6"), 3).collect()] == [5, 5, 5]
     sizes = [r["count"] for r in topk.dealt(vectors, 7).groupBy("shard").count().collect()]
     assert len(sizes) == 7 and max(sizes) < 600
+
+
+def test_top_k_sends_no_table_by_the_driver(spark, monkeypatch):
+    """Blocks of queries, one for each shard, were joined to the shards: broadcast while the planner took them for small, and a
+    shard went through Arrow again for each block."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-200, 200, 5).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, terms array<long>")
+    found = topk.top_k(df, df.where("id % 10 = 0"), 4)
+    assert sorted(map(tuple, found.collect())) == brute_top(rows, [r for r in rows if r[0] % 10 == 0], 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_top_k_more_shards_than_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 1)
+    rows = [(i, [i, 1 - i, 7]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, terms array<long>")
+    assert sorted(map(tuple, topk.top_k(df, df, 3).collect())) == brute_top(rows, rows, 3)
+
+
+def test_slim_numbers():
+    for values in ([], [0], [-128, 127], [128], [-(2**15)], [2**15], [-(2**63), 2**63 - 1]):
+        blob = topk.slim(np.array(values, "<i8"))
+        assert topk.wide(blob).tolist() == values
+    assert [len(topk.slim(np.array([v]))) for v in (127, 128, 2**15, 2**31)] == [2, 3, 5, 9]
