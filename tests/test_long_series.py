@@ -28,7 +28,7 @@ def long_dir(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["climb_segments", "climb_trend"])
+@pytest.mark.parametrize("name", ["climb_segments", "climb_trend", "climb_trend_hr"])
 def test_long_series(spark, long_dir, name):
     assert check(spark, QUERIES[name], SQL[name], long_dir) >= 2
     assert {"r0", "r1"} <= {v for r in duck_rows(long_dir, SQL[name])[1] for v in r if isinstance(v, str)}
