@@ -17,6 +17,8 @@ DOUBLE, EXACT = float(1 << 53), float(1 << 62)
 #: Queries whose essential postings are traversed together, and the share of a shard's rows, as one in so many, from which a
 #: term's postings take part in that.
 TOGETHER, MANY = 64, 8
+#: Terms of the shards that a task holds, about, and blocks of queries that go through them together.
+HELD_TERMS, LOTS = 1 << 24, 16
 #: A shard's postings, with lot -1, or a block of queries, whose terms are the values.
 BLOBS = "shard int, lot int, ids binary, dim int, ends binary, rows binary, values binary"
 
@@ -159,16 +161,26 @@ class Shard:
 
 
 def search(blobs: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """Each shard's best k for each query of the blocks that follow it; floors found on one shard hold for the task's next ones."""
-    floors: dict[int, np.ndarray] = {}
-    number, shard = None, None
+    """The best k of each of a task's shards for each query of the blocks that follow them, see search_lots()."""
+    shards, lots = [], []
     for batch in blobs:
         for p in batch.itertuples():
             if p.lot < 0:
-                number, shard = p.shard, Shard(p.ids, p.ends, p.rows, p.values)
+                shards.append(p)
                 continue
-            if p.shard != number:
-                continue  # no vector was dealt to it
+            lots.append(p)
+            if len(lots) == LOTS:
+                yield from search_lots(shards, lots, k)
+                lots = []
+    yield from search_lots(shards, lots, k)
+
+
+def search_lots(shards: list, lots: list, k: int) -> Iterator[pd.DataFrame]:
+    """Shards are unfolded one by one; floors that a block's queries find on one hold for the next ones."""
+    floors: dict[int, np.ndarray] = {}
+    for s in shards if lots else []:
+        shard = Shard(s.ids, s.ends, s.rows, s.values)
+        for p in lots:
             q_ids = wide(p.ids)
             queries = wide(p.values).reshape(len(q_ids), p.dim)
             floor = floors.setdefault(p.lot, np.full(len(q_ids), -np.inf))
@@ -199,19 +211,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     missing components count as 0, an id's repeated rows are ranked as rows of their own, ties go to the
     smaller id. Rows, equal ones too, are dealt to shards of about SHARD_ROWS and inverted to postings, queries to blocks; every
     block meets every shard, as blobs, and each query's own split of terms decides what it reads there. Shards and blocks are not
-    joined but sorted together, a shard before its blocks: it reaches its task once, and nothing goes by the driver. Scores
-    beyond a long are held at its ends. Vectors may have any length, other columns aren't read, empty tables give no rows.
+    joined but sorted together, a task's shards before the blocks: a shard goes to one task, a block once to each task, and
+    nothing by the driver. Scores beyond a long are held at its ends. Vectors may have any length, other columns aren't read,
+    empty tables give no rows.
     """
     vectors, queries = (x.where("id is not null and terms is not null") for x in (vectors, queries))
     vectors, queries = written(vectors, "vectors"), written(queries, "queries")
-    shards, lots = max(1, -(-vectors.count() // SHARD_ROWS)), max(1, -(-queries.count() // QUERY_ROWS))
+    rows, terms = vectors.agg(F.count("*"), F.sum(F.size("terms"))).first()
+    shards, lots = max(1, -(-rows // SHARD_ROWS)), max(1, -(-queries.count() // QUERY_ROWS))
     packed = dealt(vectors, shards).groupBy("shard").applyInPandas(invert, BLOBS)
     asked = dealt(queries, lots).groupBy("shard").applyInPandas(pack, BLOBS)
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     # few tasks, each with many shards: floors rise from one to the next, so that fewer rows are left to rank
     spark = vectors.sparkSession
-    tasks = min(shards, partitions(spark), 2 * spark.sparkContext.defaultParallelism)
-    blobs = packed.union(asked).repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "lot")
+    few = min(partitions(spark), 2 * spark.sparkContext.defaultParallelism)
+    tasks = min(shards, max(few, -(-(terms or 0) // HELD_TERMS)))
+    each = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))
+    blobs = packed.withColumn("task", F.col("shard") % tasks).union(asked.withColumn("task", each))
+    blobs = blobs.repartitionById(tasks, F.col("task")).sortWithinPartitions("lot", "shard")
     found = blobs.mapInPandas(lambda it: search(it, k), "q_shard int, q int, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "q_shard", "q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -6,6 +6,7 @@ import struct
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
@@ -517,3 +518,16 @@ def test_slim_numbers():
         blob = topk.slim(np.array(values, "<i8"))
         assert topk.wide(blob).tolist() == values
     assert [len(topk.slim(np.array([v]))) for v in (127, 128, 2**15, 2**31)] == [2, 3, 5, 9]
+
+
+def test_search_holds_a_tasks_shards():
+    """Blocks come once and meet all shards before them, more blocks than go together."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-9, 10, 4)) for i in range(90)]
+    frame = lambda part, n: pd.DataFrame({"shard": n, "id": [i for i, _ in part], "terms": [t for _, t in part]})
+    shards = pd.concat([topk.invert(frame(rows[n::3], n)) for n in range(3)])
+    blocks = pd.concat([topk.pack(frame(rows[2 * n : 2 * n + 2], n)) for n in range(topk.LOTS + 3)])
+    found = pd.concat(topk.search(iter([shards, blocks[:5], blocks[5:]]), 4))
+    best = found.sort_values(["score", "vec_id"], ascending=[False, True]).groupby("query_id").head(4)
+    asked = rows[: 2 * topk.LOTS + 6]
+    assert sorted(zip(best["query_id"], best["vec_id"], best["score"], strict=True)) == sorted((q, v, s) for q, _, v, s in brute_top(rows, asked, 4))
