@@ -93,6 +93,8 @@ class Shard:
         if self.place[term] >= 0:
             return self.dense[self.place[term]][rows]
         own, values = self.rows[term], self.values[term]
+        if not len(own):
+            return np.zeros(len(rows), "<i8")
         place = np.minimum(np.searchsorted(own, rows), len(own) - 1)
         return np.where(own[place] == rows, values[place], 0)
 

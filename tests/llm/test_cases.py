@@ -531,3 +531,9 @@ def test_search_holds_a_tasks_shards():
     best = found.sort_values(["score", "vec_id"], ascending=[False, True]).groupby("query_id").head(4)
     asked = rows[: 2 * topk.LOTS + 6]
     assert sorted(zip(best["query_id"], best["vec_id"], best["score"], strict=True)) == sorted((q, v, s) for q, _, v, s in brute_top(rows, asked, 4))
+
+
+def test_a_term_that_no_row_of_a_shard_has():
+    p = topk.invert(pd.DataFrame({"shard": 0, "id": [1, 2], "terms": [[0, 3], [0, 4]]})).iloc[0]
+    shard = topk.Shard(p.ids, p.ends, p.rows, p["values"])
+    assert [shard.at(t, np.array([1, 0])).tolist() for t in (0, 1)] == [[0, 0], [4, 3]]
